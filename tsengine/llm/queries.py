@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, langid, linededup, toxicity, urlfilter
+from . import decontaminate, exactdedup, langid, linededup, pii, toxicity, urlfilter
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -35,6 +35,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(docs).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array(*map(F.lit, pii.KINDS))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])), ",")
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.toxicity(docs, _read(spark, sf_dir, "labels"))
@@ -53,6 +61,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language": op4_language,
     "op7_line_dedup": op7_line_dedup,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
 }
 
