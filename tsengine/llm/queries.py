@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, langid, linededup, pii, toxicity, urlfilter
+from . import decontaminate, exactdedup, langid, linededup, ngramjoin, pii, toxicity, urlfilter
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -49,6 +49,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngramjoin.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.apply_keep_bitmaps(docs, linededup.line_keep_bitmaps(docs))
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language": op4_language,
+    "op6_ngram_join": op6_ngram_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
@@ -97,6 +103,15 @@ FROM c LEFT JOIN best ON c.page_id = best.page_id LEFT JOIN listed ON c.canonica
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), {_BLANKS}, '')) AS h, length(coalesce(text, '')) AS n FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, h AS text_sha256
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)""",
+    "op6_ngram_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM pairs JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * o >= 80 * (nx.n + ny.n - o)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, link.y FROM reach JOIN link ON reach.b = link.x)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id
+FROM (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) LEFT JOIN n USING (doc_id)""",
     "op7_line_dedup": f"""
 WITH l AS (SELECT doc_id, pos, line, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key
            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
