@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, langid, linededup, ngramjoin, pii, toxicity, urlfilter
+from . import decontaminate, exactdedup, langid, linededup, ngramjoin, pii, suffixdedup, toxicity, urlfilter
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -60,6 +60,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixdedup.suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_url_filter": op2_url_filter,
@@ -69,6 +74,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
