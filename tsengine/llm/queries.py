@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exactdedup, langid, linededup, ngramjoin, pii, suffixdedup, toxicity, urlfilter
+from . import decontaminate, exactdedup, langid, linededup, ngramjoin, packing, pii, suffixdedup, toxicity, urlfilter
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -49,6 +49,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def public_vocabulary() -> dict[str, str]:
+    """Where the installed byte-level vocabulary lies, in both forms."""
+    import public_tokenizers
+
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed_sequences(docs, **public_vocabulary()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return ngramjoin.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
@@ -70,6 +82,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language": op4_language,
+    "op5_packing": op5_packing,
     "op6_ngram_join": op6_ngram_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_pii": op8_pii,
