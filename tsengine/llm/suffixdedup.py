@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import row_key, table
+from .store import row_key, table, with_texts
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -77,8 +77,9 @@ def _groups(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _packed(cols: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket; every column as one block of bytes."""
-    order = np.argsort(bucket, kind="stable")
+    """One row for each bucket; every column as one block of bytes, in the order of row and
+    place (columns 2 and 3), which shuffles well compressed."""
+    order = np.lexsort((cols[3], cols[2], bucket))
     bucket, cols = bucket[order], [c[order] for c in cols]
     cut = _groups(bucket)
     return pa.record_batch([pa.array([int(bucket[a]) for a, _ in cut], pa.int32())] + [pa.array([_blob(c[a:b]) for a, b in cut], pa.binary()) for c in cols], ["bucket"] + [f"c{i}" for i in range(len(cols))])
@@ -196,8 +197,8 @@ def repeated_starts(opened: DataFrame, splitters: np.ndarray, n_buckets: int) ->
 
     `opened` holds rid, text and runs (lo, hi, state). Suffixes are dealt to ranges of their
     leading eight bytes between sampled splitters, and further by fingerprint within a range.
-    Each range is sorted by leading bytes, then by a 128-bit fingerprint of the rest, and
-    neighbours are compared. Splitters are values, so equal suffixes never part; of suffixes
+    Each range is sorted by leading bytes, then by a 64-bit fingerprint of the whole string,
+    and neighbours are compared. Splitters are values, so equal suffixes never part; of suffixes
     that one map task holds twice, one goes on for all."""
     shared = opened.sparkSession.sparkContext.broadcast(splitters)
     fan = max(1, -(-n_buckets // (len(splitters) + 1)))
@@ -206,17 +207,17 @@ def repeated_starts(opened: DataFrame, splitters: np.ndarray, n_buckets: int) ->
         split, held, size = shared.value, [], 0
 
         def flush() -> pa.RecordBatch:
-            lead, h1, h2, rid, at, state = (np.concatenate([h[i] for h in held]) for i in range(6))
+            lead, h1, rid, at, state = (np.concatenate([h[i] for h in held]) for i in range(5))
             held.clear()
-            order = np.lexsort((state, h2, h1, lead))
-            lead, h1, h2, rid, at, state = (x[order] for x in (lead, h1, h2, rid, at, state))
-            of, n = _runs([lead, h1, h2])
+            order = np.lexsort((state, h1, lead))
+            lead, h1, rid, at, state = (x[order] for x in (lead, h1, rid, at, state))
+            of, n = _runs([lead, h1])
             first = np.ones(len(of), bool)
             first[1:] = of[1:] != of[:-1]
             flag = (n > 1).astype(np.uint8) | (state == 2).astype(np.uint8) << 1 | (~first).astype(np.uint8) << 2
             keep = first | (state == 0)  # a witness that another stands for says nothing more
             to = np.searchsorted(split, lead, "right") * fan + _spread(h1, fan)
-            return _packed([x[keep] for x in (lead, h1, h2, rid, at, flag)], to[keep])
+            return _packed([x[keep] for x in (lead, h1, rid, at, flag)], to[keep])
 
         for batch in batches:
             rids, runs = batch.column("rid").to_numpy(), batch.column("runs")
@@ -225,15 +226,14 @@ def repeated_starts(opened: DataFrame, splitters: np.ndarray, n_buckets: int) ->
             lo, hi, st = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "state"))
             base = np.cumsum(lens) - lens
             for r0, r1, data, starts in B.text_chunks(batch.column("text")):
-                one = B.Spans(data)
-                two = B.Spans(data, 1)
+                spans = B.Spans(data)
                 a, b = base[r0], base[r1 - 1] + lens[r1 - 1]
                 row = np.repeat(np.arange(r0, r1), lens[r0:r1])
                 n = hi[a:b] - lo[a:b] + 1
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
                 row, state = np.repeat(row, n), np.repeat(st[a:b], n)
                 i = at + starts[row - r0]
-                held.append([_lead(data, i), one.of(i, i + LENGTH), two.of(i, i + LENGTH), rids[row], at.astype(np.int32), state])
+                held.append([_lead(data, i), spans.of(i, i + LENGTH), rids[row], at.astype(np.int32), state])
                 size += len(i)
                 if size > 4 * BUCKET:
                     yield flush()
@@ -242,15 +242,15 @@ def repeated_starts(opened: DataFrame, splitters: np.ndarray, n_buckets: int) ->
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lead, h1, h2, rid, at, flag in _buckets(batches, [B.U, B.U, B.U, np.int64, np.int32, np.uint8]):
-            order = np.lexsort((h2, h1, lead))
+        for lead, h1, rid, at, flag in _buckets(batches, [B.U, B.U, np.int64, np.int32, np.uint8]):
+            order = np.lexsort((h1, lead))
             f = flag[order]
-            of, n = _runs([lead[order], h1[order], h2[order]])
+            of, n = _runs([lead[order], h1[order]])
             repeats = (n > 1) | (np.bincount(of, f & 1)[of] > 0)
             hit = order[repeats & (f & 2 == 0)]
             yield pa.record_batch([pa.array(rid[hit]), pa.array(at[hit])], ["rid", "at"])
 
-    packed = opened.select("rid", "text", "runs").mapInArrow(find, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary")
+    packed = opened.select("rid", "text", "runs").mapInArrow(find, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "rid long, at int")
 
 
@@ -277,9 +277,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     n_starts = found.filter("state <> 1").agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
     n_buckets = max(1, -(-n_starts // BUCKET))
     splitters = np.unique(sample[np.linspace(0, len(sample) - 1, min(n_buckets, 4096) + 1).astype(int)[1:-1]]) if len(sample) else sample
-    wanted = keyed.join(open_, "rid").select("rid", F.col("row_key").alias("key"), F.col("doc_id").alias("id"), "runs")
-    texts = docs.select(row_key().alias("key"), "doc_id", "text")
-    opened = wanted.join(texts, "key").filter(F.col("id").eqNullSafe(F.col("doc_id"))).select("rid", "text", "runs")
+    wanted = table(keyed.join(open_, "rid").select("rid", F.col("row_key").alias("key"), F.col("doc_id").alias("id"), "runs"), "suffix-open")
+    opened = with_texts(wanted, docs).select("rid", "text", "runs")
     starts = repeated_starts(opened, splitters, n_buckets).groupBy("rid").agg(F.collect_set("at").alias("ats"))
     settled = found.filter("state > 0").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     both = keyed.join(settled.join(starts, "rid", "full"), "rid")
