@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import row_key, table, with_texts
+from .store import BROADCAST_KEYS, row_key, table, with_texts
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -60,10 +60,10 @@ def _anchors(data: np.ndarray, starts: np.ndarray):
 
 
 def _lead(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes at each position as one number, in byte order."""
-    out = np.zeros(len(at), B.U)
-    for j in range(8):
-        out = out << B.U(8) | data[at + j].astype(B.U)
+    """The four bytes at each position as one number, in byte order."""
+    out = np.zeros(len(at), np.uint32)
+    for j in range(4):
+        out = out << np.uint32(8) | data[at + j]
     return out
 
 
@@ -125,7 +125,7 @@ def anchor_runs(docs: DataFrame, n_buckets: int) -> DataFrame:
             held.clear()
             picked = gram & B.U(SAMPLED - 1) == 0
             if picked.any():
-                yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([_blob(lead[picked])], pa.binary())] + [pa.array([b""], pa.binary())] * 5, ["bucket"] + [f"c{i}" for i in range(6)])
+                yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([_blob(lead[picked].astype(B.U))], pa.binary())] + [pa.array([b""], pa.binary())] * 5, ["bucket"] + [f"c{i}" for i in range(6)])
             order = np.lexsort((whole, gram))
             gram, whole, rid, lo, hi = (x[order] for x in (gram, whole, rid, lo, hi))
             _, n_whole = _runs([gram, whole])
@@ -196,7 +196,7 @@ def repeated_starts(opened: DataFrame, splitters: np.ndarray, n_buckets: int) ->
     """(rid, at): starts of open runs whose LENGTH bytes also start elsewhere.
 
     `opened` holds rid, text and runs (lo, hi, state). Suffixes are dealt to ranges of their
-    leading eight bytes between sampled splitters, and further by fingerprint within a range.
+    leading four bytes between sampled splitters, and further by fingerprint within a range.
     Each range is sorted by leading bytes, then by a 64-bit fingerprint of the whole string,
     and neighbours are compared. Splitters are values, so equal suffixes never part; of suffixes
     that one map task holds twice, one goes on for all."""
@@ -242,7 +242,7 @@ def repeated_starts(opened: DataFrame, splitters: np.ndarray, n_buckets: int) ->
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lead, h1, rid, at, flag in _buckets(batches, [B.U, B.U, np.int64, np.int32, np.uint8]):
+        for lead, h1, rid, at, flag in _buckets(batches, [np.uint32, B.U, np.int64, np.int32, np.uint8]):
             order = np.lexsort((h1, lead))
             f = flag[order]
             of, n = _runs([lead[order], h1[order]])
@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # The row numbers are the same in each read of the same files; texts are met by content.
     n_anchor = max(1, int(total / 60 / BUCKET))
     runs = table(anchor_runs(docs.select(F.monotonically_increasing_id().alias("rid"), "text"), n_anchor), "suffix-anchors")
-    sample = np.sort(np.array([r.lead for r in runs.filter("state = -1").select("lead").limit(MAX_SAMPLE).collect()], np.int64).view(B.U))
+    sample = np.sort(np.array([r.lead for r in runs.filter("state = -1").select("lead").limit(MAX_SAMPLE).collect()], np.int64).astype(np.uint32))
     found = runs.filter("state >= 0")
     open_ = found.filter("state <> 1").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "state")).alias("runs"))
     n_starts = found.filter("state <> 1").agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
@@ -288,8 +288,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def remove_repeated(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and kept_sha256 of each row."""
-    flag = spans.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "starts").dropDuplicates(["id", "key"])
-    joined = docs.select("doc_id", "text", row_key().alias("row")).join(flag, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "starts")
+    flag = table(spans.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "starts").dropDuplicates(["id", "key"]), "suffix-spans")
+    keyed = docs.select("doc_id", "text", row_key().alias("row"))
+    clean = None
+    if flag.count() <= BROADCAST_KEYS:  # then only texts that lose bytes are shuffled
+        keys = F.broadcast(flag.select("key").distinct())
+        clean = keyed.join(keys, F.col("row") == F.col("key"), "left_anti").select("doc_id", "text", F.lit(None).cast(flag.schema["starts"].dataType).alias("starts"))
+        keyed = keyed.join(keys, F.col("row") == F.col("key"), "left_semi")
+    joined = keyed.join(flag, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "starts")
+    if clean is not None:
+        joined = clean.unionAll(joined)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
