@@ -20,7 +20,7 @@ LENGTH = 200
 GRAM = 64
 WINDOW = LENGTH - GRAM + 1
 #: Entries in a bucket of anchors or suffixes.
-BUCKET = 400_000
+BUCKET = 200_000
 #: Of an anchor that a map task holds more often, its entries are dealt by content instead.
 OFTEN = 8
 #: One anchor in this many is sampled for splitters; MAX_SAMPLE bounds what the driver sees.
@@ -152,7 +152,7 @@ def anchor_runs(docs: DataFrame, n_buckets: int) -> DataFrame:
                 whole = B.mix(spans.of(lo, hi + LENGTH) + (a - lo).astype(B.U) * B.U(0x9E3779B97F4A7C15))
                 held.append([gram, whole, rids[first_row + row], (lo - starts[row]).astype(np.int32), (hi - starts[row]).astype(np.int32), _lead(data, a)])
                 size += len(lo)
-                if size > 4 * BUCKET:
+                if size > 2 * BUCKET:
                     yield from flush()
                     size = 0
         if held:
@@ -235,7 +235,7 @@ def repeated_starts(opened: DataFrame, splitters: np.ndarray, n_buckets: int) ->
                 i = at + starts[row - r0]
                 held.append([_lead(data, i), spans.of(i, i + LENGTH), rids[row], at.astype(np.int32), state])
                 size += len(i)
-                if size > 4 * BUCKET:
+                if size > 2 * BUCKET:
                     yield flush()
                     size = 0
         if held:
