@@ -103,10 +103,10 @@ def time_index(spark, sf):
     return daily_rates(spark, sf).filter("t > 1").select("well", "day", "t", F.date_add(F.lit("2020-01-01").cast("date"), F.col("t") - 1).alias("synthetic"))
 
 
-@query("dataset_filter", R + " SELECT architecture_id, hyperparam_id, well, smape FROM r WHERE architecture_id <> 'BUILDING' AND well IN ('FRANCE', 'JAPAN', 'CHINA')")
+@query("dataset_filter", R + " SELECT architecture_id, hyperparam_id, well, smape FROM r WHERE architecture_id <> 'BUILDING' AND well IN ('NATION_1', 'NATION_2', 'NATION_3')")
 def dataset_filter(spark, sf):
     r = runs(spark, sf)
-    return r.filter(~F.col("architecture_id").isin("BUILDING") & F.col("well").isin("FRANCE", "JAPAN", "CHINA")).select("architecture_id", "hyperparam_id", "well", "smape")
+    return r.filter(~F.col("architecture_id").isin("BUILDING") & F.col("well").isin("NATION_1", "NATION_2", "NATION_3")).select("architecture_id", "hyperparam_id", "well", "smape")
 
 
 @query("eligible_folds", D + " SELECT well, it FROM (SELECT well, count(*) AS n FROM d GROUP BY well), (SELECT unnest(range(0, 3000, 250)) AS it) WHERE n - 150 - 112 > it")
@@ -133,13 +133,13 @@ def injection_join(spark, sf):
     return d.join(injector, "day", "left").select("well", "t", "oil", F.coalesce("injected", F.lit(0.0)).alias("injected"))
 
 
-@query("job_matrix", R + " SELECT row_number() OVER (ORDER BY a, h, w) AS job_id, a, h, w, CAST(NULL AS DOUBLE) AS smape, 'pending' AS status FROM (SELECT DISTINCT architecture_id AS a FROM r), (SELECT DISTINCT hyperparam_id AS h FROM r), (SELECT DISTINCT well AS w FROM r WHERE well < 'F')")
+@query("job_matrix", R + " SELECT row_number() OVER (ORDER BY a, h, w) AS job_id, a, h, w, CAST(NULL AS DOUBLE) AS smape, 'pending' AS status FROM (SELECT DISTINCT architecture_id AS a FROM r), (SELECT DISTINCT hyperparam_id AS h FROM r), (SELECT DISTINCT well AS w FROM r WHERE well < 'NATION_2')")
 def job_matrix(spark, sf):
     from pyspark.sql import Window
 
     r = runs(spark, sf)
     one = lambda c, name: r.select(F.col(c).alias(name)).distinct()
-    grid = one("architecture_id", "a").crossJoin(one("hyperparam_id", "h")).crossJoin(one("well", "w").filter("w < 'F'"))  # three short lists of names
+    grid = one("architecture_id", "a").crossJoin(one("hyperparam_id", "h")).crossJoin(one("well", "w").filter("w < 'NATION_2'"))  # three short lists of names
     return grid.select(F.row_number().over(Window.orderBy("a", "h", "w")).cast("long").alias("job_id"), "a", "h", "w", F.lit(None).cast("double").alias("smape"), F.lit("pending").alias("status"))
 
 
