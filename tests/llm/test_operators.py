@@ -77,7 +77,9 @@ def test_line_dedup(unique, docs, empty):
     assert linededup.apply_keep_bitmaps(empty, linededup.line_keep_bitmaps(empty)).count() == 0
 
 
-def test_jaccard_components(unique, docs, empty):
+@pytest.mark.parametrize("block", [ngramjoin.BLOCK, 4])  # lists of one block and of several
+def test_jaccard_components(unique, docs, empty, block, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
     sets = {}
     for d, t in plain(unique).items():
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
