@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,16 @@ def with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     elif n <= BROADCAST_KEYS:
         texts = texts.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi")
     return texts.join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("_doc"))).drop("_doc")
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Arrow batches of some `size` bytes, not Spark's 64 MB, in what runs meanwhile: a task
+    holds several copies of a batch outside the heap. The session's own setting returns."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
