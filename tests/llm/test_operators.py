@@ -98,6 +98,31 @@ def test_jaccard_components(unique, docs, empty, block, monkeypatch):
     assert ngramjoin.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_components_between_map_tasks(spark):
+    """A text and many versions with two edits lie in one map task, which holds their tokens
+    often; versions with one edit lie in others, similar to the text but not to most leaders."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    edited = lambda w, at: " ".join(word() if i in at else x for i, x in enumerate(w))
+    parts = [[], [], []]
+    for _ in range(8):
+        w = [word() for _ in range(100)]
+        parts[0] += [edited(w, ())] + [edited(w, (a, a + 9 + rng.randrange(40))) for a in (rng.randrange(10, 45) for _ in range(30))]
+        for part in parts[1:]:
+            part.append(edited(w, (rng.randrange(10, 90),)))
+    rng.shuffle(parts[0])
+    rows = list(enumerate(sum(parts, [])))
+    cuts = np.cumsum([0, *map(len, parts)])
+    df = spark.createDataFrame(spark.sparkContext.parallelize([rows[a:b] for a, b in zip(cuts, cuts[1:])], 3).flatMap(lambda x: x), "doc_id long, text string")
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    label, links = list(range(len(rows))), [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(df).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_divide_skip():
     rng = random.Random(3)
     for _ in range(300):

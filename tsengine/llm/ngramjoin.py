@@ -222,11 +222,13 @@ def postings_lists(index: DataFrame, n_postings: int) -> DataFrame:
     Map tasks pack their postings by token bucket; of a token that they hold many times only
     the leader goes on, paired with the others, so that no bucket grows with one token. Kind 0
     is a pair to check; kind 1 is a posting (token, rid, n) of a list that was not paired in
-    full."""
+    full: one of many postings, or one that met a leader, which stands for more than itself.
+    No (token, rid) comes twice."""
     buckets = max(1, -(-n_postings // BUCKET))
 
-    def lists(token: np.ndarray, rid: np.ndarray, n: np.ndarray) -> tuple[list, list, np.ndarray]:
-        """Pairs, members of long lists, and a mask of the first posting of each token."""
+    def lists(token: np.ndarray, rid: np.ndarray, n: np.ndarray) -> tuple[tuple, tuple, np.ndarray]:
+        """Pairs, the sorted postings with their order and list's size, and a mask of the first
+        posting of each token."""
         order = np.lexsort((_priority(rid), token))
         token, rid, n = token[order], rid[order], n[order]
         first = np.ones(len(token), bool)
@@ -243,11 +245,11 @@ def postings_lists(index: DataFrame, n_postings: int) -> DataFrame:
         pairs.append((rid[lead], rid[at], n[lead], n[at]))
         a, b, na, nb = (np.concatenate([p[i] for p in pairs]) for i in range(4))
         ok = (100 * np.minimum(na, nb).astype(np.int64) >= PERCENT * np.maximum(na, nb).astype(np.int64)) & (a != b)
-        return _unique_pairs(a[ok], b[ok]), (token, rid, n, size[of]), first
+        return _unique_pairs(a[ok], b[ok]), (token, rid, n, order, size[of]), first
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
-        names = ["kind", "bucket", "token", "rid", "n"]
+        names = ["kind", "bucket", "token", "rid", "n", "leads"]
 
         def flush() -> pa.RecordBatch:
             token, rid, n = (np.concatenate([h[i] for h in held]) for i in range(3))
@@ -258,20 +260,22 @@ def postings_lists(index: DataFrame, n_postings: int) -> DataFrame:
             begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(begin, len(token)))
             often = np.repeat(size > SHORT_LIST, size)
+            leads = np.zeros(len(token) - int(often.sum()), bool)
             rows = []
             if often.any():
-                pairs, (t, r, m, _), first = lists(token[often], rid[often], n[often])
-                rows.append((0, -1, pairs[0], pairs[1], None))
-                rows.append((1, -1, t, r, m))
+                pairs, (t, r, m, *_), first = lists(token[often], rid[often], n[often])
+                rows.append((0, -1, pairs[0], pairs[1], None, None))
+                rows.append((1, -1, t, r, m, None))
                 token, rid, n = (np.concatenate((x[~often], y[first])) for x, y in ((token, t), (rid, r), (n, m)))
+                leads = np.concatenate((leads, np.ones(int(first.sum()), bool)))
             bucket = ((token >> B.U(40)) * B.U(buckets) >> B.U(24)).astype(np.int64)
             order = np.lexsort((rid, bucket))  # runs of one row shuffle well compressed
-            token, rid, n, bucket = token[order], rid[order], n[order], bucket[order]
+            token, rid, n, leads, bucket = token[order], rid[order], n[order], leads[order], bucket[order]
             for a, b in _groups(bucket):
-                rows.append((2, int(bucket[a]), token[a:b], rid[a:b], n[a:b]))
+                rows.append((2, int(bucket[a]), token[a:b], rid[a:b], n[a:b], leads[a:b]))
             blob = lambda x: None if x is None else np.ascontiguousarray(x).tobytes()
             return pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())] + [pa.array([blob(r[i]) for r in rows], pa.binary()) for i in (2, 3, 4)], names
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())] + [pa.array([blob(r[i]) for r in rows], pa.binary()) for i in (2, 3, 4, 5)], names
             )
 
         size = 0
@@ -297,16 +301,18 @@ def postings_lists(index: DataFrame, n_postings: int) -> DataFrame:
         pairs = []
 
         def close():
-            token, rid, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-            p, (t, r, m, size), _ = lists(token, rid, n)
+            token, rid, n, leads = (np.concatenate([h[i] for h in held]) for i in range(4))
+            p, (t, r, m, order, size), first = lists(token, rid, n)
             pairs.append(p)
-            long = size > SHORT_LIST
-            return out(1, t[long], r[long], m[long])
+            leads = leads[order]  # these are among the members already
+            more = (size > SHORT_LIST) | np.logical_or.reduceat(leads, np.flatnonzero(first))[np.cumsum(first) - 1]
+            more &= ~leads
+            return out(1, t[more], r[more], m[more])
 
         for batch in batches:
-            kinds, buckets_, blobs = batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), [batch.column(c) for c in ("token", "rid", "n")]
+            kinds, buckets_, blobs = batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), [batch.column(c) for c in ("token", "rid", "n", "leads")]
             for i, (kind, bucket) in enumerate(zip(kinds, buckets_)):
-                x, y, z = (np.frombuffer(v, d) if (v := c[i].as_py()) is not None else None for c, d in zip(blobs, (B.U, np.int64, np.int32)))
+                x, y, z, leads = (np.frombuffer(v, d) if (v := c[i].as_py()) is not None else None for c, d in zip(blobs, (B.U, np.int64, np.int32, bool)))
                 if kind == 0:
                     pairs.append((x.view(np.int64), y))
                 elif kind == 1:
@@ -316,7 +322,7 @@ def postings_lists(index: DataFrame, n_postings: int) -> DataFrame:
                         yield close()
                         held = []
                     current = bucket
-                    held.append((x, y, z))
+                    held.append((x, y, z, leads))
             if sum(len(p[0]) for p in pairs) > 1 << 20:
                 yield out(0, *(p := _unique_pairs(*(np.concatenate([q[i] for q in pairs]) for i in range(2)))))
                 pairs.clear()
@@ -325,7 +331,7 @@ def postings_lists(index: DataFrame, n_postings: int) -> DataFrame:
         if pairs:
             yield out(0, *_unique_pairs(*(np.concatenate([q[i] for q in pairs]) for i in range(2))))
 
-    packed = index.select("rid", "n", "prefix").mapInArrow(pack, "kind int, bucket int, token binary, rid binary, n binary")
+    packed = index.select("rid", "n", "prefix").mapInArrow(pack, "kind int, bucket int, token binary, rid binary, n binary, leads binary")
     salt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("rid"), F.lit(max(8, buckets))).cast("int"))
     return packed.withColumn("to", salt).repartition("to").sortWithinPartitions("kind", "bucket").mapInArrow(meet, "kind int, a long, b long, n long")
 
