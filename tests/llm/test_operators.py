@@ -123,6 +123,20 @@ def test_jaccard_components_between_map_tasks(spark):
     assert got == dict(enumerate(label))
 
 
+def test_mixed_lists_of_equal_hash_sums(spark):
+    ids = spark.range(2000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("h")).toPandas()
+    i, j = np.triu_indices(len(ids), 1)
+    h = ids.h.to_numpy()
+    total = h[i] + h[j]
+    order = np.argsort(total, kind="stable")
+    k = np.flatnonzero(np.diff(total[order]) == 0)[0]
+    lists = [(token, int(ids.id[x[order[k + token]]])) for token in (0, 1) for x in (i, j)]
+    lists += [(token + 2, rid) for token, rid in lists]  # the same two lists again
+    members = spark.createDataFrame(lists, "token long, rid long")
+    got = ngramjoin._mixed_lists(members, spark.createDataFrame([], "node long, component long"))
+    assert sorted((r.token, r.rid) for r in got.collect()) == sorted(lists[:4])
+
+
 def test_divide_skip():
     rng = random.Random(3)
     for _ in range(300):

@@ -407,12 +407,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame) -> DataFrame:
 
 
 def _mixed_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of `members` (token, rid) the lists that hold several components, each distinct list
-    once, with the members' components and the list's size."""
+    """Of `members` (token, rid), all different, the lists that hold several components, each
+    distinct list once, with the members' components and the list's size. Lists are told apart
+    by their size and 128 bits of digests of their members."""
     named = members.join(labels, members["rid"] == labels["node"], "left").select("token", "rid", F.coalesce("component", "rid").alias("comp")).repartition("token")
-    same = F.sum(F.pmod(F.xxhash64("rid"), F.lit(1 << 31)))
-    lists = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), same.alias("same"), F.count(F.lit(1)).alias("size"))
-    once = lists.filter("lo <> hi").groupBy("same", "size").agg(F.min("token").alias("token")).select("token", "size")
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "rid")).alias(f"same{seed}") for seed in (1, 2)]
+    lists = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same, F.count(F.lit(1)).alias("size"))
+    once = lists.filter("lo <> hi").groupBy("same1", "same2", "size").agg(F.min("token").alias("token")).select("token", "size")
     return named.join(once, "token")
 
 
