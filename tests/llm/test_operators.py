@@ -212,6 +212,14 @@ def test_pii_discovers_by_context(spark, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_pii_takes_a_second_step(spark):
+    rows = [f"Please call us at +1 (555) 010-{1000 + i} today" for i in range(60)]
+    rows += [f"Please call us at 555-{2000 + i} now" for i in range(20)]
+    rows += [f"or reach me on 555-{2000 + i} then" for i in range(20)] + ["or reach me on 555-7777 then", "unlike page no 555-7777 then"]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i] == [(3, 18, 26)] for i in range(60, 80)) and all(got[i] == [(3, 15, 23)] for i in range(80, 101)) and got[101] == []
+
+
 def test_toxicity_and_language(spark, empty):
     rng = random.Random(5)
     rows = []

@@ -134,10 +134,11 @@ def trusted_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     A seed's belief in its kind is 1. In each round a pattern's confidence in a kind is the
     summed belief of its instances over their number plus DOUBT, and an unseen instance's
-    belief is that of its best pattern. Edges and scores stay in Spark tables."""
+    belief is that of its best pattern. Patterns without seeds are scored as well, as soon as
+    one of their instances is believed. Edges and scores stay in Spark tables."""
     edges = table(context_edges(docs), "pii-edges")
-    degree = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("n"), F.count("kind").alias("seeds")).filter(f"n >= {MIN_INSTANCES} and seeds > 0")
-    edges = table(edges.join(degree.drop("seeds"), "pattern"), "pii-graph")
+    degree = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("n")).filter(f"n >= {MIN_INSTANCES}")
+    edges = table(edges.join(degree, "pattern"), "pii-graph")
     belief = edges.filter("kind is not null").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
     seeds = belief
     scored = None
