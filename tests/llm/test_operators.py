@@ -220,6 +220,23 @@ def test_pii_takes_a_second_step(spark):
     assert all(got[i] == [(3, 18, 26)] for i in range(60, 80)) and all(got[i] == [(3, 15, 23)] for i in range(80, 101)) and got[101] == []
 
 
+def test_pii_joins_what_it_does_not_broadcast(spark, monkeypatch):
+    rows = [(i, f"{'Please call us at' if i % 2 else 'you may reach me on'} +1 (555) 010-{1000 + i} today") for i in range(60)]
+    rows += [(99, "or call us at 555-0199, or reach me on 555-0198"), (99, "or call us at 555-0199, or reach me on 555-0198"), (None, "reach me on 555-0197"), (100, None), (101, "the 555-0199 thing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: sorted(((r.doc_id, [tuple(s) for s in r.base], [tuple(s) for s in r.spans]) for r in pii.personal_data(df).collect()), key=str)
+    want = run()
+    assert want.count((99, [], [(3, 14, 22), (3, 39, 47)])) == 2 and (None, [], [(3, 12, 20)]) in want and len(want) == len(rows)
+    monkeypatch.setattr(pii, "MAX_PATTERNS", 1)
+    assert run() == want
+
+
+def test_pii_counts_whole_instances(spark):
+    rows = [(i, f"please write to {'x' * 70}{i}@mail.example.com today") for i in range(30)] + [(99, "please write to 555-0199 today")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in got[99].spans] == [(0, 16, 24)]
+
+
 def test_toxicity_and_language(spark, empty):
     rng = random.Random(5)
     rows = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ MIN_CONFIDENCE, MIN_INSTANCES = 0.8, 5
 #: Instances that count as unknown in a pattern's confidence.
 DOUBT = 1.0
 ROUNDS = 3
-#: Trusted patterns kept, best first; bounds the broadcast (some 60 bytes each).
+#: Trusted patterns up to which they are broadcast (some 60 bytes each); more are joined.
 MAX_PATTERNS = 20_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -111,8 +112,12 @@ def _candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[i
         yield a, b, _pattern(text, a), text[a:b]
 
 
+def _digest(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def context_edges(docs: DataFrame) -> DataFrame:
-    """Pattern-instance edges: (pattern, instance, kind or null), one for each place and batch."""
+    """Distinct pattern-instance edges: (pattern, digest of the instance, kind or null)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,12 +126,12 @@ def context_edges(docs: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 base = base_spans(text)
-                seen.update((_pattern(text, a), text[a:b][:64], k) for k, a, b in base)
-                seen.update((p, w[:64], None) for _, _, p, w in _candidates(text, base))
+                seen.update((_pattern(text, a), _digest(text[a:b]), k) for k, a, b in base)
+                seen.update((p, _digest(w), None) for _, _, p, w in _candidates(text, base))
             rows = [x for x in seen if x[0]]
-            yield pa.record_batch([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string()), pa.array([x[2] for x in rows], pa.int32())], ["pattern", "instance", "kind"])
+            yield pa.record_batch([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int32())], ["pattern", "instance", "kind"])
 
-    return docs.select("text").mapInArrow(scan, "pattern string, instance string, kind int").distinct()
+    return docs.select("text").mapInArrow(scan, "pattern string, instance long, kind int").distinct()
 
 
 def trusted_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -148,8 +153,7 @@ def trusted_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         fresh = edges.filter("kind is null").select("pattern", "instance").distinct().join(scored.filter(F.col("confidence") >= MIN_CONFIDENCE / 2), "pattern")
         fresh = fresh.groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
         belief = table(seeds.unionByName(fresh).groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "pii-belief")
-    best = scored.filter(F.col("confidence") >= MIN_CONFIDENCE).groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"), F.max("confidence").alias("confidence"))
-    return best.orderBy(F.desc("confidence"), "pattern").limit(MAX_PATTERNS)
+    return scored.filter(F.col("confidence") >= MIN_CONFIDENCE).groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"), F.max("confidence").alias("confidence"))
 
 
 def personal_data(docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
@@ -160,9 +164,14 @@ def personal_data(docs: DataFrame, patterns: DataFrame | None = None) -> DataFra
     start. A discovered word has the kind of its pattern and never overlaps a base span.
     Null texts count as empty; repeated rows are searched row by row; an empty table learns
     nothing and returns nothing."""
-    known = {r.pattern: r.kind for r in (trusted_patterns(docs) if patterns is None else patterns).select("pattern", "kind").collect()}  # MAX_PATTERNS rows
+    patterns = (trusted_patterns(docs) if patterns is None else patterns).select("pattern", "kind")
+    few = patterns.limit(MAX_PATTERNS + 1).collect()
+    known = {r.pattern: r.kind for r in few}
+    span = T.StructType([T.StructField(c, T.IntegerType()) for c in ("kind", "start", "end")])
+    base_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    if len(few) > MAX_PATTERNS:
+        return _joined(docs, patterns, span, base_type)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -173,7 +182,29 @@ def personal_data(docs: DataFrame, patterns: DataFrame | None = None) -> DataFra
                 more = [(known[p], s, e) for s, e, p, _ in _candidates(text, b) if p in known] if text and known else []
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in b])
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(b + more)])
-            yield pa.record_batch([batch.column("doc_id"), pa.array(base, kind), pa.array(spans, kind)], ["doc_id", "base", "spans"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(base, base_type), pa.array(spans, base_type)], ["doc_id", "base", "spans"])
+
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.ArrayType(span)) for c in ("base", "spans"))])
+    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+
+
+def _joined(docs: DataFrame, patterns: DataFrame, span: T.StructType, base_type: pa.DataType) -> DataFrame:
+    """personal_data with more patterns than are broadcast: candidate places, written once with
+    their row's number, are joined with the whole pattern table."""
+    found_type = pa.list_(pa.struct([("pattern", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    span = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("kind", "start", "end")]))
-    return docs.select("doc_id", "text").mapInArrow(scan, T.StructType([docs.schema["doc_id"], T.StructField("base", span), T.StructField("spans", span)]))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, found = [], []
+            for text in batch.column("text").to_pylist():
+                b = base_spans(text) if text else []
+                base.append([{"kind": k, "start": s, "end": e} for k, s, e in b])
+                found.append([{"pattern": p, "start": s, "end": e} for s, e, p, _ in _candidates(text, b) if p] if text else [])
+            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), pa.array(base, base_type), pa.array(found, found_type)], ["row", "doc_id", "base", "found"])
+
+    place = T.StructType([T.StructField("pattern", T.StringType()), *span.fields[1:]])
+    schema = T.StructType([T.StructField("row", T.LongType()), docs.schema["doc_id"], T.StructField("base", T.ArrayType(span)), T.StructField("found", T.ArrayType(place))])
+    rows = table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(scan, schema), "pii-places")
+    more = rows.select("row", F.inline("found")).join(patterns, "pattern").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+    spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(T.ArrayType(span)))))
+    return rows.join(more, "row", "left").select("doc_id", "base", spans.alias("spans"))
