@@ -52,6 +52,11 @@ def test_number_of_windows(spark, n, expected):
     assert features.seq_windows(df, ["oil"], "oil", 7, 30).count() == expected
 
 
+def test_poly_trend_fits_every_window(spark):
+    ids = lambda name: sorted((r.well, r.window_id) for r in QUERIES[name](spark, SF).select("well", "window_id").collect())
+    assert ids("poly_trend") == ids("window_context")
+
+
 def test_fold_of_205(spark):
     df = spark.range(1, 301).selectExpr("'w' AS well", "cast(id AS int) AS t")
     anchors = [r.anchor for r in features.walk_forward_folds(df).filter("fold = 206").collect()]

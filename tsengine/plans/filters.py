@@ -152,7 +152,7 @@ def hybrid_validation(spark, sf):
 
 @query("poly_trend")
 def poly_trend(spark, sf):
-    w = ML.polynomial_trend(_windows(spark, sf, 10).select("well", "window_id", "y"), "y")
+    w = ML.polynomial_trend(_windows(spark, sf).select("well", "window_id", "y"), "y")
     return w.select("well", "window_id", *[F.round(F.get("coef", F.lit(i)), 4).alias(f"c{i}") for i in range(3)])
 
 
