@@ -98,9 +98,11 @@ def test_jaccard_components(unique, docs, empty, block, monkeypatch):
     assert ngramjoin.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_components_between_map_tasks(spark):
+@pytest.mark.parametrize("block", [ngramjoin.BLOCK, 8])
+def test_jaccard_components_between_map_tasks(spark, block, monkeypatch):
     """A text and many versions with two edits lie in one map task, which holds their tokens
     often; versions with one edit lie in others, similar to the text but not to most leaders."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     edited = lambda w, at: " ".join(word() if i in at else x for i, x in enumerate(w))
@@ -111,6 +113,16 @@ def test_jaccard_components_between_map_tasks(spark):
         for part in parts[1:]:
             part.append(edited(w, (rng.randrange(10, 90),)))
     rng.shuffle(parts[0])
+    for _ in range(3):  # versions that drift: each is similar to the next ones only
+        w = [word() for _ in range(120)]
+        for k in range(40):
+            w = w[:]
+            w[rng.randrange(120)] = word()
+            parts[k % 3].append(" ".join(w))
+    # One text shares a token with many, but is similar to one only, which lies elsewhere.
+    w = [f"w{k}" for k in range(1, 9)]
+    parts[1] += [" ".join([*w, "uniq"])] + [" ".join([*w[:5], *(word() for _ in range(4))]) for _ in range(6)]
+    parts[2] += [" ".join(w)] + [" ".join([word(), *w[a:]]) for a in (1, 2, 3) for _ in range(8)]
     rows = list(enumerate(sum(parts, [])))
     cuts = np.cumsum([0, *map(len, parts)])
     df = spark.createDataFrame(spark.sparkContext.parallelize([rows[a:b] for a, b in zip(cuts, cuts[1:])], 3).flatMap(lambda x: x), "doc_id long, text string")
@@ -123,20 +135,6 @@ def test_jaccard_components_between_map_tasks(spark):
     assert got == dict(enumerate(label))
 
 
-def test_mixed_lists_of_equal_hash_sums(spark):
-    ids = spark.range(2000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("h")).toPandas()
-    i, j = np.triu_indices(len(ids), 1)
-    h = ids.h.to_numpy()
-    total = h[i] + h[j]
-    order = np.argsort(total, kind="stable")
-    k = np.flatnonzero(np.diff(total[order]) == 0)[0]
-    lists = [(token, int(ids.id[x[order[k + token]]])) for token in (0, 1) for x in (i, j)]
-    lists += [(token + 2, rid) for token, rid in lists]  # the same two lists again
-    members = spark.createDataFrame(lists, "token long, rid long")
-    got = ngramjoin._mixed_lists(members, spark.createDataFrame([], "node long, component long"))
-    assert sorted((r.token, r.rid) for r in got.collect()) == sorted(lists[:4])
-
-
 def test_divide_skip():
     rng = random.Random(3)
     for _ in range(300):

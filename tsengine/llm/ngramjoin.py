@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,21 +24,14 @@ PERCENT = 80
 MAX_FREQUENT = 100_000
 #: Hashes counted together, and the count from which a shingle is reported.
 COUNTED, REPORTED = 1 << 20, 4
-#: Postings lists up to this long are paired in full; longer ones first around one leader.
-SHORT_LIST = 4
-#: Postings in a bucket of the inverted index, and members compared in one block.
-BUCKET, BLOCK = 200_000, 512
-#: Text, and signatures, in bytes that a task works on at once.
-TEXT, SIGNATURES = 1 << 18, 1 << 23
-#: Postings that a map task packs together, and sets among which it finds copies.
-PACKED, SEEN = 800_000, 100_000
-#: Documents searched together for one query document.
-SEARCHED = 32
-#: Least number of a signature's bits; it has at least one for each shingle.
-SIG_BITS = 1024
-#: Pairs that were tried in vain, held by the driver in 8 bytes each; with more, all pairs of
-#: the lists that are still mixed are compared in one last round.
-MAX_TRIED = 1_000_000
+#: Documents, and shingles, of one block of the inverted index.
+BLOCK, WEIGHT = 2048, 400_000
+#: Text that a task works on at once, in bytes.
+TEXT = 1 << 18
+#: Sets among which a map task finds copies.
+SEEN = 100_000
+#: Bits of a block's signatures: at least one for each shingle of the largest set, up to the second.
+SIG_BITS, MAX_SIG_BITS = 1024, 16384
 #: DivideSkip's weight of a long list (Li, Lu and Lu, 2008).
 MU = 0.0085
 
@@ -56,29 +49,6 @@ def document_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def signature(u: np.ndarray) -> bytes:
-    """The parity of each class of hashes modulo a power of two above len(u). Halves
-    can be folded onto each other to compare with a shorter signature."""
-    bits = max(SIG_BITS, 1 << int(len(u)).bit_length())
-    return np.packbits(np.bincount((u & B.U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
-
-
-def signatures_apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Differing parities of each pair of signatures, at the shorter one's length."""
-    out = np.zeros(len(left), np.int64)
-    sizes = np.array([(len(x), len(y)) for x, y in zip(left, right)], np.int64).reshape(-1, 2)
-    for a, b in {(int(x), int(y)) for x, y in sizes}:
-        every, step = np.flatnonzero((sizes[:, 0] == a) & (sizes[:, 1] == b)), max(1, SIGNATURES // (a + b))
-        for at in (every[k : k + step] for k in range(0, len(every), step)):
-            x, y = (np.frombuffer(b"".join(s[i] for i in at), np.uint64).reshape(len(at), -1) for s in (left, right))
-            while x.shape[1] > y.shape[1]:
-                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-            while y.shape[1] > x.shape[1]:
-                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-            out[at] = np.bitwise_count(x ^ y).sum(1)
-    return out
-
-
 def required(n: int) -> int:
     """Overlap that any partner of a set of n shingles must reach; also its least size."""
     return -(-PERCENT * n // 100)
@@ -126,17 +96,75 @@ def divide_skip(lists: list[list[int]], t: int) -> dict[int, int]:
     return out
 
 
-def search(query: np.ndarray, others: list[np.ndarray]) -> list[int]:
-    """Which of the sets are similar to the query."""
-    where = [np.minimum(np.searchsorted(query, x), len(query) - 1) for x in others]
-    held = [w[query[w] == x] for w, x in zip(where, others)]
-    token = np.concatenate(held)
-    member = np.repeat(np.arange(len(others)), [len(x) for x in held])
-    order = np.argsort(token, kind="stable")
-    cuts = np.flatnonzero(np.diff(token[order])) + 1
-    lists = [x.tolist() for x in np.split(member[order], cuts)] if len(order) else []
-    found = divide_skip(lists, required(len(query)))
-    return [i for i, o in found.items() if 100 * o >= PERCENT * (len(query) + len(others[i]) - o)]
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of parities for each set: how often each class of hashes, modulo a power of two,
+    occurs. Sets that differ in d shingles differ in at most d parities."""
+    longest = max((len(u) for u in sets), default=1)
+    bits = min(MAX_SIG_BITS, max(SIG_BITS, 1 << int(longest).bit_length()))
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for k, u in enumerate(sets):
+        out[k] = np.packbits((np.bincount((u & B.U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.uint64)
+    return out
+
+
+class BlockIndex:
+    """The inverted lists of one block of sets: token -> sorted positions of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.n = sets, np.array([len(u) for u in sets], np.int64)
+        token, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.n)
+        order = np.argsort(token, kind="stable")
+        token, member = token[order], member[order]
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(begin, len(token)))
+        shared = size > 1  # a list of one holds nothing but the query itself
+        self.token, self.begin, self.end = token[begin[shared]], begin[shared], (begin + size)[shared]
+        self.member = member.tolist()
+        self.sig = signatures(sets)
+
+    def open_partners(self, q: int, component: np.ndarray) -> bool:
+        """Whether a set of another component is left whose size and signature allow a link."""
+        n = self.n
+        at = np.flatnonzero((component != component[q]) & (100 * np.minimum(n, n[q]) >= PERCENT * np.maximum(n, n[q])))
+        apart = np.bitwise_count(self.sig[at] ^ self.sig[q]).sum(1)
+        return bool(((100 + PERCENT) * apart <= (100 - PERCENT) * (n[at] + n[q])).any())
+
+    def search(self, q: int) -> list[int]:
+        """The sets similar to set q: those that reach the overlap any partner must reach, by
+        T-occurrence search over q's lists, and then that of their own size."""
+        u, n = self.sets[q], self.n
+        at = np.minimum(np.searchsorted(self.token, u), max(0, len(self.token) - 1))
+        at = at[self.token[at] == u] if len(self.token) else at[:0]
+        t = required(len(u))
+        if len(at) < t:
+            return []
+        lists = [self.member[a:b] for a, b in zip(self.begin[at].tolist(), self.end[at].tolist())]
+        return [d for d, o in divide_skip(lists, t).items() if d != q and 100 * o >= PERCENT * (int(n[q] + n[d]) - o)]
+
+
+def links(index: BlockIndex, component: np.ndarray, queries: list[int], lead: int | None = None) -> list[tuple[int, int]]:
+    """Links that join the components of a block as far as any link between a query and another
+    set does; `component` follows.
+
+    With a lead, which is searched first, sets that are linked to it are no queries any more:
+    they are joined already, and their links to others are found from those."""
+    out = []
+
+    def run(q: int) -> list[int]:
+        found = index.search(q)
+        for d in found:
+            if component[d] != component[q]:
+                component[component == component[d]] = component[q]
+                out.append((q, d))
+        return found
+
+    if lead is not None:
+        near = {lead, *run(lead)}
+        queries = [q for q in queries if q not in near]
+    for q in queries:
+        if index.open_partners(q, component):
+            run(q)
+    return out
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +197,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def profiles(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: size of its set, two hashes of the set, the first of the
     task's last SEEN sets that is the same (rep), and for that row the prefix tokens and a
-    signature.
+    priority: the share of its tokens that are frequent, then a hash.
 
     Tokens are ordered by frequency, then hash. Two similar sets share one of their first
     n - required(n) + 1 tokens."""
@@ -180,7 +208,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         members, seen = B.Members(token), {}
         for batch in batches:
             rid = batch.column("rid").to_pylist()
-            ns, h1, h2, reps, prefixes, sigs = [], [], [], [], [], []
+            ns, h1, h2, reps, priority, prefixes = [], [], [], [], [], []
             if len(seen) > SEEN:
                 seen.clear()
             for lo, _, data, starts in B.text_chunks(batch.column("text"), TEXT):
@@ -194,393 +222,173 @@ def profiles(docs: DataFrame) -> DataFrame:
                     reps.append(rep)
                     if n == 0 or rep != rid[lo + i]:
                         prefixes.append(None)
-                        sigs.append(None)
+                        priority.append(None)
                         continue
                     rank = np.zeros(n, np.int64)
                     hit = members.where(u)
                     rank[hit] = count[np.searchsorted(token, u[hit])]
                     prefixes.append(u[np.lexsort((u, rank))][: n - required(n) + 1].view(np.int64))
-                    sigs.append(signature(u))
+                    priority.append((len(hit) * 0x7FFF // n) << 48 | key[1] & 0xFFFFFFFFFFFF)
             same = [batch.column(c) for c in ("rid", "row_key", "doc_id")]
             yield pa.record_batch(
-                [*same, pa.array(ns, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(reps, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["rid", "row_key", "doc_id", "n", "h1", "h2", "rep", "prefix", "sig"],
+                [*same, *(pa.array(x, pa.int64()) for x in (ns, h1, h2, reps, priority)), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["rid", "row_key", "doc_id", "n", "h1", "h2", "rep", "priority", "prefix"],
             )
 
-    long = [T.StructField(c, T.LongType()) for c in ("rid", "row_key", "n", "h1", "h2", "rep")]
-    schema = T.StructType([*long[:2], docs.schema["doc_id"], *long[2:], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+    long = [T.StructField(c, T.LongType()) for c in ("rid", "row_key", "n", "h1", "h2", "rep", "priority")]
+    schema = T.StructType([*long[:2], docs.schema["doc_id"], *long[2:], T.StructField("prefix", T.ArrayType(T.LongType()))])
     return docs.select(F.monotonically_increasing_id().alias("rid"), row_key().alias("row_key"), "doc_id", "text").mapInArrow(run, schema)
 
 
-def _priority(rid: np.ndarray) -> np.ndarray:
-    return B.mix(rid.view(B.U))
+def index_groups(sets: DataFrame) -> DataFrame:
+    """(lead, rid, n, priority): groups such that two similar sets are together in one at least.
 
+    Of the sets in a prefix token's list, the one of the highest priority is its lead. A set
+    joins the groups of the leads of all its lists, so sets that share a token share a group.
+    A set whose tokens are all frequent leads most lists of its copies, which keeps the groups
+    of a set few. No list is ever gathered: leads are an aggregate, met again by a join."""
+    postings = sets.select("rid", "n", "priority", F.explode("prefix").alias("token"))
+    leads = postings.groupBy("token").agg(F.max("priority").alias("lead"), F.count(F.lit(1)).alias("df")).filter("df > 1").drop("df")
+    return postings.join(leads, "token").select("lead", "rid", "n", "priority").distinct()
 
-def postings_lists(index: DataFrame, n_postings: int) -> DataFrame:
-    """Candidate pairs from the inverted index of prefix tokens.
 
-    Map tasks pack their postings by token bucket; of a token that they hold many times only
-    the leader goes on, paired with the others, so that no bucket grows with one token. Kind 0
-    is a pair to check; kind 1 is a posting (token, rid, n) of a list that was not paired in
-    full: one of many postings, or one that met a leader, which stands for more than itself.
-    No (token, rid) comes twice."""
-    buckets = max(1, -(-n_postings // BUCKET))
+def _weighed(n_rows: str, n_shingles: str):
+    """Blocks for so many sets with so many shingles."""
+    return F.greatest(F.ceil(F.col(n_rows) / BLOCK), F.ceil(F.col(n_shingles) / WEIGHT)).cast("int")
 
-    def lists(token: np.ndarray, rid: np.ndarray, n: np.ndarray) -> tuple[tuple, tuple, np.ndarray]:
-        """Pairs, the sorted postings with their order and list's size, and a mask of the first
-        posting of each token."""
-        order = np.lexsort((_priority(rid), token))
-        token, rid, n = token[order], rid[order], n[order]
-        first = np.ones(len(token), bool)
-        first[1:] = token[1:] != token[:-1]
-        begin = np.flatnonzero(first)
-        size = np.diff(np.append(begin, len(token)))
-        of, within = np.repeat(np.arange(len(begin)), size), np.arange(len(token)) - np.repeat(begin, size)
-        pairs = []
-        for d in range(1, SHORT_LIST):
-            at = np.flatnonzero((within + d < size[of]) & (size[of] <= SHORT_LIST))
-            pairs.append((rid[at], rid[at + d], n[at], n[at + d]))
-        at = np.flatnonzero((size[of] > SHORT_LIST) & ~first)
-        lead = begin[of[at]]
-        pairs.append((rid[lead], rid[at], n[lead], n[at]))
-        a, b, na, nb = (np.concatenate([p[i] for p in pairs]) for i in range(4))
-        ok = (100 * np.minimum(na, nb).astype(np.int64) >= PERCENT * np.maximum(na, nb).astype(np.int64)) & (a != b)
-        return _unique_pairs(a[ok], b[ok]), (token, rid, n, order, size[of]), first
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        names = ["kind", "bucket", "token", "rid", "n", "leads"]
 
-        def flush() -> pa.RecordBatch:
-            token, rid, n = (np.concatenate([h[i] for h in held]) for i in range(3))
-            held.clear()
-            # Tokens that occur often here: their leader stands for them in the bucket.
-            order = np.argsort(token, kind="stable")
-            token, rid, n = token[order], rid[order], n[order]
-            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            size = np.diff(np.append(begin, len(token)))
-            often = np.repeat(size > SHORT_LIST, size)
-            leads = np.zeros(len(token) - int(often.sum()), bool)
-            rows = []
-            if often.any():
-                pairs, (t, r, m, *_), first = lists(token[often], rid[often], n[often])
-                rows.append((0, -1, pairs[0], pairs[1], None, None))
-                rows.append((1, -1, t, r, m, None))
-                token, rid, n = (np.concatenate((x[~often], y[first])) for x, y in ((token, t), (rid, r), (n, m)))
-                leads = np.concatenate((leads, np.ones(int(first.sum()), bool)))
-            bucket = ((token >> B.U(40)) * B.U(buckets) >> B.U(24)).astype(np.int64)
-            order = np.lexsort((rid, bucket))  # runs of one row shuffle well compressed
-            token, rid, n, leads, bucket = token[order], rid[order], n[order], leads[order], bucket[order]
-            for a, b in _groups(bucket):
-                rows.append((2, int(bucket[a]), token[a:b], rid[a:b], n[a:b], leads[a:b]))
-            blob = lambda x: None if x is None else np.ascontiguousarray(x).tobytes()
-            return pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())] + [pa.array([blob(r[i]) for r in rows], pa.binary()) for i in (2, 3, 4, 5)], names
-            )
+def _dealt(rid: str, n, seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed), rid), n).cast("int")
 
-        size = 0
-        for batch in batches:
-            prefix = batch.column("prefix")
-            k = np.asarray(prefix.value_lengths().fill_null(0))
-            held.append((prefix.flatten().to_numpy(zero_copy_only=False).view(B.U), np.repeat(batch.column("rid").to_numpy(), k), np.repeat(batch.column("n").to_numpy().astype(np.int32), k)))
-            size += int(k.sum())
-            if size > PACKED:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Buckets of this task, one after the other; pairs are made unique together."""
-        current, held = None, []
-        names = ["kind", "a", "b", "n"]
-
-        def out(kind, a, b, n=None):
-            return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.zeros(len(a), np.int64) if n is None else n.astype(np.int64))], names)
-
-        pairs = []
-
-        def close():
-            token, rid, n, leads = (np.concatenate([h[i] for h in held]) for i in range(4))
-            p, (t, r, m, order, size), first = lists(token, rid, n)
-            pairs.append(p)
-            leads = leads[order]  # these are among the members already
-            more = (size > SHORT_LIST) | np.logical_or.reduceat(leads, np.flatnonzero(first))[np.cumsum(first) - 1]
-            more &= ~leads
-            return out(1, t[more], r[more], m[more])
 
-        for batch in batches:
-            kinds, buckets_, blobs = batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), [batch.column(c) for c in ("token", "rid", "n", "leads")]
-            for i, (kind, bucket) in enumerate(zip(kinds, buckets_)):
-                x, y, z, leads = (np.frombuffer(v, d) if (v := c[i].as_py()) is not None else None for c, d in zip(blobs, (B.U, np.int64, np.int32, bool)))
-                if kind == 0:
-                    pairs.append((x.view(np.int64), y))
-                elif kind == 1:
-                    yield out(1, x, y, z)
-                else:
-                    if bucket != current and held:
-                        yield close()
-                        held = []
-                    current = bucket
-                    held.append((x, y, z, leads))
-            if sum(len(p[0]) for p in pairs) > 1 << 20:
-                yield out(0, *(p := _unique_pairs(*(np.concatenate([q[i] for q in pairs]) for i in range(2)))))
-                pairs.clear()
-        if held:
-            yield close()
-        if pairs:
-            yield out(0, *_unique_pairs(*(np.concatenate([q[i] for q in pairs]) for i in range(2))))
-
-    packed = index.select("rid", "n", "prefix").mapInArrow(pack, "kind int, bucket int, token binary, rid binary, n binary, leads binary")
-    salt = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("rid"), F.lit(max(8, buckets))).cast("int"))
-    return packed.withColumn("to", salt).repartition("to").sortWithinPartitions("kind", "bucket").mapInArrow(meet, "kind int, a long, b long, n long")
-
-
-def _groups(x: np.ndarray) -> list[tuple[int, int]]:
-    cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
-
-
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs; of a pair the one of higher priority comes first."""
-    swap = _priority(a) > _priority(b)
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
-
-
-def _signature_filter(pairs: DataFrame, prof: DataFrame) -> DataFrame:
-    """(a, b, same): pairs whose sets are equal (same), or whose signatures do not rule out
-    the similarity: sets that differ in d shingles differ in at most d parities."""
-    side = lambda x: prof.select(F.col("rid").alias(x), F.struct("n", "h1", "h2", "sig").alias(f"p{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("pa"), batch.column("pb")
-            get = lambda x, c: x.field(c).to_numpy(zero_copy_only=False)
-            same = np.logical_and.reduce([get(a, c) == get(b, c) for c in ("n", "h1", "h2")])
-            apart = signatures_apart(*(x.field("sig").to_pylist() for x in (a, b)))
-            ok = (100 + PERCENT) * apart <= (100 - PERCENT) * (get(a, "n") + get(b, "n"))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(same)], ["a", "b", "same"]).filter(pa.array(same | ok))
-
-    return both.select("a", "b", "pa", "pb").mapInArrow(test, "a long, b long, same boolean")
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, prof: DataFrame) -> DataFrame:
-    """Pairs (u, v) that are similar. Each a is a query over the texts of its bs, SEARCHED at
-    most together, which a T-occurrence search filters."""
-    part = F.floor((F.row_number().over(Window.partitionBy("a", "salt").orderBy("b")) - 1) / SEARCHED)
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)))
-    sent = table(salted.withColumn("part", F.col("salt") + 64 * part).select("a", "b", "part"), "jaccard-pairs")
-    wanted = sent.select(F.col("b").alias("rid"), "a", "part", F.lit(1).alias("role")).unionAll(sent.select(F.col("a").alias("rid"), "a", "part", F.lit(0).alias("role")).distinct())
-    wanted = table(prof.select("rid", F.col("row_key").alias("key"), F.col("doc_id").alias("id")).join(wanted, "rid"), "jaccard-wanted")
-    rows = with_texts(wanted, docs).repartition("a", "part").sortWithinPartitions("a", "part", "role", "rid")
+def _search(placed: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Search the blocks of `placed`: (lead, part, rid, priority, comp, role). A block is the rows
+    of one lead and part. Role 1 is a query; role 2 too, and the block's lead comes with it.
+
+    Returns (kind, u, v, lead, o, total). Kind 0: u and v are similar. Kind 1, for blocks with a
+    lead that are marked as a part of several: set u, the size of its intersection and of
+    its union with the lead's."""
+    ids = sets.select("rid", F.col("row_key").alias("key"), F.col("doc_id").alias("id"))
+    wanted = table(placed.join(ids, "rid"), "jaccard-wanted")
+    rows = with_texts(wanted, docs).select("lead", "part", "role", "priority", "rid", "comp", "split", "text")
+    rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", F.desc("priority"), "rid")
+    names = ["kind", "u", "v", "lead", "o", "total"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, query, ids, sets = None, None, [], []  # rows that repeat give an id twice
+        key, held, out = None, [], []  # held: rid, comp, role, split, set
+
+        def close() -> None:
+            if len(held) < 2:
+                return
+            rid, component = [h[0] for h in held], np.array([h[1] for h in held], np.int64)
+            index = BlockIndex([h[4] for h in held])
+            lead = 0 if held[0][2] == 2 else None
+            out.extend((0, rid[a], rid[b], key[0], 0, 0) for a, b in links(index, component, [k for k, h in enumerate(held) if h[2]], lead))
+            if lead is not None and held[0][3]:
+                first = held[0][4]
+                for r, _, _, _, u in held:
+                    o = len(np.intersect1d(first, u, assume_unique=True))
+                    out.append((1, r, r, key[0], o, len(first) + len(u) - o))
 
-        def close() -> pa.RecordBatch:
-            hit = [ids[i] for i in search(query, sets)] if ids else []
-            return pa.record_batch([pa.array([key[0]] * len(hit), pa.int64()), pa.array(hit, pa.int64())], ["u", "v"])
+        def flush() -> pa.RecordBatch:
+            batch = pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in range(6)], names)
+            out.clear()
+            return batch
 
         for batch in batches:
-            a, part, role, rid = (batch.column(c).to_pylist() for c in ("a", "part", "role", "rid"))
+            lead, part, role, rid, comp, split = (batch.column(c).to_pylist() for c in ("lead", "part", "role", "rid", "comp", "split"))
             for lo, _, data, starts in B.text_chunks(batch.column("text"), TEXT):
                 for i, u in enumerate(document_sets(data, starts), lo):
-                    if (a[i], part[i]) != key:
-                        if key:
-                            yield close()
-                        key, ids, sets = (a[i], part[i]), [], []
-                    if role[i] == 0:
-                        query = u
-                    elif not ids or ids[-1] != rid[i]:
-                        ids.append(rid[i])
-                        sets.append(u)
-        if key:
-            yield close()
-
-    return rows.select("a", "part", "role", "rid", "text").mapInArrow(run, "u long, v long")
-
-
-def _mixed_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of `members` (token, rid), all different, the lists that hold several components, each
-    distinct list once, with the members' components and the list's size. Lists are told apart
-    by their size and 128 bits of digests of their members."""
-    named = members.join(labels, members["rid"] == labels["node"], "left").select("token", "rid", F.coalesce("component", "rid").alias("comp")).repartition("token")
-    same = [F.bit_xor(F.xxhash64(F.lit(seed), "rid")).alias(f"same{seed}") for seed in (1, 2)]
-    lists = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same, F.count(F.lit(1)).alias("size"))
-    once = lists.filter("lo <> hi").groupBy("same1", "same2", "size").agg(F.min("token").alias("token")).select("token", "size")
-    return named.join(once, "token")
-
-
-def _close_pairs(sig: list[bytes], n: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different components whose sizes and signatures allow a link, and how many
-    parities differ."""
-    i, j = np.triu_indices(len(n), 1)
-    ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
-    i, j = i[ok], j[ok]
-    size = np.array([len(x) for x in sig])
-    apart, short = np.zeros(len(i), np.int64), np.minimum(size[i], size[j])
-    for length in np.unique(short).tolist():
-        at = np.flatnonzero(short == length)
-        used = np.unique(np.concatenate((i[at], j[at])))
-        folded = np.zeros((len(n), length // 8), np.uint64)
-        for k in used.tolist():
-            folded[k] = np.bitwise_xor.reduce(np.frombuffer(sig[k], np.uint64).reshape(-1, length // 8), 0)
-        step = max(1, SIGNATURES // length)
-        for a in range(0, len(at), step):
-            part = at[a : a + step]
-            apart[part] = np.bitwise_count(folded[i[part]] ^ folded[j[part]]).sum(1)
-    ok = (100 + PERCENT) * apart <= (100 - PERCENT) * (n[i] + n[j])
-    return i[ok], j[ok], apart[ok]
-
-
-def _unsettled(rows: DataFrame, tried: np.ndarray | None, forests: int) -> DataFrame:
-    """(token, a, b, single): pairs of different components in one list of `rows` (token, rid,
-    comp, size, n, sig) whose signatures allow a link; single rows name a member (a) of any such
-    pair.
-
-    Lists of up to BLOCK members are compared as they are. Longer ones are numbered by size of
-    set and cut into blocks, and blocks whose sizes allow a link are compared. The closest pairs that were not tried come first; pairs whose components are
-    joined by closer ones already wait for a later round (`forests` times). Without `tried`
-    all pairs are returned."""
-    by_size = Window.partitionBy("token").orderBy("n", "rid")
-    zero = F.lit(0).cast("long")
-    whole = rows.filter(F.col("size") <= BLOCK).withColumns({"i": zero, "j": zero}).repartition("token").sortWithinPartitions("token", "n", "rid")
-    rows = table(rows.filter(F.col("size") > BLOCK).withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK)), "jaccard-blocks")
-    size = rows.groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = size.select("token", F.col("block").alias("i"), F.col("hi").alias("hi_i")), size.select("token", F.col("block").alias("j"), F.col("lo").alias("lo_j"))
-    tasks = x.join(y, "token").filter((F.col("i") <= F.col("j")) & (100 * F.col("hi_i") >= PERCENT * F.col("lo_j"))).select("token", "i", "j")
-    sent = rows.join(tasks, "token").filter((F.col("block") == F.col("i")) | (F.col("block") == F.col("j")))
-    sent = sent.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    shared = rows.sparkSession.sparkContext.broadcast(tried)  # at most MAX_TRIED numbers
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, tried = None, [], shared.value
-
-        def close() -> pa.RecordBatch:
-            rid, n, comp = (np.array([h[i] for h in held]) for i in range(3))
-            sig = [h[3] for h in held]
-            i, j, apart = _close_pairs(sig, n, comp)
-            if tried is not None and len(i):
-                fresh = ~np.isin(_pair_hash(rid[i], rid[j]), tried)
-                i, j, apart = i[fresh], j[fresh], apart[fresh]
-                open_ = rid[np.unique(np.concatenate((i, j)))]
-                i, j = _forests(i, j, apart, comp, forests)
-            else:
-                open_ = rid[:0]
-            a, b = _unique_pairs(rid[i], rid[j])
-            b = np.concatenate((b, np.zeros(len(open_), np.int64)))
-            single = pa.array(np.arange(len(b)) >= len(a))
-            a = np.concatenate((a, open_))
-            return pa.record_batch([pa.array(np.full(len(a), key[0])), pa.array(a), pa.array(b), single], ["token", "a", "b", "single"])
+                    if (lead[i], part[i]) != key:
+                        close()
+                        key, held = (lead[i], part[i]), []
+                        if len(out) > 10_000:
+                            yield flush()
+                    if not held or held[-1][0] != rid[i]:  # rows that repeat give a text twice
+                        held.append((rid[i], comp[i], role[i], split[i], u))
+        close()
+        yield flush()
 
-        for batch in batches:
-            for *k, rid, n, comp, sig in zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j", "rid", "n", "comp", "sig"))):
-                if k != key:
-                    if held:
-                        yield close()
-                    key, held = k, []
-                held.append((rid, n, comp, sig))
-        if held:
-            yield close()
-
-    compared = [x.select("token", "i", "j", "rid", "n", "comp", "sig").mapInArrow(run, "token long, a long, b long, single boolean") for x in (whole, sent)]
-    return compared[0].unionAll(compared[1])
-
-
-def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The same for (a, b) and (b, a)."""
-    return B.mix(_priority(a) + _priority(b))
-
-
-def _forests(i: np.ndarray, j: np.ndarray, weight: np.ndarray, comp: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of up to `forests` spanning forests over components, lightest pairs first."""
-    order = np.argsort(weight, kind="stable")
-    left, taken = order.tolist(), []
-    for _ in range(forests):
-        root: dict = {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
-
-        later = []
-        for k in left:
-            x, y = find(comp[i[k]]), find(comp[j[k]])
-            if x == y:
-                later.append(k)
-            else:
-                root[x] = y
-                taken.append(k)
-        left = later
-        if not left:
-            break
-    return i[taken], j[taken]
+    return rows.mapInArrow(run, "kind long, u long, v long, lead long, o long, total long")
+
+
+def _first_blocks(groups: DataFrame) -> DataFrame:
+    """Groups dealt into blocks, each with the group's lead. Groups of two whose sizes forbid a
+    link are left out."""
+    stats = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    stats = stats.filter(f"rows > 2 or rows = 2 and 100 * lo >= {PERCENT} * hi").select("lead", _weighed("rows", "shingles").alias("blocks"))
+    placed = groups.join(stats, "lead")
+    leads = F.col("priority") == F.col("lead")
+    part = F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_dealt("rid", F.col("blocks"), 1)))
+    role = F.when(leads, 2).otherwise(1)
+    placed = placed.withColumn("part", F.explode(part))
+    return placed.select("lead", F.col("part").cast("string").alias("part"), "rid", "priority", F.col("rid").alias("comp"), role.alias("role"), (F.col("blocks") > 1).alias("split"))
+
+
+def _later_blocks(state: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of groups that were dealt into several blocks, the blocks that are still to be searched.
+
+    Sets linked to the lead are one component. The others are compared with each other, and with
+    those if they are not in that component and near enough: the distance 1 - Jaccard obeys the
+    triangle inequality, so a set that is linked to one at most 1 - p from the lead is at most
+    2 - 2p from the lead."""
+    state = state.select("lead", F.col("u").alias("rid"), "o", "total").distinct().join(sets.select("rid", "n", "priority"), "rid")
+    state = state.join(labels, state["rid"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "rid")).drop("node", "component")
+    top = state.filter("priority = lead").groupBy("lead").agg(F.min("comp").alias("top"))
+    linked = F.expr(f"100 * o >= {PERCENT} * total")
+    near = F.expr(f"100 * o >= {max(0, 2 * PERCENT - 100)} * total") & (F.col("comp") != F.col("top"))
+    state = state.join(top, "lead").select("lead", "rid", "n", "priority", "comp", linked.alias("linked"), (near & ~linked).alias("near"))
+    one = lambda test, x: F.sum(F.when(test, x).otherwise(0))
+    counts = [one(t, x).alias(f"{name}_{c}") for name, t in (("far", ~F.col("linked")), ("near", F.col("near")), ("linked", F.col("linked"))) for c, x in (("rows", F.lit(1)), ("shingles", F.col("n")))]
+    stats = state.groupBy("lead").agg(*counts).filter("far_rows > 0")
+    stats = table(stats.select("lead", *(_weighed(f"{x}_rows", f"{x}_shingles").alias(x) for x in ("far", "near", "linked"))).withColumnRenamed("near", "n_near").withColumnRenamed("linked", "n_linked"), "jaccard-open")
+    state = state.join(stats, "lead")
+    each = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), make)).otherwise(F.array().cast("array<struct<part:string,role:int>>"))
+    place = lambda kind, i, j, role: F.struct(F.concat_ws(":", F.lit(kind), i, j).alias("part"), F.lit(role).cast("int").alias("role") if isinstance(role, int) else role.cast("int").alias("role"))
+    own = _dealt("rid", F.greatest("far", F.lit(1)), 2)
+    among = each(F.col("far"), lambda k: place("far", F.least(own, k), F.greatest(own, k), (own <= k)))
+    across = each(F.col("n_linked"), lambda k: place("near", _dealt("rid", F.greatest("n_near", F.lit(1)), 3), k, 1))
+    under = each(F.col("n_near"), lambda k: place("near", k, _dealt("rid", F.greatest("n_linked", F.lit(1)), 4), 0))
+    places = F.when(F.col("linked"), under).when(F.col("near"), F.concat(among, across)).otherwise(among)
+    return state.select("lead", F.explode(places).alias("place"), "rid", "priority", "comp").select("lead", "place.part", "rid", "priority", "comp", "place.role", F.lit(False).alias("split"))
 
 
 def jaccard_components(docs: DataFrame, batch_size: str = "4m") -> DataFrame:
     """Link documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more.
 
     Words are lower-cased (A-Z) runs without [\\x20\\x09-\\x0D]; fewer than five words are one
-    shingle. Prefix tokens (the short lists) go into a bucketed inverted index, whose lists
-    give query documents and candidates; length and signature bounds follow; a T-occurrence
-    search with DivideSkip over the candidates' whole sets decides. Lists that were searched
-    around one leader and whose members are not all linked yet are compared again in blocks,
-    closest pairs first, until no pair that could link two components is left untried.
+    shingle. Equal sets are one. Prefix tokens put each set into a few groups (index_groups);
+    a group is cut into blocks of bounded size, and the inverted lists of a block are searched
+    for each set that may still join two components, by T-occurrence search with DivideSkip.
+    A block returns links that join its components, never all its pairs. Groups of one block
+    are done then; of others, sets that are not linked to the lead are searched against the
+    other blocks too. One pass over the links gives the components.
 
     Returns a row for each row: doc_id, row_key, n_shingles, component_id (smallest doc_id
     reachable) and kept (one row of each component: the one with that doc_id, read first).
     Texts without words are linked with nothing; a null doc_id is never a component_id unless
-    all are null; repeated rows are copies; other columns are ignored."""
+    all are null; repeated rows are copies; very long texts take a block of their own; an empty
+    table gives an empty one; other columns are ignored, whatever their names."""
     with batches_of(docs.sparkSession, batch_size):
-        return _components(docs)
+        return _components(docs.select("doc_id", "text"))
 
 
 def _components(docs: DataFrame) -> DataFrame:
     prof = table(profiles(docs), "jaccard-profiles")
-    index = prof.filter("sig is not null")
-    n_postings = index.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    lists = table(postings_lists(index, n_postings), "jaccard-lists")
-    copies = prof.filter("rep <> rid").select(F.col("rid").alias("u"), F.col("rep").alias("v"))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        passed = table(_signature_filter(pairs, index), "jaccard-passed")
-        found = _verify(passed.filter("not same").select("a", "b"), docs, prof)
-        return table(found.unionAll(passed.filter("same").select("a", "b")), "jaccard-links")
-
-    edges = copies.unionAll(links(lists.filter("kind = 0").select("a", "b").distinct()))
+    digest = ["n", "h1", "h2"]
+    sets = table(prof.filter("prefix is not null").select("rid", "row_key", "doc_id", *digest, "priority", "prefix").dropDuplicates(digest), "jaccard-sets")
+    found = table(_search(_first_blocks(table(index_groups(sets), "jaccard-groups")), sets, docs), "jaccard-found")
+    edges = found.filter("kind = 0").select("u", "v")
     labels = table(components(edges), "jaccard-labels")
-    members = lists.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("rid"))
-    tried: np.ndarray | None = np.zeros(0, B.U)
-    for turn in range(64):
-        mixed = table(_mixed_lists(members, labels).join(index.select("rid", "n", "sig"), "rid"), "jaccard-mixed")
-        said = table(_unsettled(mixed, tried, 8 ** min(turn, 8)), "jaccard-more")
-        pairs = table(said.filter("not single").select("a", "b").distinct(), "jaccard-more")
-        n_pairs = pairs.count()
-        if not n_pairs:
-            break
-        new = table(_verify(pairs, docs, prof), "jaccard-links")
-        last = tried is None  # all pairs were compared
-        if tried is not None:
-            missed = pairs.join(new, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")), "left_anti")
-            if len(tried) + n_pairs <= MAX_TRIED:
-                rows = missed.collect()  # at most MAX_TRIED pairs
-                tried = np.union1d(tried, _pair_hash(np.array([r.a for r in rows], np.int64), np.array([r.b for r in rows], np.int64)))
-            else:
-                tried = None
-        if not new.isEmpty():
-            labels = table(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(new)), "jaccard-labels")
-        if last:
-            break
-        # A member without an untried pair in a list has none later, as components only merge.
-        members = said.filter("single").select("token", F.col("a").alias("rid")).distinct()
-    named = prof.join(labels, prof["rid"] == labels["node"], "left").select("doc_id", "row_key", "n", "rid", F.coalesce("component", "rid").alias("component"))
+    state = found.filter("kind = 1").select("lead", "u", "o", "total")
+    if not state.filter(f"100 * o < {PERCENT} * total").isEmpty():
+        later = table(_search(_later_blocks(state, labels, sets), sets, docs), "jaccard-found").select("u", "v")
+        if not later.isEmpty():
+            labels = table(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(later)), "jaccard-labels")
+    node = sets.select(*digest, F.col("rid").alias("node")).join(labels, "node", "left").select(*digest, F.coalesce("component", "node").alias("component"))
+    named = prof.filter("n > 0").select("doc_id", "row_key", "rid", *digest).join(node, digest).select("doc_id", "row_key", "n", "rid", "component")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("row"))
     top = named.groupBy("component").agg(F.min(first).alias("top"))
-    return named.join(top, "component").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("top.id").alias("component_id"), (F.col("rid") == F.col("top.row")).alias("kept"))
+    linked = named.join(top, "component").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("top.id").alias("component_id"), (F.col("rid") == F.col("top.row")).alias("kept"))
+    alone = prof.filter("n = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionAll(alone)
