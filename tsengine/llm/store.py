@@ -40,21 +40,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-#: Rows (some 60 bytes each) and keys (8 bytes each) up to which with_texts broadcasts.
-BROADCAST_ROWS, BROADCAST_KEYS = 100_000, 1_000_000
-
-
 def with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """`wanted`, a written table with the columns key (row_key) and id (doc_id), with text.
-
-    Few rows are broadcast; up to BROADCAST_KEYS the keys are, so that only wanted texts are
-    shuffled; beyond that it is an ordinary shuffle join."""
-    n = wanted.count()
+    """`wanted`, a written table with the columns key (row_key) and id (doc_id), with text. Rows
+    that repeat give a text twice. An ordinary equi-join: a side that Spark's own threshold
+    finds small is broadcast, hot keys are split by adaptive execution."""
     texts = docs.select(row_key().alias("key"), F.col("doc_id").alias("_doc"), "text")
-    if n <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    elif n <= BROADCAST_KEYS:
-        texts = texts.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi")
     return texts.join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("_doc"))).drop("_doc")
 
 

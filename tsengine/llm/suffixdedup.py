@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import BROADCAST_KEYS, row_key, table, with_texts
+from .store import row_key, table, with_texts
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -25,6 +25,7 @@ BUCKET = 200_000
 OFTEN = 8
 #: One anchor in this many is sampled for splitters; MAX_SAMPLE bounds what the driver sees.
 SAMPLED, MAX_SAMPLE = 256, 200_000
+BROADCAST_KEYS = 1_000_000
 
 
 def _anchors(data: np.ndarray, starts: np.ndarray):
