@@ -20,18 +20,19 @@ from .store import batches_of, row_key, table, with_texts
 WORDS = 5
 #: Jaccard similarity of at least PERCENT / 100.
 PERCENT = 80
-#: Shingles kept as frequent, most frequent first: 16 bytes each in a broadcast.
-MAX_FREQUENT = 100_000
+#: Shingles kept as frequent, most frequent first: 16 bytes each in a broadcast. Only the order
+#: of tokens depends on them, and with it the size of groups; no result does.
+MAX_FREQUENT = 1 << 18
 #: Hashes counted together, and the count from which a shingle is reported.
-COUNTED, REPORTED = 1 << 20, 4
+COUNTED, REPORTED = 1 << 22, 3
 #: Documents, and shingles, of one block of the inverted index.
 BLOCK, WEIGHT = 2048, 400_000
 #: Text that a task works on at once, in bytes.
 TEXT = 1 << 18
 #: Sets among which a map task finds copies.
 SEEN = 100_000
-#: Bits of a block's signatures: at least one for each shingle of the largest set, up to the second.
-SIG_BITS, MAX_SIG_BITS = 1024, 16384
+#: Bits of a signature.
+SIG_BITS = 2048
 #: DivideSkip's weight of a long list (Li, Lu and Lu, 2008).
 MU = 0.0085
 
@@ -54,6 +55,11 @@ def required(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def required_of_larger(n: int) -> int:
+    """Overlap that a partner of at least n shingles must reach."""
+    return -(-2 * PERCENT * n // (100 + PERCENT))
+
+
 def divide_skip(lists: list[list[int]], t: int) -> dict[int, int]:
     """Elements that occur in at least t of the sorted lists, with their number of lists.
 
@@ -96,15 +102,17 @@ def divide_skip(lists: list[list[int]], t: int) -> dict[int, int]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of parities for each set: how often each class of hashes, modulo a power of two,
-    occurs. Sets that differ in d shingles differ in at most d parities."""
-    longest = max((len(u) for u in sets), default=1)
-    bits = min(MAX_SIG_BITS, max(SIG_BITS, 1 << int(longest).bit_length()))
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for k, u in enumerate(sets):
-        out[k] = np.packbits((np.bincount((u & B.U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.uint64)
-    return out
+def signature(u: np.ndarray) -> np.ndarray:
+    """How often each class of hashes, modulo SIG_BITS, occurs: the parities. Sets that differ in
+    d shingles differ in at most d parities."""
+    return np.packbits((np.bincount((u & B.U(SIG_BITS - 1)).astype(np.int64), minlength=SIG_BITS) & 1).astype(bool)).view(np.uint64)
+
+
+def may_link(n: np.ndarray, sig: np.ndarray, q: int, at: np.ndarray) -> np.ndarray:
+    """Which of the sets `at` have a size and a signature that allow a link with set q."""
+    at = at[100 * np.minimum(n[at], n[q]) >= PERCENT * np.maximum(n[at], n[q])]
+    apart = np.bitwise_count(sig[at] ^ sig[q]).sum(1, dtype=np.int64)
+    return at[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[at] + n[q])]
 
 
 class BlockIndex:
@@ -120,14 +128,11 @@ class BlockIndex:
         shared = size > 1  # a list of one holds nothing but the query itself
         self.token, self.begin, self.end = token[begin[shared]], begin[shared], (begin + size)[shared]
         self.member = member.tolist()
-        self.sig = signatures(sets)
+        self.sig = np.stack([signature(u) for u in sets])
 
     def open_partners(self, q: int, component: np.ndarray) -> bool:
         """Whether a set of another component is left whose size and signature allow a link."""
-        n = self.n
-        at = np.flatnonzero((component != component[q]) & (100 * np.minimum(n, n[q]) >= PERCENT * np.maximum(n, n[q])))
-        apart = np.bitwise_count(self.sig[at] ^ self.sig[q]).sum(1)
-        return bool(((100 + PERCENT) * apart <= (100 - PERCENT) * (n[at] + n[q])).any())
+        return len(may_link(self.n, self.sig, q, np.flatnonzero(component != component[q]))) > 0
 
     def search(self, q: int) -> list[int]:
         """The sets similar to set q: those that reach the overlap any partner must reach, by
@@ -188,16 +193,16 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     held, n = [], 0
         yield flush()
 
-    top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).collect()
-    token = np.array([r.token for r in top], np.int64).view(B.U)
-    order = np.argsort(token)
-    return token[order], np.array([r.n for r in top], np.int64)[order]
+    top = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()
+    token, n = (top.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(token.view(B.U))
+    return token.view(B.U)[order], n[order]
 
 
 def profiles(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: size of its set, two hashes of the set, the first of the
-    task's last SEEN sets that is the same (rep), and for that row the prefix tokens and a
-    priority: the share of its tokens that are frequent, then a hash.
+    task's last SEEN sets that is the same (rep), and for that row the prefix tokens, a
+    signature and a priority: the share of its tokens that are frequent, then a hash.
 
     Tokens are ordered by frequency, then hash. Two similar sets share one of their first
     n - required(n) + 1 tokens."""
@@ -208,7 +213,7 @@ def profiles(docs: DataFrame) -> DataFrame:
         members, seen = B.Members(token), {}
         for batch in batches:
             rid = batch.column("rid").to_pylist()
-            ns, h1, h2, reps, priority, prefixes = [], [], [], [], [], []
+            ns, h1, h2, reps, priority, prefixes, sigs = [], [], [], [], [], [], []
             if len(seen) > SEEN:
                 seen.clear()
             for lo, _, data, starts in B.text_chunks(batch.column("text"), TEXT):
@@ -223,33 +228,40 @@ def profiles(docs: DataFrame) -> DataFrame:
                     if n == 0 or rep != rid[lo + i]:
                         prefixes.append(None)
                         priority.append(None)
+                        sigs.append(None)
                         continue
                     rank = np.zeros(n, np.int64)
                     hit = members.where(u)
                     rank[hit] = count[np.searchsorted(token, u[hit])]
                     prefixes.append(u[np.lexsort((u, rank))][: n - required(n) + 1].view(np.int64))
                     priority.append((len(hit) * 0x7FFF // n) << 48 | key[1] & 0xFFFFFFFFFFFF)
+                    sigs.append(signature(u).tobytes())
             same = [batch.column(c) for c in ("rid", "row_key", "doc_id")]
             yield pa.record_batch(
-                [*same, *(pa.array(x, pa.int64()) for x in (ns, h1, h2, reps, priority)), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["rid", "row_key", "doc_id", "n", "h1", "h2", "rep", "priority", "prefix"],
+                [*same, *(pa.array(x, pa.int64()) for x in (ns, h1, h2, reps, priority)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                ["rid", "row_key", "doc_id", "n", "h1", "h2", "rep", "priority", "prefix", "sig"],
             )
 
     long = [T.StructField(c, T.LongType()) for c in ("rid", "row_key", "n", "h1", "h2", "rep", "priority")]
-    schema = T.StructType([*long[:2], docs.schema["doc_id"], *long[2:], T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*long[:2], docs.schema["doc_id"], *long[2:], T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
     return docs.select(F.monotonically_increasing_id().alias("rid"), row_key().alias("row_key"), "doc_id", "text").mapInArrow(run, schema)
 
 
 def index_groups(sets: DataFrame) -> DataFrame:
     """(lead, rid, n, priority): groups such that two similar sets are together in one at least.
 
-    Of the sets in a prefix token's list, the one of the highest priority is its lead. A set
-    joins the groups of the leads of all its lists, so sets that share a token share a group.
-    A set whose tokens are all frequent leads most lists of its copies, which keeps the groups
-    of a set few. No list is ever gathered: leads are an aggregate, met again by a join."""
-    postings = sets.select("rid", "n", "priority", F.explode("prefix").alias("token"))
-    leads = postings.groupBy("token").agg(F.max("priority").alias("lead"), F.count(F.lit(1)).alias("df")).filter("df > 1").drop("df")
-    return postings.join(leads, "token").select("lead", "rid", "n", "priority").distinct()
+    The first token that two similar sets share lies among the first n - required(n) + 1 tokens
+    of both, and of the smaller one's among the first n - required_of_larger(n) + 1: its core.
+    So a token's list matters to sets that have it in their core, and to others that are no
+    smaller than one of those. Of these sets the one of the highest priority is the list's lead.
+    A set joins the groups of the leads of all its lists, so sets that share a token share a
+    group. A set whose tokens are all frequent leads most lists of its copies, which keeps the
+    groups of a set few. No list is ever gathered: leads are an aggregate, met again by a join."""
+    core = f"pos <= n - int((2 * {PERCENT} * n + {99 + PERCENT}) div {100 + PERCENT})"
+    postings = sets.select("rid", "n", "priority", F.posexplode("prefix").alias("pos", "token")).selectExpr("rid", "n", "priority", "token", f"{core} as core")
+    least = F.min(F.when(F.col("core"), F.col("n"))).alias("least")
+    leads = postings.groupBy("token").agg(F.max("priority").alias("lead"), least, F.count(F.lit(1)).alias("df")).filter("df > 1 and least is not null").drop("df")
+    return postings.join(leads, "token").filter("core or n >= least or priority = lead").select("lead", "rid", "n", "priority").distinct()
 
 
 def _weighed(n_rows: str, n_shingles: str):
@@ -261,15 +273,52 @@ def _dealt(rid: str, n, seed: int):
     return F.pmod(F.xxhash64(F.lit(seed), rid), n).cast("int")
 
 
-def _search(placed: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Search the blocks of `placed`: (lead, part, rid, priority, comp, role). A block is the rows
-    of one lead and part. Role 1 is a query; role 2 too, and the block's lead comes with it.
+def _open_rows(rows: DataFrame) -> DataFrame:
+    """Of groups of one block (lead, rid, n, sig, ...), the rows that have a partner whose size
+    and signature allow a link; the texts of the others need not be met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            group = pa.Table.from_batches(held).combine_chunks()
+            if len(group) > 1:
+                n, sig = group.column("n").to_numpy(), np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(len(group), -1)
+                keep = np.zeros(len(group), bool)
+                for q in range(len(group) - 1):
+                    at = may_link(n, sig, q, np.arange(q + 1, len(group)))
+                    keep[at] = True
+                    keep[q] |= len(at) > 0
+                yield from group.filter(pa.array(keep)).drop_columns(["n", "sig"]).to_batches()
+
+        for batch in batches:
+            lead = batch.column("lead").to_numpy()
+            for a, b in _groups(lead):
+                if lead[a] != key and held:
+                    yield from close()
+                    held = []
+                key = lead[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from close()
+
+    kept = T.StructType([f for f in rows.schema if f.name not in ("n", "sig")])
+    return rows.repartition("lead").sortWithinPartitions("lead", "rid").mapInArrow(run, kept)
+
+
+def _groups(x: np.ndarray) -> list[tuple[int, int]]:
+    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
-    Returns (kind, u, v, lead, o, total). Kind 0: u and v are similar. Kind 1, for blocks with a
-    lead that are marked as a part of several: set u, the size of its intersection and of
-    its union with the lead's."""
-    ids = sets.select("rid", F.col("row_key").alias("key"), F.col("doc_id").alias("id"))
-    wanted = table(placed.join(ids, "rid"), "jaccard-wanted")
+
+def _search(placed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Search the blocks of `placed`: (lead, part, rid, priority, comp, role, split, key, id). A
+    block is the rows of one lead and part. Role 1 is a query; role 2 too, and leads the block.
+
+    Returns (kind, u, v, lead, o, total). Kind 0: u and v are similar. Kind 1, for blocks that
+    are parts of a split group: set u, the size of its intersection and of its union with the
+    lead's."""
+    wanted = table(placed, "jaccard-wanted")
     rows = with_texts(wanted, docs).select("lead", "part", "role", "priority", "rid", "comp", "split", "text")
     rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", F.desc("priority"), "rid")
     names = ["kind", "u", "v", "lead", "o", "total"]
@@ -312,17 +361,22 @@ def _search(placed: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "kind long, u long, v long, lead long, o long, total long")
 
 
-def _first_blocks(groups: DataFrame) -> DataFrame:
+_IDS = ("rid", "row_key as key", "doc_id as id")
+
+
+def _first_blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Groups dealt into blocks, each with the group's lead. Groups of two whose sizes forbid a
-    link are left out."""
+    link are left out, and sets without a possible partner in a group of one block."""
     stats = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     stats = stats.filter(f"rows > 2 or rows = 2 and 100 * lo >= {PERCENT} * hi").select("lead", _weighed("rows", "shingles").alias("blocks"))
     placed = groups.join(stats, "lead")
     leads = F.col("priority") == F.col("lead")
     part = F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_dealt("rid", F.col("blocks"), 1)))
     role = F.when(leads, 2).otherwise(1)
-    placed = placed.withColumn("part", F.explode(part))
-    return placed.select("lead", F.col("part").cast("string").alias("part"), "rid", "priority", F.col("rid").alias("comp"), role.alias("role"), (F.col("blocks") > 1).alias("split"))
+    placed = placed.withColumn("part", F.explode(part)).join(sets.selectExpr(*_IDS, "sig"), "rid")
+    columns = [F.col("part").cast("string").alias("part"), F.col("rid").alias("comp"), role.alias("role"), (F.col("blocks") > 1).alias("split")]
+    placed = placed.select("lead", "rid", "priority", *columns, "key", "id", "n", "sig")
+    return _open_rows(placed.filter("not split")).unionByName(placed.filter("split").drop("n", "sig"))
 
 
 def _later_blocks(state: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -350,7 +404,7 @@ def _later_blocks(state: DataFrame, labels: DataFrame, sets: DataFrame) -> DataF
     across = each(F.col("n_linked"), lambda k: place("near", _dealt("rid", F.greatest("n_near", F.lit(1)), 3), k, 1))
     under = each(F.col("n_near"), lambda k: place("near", k, _dealt("rid", F.greatest("n_linked", F.lit(1)), 4), 0))
     places = F.when(F.col("linked"), under).when(F.col("near"), F.concat(among, across)).otherwise(among)
-    return state.select("lead", F.explode(places).alias("place"), "rid", "priority", "comp").select("lead", "place.part", "rid", "priority", "comp", "place.role", F.lit(False).alias("split"))
+    return state.select("lead", F.explode(places).alias("place"), "rid", "priority", "comp").select("lead", "place.part", "rid", "priority", "comp", "place.role", F.lit(False).alias("split")).join(sets.selectExpr(*_IDS), "rid")
 
 
 def jaccard_components(docs: DataFrame, batch_size: str = "4m") -> DataFrame:
@@ -376,13 +430,13 @@ def jaccard_components(docs: DataFrame, batch_size: str = "4m") -> DataFrame:
 def _components(docs: DataFrame) -> DataFrame:
     prof = table(profiles(docs), "jaccard-profiles")
     digest = ["n", "h1", "h2"]
-    sets = table(prof.filter("prefix is not null").select("rid", "row_key", "doc_id", *digest, "priority", "prefix").dropDuplicates(digest), "jaccard-sets")
-    found = table(_search(_first_blocks(table(index_groups(sets), "jaccard-groups")), sets, docs), "jaccard-found")
+    sets = table(prof.filter("prefix is not null").select("rid", "row_key", "doc_id", *digest, "priority", "prefix", "sig").dropDuplicates(digest), "jaccard-sets")
+    found = table(_search(_first_blocks(table(index_groups(sets), "jaccard-groups"), sets), docs), "jaccard-found")
     edges = found.filter("kind = 0").select("u", "v")
     labels = table(components(edges), "jaccard-labels")
     state = found.filter("kind = 1").select("lead", "u", "o", "total")
     if not state.filter(f"100 * o < {PERCENT} * total").isEmpty():
-        later = table(_search(_later_blocks(state, labels, sets), sets, docs), "jaccard-found").select("u", "v")
+        later = table(_search(_later_blocks(state, labels, sets), docs), "jaccard-found").select("u", "v")
         if not later.isEmpty():
             labels = table(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(later)), "jaccard-labels")
     node = sets.select(*digest, F.col("rid").alias("node")).join(labels, "node", "left").select(*digest, F.coalesce("component", "node").alias("component"))
