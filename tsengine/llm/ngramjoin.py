@@ -261,6 +261,7 @@ def index_groups(sets: DataFrame) -> DataFrame:
     postings = sets.select("rid", "n", "priority", F.posexplode("prefix").alias("pos", "token")).selectExpr("rid", "n", "priority", "token", f"{core} as core")
     least = F.min(F.when(F.col("core"), F.col("n"))).alias("least")
     leads = postings.groupBy("token").agg(F.max("priority").alias("lead"), least, F.count(F.lit(1)).alias("df")).filter("df > 1 and least is not null").drop("df")
+    leads = table(leads, "jaccard-leads")  # a side of its own, so that a hot token's postings are split
     return postings.join(leads, "token").filter("core or n >= least or priority = lead").select("lead", "rid", "n", "priority").distinct()
 
 
@@ -369,7 +370,7 @@ def _first_blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
     link are left out, and sets without a possible partner in a group of one block."""
     stats = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     stats = stats.filter(f"rows > 2 or rows = 2 and 100 * lo >= {PERCENT} * hi").select("lead", _weighed("rows", "shingles").alias("blocks"))
-    placed = groups.join(stats, "lead")
+    placed = groups.join(table(stats, "jaccard-sizes"), "lead")
     leads = F.col("priority") == F.col("lead")
     part = F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_dealt("rid", F.col("blocks"), 1)))
     role = F.when(leads, 2).otherwise(1)
@@ -442,7 +443,8 @@ def _components(docs: DataFrame) -> DataFrame:
     node = sets.select(*digest, F.col("rid").alias("node")).join(labels, "node", "left").select(*digest, F.coalesce("component", "node").alias("component"))
     named = prof.filter("n > 0").select("doc_id", "row_key", "rid", *digest).join(node, digest).select("doc_id", "row_key", "n", "rid", "component")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("row"))
-    top = named.groupBy("component").agg(F.min(first).alias("top"))
+    named = table(named, "jaccard-named")
+    top = table(named.groupBy("component").agg(F.min(first).alias("top")), "jaccard-top")
     linked = named.join(top, "component").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("top.id").alias("component_id"), (F.col("rid") == F.col("top.row")).alias("kept"))
     alone = prof.filter("n = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionAll(alone)

@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,45 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+class KeyFilter:
+    """A bit for each class of the 64-bit keys that may be looked for; others are surely absent.
+
+    It has RATE bits for each key, within BITS (32 MB at most), so that it can always be
+    broadcast; with more keys it lets more pass, and the exact join behind it decides."""
+
+    RATE, BITS = 128, (1 << 20, 1 << 28)
+
+    def __init__(self, keys: DataFrame, key: str):
+        n = keys.count()
+        self.log = int(np.ceil(np.log2(min(max(self.RATE * n, self.BITS[0]), self.BITS[1]))))
+        bit = F.expr(f"shiftrightunsigned({key}, {64 - self.log})")
+        words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {64 - self.log}) & 63 as int))")).alias("bits")).toArrow()
+        self.bits = np.zeros(1 << self.log - 6, np.uint64)
+        self.bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def where(self, x: np.ndarray) -> np.ndarray:
+        """Positions in x (unsigned) whose value may be among the keys."""
+        at = x >> np.uint64(64 - self.log)
+        return np.flatnonzero(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+
+
+def maybe(docs: DataFrame, keys: KeyFilter, key: str) -> DataFrame:
+    """The rows of `docs` whose `key` may be one of `keys`."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pa.array(shared.value.where(batch.column(key).to_numpy().view(np.uint64))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """`wanted`, a written table with the columns key (row_key) and id (doc_id), with text. Rows
-    that repeat give a text twice. An ordinary equi-join: a side that Spark's own threshold
-    finds small is broadcast, hot keys are split by adaptive execution."""
+    that repeat give a text twice. Only texts that may be wanted, by a filter of bounded size,
+    are shuffled; an ordinary equi-join decides, and adaptive execution splits its hot keys."""
     texts = docs.select(row_key().alias("key"), F.col("doc_id").alias("_doc"), "text")
+    texts = maybe(texts, KeyFilter(wanted, "key"), "key")
     return texts.join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("_doc"))).drop("_doc")
 
 
