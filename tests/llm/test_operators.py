@@ -150,25 +150,67 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_suffix_dedup(unique, empty):
-    all_ = {d: t.encode() for d, t in plain(unique).items()}
-    seen = Counter(b[i : i + 200] for b in all_.values() for i in range(len(b) - 199))
-    for r in suffixdedup.suffix_dedup(unique).collect():
-        b = all_[r.doc_id]
-        gone = np.zeros(len(b), bool)
+def repeated_bytes(rows):
+    """doc_id: (n_bytes, n_removed, n_spans, sha256), straight from the definition."""
+    seen = Counter(b[i : i + 200] for _, b in rows for i in range(len(b) - 199))
+    out = {}
+    for d, b in rows:
+        gone = np.zeros(len(b) + 2, bool)
         for i in range(len(b) - 199):
             if seen[b[i : i + 200]] > 1:
-                gone[i : i + 200] = True
-        assert (r.n_bytes, r.n_removed) == (len(b), int(gone.sum()))
-        assert bytes(r.kept) == bytes(np.frombuffer(b, np.uint8)[~gone])
+                gone[i + 1 : i + 201] = True
+        spans = int((gone[1:] & ~gone[:-1]).sum())
+        out.setdefault(d, []).append((len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone[1:-1]].tobytes()).hexdigest()))
+    return {d: sorted(x) for d, x in out.items()}
+
+
+def suffix_texts():
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    passages = [prose(90) for _ in range(3)] + ["x" * 260, "ab" * 150]
+    rows = [None, "", "short", "y" * 199, "z" * 200, "z" * 201, prose(20)]
+    for _ in range(60):  # passages cut anywhere, in contexts of their own
+        p = rng.choice(passages)
+        a, b = sorted(rng.sample(range(len(p)), 2))
+        rows.append(prose(rng.randrange(40)) + rng.choice([p, p[a:], p[a:b]]) + prose(rng.randrange(40)) + rng.choice(passages)[:230])
+    base = prose(300)
+    for _ in range(20):  # near and exact copies
+        at = rng.randrange(len(base))
+        rows += [base[:at] + "#" + base[at + 1 :], base]
+    rows.append(prose(6000) + base + prose(10) + base)
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [suffixdedup.BUCKET, 300])  # one range, and many with splitters
+def test_suffix_dedup(spark, unique, docs, empty, bucket, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "BUCKET", bucket)
+    rows = list(enumerate(suffix_texts())) + [(9, "again " * 50), (9, "again " * 50), (None, "q" * 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("k1", "starts", "n_bytes", "kept", "lo")}).repartition(5)
+    for table in (df, unique, docs):
+        want = repeated_bytes([(r.doc_id, (r.text or "").encode()) for r in table.select("doc_id", "text").collect()])
+        got = {}
+        for r in suffixdedup.suffix_dedup(table).collect():
+            got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+            assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
+        assert {d: sorted(x) for d, x in got.items()} == want
     assert suffixdedup.suffix_dedup(empty).count() == 0
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 50, 3000):
+        keys = rng.integers(0, 3, (n, 6)).astype(np.uint64)
+        order, differs = suffixdedup.multikey_quicksort(n, 6, lambda k, d: keys[k, d])
+        rows = [tuple(x) for x in keys[order].tolist()]
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(n))
+        assert differs.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(n)]
+
+
 def test_contamination(spark, empty):
     item = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, "x " + item.upper() + " y"), (2, "a " + " ".join(item.split()[3:16])), (3, " ".join(item.split()[:12])), (4, None), (5, "tiny item here")], "doc_id long, text string")
     items = spark.createDataFrame([(10, item), (9, "tiny ITEM"), (8, None), (7, "--")], "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items, 8).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items).collect()}
     assert got == {1: (22, 20, ["10"]), 2: (14, 13, ["10"]), 3: (12, 0, []), 4: (0, 0, []), 5: (3, 2, ["9"])}
     assert decontaminate.contamination(empty, items).count() == 0
     assert decontaminate.contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0

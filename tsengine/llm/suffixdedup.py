@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import row_key, table, with_texts
+from .store import KeyFilter, maybe, table
 
 #: Bytes of a repeated string.
 LENGTH = 200
 #: Bytes of an anchor's gram; each string of LENGTH bytes holds WINDOW grams.
 GRAM = 64
 WINDOW = LENGTH - GRAM + 1
-#: Entries in a bucket of anchors or suffixes.
+#: Bytes of a machine word, and words of a sort key: the anchor's first, its place, the string.
+WORD = 8
+KEY_WORDS = 2 + LENGTH // WORD
+#: Entries in a bucket of anchors, and suffixes in one of the suffix array.
 BUCKET = 200_000
 #: Of an anchor that a map task holds more often, its entries are dealt by content instead.
 OFTEN = 8
-#: One anchor in this many is sampled for splitters; MAX_SAMPLE bounds what the driver sees.
-SAMPLED, MAX_SAMPLE = 256, 200_000
-BROADCAST_KEYS = 1_000_000
+#: Splitters at most (209 bytes each), and sampled suffixes for each of them. With more buckets,
+#: a range is dealt on by a hash of the string.
+MAX_SPLITTERS, OVERSAMPLED = 4096, 16
 
 
 def _anchors(data: np.ndarray, starts: np.ndarray):
@@ -60,12 +64,10 @@ def _anchors(data: np.ndarray, starts: np.ndarray):
     return i[first], i[last], a[first], row[first], spans
 
 
-def _lead(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The four bytes at each position as one number, in byte order."""
-    out = np.zeros(len(at), np.uint32)
-    for j in range(4):
-        out = out << np.uint32(8) | data[at + j]
-    return out
+def _words_of(data: np.ndarray) -> np.ndarray:
+    """At each position, the WORD bytes from there on as one number, in byte order. The last
+    ones are not to be used."""
+    return np.ndarray((max(0, len(data) - WORD + 1),), ">u8", np.ascontiguousarray(data), 0, (1,))
 
 
 def _blob(x: np.ndarray | None) -> bytes | None:
@@ -79,8 +81,8 @@ def _groups(x: np.ndarray) -> list[tuple[int, int]]:
 
 def _packed(cols: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket; every column as one block of bytes, in the order of row and
-    place (columns 2 and 3), which shuffles well compressed."""
-    order = np.lexsort((cols[3], cols[2], bucket))
+    place (the first and third column), which shuffles well compressed."""
+    order = np.lexsort((cols[2], cols[0], bucket))
     bucket, cols = bucket[order], [c[order] for c in cols]
     cut = _groups(bucket)
     return pa.record_batch([pa.array([int(bucket[a]) for a, _ in cut], pa.int32())] + [pa.array([_blob(c[a:b]) for a, b in cut], pa.binary()) for c in cols], ["bucket"] + [f"c{i}" for i in range(len(cols))])
@@ -112,66 +114,61 @@ def _runs(sorted_keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_runs(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """Runs of starts whose anchor gram occurs more than once: (rid, lo, hi, state), in bytes
-    of the row. State 1: the whole stretch occurs elsewhere with the same anchor, so that all
-    its starts repeat. State 0: open. State 2: as 1, and one of its kind is compared with
-    the open ones. Bucket -1 rows carry sampled leading bytes."""
+    """Runs of starts whose anchor gram occurs more than once: (k1, k2, lo, hi, anchor, state), in
+    bytes of the row that has this key. State 1: the whole stretch, by its length and a digest of
+    128 bits, occurs elsewhere with the same anchor, so that all its starts repeat. State 0:
+    open. State 2: as 1, and one of its kind is compared with the open ones.
+
+    Grams are told apart by 64 bits only: a collision opens a run that need not be open, and the
+    suffix array decides about it."""
+    kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, B.U, B.U, B.U, np.uint8]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            gram, whole, rid, lo, hi, lead = (np.concatenate([h[i] for h in held]) for i in range(6))
+        def flush() -> pa.RecordBatch:
+            k1, k2, lo, hi, a, gram, w1, w2 = (np.concatenate([h[i] for h in held]) for i in range(8))
             held.clear()
-            picked = gram & B.U(SAMPLED - 1) == 0
-            if picked.any():
-                yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([_blob(lead[picked].astype(B.U))], pa.binary())] + [pa.array([b""], pa.binary())] * 5, ["bucket"] + [f"c{i}" for i in range(6)])
-            order = np.lexsort((whole, gram))
-            gram, whole, rid, lo, hi = (x[order] for x in (gram, whole, rid, lo, hi))
-            _, n_whole = _runs([gram, whole])
+            order = np.lexsort((w2, w1, gram))
+            k1, k2, lo, hi, a, gram, w1, w2 = (x[order] for x in (k1, k2, lo, hi, a, gram, w1, w2))
+            of, n_whole = _runs([gram, w1, w2])
             _, n_gram = _runs([gram])
-            first = np.ones(len(gram), bool)
-            first[1:] = (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])
             # Of equal stretches one stands for all; the others are settled here.
-            flag = (n_whole > 1).astype(np.uint8) | (n_gram > 1).astype(np.uint8) << 1
-            settled = ~first
-            key = np.where(n_gram > OFTEN, whole, gram)
+            settled = np.append(False, of[1:] == of[:-1])[: len(of)]
             lone = np.ones(len(gram), bool)
             lone[1:] = gram[1:] != gram[:-1]
-            key = np.where(lone, gram, key)  # one of an anchor always goes by its gram
-            flag |= settled.astype(np.uint8) << 2
-            yield _packed([gram, whole, rid, lo, hi, flag], _spread(np.where(settled, B.mix(rid.view(B.U)), key), n_buckets))
+            flag = (n_whole > 1).astype(np.uint8) | (n_gram > 1).astype(np.uint8) << 1 | settled.astype(np.uint8) << 2
+            key = np.where((n_gram > OFTEN) & ~lone, w1, gram)  # one of an anchor always goes by its gram
+            return _packed([k1, k2, lo, hi, a, gram, w1, w2, flag], _spread(np.where(settled, B.mix(k1.view(B.U)), key), n_buckets))
 
         for batch in batches:
-            rids = batch.column("rid").to_numpy()
+            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             for first_row, _, data, starts in B.text_chunks(batch.column("text")):
                 lo, hi, a, row, spans = _anchors(data, starts)
                 if not len(lo):
                     continue
-                gram = spans.of(a, a + GRAM)
-                whole = B.mix(spans.of(lo, hi + LENGTH) + (a - lo).astype(B.U) * B.U(0x9E3779B97F4A7C15))
-                held.append([gram, whole, rids[first_row + row], (lo - starts[row]).astype(np.int32), (hi - starts[row]).astype(np.int32), _lead(data, a)])
+                other = B.Spans(data, 1)
+                place = (a - lo).astype(B.U) * B.U(0x9E3779B97F4A7C15)
+                whole = [B.mix(s.of(lo, hi + LENGTH) + place) for s in (spans, other)]
+                at = starts[row]
+                held.append([k1[first_row + row], k2[first_row + row], *((x - at).astype(np.int32) for x in (lo, hi, a)), spans.of(a, a + GRAM), *whole])
                 size += len(lo)
                 if size > 2 * BUCKET:
-                    yield from flush()
+                    yield flush()
                     size = 0
         if held:
-            yield from flush()
+            yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rid", "lo", "hi", "state", "lead"]
-        for gram, whole, rid, lo, hi, flag in _buckets(batches, [B.U, B.U, np.int64, np.int32, np.int32, np.uint8]):
-            if len(gram) != len(whole):  # the sample
-                yield pa.record_batch([pa.nulls(len(gram), pa.int64()), pa.nulls(len(gram), pa.int32()), pa.nulls(len(gram), pa.int32()), pa.array(np.full(len(gram), -1, np.int8)), pa.array(gram.view(np.int64))], names)
-                continue
+        for k1, k2, lo, hi, a, gram, w1, w2, flag in _buckets(batches, kinds):
             done = flag & 4 > 0
             state = np.full(len(gram), -1, np.int8)
             state[done] = 1
             at = np.flatnonzero(~done)
-            order = at[np.lexsort((whole[at], gram[at]))]
-            g, w, f = gram[order], whole[order], flag[order]
-            of_w, n_w = _runs([g, w])
+            order = at[np.lexsort((w2[at], w1[at], gram[at]))]
+            g, f = gram[order], flag[order]
+            of_w, n_w = _runs([g, w1[order], w2[order]])
             of_g, n_g = _runs([g])
             if len(order):
                 repeats = (n_w > 1) | (np.bincount(of_w, f & 1)[of_w] > 0)
@@ -183,76 +180,264 @@ def anchor_runs(docs: DataFrame, n_buckets: int) -> DataFrame:
                 lonely = (np.bincount(of_g, ~repeats)[of_g] == 0) & (np.bincount(of_g, f & 2)[of_g] == 0)
                 state[order] = np.where(shared, np.where(repeats, np.where(first & ~lonely, 2, 1), 0), -1)
             keep = state >= 0
-            yield pa.record_batch([pa.array(x[keep]) for x in (rid, lo, hi, state)] + [pa.nulls(int(keep.sum()), pa.int64())], names)
+            yield pa.record_batch([pa.array(x[keep]) for x in (k1, k2, lo, hi, a, state)], ["k1", "k2", "lo", "hi", "anchor", "state"])
 
-    packed = docs.select("rid", "text").mapInArrow(find, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "rid long, lo int, hi int, state byte, lead long")
+    packed = docs.select("k1", "k2", "text").mapInArrow(find, "bucket int, " + ", ".join(f"c{i} binary" for i in range(9)))
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "k1 long, k2 long, lo int, hi int, anchor int, state byte")
 
 
 def _spread(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> B.U(40)) * B.U(n) >> B.U(24)).astype(np.int64)
 
 
-def repeated_starts(opened: DataFrame, splitters: np.ndarray, n_buckets: int) -> DataFrame:
-    """(rid, at): starts of open runs whose LENGTH bytes also start elsewhere.
+def stretches(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """(k1, k2, lo, place, state, bytes) for each run of `opened`: the bytes from its first start to
+    the end of its last string; its anchor lies `place` bytes behind the first start."""
+    runs = F.sort_array(F.collect_set(F.struct("lo", "hi", "anchor", "state"))).alias("runs")
+    named = table(opened.groupBy("k1", "k2").agg(runs), "suffix-open")
+    texts = maybe(docs, KeyFilter(named, "k1"), "k1").select("k1", "k2", "text")
 
-    `opened` holds rid, text and runs (lo, hi, state). Suffixes are dealt to ranges of their
-    leading four bytes between sampled splitters, and further by fingerprint within a range.
-    Each range is sorted by leading bytes, then by a 64-bit fingerprint of the whole string,
-    and neighbours are compared. Splitters are values, so equal suffixes never part; of suffixes
-    that one map task holds twice, one goes on for all."""
-    shared = opened.sparkSession.sparkContext.broadcast(splitters)
-    fan = max(1, -(-n_buckets // (len(splitters) + 1)))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k1", "k2", "lo", "place", "state", "bytes"]
+        for batch in batches:
+            runs, rows = batch.column("runs"), batch.select(["k1", "k2"])
+            for r, text in enumerate(batch.column("text")):
+                data, mine = text.as_py().encode(), runs[r].values
+                lo, hi, anchor, state = (mine.field(c).to_numpy() for c in ("lo", "hi", "anchor", "state"))
+                k1, k2 = (rows.column(c)[r].as_py() for c in ("k1", "k2"))
+                for i in range(0, len(lo), 10_000):
+                    p = slice(i, i + 10_000)
+                    n = len(lo[p])
+                    parts = [data[x : y + LENGTH] for x, y in zip(lo[p].tolist(), hi[p].tolist())]
+                    yield pa.record_batch([pa.array(np.full(n, k1)), pa.array(np.full(n, k2)), pa.array(lo[p]), pa.array((anchor - lo)[p]), pa.array(state[p]), pa.array(parts, pa.binary())], names)
+
+    return texts.join(named, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(cut, "k1 long, k2 long, lo int, place int, state byte, bytes binary")
+
+
+class Suffixes:
+    """Strings of LENGTH bytes in a buffer, with their sort keys: the first word of the string's
+    anchor, where in the string it lies, then the string. A string has one anchor, wherever it
+    stands, so equal strings have equal keys."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, place: np.ndarray):
+        self.data, self.at, self.place = data, at, place
+        self.words = _words_of(data)
+
+    def word(self, k: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        at = np.where(depth == 0, self.at[k] + self.place[k], self.at[k] + WORD * np.maximum(depth - 2, 0))
+        return np.where(depth == 1, self.place[k].astype(np.uint64), self.words[at].astype(np.uint64))
+
+    def key(self, k: int) -> bytes:
+        i, x = int(self.at[k]), int(self.place[k])
+        return self.data[i + x : i + x + WORD].tobytes() + bytes([x]) + self.data[i : i + LENGTH].tobytes()
+
+
+def multikey_quicksort(n: int, words: int, word: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n keys of `words` words, and which differ from the key before them.
+
+    Bentley and Sedgewick's multikey quicksort on words, all open segments side by side: a
+    segment, whose keys agree in the first `depth` words, is split into three by its middle
+    key's next word; the part that is equal to it goes on with the word after."""
+    order = np.arange(n)
+    differs = np.zeros(n, bool)
+    differs[:1] = True
+    begin, size, depth = np.zeros(1, np.int64), np.array([n], np.int64), np.zeros(1, np.int64)
+    while True:
+        live = (size > 1) & (depth < words)
+        begin, size, depth = begin[live], size[live], depth[live]
+        if not len(begin):
+            return order, differs
+        base = np.cumsum(size) - size
+        seg = np.repeat(np.arange(len(size)), size)
+        where = np.arange(len(seg)) - base[seg] + begin[seg]
+        mine = order[where]
+        w = word(mine, depth[seg])
+        pivot = w[base + size // 2][seg]
+        less, equal = w < pivot, w == pivot
+        n_less, n_equal = np.add.reduceat(less, base, dtype=np.int64), np.add.reduceat(equal, base, dtype=np.int64)
+        rank = lambda mask: (c := np.cumsum(mask) - mask) - c[base][seg]
+        to = np.where(less, rank(less), np.where(equal, n_less[seg] + rank(equal), (n_less + n_equal)[seg] + rank(~(less | equal))))
+        order[begin[seg] + to] = mine
+        parts = [(begin, n_less, depth), (begin + n_less, n_equal, depth + 1), (begin + n_less + n_equal, size - n_less - n_equal, depth)]
+        begin, size, depth = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        differs[begin[size > 0]] = True
+
+
+def _starts(n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces of n starts each: the piece of each start, and its number in it plus first."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+
+
+def _pieces(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and size of each run that begins where new is True."""
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def splitters(runs: DataFrame, n_starts: int, n_ranges: int) -> list[bytes]:
+    """Sampled keys that cut the suffixes of `runs` into about n_ranges ranges."""
+    if n_ranges < 2:
+        return []
+    share = min(1.0, OVERSAMPLED * n_ranges / max(1, n_starts / (WINDOW / 2)))
+    draw = F.pmod(F.xxhash64("k1", "k2", "lo"), F.lit(1 << 30)) / float(1 << 30)
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, place in zip(batch.column("bytes").to_pylist(), batch.column("place").to_pylist()):
+                x = (len(text) - LENGTH + 1) // 2  # the middle start's key stands for all of them
+                out.append(Suffixes(np.frombuffer(text, np.uint8), np.array([x]), np.array([place - x])).key(0))
+            yield pa.record_batch([pa.array(out, pa.binary())], ["key"])
+
+    drawn = runs.filter((draw < share) & (F.octet_length("bytes") >= LENGTH)).select("bytes", "place").mapInArrow(key, "key binary")
+    sample = sorted(drawn.toArrow().column("key").to_pylist())  # about OVERSAMPLED * n_ranges
+    return [sample[i] for i in np.linspace(0, len(sample) - 1, n_ranges + 1).astype(int)[1:-1]] if sample else []
+
+
+def _ranges(keys: list[bytes], s: Suffixes) -> np.ndarray:
+    """The range of each suffix. Most are told by the anchor's first word; of keys that are equal
+    to splitters, each goes to one of the ranges that these splitters bound."""
+    leads = np.array([int.from_bytes(k[:WORD], "big") for k in keys], np.uint64)
+    lead = s.words[s.at + s.place].astype(np.uint64)
+    out = np.searchsorted(leads, lead, "left")
+    for k in np.flatnonzero(np.searchsorted(leads, lead, "right") > out).tolist():
+        key = s.key(k)
+        a, b = bisect_left(keys, key), bisect_right(keys, key)
+        out[k] = a + int(s.at[k]) % (b - a + 1)
+    return out
+
+
+def repeated_starts(runs: DataFrame, n_starts: int) -> DataFrame:
+    """(k1, k2, lo, hi): starts of the open runs whose LENGTH bytes also start elsewhere.
+
+    `runs` are stretches. Their suffixes are cut into ranges by sampled splitters on the leading
+    bytes. Each range is sorted by multikey quicksort and neighbours are compared, as are the
+    first and the last key of each range with those of others: keys that are equal to a
+    splitter lie on both sides of it. Of suffixes that a map task holds twice, one goes on
+    for all."""
+    n_buckets = max(1, -(-n_starts // BUCKET))
+    keys = splitters(runs, n_starts, min(n_buckets, MAX_SPLITTERS))
+    fan = max(1, -(-n_buckets // (len(keys) + 1)))
+    shared = runs.sparkSession.sparkContext.broadcast(keys)
+    names, found_names = ["kind", "k1", "k2", "lo", "hi", "edge", "many"], ["k1", "k2", "at", "n", "place", "flag"]
+    kinds = [np.int64, np.int64, np.int32, np.int32, np.uint8, np.uint8]
+
+    def said(k1, k2, at, edge=None, many=None) -> pa.RecordBatch:
+        """Starts as runs (kind 0), or the sums of an edge key (kind 1)."""
+        if edge is None:
+            order = np.lexsort((at, k2, k1))
+            k1, k2, at = k1[order], k2[order], at[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            first, n = _pieces(new)
+            return pa.record_batch([pa.array(np.zeros(len(first), np.int8)), pa.array(k1[first]), pa.array(k2[first]), pa.array(at[first]), pa.array((at[first] + n - 1).astype(np.int32)), pa.nulls(len(first), pa.binary()), pa.nulls(len(first), pa.bool_())], names)
+        return pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(k1), pa.array(k2), pa.array(at), pa.array(at), pa.array(edge, pa.binary()), pa.array(many)], names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, held, size = shared.value, [], 0
 
-        def flush() -> pa.RecordBatch:
-            lead, h1, rid, at, state = (np.concatenate([h[i] for h in held]) for i in range(5))
+        def flush() -> Iterator[pa.RecordBatch]:
+            k1, k2, lo, place, state = (np.concatenate([h[i] for h in held]) for i in range(5))
+            data = np.frombuffer(b"".join(t for h in held for t in h[5]), np.uint8)
+            length = np.array([len(t) for h in held for t in h[5]], np.int64)
             held.clear()
-            order = np.lexsort((state, h1, lead))
-            lead, h1, rid, at, state = (x[order] for x in (lead, h1, rid, at, state))
-            of, n = _runs([lead, h1])
-            first = np.ones(len(of), bool)
-            first[1:] = of[1:] != of[:-1]
-            flag = (n > 1).astype(np.uint8) | (state == 2).astype(np.uint8) << 1 | (~first).astype(np.uint8) << 2
-            keep = first | (state == 0)  # a witness that another stands for says nothing more
-            to = np.searchsorted(split, lead, "right") * fan + _spread(h1, fan)
-            return _packed([x[keep] for x in (lead, h1, rid, at, flag)], to[keep])
+            run, at = _starts(length - LENGTH + 1, np.cumsum(length) - length)
+            within = at - (np.cumsum(length) - length)[run]
+            s = Suffixes(data, at, place[run] - within)
+            order, differs = multikey_quicksort(len(at), KEY_WORDS, s.word)
+            group = np.cumsum(differs) - 1
+            n = np.bincount(group, minlength=1)[group]
+            twice, first = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            twice[order], first[order] = n > 1, differs
+            state = state[run]
+            # Starts that stand behind another of their kind are known to repeat.
+            hit = np.flatnonzero(~first & (state == 0))
+            yield _with_bucket(said(k1[run[hit]], k2[run[hit]], (lo[run] + within)[hit].astype(np.int32)), None)
+            to = _ranges(split, s) * fan
+            if fan > 1:
+                to += _spread(B.Spans(data).of(at, at + LENGTH), fan)
+            flag = twice.astype(np.uint8) | (state == 2).astype(np.uint8) << 1
+            at_kept = np.flatnonzero(first)
+            new = np.ones(len(at_kept), bool)
+            new[1:] = (at_kept[1:] != at_kept[:-1] + 1) | (run[at_kept[1:]] != run[at_kept[:-1]]) | (to[at_kept[1:]] != to[at_kept[:-1]]) | (flag[at_kept[1:]] != flag[at_kept[:-1]])
+            begin, n = _pieces(new)
+            a = at_kept[begin]
+            yield _with_bucket(None, _sent(data, at[a], n, [k1[run[a]], k2[run[a]], (lo[run] + within)[a].astype(np.int32), n.astype(np.int32), s.place[a].astype(np.uint8), flag[a]], to[a]))
 
         for batch in batches:
-            rids, runs = batch.column("rid").to_numpy(), batch.column("runs")
-            lens = np.asarray(runs.value_lengths())
-            flat = runs.flatten()
-            lo, hi, st = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "state"))
-            base = np.cumsum(lens) - lens
-            for r0, r1, data, starts in B.text_chunks(batch.column("text")):
-                spans = B.Spans(data)
-                a, b = base[r0], base[r1 - 1] + lens[r1 - 1]
-                row = np.repeat(np.arange(r0, r1), lens[r0:r1])
-                n = hi[a:b] - lo[a:b] + 1
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
-                row, state = np.repeat(row, n), np.repeat(st[a:b], n)
-                i = at + starts[row - r0]
-                held.append([_lead(data, i), spans.of(i, i + LENGTH), rids[row], at.astype(np.int32), state])
-                size += len(i)
-                if size > 2 * BUCKET:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
+            held.append([*(batch.column(c).to_numpy() for c in ("k1", "k2", "lo", "place", "state")), batch.column("bytes").to_pylist()])
+            size += sum(map(len, held[-1][5])) - (LENGTH - 1) * len(batch)
+            if size > 2 * BUCKET:
+                yield from flush()
+                size = 0
+        if size:
+            yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lead, h1, rid, at, flag in _buckets(batches, [np.uint32, B.U, np.int64, np.int32, np.uint8]):
-            order = np.lexsort((h1, lead))
-            f = flag[order]
-            of, n = _runs([lead[order], h1[order]])
-            repeats = (n > 1) | (np.bincount(of, f & 1)[of] > 0)
-            hit = order[repeats & (f & 2 == 0)]
-            yield pa.record_batch([pa.array(rid[hit]), pa.array(at[hit])], ["rid", "at"])
+        def close(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            k1, k2, lo, n, place, flag, data = columns
+            piece, at = _starts(n.astype(np.int64), np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1))
+            within = at - (np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1))[piece]
+            s = Suffixes(data, at, place[piece].astype(np.int64) - within)
+            order, differs = multikey_quicksort(len(at), KEY_WORDS, s.word)
+            group, f = np.cumsum(differs) - 1, flag[piece][order]
+            many = (np.bincount(group)[group] > 1) | (np.bincount(group, f & 1)[group] > 0)
+            row = piece[order]
+            start = (lo[piece] + within).astype(np.int32)[order]
+            hit = many & (f & 2 == 0)
+            yield said(k1[row[hit]], k2[row[hit]], start[hit])
+            # The first and the last key may go on in other ranges: one row for each.
+            for g in sorted({0, int(group[-1])}):
+                p = np.flatnonzero(group == g)[:1]
+                yield said(k1[row[p]], k2[row[p]], np.where(f[p] & 2, -1, start[p]).astype(np.int32), [s.key(int(order[p[0]]))], many[p])
+
+        current, held = None, []
+        for batch in batches:
+            yield from _rows_said(batch, names)
+            for r in np.flatnonzero(batch.column("bucket").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                b = batch.column("bucket")[r].as_py()
+                if b != current and held:
+                    yield from close([np.concatenate([h[i] for h in held]) for i in range(7)])
+                    held = []
+                current = b
+                held.append([np.frombuffer(batch.column(f"c{i}")[r].as_py(), k) for i, k in enumerate([*kinds, np.uint8])])
+        if held:
+            yield from close([np.concatenate([h[i] for h in held]) for i in range(7)])
+
+    def _with_bucket(rows: pa.RecordBatch | None, sent: pa.RecordBatch | None) -> pa.RecordBatch:
+        """Both kinds of rows in one schema."""
+        n = len(rows if rows is not None else sent)
+        null = {"bucket": pa.int32(), **{f"c{i}": pa.binary() for i in range(7)}, "kind": pa.int8(), "k1": pa.int64(), "k2": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "edge": pa.binary(), "many": pa.bool_()}
+        have = rows if rows is not None else sent
+        return pa.record_batch([have.column(c) if c in have.schema.names else pa.nulls(n, t) for c, t in null.items()], list(null))
+
+    result = "kind byte, k1 long, k2 long, lo int, hi int, edge binary, many boolean"
+    dealt = runs.mapInArrow(deal, "bucket int, " + ", ".join(f"c{i} binary" for i in range(7)) + ", " + result)
+    salt = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("k1"), F.lit(max(8, n_buckets))).cast("int"))
+    out = table(dealt.withColumn("to", salt).repartition("to").sortWithinPartitions("bucket").drop("to").mapInArrow(meet, result), "suffix-starts")
+    edges = out.filter("kind = 1")
+    # A key that is alone in its range repeats if another range has it too.
+    again = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge")
+    crossed = edges.filter("lo >= 0 and not many").join(again, "edge").select("k1", "k2", "lo", "hi")
+    return out.filter("kind = 0").select("k1", "k2", "lo", "hi").unionAll(crossed)
+
+
+def _sent(data: np.ndarray, at: np.ndarray, n: np.ndarray, cols: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket: its pieces' columns as blocks of bytes, and their text."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, cols = bucket[order], [c[order] for c in cols]
+    of, i = _starts(n[order] + LENGTH - 1, at[order])
+    text, ends = data[i], np.cumsum(n[order] + LENGTH - 1)
+    cut = _groups(bucket)
+    blobs = [[_blob(c[a:b]) for a, b in cut] for c in cols] + [[_blob(text[ends[a - 1] if a else 0 : ends[b - 1]]) for a, b in cut]]
+    return pa.record_batch([pa.array([int(bucket[a]) for a, _ in cut], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", *(f"c{i}" for i in range(7))])
+
 
-    packed = opened.select("rid", "text", "runs").mapInArrow(find, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "rid long, at int")
+def _rows_said(batch: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
+    rows = batch.select(names).filter(batch.column("bucket").is_null())
+    if len(rows):
+        yield rows
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -261,53 +446,44 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     All suffixes would be two hundred times the text, so anchors thin them out without loss:
     each start belongs to the least 64-byte gram of its string. Anchors that occur once end
     there; stretches between anchors that occur twice as a whole are settled as a whole; the
-    suffixes at all other starts are range-partitioned by sampled splitters, sorted and
-    compared with their neighbours.
-
-    Returns doc_id, row_key, starts (runs lo .. hi of starts, in bytes) for texts that have any.
-    Matches never cross texts; a text of fewer bytes, or null, has none; rows of one doc_id and
-    text count as copies of each other."""
-    keyed = table(docs.select(F.monotonically_increasing_id().alias("rid"), row_key().alias("row_key"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")), "suffix-rows")
-    total = keyed.agg(F.sum("bytes")).first()[0] or 0
-    # The row numbers are the same in each read of the same files; texts are met by content.
-    n_anchor = max(1, int(total / 60 / BUCKET))
-    runs = table(anchor_runs(docs.select(F.monotonically_increasing_id().alias("rid"), "text"), n_anchor), "suffix-anchors")
-    sample = np.sort(np.array([r.lead for r in runs.filter("state = -1").select("lead").limit(MAX_SAMPLE).collect()], np.int64).astype(np.uint32))
-    found = runs.filter("state >= 0")
-    open_ = found.filter("state <> 1").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "state")).alias("runs"))
-    n_starts = found.filter("state <> 1").agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
-    n_buckets = max(1, -(-n_starts // BUCKET))
-    splitters = np.unique(sample[np.linspace(0, len(sample) - 1, min(n_buckets, 4096) + 1).astype(int)[1:-1]]) if len(sample) else sample
-    wanted = table(keyed.join(open_, "rid").select("rid", F.col("row_key").alias("key"), F.col("doc_id").alias("id"), "runs"), "suffix-open")
-    opened = with_texts(wanted, docs).select("rid", "text", "runs")
-    starts = repeated_starts(opened, splitters, n_buckets).groupBy("rid").agg(F.collect_set("at").alias("ats"))
-    settled = found.filter("state > 0").groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    both = keyed.join(settled.join(starts, "rid", "full"), "rid")
-    single = F.transform(F.coalesce("ats", F.array().cast("array<int>")), lambda x: F.struct(x.alias("lo"), x.alias("hi")))
-    return both.select("doc_id", "row_key", F.concat(F.coalesce("runs", F.array().cast("array<struct<lo:int,hi:int>>")), single).alias("starts"))
+    suffixes at all other starts are range-partitioned by sampled splitters, sorted by multikey
+    quicksort and compared with their neighbours.
+
+    `docs` has k1 and k2, a key of each row's doc_id and text. Returns k1, k2, starts (runs lo ..
+    hi of starts, in bytes) for texts that have any. Matches never cross texts; a text of fewer
+    bytes, or null, has none; rows of one doc_id and text count as copies of each other."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    runs = table(anchor_runs(docs, max(1, int(total / 60 / BUCKET))), "suffix-anchors")
+    cut = table(stretches(docs, runs.filter("state <> 1")), "suffix-stretches")
+    n_starts = cut.agg(F.sum(F.octet_length("bytes") - LENGTH + 1)).first()[0] or 0
+    starts = repeated_starts(cut, n_starts)
+    settled = runs.filter("state > 0").select("k1", "k2", "lo", "hi")
+    return settled.unionAll(starts).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
 
 
 def remove_repeated(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and kept_sha256 of each row."""
-    flag = table(spans.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key"), "starts").dropDuplicates(["id", "key"]), "suffix-spans")
-    keyed = docs.select("doc_id", "text", row_key().alias("row"))
-    clean = None
-    if flag.count() <= BROADCAST_KEYS:  # then only texts that lose bytes are shuffled
-        keys = F.broadcast(flag.select("key").distinct())
-        clean = keyed.join(keys, F.col("row") == F.col("key"), "left_anti").select("doc_id", "text", F.lit(None).cast(flag.schema["starts"].dataType).alias("starts"))
-        keyed = keyed.join(keys, F.col("row") == F.col("key"), "left_semi")
-    joined = keyed.join(flag, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "text", "starts")
-    if clean is not None:
-        joined = clean.unionAll(joined)
+    """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and kept_sha256 of each row.
+    Only texts that may lose bytes, by a filter of bounded size, are met by a shuffle."""
+    spans = table(spans, "suffix-spans")
+    keys = KeyFilter(spans, "k1")
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, size, gone, n_spans, kept, digest = batch.column("starts"), [], [], [], [], []
+            if "starts" in batch.schema.names:
+                starts = batch.column("starts")
+            else:  # rows that are surely in no span
+                there = np.ones(len(batch), bool)
+                there[shared.value.where(batch.column("k1").to_numpy().view(B.U))] = False
+                batch = batch.filter(pa.array(there))
+                starts = None
+            size, gone, n_spans, kept, digest = [], [], [], [], []
             for lo, hi, data, offs in B.text_chunks(batch.column("text")):
                 for r in range(lo, hi):
                     text = data[offs[r - lo] : offs[r - lo + 1] - 1]
                     size.append(len(text))
-                    if starts[r].is_valid:
+                    if starts is not None and starts[r].is_valid:
                         mark = np.zeros(len(text) + 1, np.int32)
                         v = starts[r].values
                         np.add.at(mark, v.field("lo").to_numpy(), 1)
@@ -321,12 +497,20 @@ def remove_repeated(docs: DataFrame, spans: DataFrame) -> DataFrame:
                         n_spans.append(0)
                     kept.append(text.tobytes())
                     digest.append(hashlib.sha256(kept[-1]).hexdigest())
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, n_spans)), pa.array(kept, pa.binary()), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, n_spans)), pa.array(kept, pa.binary()), pa.array(digest, pa.string())], names)
 
-    long = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-    return joined.mapInArrow(cut, T.StructType([docs.schema["doc_id"], *long, T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())]))
+    long = [T.StructField(c, T.LongType()) for c in names[1:4]]
+    schema = T.StructType([docs.schema["doc_id"], *long, T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
+    clean = docs.select("doc_id", "k1", "text").mapInArrow(cut, schema)
+    met = maybe(docs, keys, "k1").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "starts").mapInArrow(cut, schema)
+    return clean.unionAll(met)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
-    """Find and remove the repeated bytes of all texts; see repeated_spans."""
+    """Find and remove the repeated bytes of all texts; see repeated_spans. Rows are met by a key
+    of 128 bits of doc_id and text; repeated rows are copies of each other and each keeps a row;
+    texts of any length are cut into stretches; an empty table gives an empty one; other columns
+    are ignored, whatever their names."""
+    keys = [F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias(f"k{seed}") for seed in (1, 2)]
+    docs = docs.select(*keys, "doc_id", "text")
     return remove_repeated(docs, repeated_spans(docs))
