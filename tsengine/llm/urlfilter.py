@@ -30,7 +30,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def canonical(host: Column, path: Column) -> Column:
     """Host without a leading www., path without .html and trailing slashes."""
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(\.html)?/*$", ""))
+    bare = F.rtrim(path, F.lit("/"))
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.when(bare.endswith(".html"), bare.substr(F.lit(1), F.length(bare) - 5)).otherwise(bare))
 
 
 def _rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -65,10 +66,12 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str
 
     Only URLs without a rule are looked up; those that the blocked Bloom filter lets pass
     meet the list in a hash join, which removes its false positives. The filter is broadcast
-    when small and joined by block number when not.
+    when small and joined by block number when not. A URL that a third of the pages share is
+    one row of the list, so adaptive execution splits its pages.
 
-    A null url, or one without ://, has an empty host and path and is allowed. Repeated
-    page_ids are judged row by row; other columns are ignored; empty tables are fine."""
+    A null url, or one without ://, has an empty host and path and is allowed. Rules that tie
+    in length fit no url together. Repeated page_ids are judged row by row; urls may have any
+    length; other columns are ignored, whatever their names; empty tables are fine."""
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
     judged = judged.withColumn("r", _rule(F.col("host"), F.col("path"), rules)).withColumn("canonical", canonical(F.col("host"), F.col("path")))
@@ -85,7 +88,7 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str
     probed = open_.join(bits, "block", "left").withColumn("maybe", set_)
     none = F.lit(None).cast("string").alias("rule")
     passed = probed.filter("not maybe").select("page_id", "host", "path", none, F.lit("allow").alias("verdict"))
-    known = listed.withColumn("known", F.lit(True))
+    known = listed.withColumn("known", F.lit(True)).hint("shuffle_hash")
     hits = probed.filter("maybe").join(known, "canonical", "left").select("page_id", "host", "path", none, F.when(F.col("known"), "block").otherwise("allow").alias("verdict"))
     return ruled.unionAll(passed).unionAll(hits)
 
