@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,18 +16,14 @@ from . import bytetext as B
 #: About so many labelled rows of each language are learned from, in up to SEGMENTS pieces of
 #: SEGMENT_WORDS words spread over the whole text.
 MAX_ROWS, SEGMENTS, SEGMENT_WORDS = 400, 8, 10
-MAX_LANGS = 64
 #: Hashed feature slots.
 SLOTS = 1 << 15
-#: Words that one chain runs over; a text's next words begin another chain.
+#: Words of a piece of a text's chain; pieces run side by side, and messages pass between them.
 CHAIN = 128
 #: Share of switches of language between training segments of one chain.
 SWITCH = 0.5
 ROUNDS = 60
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 @dataclass
 class Model:
     langs: list[str]
@@ -77,13 +72,20 @@ def _emissions(model: Model, data: np.ndarray, s: np.ndarray, e: np.ndarray) ->
     return out
 
 
-def forward_backward(emit: np.ndarray, length: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(emit: np.ndarray, length: np.ndarray, transition: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of padded chains emit[chain, step, label]; also the expected transitions and
-    the log-likelihood's normaliser of each chain. Chains must be sorted, longest first."""
+    the log-likelihood's normaliser of each chain. Chains must be sorted, longest first.
+
+    A chain that is a piece of a longer one has the messages enter[chain, label] from what is
+    before it and leave[chain, label] from what follows; only its marginals are meant then."""
     n, steps, k = emit.shape
     peak = emit.max(2, keepdims=True)
     p, A = np.exp(emit - peak), np.exp(transition)
+    if enter is not None:
+        p[:, 0] *= enter
     alpha, beta, scale = np.zeros_like(p), np.ones_like(p), np.ones((n, steps))
+    if leave is not None:
+        beta[np.arange(n), length - 1] = leave
     live = [int(np.searchsorted(-length, -t, "left")) for t in range(steps + 1)]  # chains longer than t
     for t in range(steps):
         m = live[t]
@@ -98,7 +100,68 @@ def forward_backward(emit: np.ndarray, length: np.ndarray, transition: np.ndarra
         pairs += (alpha[:m, t].T @ right) * A
     mask = np.arange(steps)[None] < length[:, None]
     log_z = ((np.log(scale) + peak[:, :, 0]) * mask).sum(1)
-    return alpha * beta * mask[:, :, None], pairs, log_z
+    both = alpha * beta * mask[:, :, None]
+    return both if leave is None else both / np.maximum(both.sum(2, keepdims=True), 1e-300), pairs, log_z
+
+
+def messages(emit: np.ndarray, length: np.ndarray, transition: np.ndarray, first: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """enter and leave for forward_backward over the pieces of longer chains, up to a factor.
+
+    Rows of emit are pieces, sorted, longest first; long chain c consists of the rows
+    first[c, 0] .. first[c, pieces[c] - 1] in sequence. All pieces are multiplied through side
+    by side, then the messages are handed on in sequence."""
+    n, steps, k = emit.shape
+    p, A = np.exp(emit - emit.max(2, keepdims=True)), np.exp(transition)
+    through = np.eye(k)[None] * p[:, 0, None, :]  # from a piece's first label to its last
+    for t in range(1, steps):
+        m = int(np.searchsorted(-length, -t, "left"))
+        x = (through[:m] @ A) * p[:m, t, None, :]
+        through[:m] = x / np.maximum(x.max((1, 2), keepdims=True), 1e-300)
+    enter, leave = np.ones((n, k)), np.ones((n, k))
+    for j in range(1, int(pieces.max())):
+        c = np.flatnonzero(pieces > j)
+        at, before = first[c, j], first[c, j - 1]
+        x = np.einsum("ci,cij->cj", enter[before], through[before]) @ A
+        enter[at] = x / x.sum(1, keepdims=True)
+    for j in range(int(pieces.max()) - 2, -1, -1):
+        c = np.flatnonzero(pieces > j + 1)
+        at, after = first[c, j], first[c, j + 1]
+        x = np.einsum("cij,cj->ci", through[after], leave[after]) @ A.T
+        leave[at] = x / x.sum(1, keepdims=True)
+    return enter, leave
+
+
+def text_marginals(emit: np.ndarray, n_words: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Each text's marginals, summed over its words: texts are chains of n_words[r] rows of emit,
+    one after the other. Long texts are cut into pieces of CHAIN words that pass their messages
+    on, so that every chain is one, whatever its length."""
+    k = emit.shape[1]
+    row = np.repeat(np.arange(len(n_words)), n_words)
+    within = np.arange(len(emit)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
+    new = within % CHAIN == 0
+    piece = np.cumsum(new) - 1
+    length, of = np.bincount(piece), row[new]
+    order = np.argsort(-length, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    padded = np.zeros((len(order), int(length.max()), k))
+    padded[rank[piece], within % CHAIN] = emit
+    pieces = np.bincount(of, minlength=len(n_words))
+    enter = leave = None
+    if pieces.max() > 1:
+        # Only pieces of long texts are handed on.
+        long = np.flatnonzero(pieces > 1)
+        inside = np.flatnonzero(pieces[of] > 1)
+        mine = inside[np.argsort(-length[inside], kind="stable")]
+        place = np.full(len(length), -1)
+        place[mine] = np.arange(len(mine))
+        begin = np.cumsum(pieces) - pieces
+        steps = np.minimum(begin[long, None] + np.arange(int(pieces.max())), len(length) - 1)
+        e, l_ = messages(padded[rank[mine]], length[mine], transition, place[steps], pieces[long])
+        enter, leave = np.ones((len(order), k)), np.ones((len(order), k))
+        enter[rank[mine]], leave[rank[mine]] = e, l_
+    marg = forward_backward(padded, length[order], transition, enter, leave)[0].sum(1)
+    return np.stack([np.bincount(of, weights=marg[rank, j], minlength=len(n_words)) for j in range(k)], 1)
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -120,12 +183,13 @@ def _segments(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS) -> Model | None:
-    """Learn from about MAX_ROWS rows of each language that are not held out.
+    """Learn from about MAX_ROWS rows of each language that are not held out; every language in
+    `lang` is learned.
 
     Segments of different texts are chained, half of them with a change of language, so that
     transitions are learned from code-switched chains; the likelihood is climbed by Adam."""
     known = docs.filter("lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
     langs = sorted(counts)
@@ -199,14 +263,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     Returns doc_id, lang_pred, score (the mean marginal of lang_pred over the words) and
     word_share (each language's, by name). A text that is null or has no letter is `und`
     with score 0, as is every text when nothing could be learned."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers for each language
     langs = model.langs if model else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = len(langs)
         for batch in batches:
-            letter = [t is not None and _LETTER.search(t) is not None for t in batch.column("text").to_pylist()]
+            letter = [t is not None and any(map(str.isalpha, t)) for t in batch.column("text").to_pylist()]
             share = np.zeros((len(batch), max(1, k)))
             for lo, hi, data, starts in B.text_chunks(batch.column("text")):
                 data = B.LOWER[data]
@@ -214,20 +278,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 if not len(s) or not k:
                     continue
                 emit = _emissions(model, data, s, e)
-                row = np.searchsorted(first, np.arange(len(s)), "right") - 1
-                within = np.arange(len(s)) - first[row]
-                new = within % CHAIN == 0
-                chain = np.cumsum(new) - 1
-                length = np.bincount(chain)
-                order = np.argsort(-length, kind="stable")
-                rank = np.empty_like(order)
-                rank[order] = np.arange(len(order))
-                padded = np.zeros((len(order), int(length.max()), k))
-                padded[rank[chain], within % CHAIN] = emit
-                marg = forward_backward(padded, length[order], model.transition)[0].sum(1)
-                of = row[np.flatnonzero(new)]
-                for j in range(k):
-                    share[lo:hi, j] += np.bincount(of, weights=marg[rank, j], minlength=hi - lo)
+                share[lo:hi] = text_marginals(emit, np.diff(first), model.transition)
             share = share / np.maximum(share.sum(1, keepdims=True), 1e-12)
             best = share.argmax(1)
             known = np.array(letter, bool) & (k > 0)
@@ -243,5 +294,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def language(docs: DataFrame) -> DataFrame:
     """Learn from the rows of `docs` that are not held out (crc32(doc_id) mod 4 is not 2) and
     have a lang, then identify all rows. Only text is looked at in a prediction. Repeated rows
-    are judged row by row; a null doc_id is not held out; other columns are ignored."""
+    are judged row by row; a null doc_id is not held out; texts of any length are one chain each;
+    an empty table gives an empty one; other columns are ignored, whatever their names."""
     return identify(docs, fit(docs.select("doc_id", "text", "lang")))
