@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -14,8 +15,9 @@ from pyspark.sql import types as T
 from .store import table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words to the left of a candidate that make its pattern, together with its shape.
-CONTEXT = 2
+#: Words to the left of a candidate, on its line, that make its pattern; of a longer word than
+#: LONG_WORD its beginning and a digest of the whole.
+CONTEXT, LONG_WORD = 2, 40
 #: A pattern is trusted for a kind from this confidence and this many different instances on.
 MIN_CONFIDENCE, MIN_INSTANCES = 0.8, 5
 #: Instances that count as unknown in a pattern's confidence.
@@ -26,13 +28,15 @@ MAX_PATTERNS = 20_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Numbers joined by single dots; four of them after each other are a match of the IP pattern.
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A word that may be an identifier: without blanks, with a digit or an @ in it.
-_CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _EDGE = "\"'()[]{}<>,;:!?*#$%&=|."
-_LEFT = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A word that may be an identifier has one of these.
+_MARK = re.compile("[0-9@]")
+_DIGIT = re.compile("[0-9]")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -52,6 +56,19 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the IP pattern with parts of at most 255: a match takes four whole numbers of
+    a dotted run, and the next begins with the fifth, so that each digit is read once."""
+    runs = [(m.start(), m.group().split(".")) for m in _DOTTED.finditer(text) if m.end() - m.start() > 6] if "." in text else []
+    for a, parts in runs:
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            b = a + sum(map(len, four)) + 3
+            if all(len(x := p.lstrip("0")) < 4 and int(x or 0) <= 255 for p in four):
+                yield a, b
+            a = b + 1
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -63,9 +80,7 @@ def _luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) in code points, leftmost non-overlapping per kind."""
     out = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
-    for m in _IP.finditer(text):
-        if all(int(x) <= 255 if len(x) < 10 else not x.lstrip("0") or int(x[-10:]) <= 255 and not x[:-10].strip("0") for x in m.group().split(".")):
-            out.append((1, m.start(), m.end()))
+    out += [(1, a, b) for a, b in _ips(text)]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m.group().replace(" ", "").replace("-", "")
@@ -78,38 +93,65 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _shape(word: str) -> str:
-    """9 for digits, a for letters, other characters as they are; runs become one."""
-    out = []
-    for c in word:
-        c = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
-        if not out or out[-1] != c:
-            out.append(c)
-    return "".join(out[:24])
-
-
-def _pattern(text: str, start: int) -> str:
-    """The CONTEXT words before `start` on its line, lower-cased, digits as 9."""
-    line = text.rfind("\n", 0, start) + 1
-    words = _LEFT.findall(text[max(line, start - 80) : start])[-CONTEXT:]
-    return re.sub("[0-9]", "9", " ".join(w.strip("\"'()[]{}<>*") for w in words).lower())
-
-
-def _candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, str]]:
-    """Words outside all base spans that might be identifiers: start, end, pattern, word."""
-    taken = sorted((a, b) for _, a, b in base)
+class Contexts:
+    """Patterns of places in one text: the CONTEXT words before a place on its line, lower-cased,
+    digits as 9. A word that a place lies in counts with its part from the place asked before
+    to this one, so that all patterns together read the text a few times only."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, [m.span() for m in _WORD.finditer(text)]
+        self.begins = [a for a, _ in self.words]
+        self.known: dict[int, tuple[str, bool]] = {}  # a word, and whether its line ends there
+        self.last = 0
+
+    def _clean(self, a: int, b: int) -> str:
+        w = self.text[a:b].strip("\"'()[]{}<>*")
+        tail = f"#{_digest(w):x}" if len(w) > LONG_WORD else ""
+        return _DIGIT.sub("9", w[:LONG_WORD].lower()) + tail
+
+    def before(self, start: int, end: int) -> str:
+        """The pattern of start .. end. Places must come in sequence."""
+        i = bisect_right(self.begins, start) - 1
+        a = self.begins[i]
+        out = [self._clean(max(a, self.last), start)] if a < start else []
+        self.last = end
+        while len(out) < CONTEXT and i > 0:
+            i -= 1
+            if i not in self.known:
+                a, b = self.words[i]
+                self.known[i] = self._clean(a, b), self.text.find("\n", b, self.begins[i + 1]) >= 0
+            word, ended = self.known[i]
+            if ended:
+                break
+            out.append(word)
+        return " ".join(reversed(out))
+
+
+def places(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[str, int | None, int, int]]]:
+    """Base spans, and (pattern, kind, start, end) of these and of the words outside all of them
+    that might be identifiers (kind None), in sequence."""
+    base = base_spans(text)
+    if not base and not _MARK.search(text):
+        return base, []
+    contexts, taken = Contexts(text), sorted((a, b, k) for k, a, b in base)
+    found: list[tuple[int, int, int | None]] = list(taken)
     i = 0
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
+    for a, b in contexts.words:
+        if not _MARK.search(text, a, b):
+            continue
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:
             b -= 1
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if b - a < 4 or i < len(taken) and taken[i][0] < b or sum("0" <= c <= "9" for c in text[a:b]) < 3 and "@" not in text[a:b]:
+        if b - a < 4 or i < len(taken) and taken[i][0] < b:
+            continue
+        if text.find("@", a, b) < 0 and sum(1 for _ in zip(range(3), _DIGIT.finditer(text, a, b))) < 3:
             continue
-        yield a, b, _pattern(text, a), text[a:b]
+        found.append((a, b, None))
+    found.sort(key=lambda x: x[:2])
+    return base, [(contexts.before(a, b), k, a, b) for a, b, k in found]
 
 
 def _digest(word: str) -> int:
@@ -125,9 +167,7 @@ def context_edges(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 if not text:
                     continue
-                base = base_spans(text)
-                seen.update((_pattern(text, a), _digest(text[a:b]), k) for k, a, b in base)
-                seen.update((p, _digest(w), None) for _, _, p, w in _candidates(text, base))
+                seen.update((p, _digest(text[a:b]), k) for p, k, a, b in places(text)[1])
             rows = [x for x in seen if x[0]]
             yield pa.record_batch([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int32())], ["pattern", "instance", "kind"])
 
@@ -162,8 +202,9 @@ def personal_data(docs: DataFrame, patterns: DataFrame | None = None) -> DataFra
     Returns doc_id, base (spans of the four fixed patterns) and spans (those and what trusted
     contexts discover), as arrays of (kind, start, end) in code points, ordered by kind and
     start. A discovered word has the kind of its pattern and never overlaps a base span.
-    Null texts count as empty; repeated rows are searched row by row; an empty table learns
-    nothing and returns nothing."""
+    Null texts count as empty; repeated rows are searched row by row; a text or word of any
+    length is read in linear time; an empty table learns nothing and returns nothing; other
+    columns are ignored, whatever their names."""
     patterns = (trusted_patterns(docs) if patterns is None else patterns).select("pattern", "kind")
     few = patterns.limit(MAX_PATTERNS + 1).collect()
     known = {r.pattern: r.kind for r in few}
@@ -178,8 +219,8 @@ def personal_data(docs: DataFrame, patterns: DataFrame | None = None) -> DataFra
         for batch in batches:
             base, spans = [], []
             for text in batch.column("text").to_pylist():
-                b = base_spans(text) if text else []
-                more = [(known[p], s, e) for s, e, p, _ in _candidates(text, b) if p in known] if text and known else []
+                b, all_ = places(text) if text else ([], [])
+                more = [(known[p], s, e) for p, k, s, e in all_ if k is None and p in known]
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in b])
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in sorted(b + more)])
             yield pa.record_batch([batch.column("doc_id"), pa.array(base, base_type), pa.array(spans, base_type)], ["doc_id", "base", "spans"])
@@ -197,9 +238,9 @@ def _joined(docs: DataFrame, patterns: DataFrame, span: T.StructType, base_type:
         for batch in batches:
             base, found = [], []
             for text in batch.column("text").to_pylist():
-                b = base_spans(text) if text else []
+                b, all_ = places(text) if text else ([], [])
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in b])
-                found.append([{"pattern": p, "start": s, "end": e} for s, e, p, _ in _candidates(text, b) if p] if text else [])
+                found.append([{"pattern": p, "start": s, "end": e} for p, k, s, e in all_ if k is None and p])
             yield pa.record_batch([batch.column("row"), batch.column("doc_id"), pa.array(base, base_type), pa.array(found, found_type)], ["row", "doc_id", "base", "found"])
 
     place = T.StructType([T.StructField("pattern", T.StringType()), *span.fields[1:]])
