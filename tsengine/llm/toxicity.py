@@ -19,7 +19,6 @@ MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
 #: Token features kept: log-odds of at least MIN_ODDS, this many standard deviations from 0.
 MIN_Z = 4.0
 MIN_ODDS = 1.0
-MAX_FEATURES = 50_000
 #: Weight of the prior, in documents.
 PRIOR = 50.0
 #: Bytes of a word's beginning that are features beside the whole word (0).
@@ -113,22 +112,24 @@ def token_scores(model: Model, data: np.ndarray, s: np.ndarray, e: np.ndarray) -
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), by Ruzzo and Tompa's linear scan.
-    Only positive tokens open or close one, so the scan steps from one to the next."""
-    total = np.concatenate(([0.0], np.cumsum(score)))
-    stack: list[list] = []  # start, end, sum before, sum after
+
+    Only positive tokens open or close one, so the scan steps from one to the next. Each
+    candidate links to the nearest earlier one with a smaller sum before it: what a search has
+    passed over once is never looked at again."""
+    total = np.concatenate(([0.0], np.cumsum(score))).tolist()
+    stack: list[tuple] = []  # start, end, sum before, sum after, link
     for i in np.flatnonzero(score > 0).tolist():
-        left, right, a = total[i], total[i + 1], i
-        j = len(stack) - 1
+        a, left, right, j = i, total[i], total[i + 1], len(stack) - 1
         while True:
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
-                stack.append([a, i + 1, left, right])
+                stack.append((a, i + 1, left, right, j))
                 break
-            a, left = stack[j][0], stack[j][2]
+            a, _, left, _, link = stack[j]
             del stack[j:]
-            j -= 1
-    return [(a, b, r - lo) for a, b, lo, r in stack]
+            j = link
+    return [(a, b, r - lo) for a, b, lo, r, _ in stack]
 
 
 def _surprise(model: Model, top: float, n: int) -> float:
@@ -146,7 +147,7 @@ def _probability(model: Model, surprise: float) -> float:
 
 def _score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """`docs` columns in `keep`, and n_words, top, score, passages."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES * 24 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the labelled sample only
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not n1 or not n0:
         return model
     odds = _log_odds(_document_counts(learn), n1, n0)
-    rows = odds.filter((F.col("z") >= MIN_Z) & (F.col("w") >= MIN_ODDS)).orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()
+    # Each stands for some five toxic texts of the sample at least, so the sample bounds them.
+    rows = odds.filter((F.col("z") >= MIN_Z) & (F.col("w") >= MIN_ODDS)).select("f", "w", "z").collect()
     if not rows:
         return model
     f = np.array([r.f for r in rows], np.int64).view(np.uint64)
@@ -244,6 +246,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None)
     Returns the columns in `keep` (doc_id), n_words, top (best segment's score), score
     (0 to 1) and passages (start, end, score in words) that are significant. A null, empty or
     wordless text has no passage and the score of one that shows nothing. Rows whose
-    crc32(doc_id) mod 5 is 0 are never learned from; repeated labels count once, toxic first."""
+    crc32(doc_id) mod 5 is 0 are never learned from; repeated labels count once, toxic first.
+    Repeated rows are scored row by row, texts of any length are scanned whole in linear time,
+    an empty table gives an empty one. Columns of `docs` that are not in `keep` are ignored; a
+    name in `keep` that this operator returns itself is refused."""
     keep = keep or ["doc_id"]
+    if clash := {"n_words", "top", "score", "passages"} & set(keep):
+        raise ValueError(f"rename {sorted(clash)} before")
     return _score(docs.select(*keep, *([] if "text" in keep else ["text"])), fit(docs.select("doc_id", "text"), labels), keep)
