@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.llm import decontaminate, linededup, ngramjoin, packing, toxicity
@@ -10,21 +10,43 @@ from tsengine.llm.queries import public_vocabulary
 from tsengine.llm.store import row_key, table
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """`docs` with doc_id and text, its other columns under names that no operator uses, and the
+    expressions that give the columns back."""
+    names = {c: c if c in ("doc_id", "text") else f"_column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(new).alias(old) for old, new in names.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go."""
+    """Documents with a toxicity score of 0.5 or more go.
+
+    Null and empty texts stay (they show nothing toxic); repeated rows are judged row by row; an
+    empty table, or one without labels, loses nothing; other columns are handed on."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity(docs, labels, docs.columns).filter("score < 0.5").select(docs.columns)
+    docs, back = apart(docs)
+    return toxicity.toxicity(docs, labels, docs.columns).filter("score < 0.5").select(back)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents keep the lines that op7 leaves them; n_chars follows the new text."""
-    cut = linededup.apply_keep_bitmaps(docs, linededup.line_keep_bitmaps(docs))
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(docs.columns)
+    """Documents keep the lines that op7 leaves them; n_chars, where there is one, follows the text.
+
+    No document goes, even one that loses all lines. Null texts stay null; repeated rows lose the
+    same lines; an empty table gives an empty one; other columns are handed on."""
+    named, back = apart(docs)
+    cut = linededup.apply_keep_bitmaps(named, linededup.line_keep_bitmaps(named))
+    out = cut.select(*back, F.col("n_dropped").alias("_dropped"))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, length).otherwise(F.col("n_chars")))
+    return out.drop("_dropped")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays: the one with the smallest doc_id."""
+    """One document of each group of similar ones stays: the one with the smallest doc_id.
+
+    Null and wordless texts are similar to nothing and stay; of repeated rows one stays; an empty
+    table gives an empty one; other columns are handed on."""
+    docs, back = apart(docs)
     judged = ngramjoin.jaccard_components(docs).groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
     judged = judged.agg(F.count_if("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).filter("_kept < _n")
     keyed = docs.withColumn("_row", row_key())
@@ -33,18 +55,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # Of rows that repeat with the same doc_id, one stays if it is its group's choice.
     again = judged.filter("_kept > 0")
     once = keyed.join(again, match(again), "left_semi").dropDuplicates(["doc_id", "_row"])
-    return left.unionAll(once).select(docs.columns)
+    return left.unionAll(once).select(back)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that op1's rule calls contaminated go."""
+    """Documents that op1's rule calls contaminated go.
+
+    Null and wordless texts stay; repeated rows are judged alike; without items, or without
+    documents, nothing goes; other columns are handed on."""
+    docs, back = apart(docs)
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.filter(decontaminate.is_contaminated()).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    return docs.withColumn("_row", row_key()).join(bad, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(docs.columns)
+    return docs.withColumn("_row", row_key()).join(bad, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(back)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the sequences that the remaining documents are packed into."""
+    """Pieces of the sequences that the remaining documents are packed into: doc_id, start, length,
+    ids, doc_tokens, sequence_id, offset. Null texts count as empty, repeated rows are packed
+    each; an empty table gives no piece; other columns are ignored."""
     return packing.packed_sequences(docs.select("doc_id", "text"), **public_vocabulary())
 
 
