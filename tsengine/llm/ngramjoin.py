@@ -31,7 +31,7 @@ BLOCK, WEIGHT = 2048, 400_000
 TEXT = 1 << 18
 #: Sets among which a map task finds copies.
 SEEN = 100_000
-#: Bits of a signature.
+#: Least number of a signature's bits; it has at least one for each shingle.
 SIG_BITS = 2048
 #: DivideSkip's weight of a long list (Li, Lu and Lu, 2008).
 MU = 0.0085
@@ -103,16 +103,43 @@ def divide_skip(lists: list[list[int]], t: int) -> dict[int, int]:
 
 
 def signature(u: np.ndarray) -> np.ndarray:
-    """How often each class of hashes, modulo SIG_BITS, occurs: the parities. Sets that differ in
-    d shingles differ in at most d parities."""
-    return np.packbits((np.bincount((u & B.U(SIG_BITS - 1)).astype(np.int64), minlength=SIG_BITS) & 1).astype(bool)).view(np.uint64)
-
-
-def may_link(n: np.ndarray, sig: np.ndarray, q: int, at: np.ndarray) -> np.ndarray:
-    """Which of the sets `at` have a size and a signature that allow a link with set q."""
-    at = at[100 * np.minimum(n[at], n[q]) >= PERCENT * np.maximum(n[at], n[q])]
-    apart = np.bitwise_count(sig[at] ^ sig[q]).sum(1, dtype=np.int64)
-    return at[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[at] + n[q])]
+    """How often each class of hashes, modulo a power of two above len(u), occurs: the parities.
+    Sets that differ in d shingles differ in at most d parities."""
+    bits = max(SIG_BITS, 1 << int(len(u)).bit_length())
+    return np.packbits((np.bincount((u & B.U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).view(np.uint64)
+
+
+def _folded(sig: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (rows) of a smaller power of two: the halves laid onto each other."""
+    while sig.shape[1] > words:
+        half = sig.shape[1] // 2
+        sig = sig[:, :half] ^ sig[:, half:]
+    return sig
+
+
+class Bounds:
+    """Sizes and signatures of some sets, to tell which may be linked."""
+
+    def __init__(self, n: np.ndarray, signatures: list[np.ndarray]):
+        self.n, self.words = n, np.array([len(x) for x in signatures], np.int64)
+        self.place = np.zeros(len(n), np.int64)
+        self.rows = {}
+        for words in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == words)
+            self.place[at] = np.arange(len(at))
+            self.rows[words] = np.stack([signatures[i] for i in at])
+
+    def may_link(self, q: int, at: np.ndarray) -> np.ndarray:
+        """Which of the sets `at` have a size and a signature that allow a link with set q."""
+        n = self.n
+        at = at[100 * np.minimum(n[at], n[q]) >= PERCENT * np.maximum(n[at], n[q])]
+        mine, apart = self.rows[int(self.words[q])][self.place[q], None], np.zeros(len(at), np.int64)
+        for words, rows in self.rows.items():
+            k = np.flatnonzero(self.words[at] == words)
+            if len(k):
+                least = min(words, mine.shape[1])
+                apart[k] = np.bitwise_count(_folded(rows[self.place[at[k]]], least) ^ _folded(mine, least)).sum(1, dtype=np.int64)
+        return at[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[at] + n[q])]
 
 
 class BlockIndex:
@@ -128,11 +155,11 @@ class BlockIndex:
         shared = size > 1  # a list of one holds nothing but the query itself
         self.token, self.begin, self.end = token[begin[shared]], begin[shared], (begin + size)[shared]
         self.member = member.tolist()
-        self.sig = np.stack([signature(u) for u in sets])
+        self.bounds = Bounds(self.n, [signature(u) for u in sets])
 
     def open_partners(self, q: int, component: np.ndarray) -> bool:
         """Whether a set of another component is left whose size and signature allow a link."""
-        return len(may_link(self.n, self.sig, q, np.flatnonzero(component != component[q]))) > 0
+        return len(self.bounds.may_link(q, np.flatnonzero(component != component[q]))) > 0
 
     def search(self, q: int) -> list[int]:
         """The sets similar to set q: those that reach the overlap any partner must reach, by
@@ -284,10 +311,10 @@ def _open_rows(rows: DataFrame) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             group = pa.Table.from_batches(held).combine_chunks()
             if len(group) > 1:
-                n, sig = group.column("n").to_numpy(), np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(len(group), -1)
+                bounds = Bounds(group.column("n").to_numpy(), [np.frombuffer(x, np.uint64) for x in group.column("sig").to_pylist()])
                 keep = np.zeros(len(group), bool)
                 for q in range(len(group) - 1):
-                    at = may_link(n, sig, q, np.arange(q + 1, len(group)))
+                    at = bounds.may_link(q, np.arange(q + 1, len(group)))
                     keep[at] = True
                     keep[q] |= len(at) > 0
                 yield from group.filter(pa.array(keep)).drop_columns(["n", "sig"]).to_batches()
