@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import row_key, table
+from .store import KeyFilter, maybe, row_key, table
 
 MIN_POINTS = 40
 MIN_DOCS = 5
@@ -164,22 +164,26 @@ def line_keep_bitmaps(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: i
 
 def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """`docs` with text cut to the kept lines, joined by newlines, and two more columns:
-    n_lines (before) and n_dropped. A document without a bitmap keeps its text as it is."""
-    flag = bitmaps.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "n_dropped", "keep_bitmap")
-    kept = docs.withColumn("_row", row_key()).join(flag, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_key", "_row")
+    n_lines (before) and n_dropped, which replace columns of these names. A document without a
+    bitmap keeps its text as it is, and only texts that may have one are shuffled."""
+    flag = table(bitmaps.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("n_dropped").alias("_dropped"), F.col("keep_bitmap").alias("_bitmap")), "line-flags")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    keyed, keys = docs.select(*names, row_key().alias("_row")), KeyFilter(flag, "_key")
+    whole = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    rest = maybe(keyed, keys, "_row", False).select(*names, F.coalesce(whole, F.lit(1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    kept = maybe(keyed, keys, "_row").join(flag, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, maps = batch.column("text").to_pylist(), batch.column("keep_bitmap").to_pylist()
+            texts, maps = batch.column("text").to_pylist(), batch.column("_bitmap").to_pylist()
             n_lines = [(t or "").count("\n") + 1 for t in texts]
             for i, m in enumerate(maps):
                 if m is not None:
                     keep = np.unpackbits(np.frombuffer(zlib.decompress(m), np.uint8))
                     texts[i] = "\n".join(x for x, k in zip(texts[i].split("\n"), keep) if k)
             out = {c: batch.column(c) for c in names}
-            out |= {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": batch.column("n_dropped").fill_null(0)}
+            out |= {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": batch.column("_dropped").fill_null(0)}
             yield pa.record_batch([out[f.name] for f in schema.fields], [f.name for f in schema.fields])
 
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return kept.select(*names, "n_dropped", "keep_bitmap").mapInArrow(cut, schema)
+    return rest.unionByName(kept.select(*names, "_dropped", "_bitmap").mapInArrow(cut, schema))

@@ -64,13 +64,15 @@ class KeyFilter:
         return np.flatnonzero(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
 
 
-def maybe(docs: DataFrame, keys: KeyFilter, key: str) -> DataFrame:
-    """The rows of `docs` whose `key` may be one of `keys`."""
+def maybe(docs: DataFrame, keys: KeyFilter, key: str, among: bool = True) -> DataFrame:
+    """The rows of `docs` whose `key` may be one of `keys`; the others with among=False."""
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.take(pa.array(shared.value.where(batch.column(key).to_numpy().view(np.uint64))))
+            found = np.zeros(len(batch), bool)
+            found[shared.value.where(batch.column(key).to_numpy().view(np.uint64))] = True
+            yield batch.filter(pa.array(found == among))
 
     return docs.mapInArrow(run, docs.schema)
 
