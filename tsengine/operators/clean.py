@@ -42,12 +42,16 @@ def ffill(c: str, keys: str = "well", order: str = "t") -> Column:
 
 def causal_impute(df: DataFrame, c: str, out: str, limit: int = 3, keys: str = "well", order: str = "t") -> DataFrame:
     """Carry the last value forward for `limit` rows; what is left of a gap is interpolated
-    between its neighbours after that, the tail carries on, and the head stays null."""
+    between its neighbours after that, the tail carries on, and the head stays null.
+
+    Both neighbours are running aggregates, the next one along the reversed series, so that a
+    series is passed a fixed number of times."""
     w = along(keys, order)
     df = df.withColumn("_c", F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0)))
     spot = F.when(F.col("_c").isNotNull(), F.struct(F.col(order).alias("t"), F.col("_c").alias("v")))
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumns({"_p": F.last(spot, ignorenulls=True).over(before), "_n": F.first(spot, ignorenulls=True).over(after)})
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"_p": F.last(spot, ignorenulls=True).over(before), "_n": F.last(spot, ignorenulls=True).over(after)})
     blend = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col(order) - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
     return df.withColumn(out, F.coalesce("_c", F.when(F.col("_p").isNotNull() & F.col("_n").isNotNull(), blend), F.col("_p.v"))).drop("_c", "_p", "_n")
 
@@ -72,6 +76,23 @@ def bad_values(df: DataFrame, columns: list[str], threshold: float = 1e30) -> Da
     return wide.select(F.inline(rows))
 
 
+def data_check(tables: dict[str, DataFrame], outlier: float = 1e6) -> DataFrame:
+    """One row for each dataset: values that are null or NaN, infinite ones, whether any finite
+    value lies beyond `outlier`, and whether nothing was found. All numeric columns count."""
+    out = None
+    for name, df in tables.items():
+        numeric = [F.col(c).cast("double") for c, kind in df.dtypes if kind in ("int", "bigint", "float", "double", "smallint", "tinyint") or kind.startswith("decimal")]
+        inf = float("inf")
+        total = lambda test: sum((F.count_if(test(c)) for c in numeric), F.lit(0))
+        one = df.agg(
+            total(lambda c: c.isNull() | F.isnan(c)).cast("long").alias("n_missing"),
+            total(lambda c: F.abs(c) == F.lit(inf)).cast("long").alias("n_infinite"),
+            (total(lambda c: (F.abs(c) > outlier) & (F.abs(c) < F.lit(inf))) > 0).alias("outliers"),
+        ).select(F.lit(name).alias("dataset"), "*", ((F.col("n_missing") + F.col("n_infinite") == 0) & ~F.col("outliers")).alias("ok"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def check_valid(df: DataFrame, columns: list[str], threshold: float = 1e30) -> None:
     """Raise if any column holds a bad value."""
     bad = [r.asDict() for r in bad_values(df, columns, threshold).filter("n_null + n_pos_inf + n_neg_inf + n_big > 0").collect()]

@@ -37,11 +37,11 @@ def field_features(df: DataFrame) -> DataFrame:
 
 
 def simulated_features(df: DataFrame, reservoir_kpa: float = RESERVOIR_KPA) -> DataFrame:
-    """Features of a simulated well: positive rates only, log gas, drawdown from the reservoir
-    pressure; the first row, whose decline is made up, goes."""
+    """Features of a simulated well: positive rates only, log gas (no less than 0, no more than
+    1e9), drawdown from the reservoir pressure; the first row, whose decline is made up, goes."""
     df = df.filter("oil > 0").withColumn("t", F.row_number().over(along()))
     dp = convert(F.lit(reservoir_kpa), "kpa_psi") - convert(F.col("downhole"), "kpa_psi")
-    return df.select("well", "t", "oil", F.log1p("gas").alias("log_gas"), dp.alias("dp"), (F.col("oil") / dp).alias("pi"), decline_rate("oil").alias("decline")).filter("t > 1")
+    return df.select("well", "t", "oil", F.log1p(F.least(F.greatest("gas", F.lit(0.0)), F.lit(1e9))).alias("log_gas"), dp.alias("dp"), (F.col("oil") / dp).alias("pi"), decline_rate("oil").alias("decline")).filter("t > 1")
 
 
 def cumulative(c: str) -> Column:
@@ -127,3 +127,29 @@ def walk_forward_folds(df: DataFrame, length: int = 150, window: int = 7, horizo
     folds = folds.withColumn("block", F.explode(F.sequence(F.floor(lo / span), F.floor((F.col("fold") - horizon) / span))))
     anchors = df.select("well", F.col("t").alias("anchor"), F.floor(F.col("t") / span).alias("block"))
     return folds.join(anchors, ["well", "block"]).filter(F.col("anchor").between(lo, F.col("fold") - horizon)).select("well", "fold", "anchor")
+
+
+def augment(df: DataFrame, scale: tuple[float, ...] = (), jitter: float = 0.0, warp: float = 1.0, bootstrap: int = 0, seed: int = 7) -> DataFrame:
+    """well, t, oil, downhole and `block`: the rows, and copies of them by the techniques that are
+    on. scale: rate and pressure by each factor; jitter: noise of this deviation on the pressure;
+    warp: the later half of each series' rates times this; bootstrap: so many copies in which
+    blocks of 30 rows are drawn anew."""
+    parts = [df.withColumn("block", F.lit("original"))]
+    for f in scale:
+        parts.append(df.withColumns({"oil": F.col("oil") / f, "downhole": F.col("downhole") / f, "block": F.lit(f"scale {f}")}))
+    if jitter:
+        parts.append(df.withColumns({"downhole": F.col("downhole") + F.randn(seed) * jitter, "block": F.lit("jitter")}))
+    if warp != 1.0:
+        late = F.percent_rank().over(along()) > 0.5
+        parts.append(df.withColumns({"oil": F.when(late, F.col("oil") * warp).otherwise(F.col("oil")), "block": F.lit("warp")}))
+    for b in range(bootstrap):
+        n = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("well")) / 30)
+        blocks = df.select("well", F.floor((F.col("t") - 1) / 30).alias("_to"), n.alias("_n")).distinct()
+        drawn = blocks.select("well", "_to", F.pmod(F.xxhash64(F.lit(seed + b), "well", "_to"), F.col("_n")).alias("_from"))
+        source = df.withColumn("_from", F.floor((F.col("t") - 1) / 30))
+        copy = drawn.join(source, ["well", "_from"]).withColumns({"t": (F.col("_to") * 30 + (F.col("t") - 1) % 30 + 1).cast("int"), "block": F.lit(f"bootstrap {b}")})
+        parts.append(copy.select(*df.columns, "block"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,48 @@ def welch_t(df: DataFrame, group: str, a: str, b: str, metric: str) -> DataFrame
     return s.select(t.alias("t"), dof.alias("dof"))
 
 
+def t_test_p(t: Column, dof: Column, nodes: int = 2000) -> Column:
+    """Two-sided p-value of Student's t: the share of cos^(dof - 1) between atan(|t| / sqrt(dof))
+    and a right angle, or where the curve has long ended, by Simpson's rule."""
+    right = F.least(F.lit(math.pi / 2), 40 / F.sqrt(dof))
+    theta = F.least(F.atan(F.abs(t) / F.sqrt(dof)), right)
+
+    def area(a: Column, b: Column) -> Column:
+        h = (b - a) / nodes
+        weight = lambda i: F.when((i == 0) | (i == nodes), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        height = lambda i: F.pow(F.greatest(F.cos(a + i * h), F.lit(0.0)), dof - 1)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(nodes)), F.lit(0.0), lambda s, i: s + weight(i) * height(i)) * h / 3
+
+    return area(theta, right) / area(F.lit(0.0), right)
+
+
+def welch_conclusions(df: DataFrame, group: str, pairs: list[tuple[str, str]], metric: str, alpha: float = 0.05) -> DataFrame:
+    """Welch's test of each pair of groups in one pass: t, dof, p and a conclusion in words."""
+    stats = df.groupBy(F.col(group).alias("_g")).agg(F.avg(metric).alias("m"), (F.var_samp(metric) / F.count(metric)).alias("e"), F.count(metric).alias("n"))
+    names = df.sparkSession.createDataFrame(pairs, "a string, b string")
+    side = lambda i: stats.select(F.col("_g").alias("ab"[i]), *[F.col(c).alias(f"{c}{i}") for c in ("m", "e", "n")])
+    s = names.join(side(0), "a").join(side(1), "b")
+    both = F.col("e0") + F.col("e1")
+    s = s.withColumns({"t": (F.col("m0") - F.col("m1")) / F.sqrt(both), "dof": F.pow(both, 2) / (F.pow("e0", 2) / (F.col("n0") - 1) + F.pow("e1", 2) / (F.col("n1") - 1))})
+    s = s.withColumn("p", t_test_p(F.col("t"), F.col("dof")))
+    better = F.when(F.col("m0") < F.col("m1"), F.col("a")).otherwise(F.col("b"))
+    said = F.when(F.col("p") < alpha, F.concat(F.lit("significant difference, lower in "), better)).otherwise("no significant difference")
+    return s.select("a", "b", "t", "dof", "p", said.alias("conclusion"))
+
+
+def place(df: DataFrame, groups: list[Column], within: list[Column]) -> DataFrame:
+    """`place` of each row in the order of groups, then within. Groups are numbered from their
+    counts, a short table; only rows of one group are sorted together."""
+    keyed = df.withColumns({f"_g{i}": g for i, g in enumerate(groups)})
+    names = [f"_g{i}" for i in range(len(groups))]
+    counts = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in names]).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    same = [keyed[c].eqNullSafe(before[c]) for c in names]
+    joined = keyed.join(before, same).drop(*[before[c] for c in names])
+    k = F.row_number().over(Window.partitionBy(*names).orderBy(*within))
+    return joined.withColumn("place", (k + F.col("_before")).cast("long")).drop("_before", *names)
+
+
 def merge_val_test(val: DataFrame, test: DataFrame, metrics: list[str]) -> DataFrame:
     """Full outer join on all common other columns, null keys equal; metrics get a suffix."""
     keys = [c for c in val.columns if c in test.columns and c not in metrics]

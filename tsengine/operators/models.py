@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +40,45 @@ def _solve(sums: DataFrame, keys: list[str], xs: list[str]) -> DataFrame:
     return sums.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", beta array<double>")
 
 
-def walk_forward(df: DataFrame, length: int = 150, window: int = 7, horizon: int = 56) -> DataFrame:
+def walk_forward(df: DataFrame, length: int = 150, window: int = 7, horizon: int = 56, known: bool = True) -> DataFrame:
     """A forecast at each fold T from the model of the anchors T - (horizon + length - window)
-    .. T - horizon: normal equations are sums over that frame, so folds are never copied."""
+    .. T - horizon. Normal equations of a frame are differences of running sums, so each row is
+    added once, whatever the frame's length, and folds are never copied. Folds whose truth is not
+    known yet are left out unless known is False."""
     rows, xs = _gram(df, window, horizon)
-    # The label of a future anchor isn't in the frame, as frames end `horizon` rows before T.
-    frame = Window.partitionBy("well").orderBy("t").rowsBetween(-(horizon + length - window), -horizon)
+    w = along()
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]] + [(a, "y") for a in xs]
     keep = ["well", "t", "y", *xs]
-    sums = [F.sum(F.col(a) * F.col(b)).over(frame).alias(f"{a}_{b}") for i, a in enumerate(xs) for b in xs[i:]] + [F.sum(F.col(a) * F.col("y")).over(frame).alias(f"{a}_y") for a in xs]
-    rows = rows.select(*keep, *sums, F.count(xs[-1]).over(frame).alias("n")).filter((F.col("n") == length - window + 1) & F.col("y").isNotNull())
+    # The label of a future anchor isn't in the frame, as frames end `horizon` rows before T.
+    rows = rows.select(*keep, F.count(xs[-1]).over(running).alias("_n"), *[F.sum(F.coalesce(F.col(a) * F.col(b), F.lit(0.0))).over(running).alias(f"_{a}_{b}") for a, b in pairs])
+    frame = lambda c: F.lag(c, horizon).over(w) - F.lag(c, horizon + length - window + 1, 0).over(w)
+    rows = rows.select(*keep, frame("_n").alias("n"), *[frame(f"_{a}_{b}").alias(f"{a}_{b}") for a, b in pairs])
+    rows = rows.filter(F.col("n") == length - window + 1)
+    rows = rows.filter("y is not null") if known else rows
     beta = _solve(rows.drop("n"), ["well", "t", "y", *xs], xs)
     pred = sum((F.get("beta", F.lit(i)) * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
     return beta.select("well", "t", F.col("y").alias("truth"), pred.alias("pred"))
 
 
+def linear_attribution(df: DataFrame, features: list[str], target: str, horizon: int) -> DataFrame:
+    """phi_<feature> of each row: the exact Shapley values beta (x - mean x) of the linear model
+    that is fitted to each series' target `horizon` rows ahead."""
+    rows = df.select("well", "t", *features, F.lead(target, horizon).over(along()).alias("y"))
+    known = rows.filter("y is not null")
+    cov = [F.covar_pop(a, b).alias(f"{a}__{b}") for a in features for b in [*features, "y"]]
+    sums = known.groupBy("well").agg(*cov)
+
+    def solve(it):
+        for pdf in it:
+            betas = [np.linalg.solve([[r[f"{a}__{b}"] for b in features] for a in features], [r[f"{a}__y"] for a in features]).tolist() for r in pdf.to_dict("records")]
+            yield pdf[["well"]].assign(beta=betas)
+
+    means = rows.groupBy("well").agg(*[F.avg(c).alias(f"_{c}") for c in features])
+    fitted = rows.join(sums.mapInPandas(solve, "well string, beta array<double>").join(means, "well"), "well")
+    return fitted.select("well", "t", *[(F.get("beta", F.lit(i)) * (F.col(c) - F.col(f"_{c}"))).alias(f"phi_{c}") for i, c in enumerate(features)])
+
+
 def gbt_forecast(windows: DataFrame, max_iter: int = 5, max_depth: int = 3, step: float = 0.3, seed: int = 7) -> DataFrame:
     """Boosted trees pooled over wells, on ratio-normalised windows with a chronological split."""
     from pyspark.ml.functions import array_to_vector
@@ -65,6 +89,38 @@ def gbt_forecast(windows: DataFrame, max_iter: int = 5, max_depth: int = 3, step
     return model.transform(rows.filter("side = 'test'")).select("well", "t", (F.col("label") * F.col("window_mean")).alias("truth"), (F.col("prediction") * F.col("window_mean")).alias("pred"))
 
 
+def gbt_search(windows: DataFrame, grid: dict[str, list], n_iter: int, folds: int = 3, last: int = 50, seed: int = 7) -> DataFrame:
+    """Boosted trees whose parameters are drawn at random: n_iter points of the grid, each scored
+    by the mean squared error of `folds` cross-validation folds over the last `last` training
+    rows of each well. Returns a row for each point: params, mse, chosen."""
+    import random
+
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.ml.tuning import CrossValidator
+
+    recent = F.row_number().over(Window.partitionBy("well").orderBy(F.desc("t")))
+    rows = windows.filter("side = 'train'").withColumn("_k", recent).filter(F.col("_k") <= last)
+    rows = rows.withColumns({"fold": F.pmod(F.xxhash64("well", "t"), F.lit(folds)).cast("int"), "features": array_to_vector("lags")}).select("features", "label", "fold")
+    gbt, rng = GBTRegressor(seed=seed, maxBins=64), random.Random(seed)
+    points, tried = [], set()
+    size = 1
+    for values in grid.values():
+        size *= len(values)
+    while len(points) < min(n_iter, size):
+        point = tuple(rng.choice(values) for values in grid.values())
+        if point not in tried:
+            tried.add(point)
+            points.append(dict(zip(grid, point)))
+    maps = [{gbt.getParam(k): v for k, v in p.items()} for p in points]
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="mse"), numFolds=folds, foldCol="fold", parallelism=4, seed=seed)
+    mse = cv.fit(rows.persist()).avgMetrics
+    rows.unpersist()
+    best = min(range(len(points)), key=lambda i: mse[i])
+    return windows.sparkSession.createDataFrame([({k: float(v) for k, v in p.items()}, float(m), i == best) for i, (p, m) in enumerate(zip(points, mse))], "params map<string,double>, mse double, chosen boolean")
+
+
 def choose_k(df: DataFrame, features: str, grid: list[int], share: float = 0.98, seed: int = 7) -> DataFrame:
     """Silhouette of each k, and whether it is the smallest within `share` of the best."""
     from pyspark.ml.clustering import KMeans
@@ -79,11 +135,12 @@ def choose_k(df: DataFrame, features: str, grid: list[int], share: float = 0.98,
     return df.sparkSession.createDataFrame([(k, s, k == pick) for k, s in found], "k int, silhouette double, chosen boolean")
 
 
-def polynomial_trend(windows: DataFrame, c: str, degree: int = 2) -> DataFrame:
-    """Coefficients of a polynomial in t from 0 to 1, by least squares, of each array."""
+def trend_weights(n: int, degree: int = 2) -> np.ndarray:
+    """Least squares as a matrix: coefficients are these weights times the n values."""
+    return np.linalg.pinv(np.vander(np.linspace(0, 1, n), degree + 1, increasing=True))
 
-    @F.pandas_udf("array<double>")
-    def fit(s: pd.Series) -> pd.Series:
-        return s.map(lambda y: np.polynomial.polynomial.polyfit(np.linspace(0, 1, len(y)), np.asarray(y, float), degree).tolist())
 
-    return windows.withColumn("coef", fit(c))
+def polynomial_trend(windows: DataFrame, c: str, n: int, degree: int = 2) -> DataFrame:
+    """Coefficients of a polynomial in t from 0 to 1, by least squares, of each array of n values."""
+    dot = lambda w: F.aggregate(F.zip_with(c, F.array(*map(F.lit, w.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return windows.withColumn("coef", F.array(*map(dot, trend_weights(n, degree))))

@@ -1,4 +1,4 @@
-"""Signal filters on series (one task a series) and on arrays (column expressions)."""
+"""Signal filters on series (in blocks of a series) and on arrays (column expressions)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,18 +41,81 @@ def kalman_smooth(z: np.ndarray, q: float = 1e-5, r: float = 1e-3) -> np.ndarray
 
 
 FILTERS = {"kalman": kalman, "kalman_smooth": kalman_smooth}
+#: Rows of a block, and rows before and after it that are filtered with it. A filter with gain k
+#: forgets what lies n rows back by (1 - k)^n: 1e-22 for the smallest gain used here.
+BLOCK, WARM = 8192, 512
 
 
-def filter_series(df: DataFrame, c: str, method: str, **params: float) -> DataFrame:
-    """well, t, c and `filtered` of every series; series run side by side, each in order."""
+def filter_columns(df: DataFrame, columns: list[str], method: str = "kalman", keys: list[str] | None = None, order: str = "t", block: int = BLOCK, warm: int = WARM, **params: float) -> DataFrame:
+    """`df` with these columns filtered and their raw values kept as <column>_Original.
+
+    `order` numbers a series' rows from 1 without gaps. Series are cut into blocks with some
+    rows of their neighbours, so that one long series spreads over many tasks; a series' first
+    block begins as the whole series does. An unknown column is an error."""
+    keys = keys or ["well"]
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"no columns {missing}")
     fn = FILTERS[method]
+    schema = ", ".join(f"`{c}` {'double' if c in columns else kind}" for c, kind in df.dtypes) + "".join(f", `{c}_Original` double" for c in columns)
+    number = F.col(order) - 1
+    blocks = F.sequence(F.floor(F.greatest(number - warm, F.lit(0)) / block), F.floor((number + warm) / block))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        pdf["filtered"] = fn(pdf[c].to_numpy(float), **params)
-        return pdf
+        pdf = pdf.sort_values(order)
+        mine = (pdf[order] - 1) // block == pdf["_block"]
+        for c in columns:
+            pdf[f"{c}_Original"] = pdf[c].astype(float)
+            pdf[c] = fn(pdf[c].to_numpy(float), **params)
+        return pdf[mine].drop(columns="_block")
+
+    return df.withColumn("_block", F.explode(blocks)).groupBy(*keys, "_block").applyInPandas(run, schema)
+
+
+def filter_series(df: DataFrame, c: str, method: str, **params: float) -> DataFrame:
+    """well, t, c and `filtered` of every series."""
+    out = filter_columns(df.select("well", "t", c), [c], method, **params)
+    return out.select("well", "t", F.col(f"{c}_Original").alias(c), F.col(c).alias("filtered"))
+
+
+def kalman_weights(length: int, q: float, r: float) -> np.ndarray:
+    """The filter as a matrix: row i holds the weights of values 0 .. i in the state after value
+    i. Gains depend on the place only, so the state is linear in the values."""
+    out, p = np.zeros((length, length)), 1.0
+    for i in range(length):
+        p = p + q if i else p
+        k = p / (p + r)
+        if i:
+            out[i] = (1 - k) * out[i - 1]
+        out[i, i] += k if i else 1.0
+        p *= 1 - k
+    return out
+
+
+def kalman_per_fold(df: DataFrame, c: str, length: int = 150, window: int = 7, horizon: int = 56, q: float = 1e-6, r: float = 1e-3, eps: float = 1e-6) -> DataFrame:
+    """For each fold, the filter restarted at the fold's own slice of the series: rows T - (length
+    + horizon - 1) .. T + horizon of fold T. Returns the filtered lags of the test anchor T,
+    oldest first, and its filtered label. A slice is one array, filtered by a constant matrix."""
+    w = Window.partitionBy("well").orderBy("t")
+    size = length + 2 * horizon
+    z = F.greatest(F.col(c) + eps, F.lit(eps))
+    slices = df.select("well", F.col("t").alias("fold"), F.collect_list(z).over(w.rowsBetween(horizon + 1 - size, horizon)).alias("z")).filter(F.size("z") == size)
+    anchor = size - horizon - 1
+    weights = kalman_weights(size, q, r)[[*range(anchor - window + 1, anchor + 1), size - 1]].T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.stack(pdf["z"].to_list()) @ weights if len(pdf) else np.zeros((0, window + 1))
+            yield pd.DataFrame({"well": pdf["well"], "fold": pdf["fold"], "lags": list(x[:, :-1]), "label": x[:, -1]})
+
+    return slices.mapInPandas(run, "well string, fold int, lags array<double>, label double")
+
 
-    return df.select("well", "t", c).groupBy("well").applyInPandas(run, f"well string, t int, {c} double, filtered double")
+def filter_windows(df: DataFrame, x: str, y: str, alpha: float = 0.2) -> DataFrame:
+    """Windows whose target column x and label y are each smoothed on their own: `x_filtered` and
+    `y_filtered`."""
+    for c in (x, y):
+        df = exp_smooth(df, c, alpha).withColumnRenamed("fitted", f"{c}_filtered")
+    return df
 
 
 def exp_smooth(df: DataFrame, c: str, alpha: float = 0.2) -> DataFrame:

@@ -133,14 +133,20 @@ def injection_join(spark, sf):
     return d.join(injector, "day", "left").select("well", "t", "oil", F.coalesce("injected", F.lit(0.0)).alias("injected"))
 
 
-@query("job_matrix", R + " SELECT row_number() OVER (ORDER BY a, h, w) AS job_id, a, h, w, CAST(NULL AS DOUBLE) AS smape, 'pending' AS status FROM (SELECT DISTINCT architecture_id AS a FROM r), (SELECT DISTINCT hyperparam_id AS h FROM r), (SELECT DISTINCT well AS w FROM r WHERE well < 'NATION_2')")
+@query(
+    "job_matrix",
+    R
+    + """ SELECT row_number() OVER (ORDER BY a, h, w) AS job_id, a, h, w, CAST(NULL AS DOUBLE) AS smape, 'pending' AS status
+FROM (SELECT DISTINCT architecture_id AS a FROM r), (SELECT DISTINCT hyperparam_id AS h FROM r), (SELECT DISTINCT well AS w FROM r)""",
+)
 def job_matrix(spark, sf):
-    from pyspark.sql import Window
-
-    r = runs(spark, sf)
-    one = lambda c, name: r.select(F.col(c).alias(name)).distinct()
-    grid = one("architecture_id", "a").crossJoin(one("hyperparam_id", "h")).crossJoin(one("well", "w").filter("w < 'NATION_2'"))  # three short lists of names
-    return grid.select(F.row_number().over(Window.orderBy("a", "h", "w")).cast("long").alias("job_id"), "a", "h", "w", F.lit(None).cast("double").alias("smape"), F.lit("pending").alias("status"))
+    """All combinations of three lists of names; a job's number follows from its places in them."""
+    names = [F.array_sort(F.collect_set(c)).alias(n) for c, n in (("architecture_id", "as"), ("hyperparam_id", "hs"), ("well", "ws"))]
+    grid = runs(spark, sf).agg(*names)
+    for c in "ahw":
+        grid = grid.select("*", F.posexplode(f"{c}s").alias(f"i{c}", c))
+    number = (F.col("ia") * F.size("hs") + F.col("ih")) * F.size("ws") + F.col("iw") + 1
+    return grid.select(number.cast("long").alias("job_id"), "a", "h", "w", F.lit(None).cast("double").alias("smape"), F.lit("pending").alias("status"))
 
 
 @query("prep_signature", R + """ SELECT well, sha256('{"architecture_id":"' || architecture_id || '","hyperparam_id":"' || hyperparam_id || '"}') AS signature, count(*) AS n FROM r GROUP BY ALL""")
@@ -179,10 +185,21 @@ def walk_forward_folds(spark, sf):
     return folds(daily_rates(spark, sf)).groupBy("well", "fold").agg(F.count(F.lit(1)).alias("n"), F.min("anchor").alias("first_anchor"), F.max("anchor").alias("last_anchor"))
 
 
-@query("leak_check", D + " SELECT count(*) AS n FROM (SELECT well, t FROM d WHERE t <= 200 INTERSECT SELECT well, t FROM d WHERE t > 195)")
+@query(
+    "leak_check",
+    D
+    + """, n AS (SELECT well, t, count(*) OVER (PARTITION BY well) - floor(count(*) OVER (PARTITION BY well) * 0.2) AS last FROM d),
+both_ AS (SELECT well, t FROM n WHERE t <= last INTERSECT SELECT well, t FROM n WHERE t > last - 6)
+SELECT well, count(*) AS n FROM both_ GROUP BY well""",
+)
 def leak_check(spark, sf):
-    d = daily_rates(spark, sf).select("well", "t")
-    return d.filter("t <= 200").intersect(d.filter("t > 195")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each well that both training and the windows of the test rows use."""
+    from ..operators.features import chrono_split
+
+    d = chrono_split(daily_rates(spark, sf), 0.2)
+    train = d.filter("side = 'train'").select("well", "t")
+    used = d.filter("side = 'test'").select("well", F.explode(F.sequence(F.col("t") - 6, F.col("t"))).alias("t")).distinct()
+    return train.intersect(used).groupBy("well").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("drop_finished_wells", D + " SELECT DISTINCT well FROM d WHERE well NOT IN (SELECT well FROM d GROUP BY well HAVING count(*) < 1000)")

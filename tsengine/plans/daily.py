@@ -21,6 +21,9 @@ SELECT concat(l_returnflag, '-', l_linestatus) AS well, CAST(l_shipdate AS DATE)
        CAST(COUNT(*) % 5 AS DOUBLE) AS choke
 FROM lineitem GROUP BY 1, 2) g"""
 
+#: The same with a well for each supplier.
+MANY_RATES = DAILY_RATES.replace("concat(l_returnflag, '-', l_linestatus)", "CAST(l_suppkey AS VARCHAR(20))")
+
 #: Results of experiments: an architecture, a parameter set and a well each.
 RUNS = """
 SELECT architecture_id, hyperparam_id, well, n, smape, smape * 1.5 + n % 7 AS mae, 1 - smape / 4 AS r2,
@@ -36,6 +39,10 @@ def daily_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DAILY_RATES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
 
 
+def many_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MANY_RATES.replace("FROM lineitem", "FROM {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = RUNS
     tables = {t: read(spark, sf_dir, t) for t in ("orders", "customer", "nation")}

@@ -13,8 +13,8 @@ from ..operators.metrics import scores
 from ..sources import files
 from ..streaming import jobs
 from .daily import daily_rates, read, runs
-from .registry import D, R, query, rounded
-from .shaping import _SEQ, _steps, _windows, members
+from .registry import D, R, draw, draw_sql, query, rounded
+from .shaping import _SEQ, _steps, _windows
 
 _K = ", z AS (SELECT well, t, oil, greatest(oil + 1e-6, 1e-6) AS z FROM d), k(well, t, x, p) AS (SELECT well, t, z::DOUBLE, 1 - 1 / (1 + 1e-3)::DOUBLE FROM z WHERE t = 1 UNION ALL SELECT z.well, z.t, k.x + (k.p + 1e-4) / (k.p + 1e-4 + 1e-3) * (z.z - k.x), (1 - (k.p + 1e-4) / (k.p + 1e-4 + 1e-3)) * (k.p + 1e-4) FROM k JOIN z ON z.well = k.well AND z.t = k.t + 1)"
 
@@ -24,7 +24,22 @@ def kalman_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.filter_series(daily_rates(spark, sf), "oil", "kalman").select("well", "t", "filtered"), "filtered", digits=4)
 
 
-@query("kalman_smooth")
+@query(
+    "kalman_smooth",
+    D
+    + """,
+n AS (SELECT well, max(t) AS n FROM d GROUP BY well),
+f(well, t, x, p) AS (
+  SELECT well, t, CAST(oil AS DOUBLE), CAST(1 - 1 / (1 + 1e-3) AS DOUBLE) FROM d WHERE t = 1
+  UNION ALL
+  SELECT d.well, d.t, f.x + (f.p + 1e-5) / (f.p + 1e-5 + 1e-3) * (d.oil - f.x), (1 - (f.p + 1e-5) / (f.p + 1e-5 + 1e-3)) * (f.p + 1e-5)
+  FROM f JOIN d ON d.well = f.well AND d.t = f.t + 1),
+b(well, t, x) AS (
+  SELECT f.well, f.t, f.x FROM f JOIN n ON n.well = f.well AND n.n = f.t
+  UNION ALL
+  SELECT f.well, f.t, f.x + f.p / (f.p + 1e-5) * (b.x - f.x) FROM b JOIN f ON f.well = b.well AND f.t = b.t - 1)
+SELECT well, t, round(x, 4) AS filtered FROM b""",
+)
 def kalman_smooth(spark, sf):
     return rounded(S.filter_series(daily_rates(spark, sf), "oil", "kalman_smooth").select("well", "t", "filtered"), "filtered", digits=4)
 
@@ -84,14 +99,14 @@ def haar_single(spark, sf):
     return _ends(S.haar_denoise(_vectors(spark, sf), "x", 1, F.lit(0.1)))
 
 
-@query("gaussian_smooth", D + _SEQ + ", g AS (SELECT unnest(range(-2, 3)) AS k), n AS (SELECT k, exp(-0.5 * power(k / 1.2, 2)) / (SELECT sum(exp(-0.5 * power(k / 1.2, 2))) FROM g) AS w FROM g) SELECT a.well, a.window_id, a.step, round(sum(coalesce(b.y, 0) * w), 4) AS y FROM e a CROSS JOIN n LEFT JOIN e b ON b.well = a.well AND b.window_id = a.window_id AND b.step = a.step + k WHERE a.window_id % 10 = 0 GROUP BY 1, 2, 3")
+@query("gaussian_smooth", D + _SEQ + ", g AS (SELECT unnest(range(-2, 3)) AS k), n AS (SELECT k, exp(-0.5 * power(k / 1.2, 2)) / (SELECT sum(exp(-0.5 * power(k / 1.2, 2))) FROM g) AS w FROM g) SELECT a.well, a.window_id, a.step, round(sum(coalesce(b.y, 0) * w), 4) AS y FROM e a CROSS JOIN n LEFT JOIN e b ON b.well = a.well AND b.window_id = a.window_id AND b.step = a.step + k GROUP BY 1, 2, 3")
 def gaussian_smooth(spark, sf):
     import math
 
     raw = [math.exp(-0.5 * (k / 1.2) ** 2) for k in range(-2, 3)]
     w = Window.partitionBy("well", "window_id").orderBy("step")
     total = sum((F.coalesce(F.lead("y", k).over(w) if k > 0 else F.lag("y", -k).over(w), F.lit(0.0)) * (r / sum(raw)) for k, r in zip(range(-2, 3), raw)), F.lit(0.0))
-    return rounded(_steps(spark, sf).filter("window_id % 10 = 0").select("well", "window_id", "step", total.alias("y")), "y", digits=4)
+    return rounded(_steps(spark, sf).select("well", "window_id", "step", total.alias("y")), "y", digits=4)
 
 
 @query("augment_scale", D + _SEQ + " SELECT well, window_id, f AS block, round(x[7] / f, 6) AS x_last, round(y[30] / f, 6) AS y_last FROM q, (SELECT unnest([1.0, 1.5, 3.0, 19.0]::DOUBLE[]) AS f)")
@@ -100,12 +115,21 @@ def augment_scale(spark, sf):
     return rounded(w.select("well", "window_id", "block", (F.get(F.element_at("x", -1), F.lit(0)) / F.col("block")).alias("x_last"), (F.element_at("y", -1) / F.col("block")).alias("y_last")), "x_last", "y_last")
 
 
-@query("augment_subsample")
+@query(
+    "augment_subsample",
+    D
+    + _SEQ
+    + f""", w AS (SELECT well, window_id, f AS block FROM q, (SELECT unnest([1.5, 3.0]::DOUBLE[]) AS f)),
+k AS (SELECT *, row_number() OVER (PARTITION BY well, block ORDER BY {draw_sql("7", "well", "window_id", "CAST(block * 2 AS INTEGER)")}, window_id) AS k,
+             count(*) OVER (PARTITION BY well, block) AS n FROM w)
+SELECT well, window_id, block FROM k WHERE k <= floor(n * 0.95)""",
+)
 def augment_subsample(spark, sf):
     """95 % of each scaled block, chosen by a seeded hash, in order of time."""
     w = _windows(spark, sf).select("well", "window_id", F.explode(F.array(*map(F.lit, (1.5, 3.0)))).alias("block"))
     p = Window.partitionBy("well", "block")
-    w = w.withColumns({"k": F.row_number().over(p.orderBy(F.xxhash64(F.lit(7), "window_id", "block"), "window_id")), "n": F.count(F.lit(1)).over(p)})
+    order = draw(F.lit("7"), "well", F.col("window_id").cast("string"), (F.col("block") * 2).cast("int").cast("string"))
+    w = w.withColumns({"k": F.row_number().over(p.orderBy(order, "window_id")), "n": F.count(F.lit(1)).over(p)})
     return w.filter(F.col("k") <= F.floor(F.col("n") * 0.95)).select("well", "window_id", "block")
 
 
@@ -126,34 +150,53 @@ def augment_jitter(spark, sf):
     return d.select("well", "t", (F.col("downhole") + F.col("noise")).alias("downhole"), (F.col("whp") + F.col("noise")).alias("whp"))
 
 
-@query("augment_bootstrap")
+@query(
+    "augment_bootstrap",
+    D
+    + _SEQ
+    + f""", n AS (SELECT well, max(window_id) + 1 AS n FROM q GROUP BY well)
+SELECT q.well, q.window_id AS draw, CAST({draw_sql("7", "q.well", "q.window_id")} % n AS INTEGER) AS window_id FROM q JOIN n USING (well)""",
+)
 def augment_bootstrap(spark, sf):
     """Whole windows drawn with replacement."""
     w = _windows(spark, sf).select("well", "window_id")
-    n = F.max("window_id").over(Window.partitionBy("well"))
-    drawn = w.select("well", F.floor(F.rand(7) * (n + 1)).cast("int").alias("window_id"), F.col("window_id").alias("draw"))
+    n = F.max("window_id").over(Window.partitionBy("well")) + 1
+    place = draw(F.lit("7"), "well", F.col("window_id").cast("string"))
+    drawn = w.select("well", (place % n).cast("int").alias("window_id"), F.col("window_id").alias("draw"))
     return drawn.join(w, ["well", "window_id"]).select("well", "draw", "window_id")
 
 
 @query("augment_phys")
 def augment_phys(spark, sf):
-    d = daily_rates(spark, sf).select("well", "t", "oil", "downhole")
-    parts = [d.withColumn("block", F.lit("original")), d.withColumns({"oil": F.col("oil") / 2, "downhole": F.col("downhole") / 2, "block": F.lit("scaled")}), d.withColumns({"downhole": F.col("downhole") + F.randn(7) * 5, "block": F.lit("jitter")})]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """The parts that are switched on, each with its block: scaled, jitter, warp, bootstrap."""
+    return X.augment(daily_rates(spark, sf).select("well", "t", "oil", "downhole"), scale=(1.5, 2.0), jitter=5.0, warp=0.8, bootstrap=2, seed=7)
 
 
-@query("hybrid_validation")
+@query(
+    "hybrid_validation",
+    D
+    + f""", n AS (SELECT *, count(*) OVER (PARTITION BY well) AS n FROM d),
+s AS (SELECT well, t, CASE WHEN t <= n - floor(n * 0.4) THEN 'train' WHEN t - (n - floor(n * 0.4)) <= floor(floor(n * 0.4) * 0.5) THEN 'val' ELSE 'test' END AS side FROM n)
+SELECT well, t, side FROM s WHERE side = 'val' OR side = 'train' AND {draw_sql("well", "t")} % 10 = 0""",
+)
 def hybrid_validation(spark, sf):
     """A hashed tenth of the training rows joined with the explicit validation rows."""
     d = X.three_way_split(daily_rates(spark, sf), 0.4, 0.5).select("well", "t", "side")
-    draw = F.pmod(F.xxhash64("well", "t"), F.lit(10)) == 0
-    return d.filter((F.col("side") == "val") | (F.col("side") == "train") & draw)
+    tenth = draw("well", F.col("t").cast("string")) % 10 == 0
+    return d.filter((F.col("side") == "val") | (F.col("side") == "train") & tenth)
 
 
-@query("poly_trend")
+_TREND = [f"list_dot_product(y, {w.tolist()!r}::DOUBLE[])" for w in ML.trend_weights(30)]
+
+
+@query(
+    "poly_trend",
+    D + _SEQ + " SELECT well, window_id, " + ", ".join(f"round({w}, 8) + 0.0 AS c{i}" for i, w in enumerate(_TREND)) + " FROM q",
+)
 def poly_trend(spark, sf):
-    w = ML.polynomial_trend(_windows(spark, sf).select("well", "window_id", "y"), "y")
-    return w.select("well", "window_id", *[F.round(F.get("coef", F.lit(i)), 4).alias(f"c{i}") for i in range(3)])
+    w = ML.polynomial_trend(_windows(spark, sf).select("well", "window_id", "y"), "y", 30)
+    w = w.select("well", "window_id", *[F.get("coef", F.lit(i)).alias(f"c{i}") for i in range(3)])
+    return rounded(w, "c0", "c1", "c2", digits=8)
 
 
 @query("lag_regression")
@@ -169,12 +212,21 @@ def lag_gram(spark, sf):
     return rows.na.drop().groupBy("well").agg(F.count(F.lit(1)).alias("n"), product("x1", "x2").alias("g01"), product("x1", "y").alias("g0y"), product("x7", "y").alias("g6y"))
 
 
-@query("linear_attribution", D + " SELECT well, t, round(0.7 * (oil - avg(oil) OVER w), 4) + 0.0 AS phi_oil, round(0.3 * (water - avg(water) OVER w), 4) + 0.0 AS phi_water FROM d WINDOW w AS (PARTITION BY well)")
+@query(
+    "linear_attribution",
+    D
+    + """,
+l AS (SELECT well, t, oil, water, lead(oil, 56) OVER (PARTITION BY well ORDER BY t) AS y FROM d),
+c AS (SELECT well, covar_pop(oil, oil) AS s11, covar_pop(oil, water) AS s12, covar_pop(water, water) AS s22,
+             covar_pop(oil, y) AS s1, covar_pop(water, y) AS s2 FROM l WHERE y IS NOT NULL GROUP BY well),
+b AS (SELECT well, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2 FROM c)
+SELECT l.well, t, round(b1 * (oil - avg(oil) OVER w), 4) + 0.0 AS phi_oil, round(b2 * (water - avg(water) OVER w), 4) + 0.0 AS phi_water
+FROM l JOIN b ON l.well = b.well WINDOW w AS (PARTITION BY l.well)""",
+)
 def linear_attribution(spark, sf):
-    """Exact attributions of a linear model: coefficient times distance from the mean."""
-    w = Window.partitionBy("well")
-    phi = lambda c, beta: (beta * (F.col(c) - F.avg(c).over(w))).alias(f"phi_{c}")
-    return rounded(daily_rates(spark, sf).select("well", "t", phi("oil", 0.7), phi("water", 0.3)), "phi_oil", "phi_water", digits=4)
+    """Exact attributions of the linear model that is fitted to each well."""
+    phi = ML.linear_attribution(daily_rates(spark, sf), ["oil", "water"], "oil", 56)
+    return rounded(phi, "phi_oil", "phi_water", digits=4)
 
 
 @query("walk_forward_eval")
@@ -200,16 +252,6 @@ def tabular_prepare(spark, sf):
     return rounded(rows.join(stats, "well").select("well", "t", ((F.col("oil_lag0") - F.col("c")) / F.col("sd")).alias("scaled"), "before", (F.col("side") == "train").alias("train")), "scaled")
 
 
-@query("run_experiments")
-def run_experiments(spark, sf):
-    """All members as experiments of one plan: forecast, score on validation and test, merge."""
-    from ..operators.metrics import merge_val_test
-
-    f = members(spark, sf).withColumn("half", F.when(F.col("t") % 2 == 0, "val").otherwise("test"))
-    s = scores(f, ["well", "m", "half"], "y", "p").select("well", "m", "half", "r2", "smape", "mae")
-    return merge_val_test(s.filter("half = 'val'").drop("half"), s.filter("half = 'test'").drop("half"), ["r2", "smape", "mae"])
-
-
 # Files: written below the shared folder, then read by the reader under test.
 @query("src_tab", D + " SELECT well AS \"WELL\", t::DOUBLE AS \"DAY\", CASE WHEN t % 50 = 0 THEN NULL ELSE oil END AS \"QOOB\" FROM d")
 def src_tab(spark, sf):
@@ -270,4 +312,5 @@ def stream_kalman(spark, sf):
 
 @query("stream_window_rows", "WITH e AS (SELECT event_type, row_number() OVER w AS k, sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 6 PRECEDING) AS total, sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_type, k, round(total, 4) AS total, round(running, 2) AS running FROM e WHERE k >= 7")
 def stream_window_rows(spark, sf):
-    return rounded(rounded(jobs.rolling_buffer(spark, f"{sf}/events.parquet", 7), "total", digits=4), "running", digits=2)
+    out = jobs.rolling_buffer(spark, f"{sf}/events.parquet", 7).drop("lags")
+    return rounded(rounded(out, "total", digits=4), "running", digits=2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .daily import DAILY_RATES, RUNS
@@ -26,6 +26,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def draw(*columns: str | Column) -> Column:
+    """A number below 2^32 that is drawn from these columns, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *columns)), 1, 8), 16, 10).cast("long")
+
+
+def draw_sql(*columns: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('-', {', '.join(columns)})), 1, 8) AS BIGINT)"
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Doubles rounded, without negative zero, so that engines agree on every bit."""
     return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})

@@ -27,22 +27,31 @@ def label_lookup(spark, sf):
     return board.join(F.broadcast(names), "architecture_id", "left").select("architecture_id", "label", F.col("rank").cast("long").alias("rank"))
 
 
-@query("leaderboard_pivot", R + " SELECT hyperparam_id, " + ", ".join(f"round(avg(smape) FILTER (WHERE architecture_id = '{a}'), 6) AS \"{a}\"" for a in ("AUTOMOBILE", "BUILDING", "MACHINERY")) + " FROM r GROUP BY 1")
-def leaderboard_pivot(spark, sf):
-    names = ["AUTOMOBILE", "BUILDING", "MACHINERY"]
-    return rounded(runs(spark, sf).groupBy("hyperparam_id").pivot("architecture_id", names).agg(F.avg("smape")), *names)
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@query("sensitivity_pivot", R + " SELECT win, " + ", ".join(f"round(avg(smape) FILTER (WHERE hor = {h}), 6) AS h{h}" for h in (0, 1, 2)) + " FROM (SELECT *, n % 4 AS win, n % 3 AS hor FROM r) GROUP BY 1")
+@query(
+    "leaderboard_pivot",
+    R + " SELECT hyperparam_id, " + ", ".join(f"round(avg(smape) FILTER (WHERE architecture_id = '{a}'), 9) AS \"{a}\"" for a in SEGMENTS) + " FROM r GROUP BY 1",
+)
+def leaderboard_pivot(spark, sf, names=tuple(SEGMENTS)):
+    return rounded(runs(spark, sf).groupBy("hyperparam_id").pivot("architecture_id", list(names)).agg(F.avg("smape")), *names, digits=9)
+
+
+@query(
+    "sensitivity_pivot",
+    R + " SELECT win, " + ", ".join(f"round(avg(smape) FILTER (WHERE hor = {h}), 6) AS h{h}" for h in (0, 1, 2)) + " FROM (SELECT *, n % 4 AS win, n % 3 AS hor FROM r) GROUP BY 1",
+)
 def sensitivity_pivot(spark, sf):
-    r = runs(spark, sf).withColumns({"win": F.col("n") % 4, "hor": F.col("n") % 3})
-    out = r.groupBy("win").pivot("hor", [0, 1, 2]).agg(F.avg("smape"))
-    return rounded(out.withColumnsRenamed({str(h): f"h{h}" for h in range(3)}), "h0", "h1", "h2")
+    """Window sizes by horizons; the horizons are those that occur."""
+    r = runs(spark, sf).withColumns({"win": F.col("n") % 4, "hor": F.concat(F.lit("h"), F.col("n") % 3)})
+    out = r.groupBy("win").pivot("hor").agg(F.avg("smape"))
+    return rounded(out, *[c for c in out.columns if c != "win"])
 
 
-@query("drilldown", R + " SELECT architecture_id, well, round(avg(smape), 6) AS smape, round(avg(mae), 6) AS mae, count(*) AS n FROM r GROUP BY ROLLUP (architecture_id, well)")
+@query("drilldown", R + " SELECT architecture_id, well, round(avg(smape), 9) AS smape, round(avg(mae), 9) AS mae, count(*) AS n FROM r GROUP BY ROLLUP (architecture_id, well)")
 def drilldown(spark, sf):
-    return rounded(runs(spark, sf).rollup("architecture_id", "well").agg(F.avg("smape").alias("smape"), F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("n")), "smape", "mae")
+    return rounded(runs(spark, sf).rollup("architecture_id", "well").agg(F.avg("smape").alias("smape"), F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("n")), "smape", "mae", digits=9)
 
 
 @query("best_cell", R + _BOARD + " SELECT arg_min(architecture_id, m) AS architecture_id, arg_min(hyperparam_id, m) AS hyperparam_id, round(min(m), 6) AS best, round(median(m), 6) AS middle FROM k")
@@ -51,10 +60,10 @@ def best_cell(spark, sf):
     return rounded(b.agg(*[F.min_by(k, "m").alias(k) for k in KEYS], F.min("m").alias("best"), F.median("m").alias("middle")), "best", "middle")
 
 
-@query("category_stats", R + " SELECT category, split_part(category, ' ', 1) AS base, count(*) AS n, round(avg(smape), 6) AS mean_smape, round(stddev_samp(smape), 6) AS std_smape, round(avg(r2), 6) AS mean_r2 FROM r GROUP BY category")
+@query("category_stats", R + " SELECT category, split_part(category, ' ', 1) AS base, count(*) AS n, round(avg(smape), 9) AS mean_smape, round(stddev_samp(smape), 9) AS std_smape, round(avg(r2), 9) AS mean_r2 FROM r GROUP BY category")
 def category_stats(spark, sf):
     g = runs(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("smape").alias("mean_smape"), F.stddev_samp("smape").alias("std_smape"), F.avg("r2").alias("mean_r2"))
-    return rounded(g.withColumn("base", F.split_part("category", F.lit(" "), F.lit(1))), "mean_smape", "std_smape", "mean_r2")
+    return rounded(g.withColumn("base", F.split_part("category", F.lit(" "), F.lit(1))), "mean_smape", "std_smape", "mean_r2", digits=9)
 
 
 _CAT = ", c AS (SELECT architecture_id AS g, hyperparam_id AS h, avg(r2) AS r2, avg(smape) AS smape, avg(mae) AS mae FROM r GROUP BY 1, 2)"
@@ -91,11 +100,18 @@ def top10_by_smape(spark, sf):
     return runs(spark, sf).select("job_id", "smape").orderBy("smape", "job_id").limit(10)
 
 
-@query("ordered_results", R + " SELECT well, smape, architecture_id, row_number() OVER (ORDER BY list_position(['MACHINERY', 'BUILDING'], architecture_id) NULLS LAST, well, job_id) AS place FROM r WHERE architecture_id IN ('BUILDING', 'MACHINERY')")
+@query(
+    "ordered_results",
+    R
+    + """ SELECT well, smape, architecture_id,
+ row_number() OVER (ORDER BY list_position(['MACHINERY', 'BUILDING'], architecture_id) NULLS LAST, architecture_id, well, job_id) AS place FROM r""",
+)
 def ordered_results(spark, sf):
-    r = runs(spark, sf).filter(F.col("architecture_id").isin("BUILDING", "MACHINERY"))
-    order = F.array_position(F.array(F.lit("MACHINERY"), F.lit("BUILDING")), F.col("architecture_id"))
-    return r.select("well", "smape", "architecture_id", F.row_number().over(Window.orderBy(order, "well", "job_id")).cast("long").alias("place"))
+    """Listed architectures first, in the list's order, then the others by name."""
+    listed = F.array(F.lit("MACHINERY"), F.lit("BUILDING"))
+    first = F.nullif(F.array_position(listed, F.col("architecture_id")), F.lit(0))
+    out = M.place(runs(spark, sf), [first, F.col("architecture_id"), F.col("well")], [F.col("job_id")])
+    return out.select("well", "smape", "architecture_id", "place")
 
 
 @query("topn_per_group", R + " SELECT architecture_id, job_id, smape FROM (SELECT *, row_number() OVER (PARTITION BY architecture_id ORDER BY smape, job_id) AS k FROM r) WHERE k <= 3")
@@ -173,6 +189,34 @@ def attr_direction(spark, sf):
     return rounded(g.withColumn("direction", F.when(F.col("rho") >= 0, "up").otherwise("down")), "rho", digits=4)
 
 
+@query(
+    "attr_summary",
+    _A
+    + f""", g AS (SELECT iteration, {_GINI} AS gini FROM q GROUP BY 1),
+rho AS (SELECT b.iteration, corr(a.rank, b.rank) AS rho FROM q a JOIN q b ON a.feature = b.feature AND a.iteration = b.iteration - 1 GROUP BY 1),
+dir AS (SELECT feature, avg(phi) AS mean_phi, avg(abs(phi)) AS strength FROM a GROUP BY 1)
+SELECT (SELECT array_to_string(list(feature ORDER BY round(strength, 9) DESC, feature)[1:5], ',') FROM dir) AS top,
+       round((SELECT min(rho) FROM rho), 6) AS least_rho, (SELECT min(rho) >= 0.9 FROM rho) AS stable,
+       round((SELECT arg_max(gini, iteration) - arg_min(gini, iteration) FROM g), 6) AS gini_change,
+       (SELECT count(*) FILTER (WHERE round(mean_phi, 9) > 0) FROM dir) AS positive, (SELECT count(*) FILTER (WHERE round(mean_phi, 9) < 0) FROM dir) AS negative""",
+)
+def attr_summary(spark, sf):
+    """Over all iterations: the most influential features, whether their order is stable, how far
+    the gini moved, and how many features drive the outcome up and down."""
+    q = _report(spark, sf).select("iteration", "feature", "rank", "share")
+    gini = 1 - 2.0 / F.count(F.lit(1)) * (1 - (F.min("share") + F.max("share")) / 2)
+    change = q.groupBy("iteration").agg(gini.alias("gini")).agg((F.max_by("gini", "iteration") - F.min_by("gini", "iteration")).alias("gini_change"))
+    before = q.select((F.col("iteration") + 1).alias("iteration"), "feature", F.col("rank").alias("before"))
+    rho = q.join(before, ["iteration", "feature"]).groupBy("iteration").agg(F.corr("rank", "before").alias("rho")).agg(F.min("rho").alias("least_rho"))
+    each = attributions(spark, sf).groupBy("feature").agg(F.round(F.avg("phi"), 9).alias("mean_phi"), F.round(F.avg(F.abs("phi")), 9).alias("strength"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("strength")).alias("s"), "feature")))
+    names = F.array_join(F.transform(F.slice(order, 1, 5), lambda x: x["feature"].cast("string")), ",")
+    drivers = each.agg(names.alias("top"), F.count_if(F.col("mean_phi") > 0).alias("positive"), F.count_if(F.col("mean_phi") < 0).alias("negative"))
+    one = lambda df: df.withColumn("_one", F.lit(1))  # noqa: E731  three single rows
+    out = one(drivers).join(one(rho), "_one").join(one(change), "_one").drop("_one")
+    return rounded(out.withColumn("stable", F.col("least_rho") >= 0.9), "least_rho", "gini_change")
+
+
 @query("attr_longitudinal", _A + f", g AS (SELECT iteration, {_GINI} AS gini, arg_min(feature, rank * 1000 + feature) AS top FROM q GROUP BY 1) SELECT arg_min(top, iteration) AS first_top, arg_max(top, iteration) AS last_top, round(arg_min(gini, iteration), 6) AS first_gini, round(arg_max(gini, iteration), 6) AS last_gini FROM g")
 def attr_longitudinal(spark, sf):
     gini = 1 - 2.0 / F.count(F.lit(1)) * (1 - (F.min("share") + F.max("share")) / 2)

@@ -89,10 +89,10 @@ def _steps(spark, sf) -> DataFrame:
     return long.withColumn("p", F.col("y") * 0.9 + F.col("step"))
 
 
-@query("seq_windows", D + _SEQ + " SELECT well, window_id, x[1] AS x_first, x[7] AS x_last, g[7] AS gas_last, y[1] AS y_first, y[30] AS y_last FROM q WHERE window_id % 5 = 0")
+@query("seq_windows", D + _SEQ + " SELECT well, window_id, x[1] AS x_first, x[7] AS x_last, g[7] AS gas_last, y[1] AS y_first, y[30] AS y_last FROM q")
 def seq_windows(spark, sf):
     at = lambda c, i: F.get(c, F.lit(i))
-    return _windows(spark, sf, 5).select("well", "window_id", at(at("x", 0), 0).alias("x_first"), at(at("x", 6), 0).alias("x_last"), at(at("x", 6), 1).alias("gas_last"), at("y", 0).alias("y_first"), at("y", 29).alias("y_last"))
+    return _windows(spark, sf).select("well", "window_id", at(at("x", 0), 0).alias("x_first"), at(at("x", 6), 0).alias("x_last"), at(at("x", 6), 1).alias("gas_last"), at("y", 0).alias("y_first"), at("y", 29).alias("y_last"))
 
 
 @query("window_context", D + _SEQ + " SELECT well, window_id, round(list_avg(x), 6) AS mean_oil, x[7] AS last_oil, round(list_avg(g), 4) AS mean_gas, len(x) + len(g) AS flat FROM q")
@@ -165,10 +165,18 @@ def block_validation_split(spark, sf):
     return b.filter(F.col("rn") > F.col("n") - F.floor(F.col("n") * 0.1)).select("well", "block", "t")
 
 
-@query("last_k_train", D + " SELECT well, t FROM (SELECT well, t, row_number() OVER (PARTITION BY well ORDER BY t DESC) AS k FROM d WHERE t <= 500) WHERE k <= 50")
+@query(
+    "last_k_train",
+    D
+    + _N
+    + """ SELECT well, t FROM (SELECT well, t, row_number() OVER (PARTITION BY well ORDER BY t DESC) AS k FROM n
+ WHERE t <= n - floor(n * 0.2)) WHERE k <= 50""",
+)
 def last_k_train(spark, sf):
+    """The last 50 training rows of each well."""
     k = F.row_number().over(Window.partitionBy("well").orderBy(F.desc("t")))
-    return daily_rates(spark, sf).filter("t <= 500").select("well", "t", k.alias("k")).filter("k <= 50").select("well", "t")
+    train = X.chrono_split(daily_rates(spark, sf), 0.2).filter("side = 'train'")
+    return train.select("well", "t", k.alias("k")).filter("k <= 50").select("well", "t")
 
 
 @query("feature_branches", D + " SELECT well, t, branch, round(v, 4) AS v FROM (SELECT well, t, 'gas-water-downhole' AS branch, gas + water + downhole AS v FROM d UNION ALL SELECT well, t, 'gas-water-choke', gas + water + choke FROM d UNION ALL SELECT well, t, 'gas-downhole-choke', gas + downhole + choke FROM d UNION ALL SELECT well, t, 'water-downhole-choke', water + downhole + choke FROM d)")
@@ -218,13 +226,13 @@ for _name in DECLINES:
     ORACLE_SQL[f"decline_{_name}"] = D + _LAST + f" SELECT well, tau_ AS tau, round({_CURVES[_name]}, 4) AS q FROM s"
 
 
-_GRID = ", g AS (SELECT pf, dd, bb FROM (SELECT unnest([1.05, 1.1, 1.3]) AS pf), (SELECT unnest([0.001, 0.01, 0.1]) AS dd), (SELECT unnest([0.25, 0.5, 1.0]) AS bb)), h AS (SELECT well, t, oil, downhole, oil / 100 AS pi FROM d WHERE t <= 60), m AS (SELECT well, avg(downhole) AS p FROM h GROUP BY well)"
+_GRID = ", g AS (SELECT pf, dd, bb FROM (SELECT unnest([1.05, 1.1, 1.3]) AS pf), (SELECT unnest([0.001, 0.01, 0.1]) AS dd), (SELECT unnest([0.25, 0.5, 1.0]) AS bb)), h AS (SELECT well, t, oil, downhole, oil / 100 AS pi FROM d), m AS (SELECT well, avg(downhole) AS p FROM h GROUP BY well)"
 
 
 @query("decline_fit_grid", D + _GRID + ", x AS (SELECT well, pf, dd, bb, sum(power(oil - abs(pi * (p * pf / power(1 + bb * dd * t, 1 / bb) - downhole)), 2)) AS sse FROM h JOIN m USING (well), g GROUP BY ALL) SELECT well, arg_min(pf, sse) AS p_factor, arg_min(dd, sse) AS d, arg_min(bb, sse) AS b, round(min(sse), 2) AS sse FROM x GROUP BY well")
 def decline_fit_grid(spark, sf):
     """The best (P, D, b) of a fixed grid for each well."""
-    h = daily_rates(spark, sf).filter("t <= 60").withColumn("p", F.avg("downhole").over(Window.partitionBy("well")))
+    h = daily_rates(spark, sf).withColumn("p", F.avg("downhole").over(Window.partitionBy("well")))
     for c, values in (("pf", [1.05, 1.1, 1.3]), ("d", [0.001, 0.01, 0.1]), ("b", [0.25, 0.5, 1.0])):
         h = h.withColumn(c, F.explode(F.array(*map(F.lit, values))))
     q = F.abs(F.col("oil") / 100 * (F.col("p") * F.col("pf") / F.pow(1 + F.col("b") * F.col("d") * F.col("t"), 1 / F.col("b")) - F.col("downhole")))

@@ -1,94 +1,156 @@
-"""Structured Streaming versions of the daily loop: buffers, online filters, decimation.
+"""Structured Streaming versions of the daily loop: buffers, online filters, refits, decimation.
 
 Each job reads a table as a stream until it ends (availableNow), writes its output as
 Parquet below the shared folder, and returns what was written."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.models import walk_forward
+from ..operators.signals import filter_columns
 from ..sources.files import shared_folder
 
+#: Files of a micro-batch: bounds what is sorted at once.
+FILES = 4
 
-def _stream(spark: SparkSession, path: str) -> DataFrame:
-    """The files of the table at `path` as a stream."""
-    schema = spark.read.parquet(path).schema
+
+def _stream(spark: SparkSession, path: str, files: int = FILES) -> DataFrame:
+    """The files of the table at `path`, one file or a folder of them, as a stream."""
+    table = spark.read.parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{{{name},{name}/*}}")
+    one = all(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles())
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name if one else "*.parquet")
+    return stream.parquet(folder if one else path)
 
 
-def _run(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
-    spark = df.sparkSession
-    schema = df.schema
-    q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+def _run(df: DataFrame, out: str) -> None:
+    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/data")
 
 
-def tumbling_first(spark: SparkSession, path: str, width: str = "12 hours") -> DataFrame:
-    """Rows and first time of each window of `width`. Windows close behind the watermark; what
-    is later than that is dropped. The last windows close when the stream has ended, by rows
-    of a time after all others, which are left out."""
-    events = _stream(spark, path).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    agg = events.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+def tumbling_first(spark: SparkSession, path: str, width: str = "12 hours", late: str = "1 day") -> DataFrame:
+    """Rows and first time of each window of `width`. Windows close `late` behind the newest row,
+    and what comes for a closed window is dropped, so that only open windows are state. When the
+    stream has ended, a row of a time after all others closes the last windows; its own never
+    closes."""
     out = shared_folder(spark)
+    closing = spark.range(1).select(F.lit(None).cast("string").alias("event_type"), F.lit("9000-01-01").cast("timestamp").alias("ts"))
+    closing.filter("false").write.parquet(f"{out}/closing/none")
+    events = _stream(spark, path).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    last = spark.readStream.schema(closing.schema).parquet(f"{out}/closing/*")
+    both = events.unionAll(last).withWatermark("ts", late)
+    agg = both.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
+    flat = agg.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"))
+    _run(flat, out)
+    closing.write.parquet(f"{out}/closing/last")
+    _run(flat, out)  # goes on from the checkpoint
+    return spark.read.schema(flat.schema).parquet(f"{out}/data")
 
-    def keep(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
 
-    flat = agg.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"))
-    q = flat.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+def buffered(spark: SparkSession, path: str, size: int, step: Callable[[DataFrame], DataFrame], carried: dict[str, str], ttl: str = "3650 days", files: int = FILES) -> DataFrame:
+    """Each micro-batch behind the last `size` rows of each key, through `step`.
+
+    `step` gets rows (event_type, event_id, ts, value, k, fresh, and the carried columns, null
+    in fresh rows) in which k numbers a key's rows in sequence; it fills in the carried columns
+    and adds others. What it returns for fresh rows is the output. The buffer is a table of each
+    epoch below the shared folder, so an epoch that is run again gives the same; keys that are
+    silent for `ttl` leave it. Nothing is gathered in one process: rows of a key are sorted by
+    Spark, which spills."""
+    out = shared_folder(spark)
+    names = ["event_type", "event_id", "ts", "value"]
+    key = Window.partitionBy("event_type")
+    schemas: list = []
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        new = batch.select(*names, F.row_number().over(key.orderBy("ts", "event_id")).cast("long").alias("k"))
+        if epoch:
+            old = session.read.parquet(f"{out}/state/{epoch - 1}")
+            seen = old.groupBy("event_type").agg(F.max("k").alias("seen"))
+            new = new.join(seen, "event_type", "left").withColumn("k", F.col("k") + F.coalesce("seen", F.lit(0))).drop("seen")
+        rows = new.select("*", F.lit(True).alias("fresh"), *[F.lit(None).cast(t).alias(c) for c, t in carried.items()])
+        if epoch:
+            rows = rows.unionByName(old.withColumn("fresh", F.lit(False)))
+        done = step(rows)
+        schemas[:] = [done.drop("fresh", *[c for c in carried if c not in done.columns]).schema]
+        done.write.mode("overwrite").parquet(f"{out}/all/{epoch}")
+        done = session.read.schema(done.schema).parquet(f"{out}/all/{epoch}")
+        done.filter("fresh").drop("fresh").write.mode("overwrite").parquet(f"{out}/data/{epoch}")
+        newest = F.max("ts").over(Window.partitionBy())
+        keys = done.groupBy("event_type").agg(F.max("ts").alias("ts"), F.max("k").alias("top"))
+        alive = keys.withColumn("newest", newest).filter(F.col("ts") >= F.col("newest") - F.expr(f"INTERVAL '{ttl.split()[0]}' DAY")).select("event_type", "top")
+        kept = done.join(alive, "event_type").filter(F.col("k") > F.col("top") - size)
+        kept.select(*names, "k", *carried).write.mode("overwrite").parquet(f"{out}/state/{epoch}")
+
+    q = _stream(spark, path, files).writeStream.foreachBatch(run).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    done = spark.read.schema(flat.schema).option("basePath", f"{out}/data").parquet(f"{out}/data")
-    latest = done.select(F.max("epoch").alias("epoch")) if "epoch" in done.columns else None
-    return done if latest is None else done.join(F.broadcast(latest), "epoch").drop("epoch")
-
-
-def _by_key(spark: SparkSession, path: str, fn, out_schema: str, state_schema: str) -> DataFrame:
-    events = _stream(spark, path).select("event_type", "event_id", "ts", "value")
-    kept = events.groupBy("event_type").applyInPandasWithState(fn, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-    return _run(kept, shared_folder(spark))
-
-
-def online_kalman(spark: SparkSession, path: str, q: float = 1e-4, r: float = 1e-3, eps: float = 1e-6) -> DataFrame:
-    """The local-level filter with (k, x, p) as state of each key: rows of a batch in order."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        k, x, p = state.get if state.exists else (0, 0.0, 1.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for v in rows["value"]:
-            z = max(v + eps, eps)
-            if k:
-                p += q
-            else:
-                x = z
-            g = p / (p + r)
-            x, p, k = x + g * (z - x), (1 - g) * p, k + 1
-            out.append((key[0], k, x))
-        state.update((k, x, p))
-        yield pd.DataFrame(out, columns=["event_type", "k", "x"])
-
-    return _by_key(spark, path, step, "event_type string, k long, x double", "k long, x double, p double")
-
-
-def rolling_buffer(spark: SparkSession, path: str, window: int) -> DataFrame:
-    """The last `window` values of each key as state; from the window-th on, each new row gives
-    the buffer's sum and the running total."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        k, total, last = state.get if state.exists else (0, 0.0, [])
-        last, out = list(last), []
-        for v in pd.concat(list(batches)).sort_values(["ts", "event_id"])["value"]:
-            k, total, last = k + 1, total + v, [*last, v][-window:]
-            if k >= window:
-                out.append((key[0], k, sum(last), total))
-        state.update((k, total, last))
-        yield pd.DataFrame(out, columns=["event_type", "k", "total", "running"])
-
-    return _by_key(spark, path, step, "event_type string, k long, total double, running double", "k long, total double, last array<double>")
+    return spark.read.schema(schemas[0]).option("recursiveFileLookup", True).parquet(f"{out}/data")
+
+
+def _running(c: str, start: str) -> Column:
+    """The running total of c over fresh rows, from the carried total of the last old row on."""
+    w = Window.partitionBy("event_type").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    fresh = F.sum(F.when(F.col("fresh"), F.col(c)).otherwise(0.0)).over(w)
+    return F.when(F.col("fresh"), F.coalesce(F.last(start, ignorenulls=True).over(w), F.lit(0.0)) + fresh).otherwise(F.col(start))
+
+
+def online_kalman(spark: SparkSession, path: str, q: float = 1e-4, r: float = 1e-3, files: int = FILES) -> DataFrame:
+    """event_type, k and x, the local-level filter's state after row k. The filter forgets: behind
+    a buffer of 512 rows it gives what it gives over all of them."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("event_type").orderBy("k"))
+        placed = rows.select("*", F.col("value").cast("double").alias("x"), place.alias("_place"))
+        return filter_columns(placed, ["x"], "kalman", ["event_type"], "_place", q=q, r=r).drop("_place", "x_Original")
+
+    return buffered(spark, path, 512, step, {}, files=files).select("event_type", "k", "x")
+
+
+def rolling_buffer(spark: SparkSession, path: str, window: int, size: int = 150, files: int = FILES) -> DataFrame:
+    """From the window-th row of a key on, each new row gives the sum of the last `window` values,
+    these values as lags, newest first, and the running total."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("event_type").orderBy("k")
+        past = w.rowsBetween(1 - window, 0)
+        lags = F.reverse(F.collect_list("value").over(past))
+        out = rows.withColumn("running", _running("value", "running"))
+        return out.select("*", F.sum("value").over(past).alias("total"), lags.alias("lags"))
+
+    done = buffered(spark, path, size, step, {"running": "double"}, files=files)
+    return done.filter(F.col("k") >= window).select("event_type", "k", "total", "running", "lags")
+
+
+def running_metrics(spark: SparkSession, path: str, window: int = 7, horizon: int = 5, size: int = 150, files: int = FILES) -> DataFrame:
+    """Each new value is the truth of the forecast that was made `horizon` rows before, the mean of
+    the `window` values up to there: event_type, k, mae so far, and n, the forecasts judged."""
+
+    def step(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("event_type").orderBy("k")
+        mean = F.avg("value").over(w.rowsBetween(1 - window, 0))
+        rows = rows.withColumn("forecast", F.when(F.col("k") >= window, mean))
+        rows = rows.withColumn("_e", F.coalesce(F.abs(F.col("value") - F.lag("forecast", horizon).over(w)), F.lit(0.0)))
+        rows = rows.withColumn("errors", _running("_e", "errors")).drop("_e", "forecast")
+        return rows
+
+    done = buffered(spark, path, size, step, {"errors": "double"}, files=files)
+    n = F.col("k") - window - horizon + 1
+    return done.filter(n > 0).select("event_type", "k", (F.col("errors") / n).alias("mae"), n.alias("n"))
+
+
+def online_refit(spark: SparkSession, path: str, length: int = 60, window: int = 3, horizon: int = 5, files: int = FILES) -> DataFrame:
+    """Each new row refits the linear model on the buffer's last anchors whose labels are known,
+    and forecasts `horizon` rows ahead: event_type, k, forecast."""
+    size = length + horizon + window
+
+    def step(rows: DataFrame) -> DataFrame:
+        series = rows.select(F.col("event_type").alias("well"), F.col("k").alias("t"), F.col("value").cast("double").alias("oil"))
+        fitted = walk_forward(series, length, window, horizon, known=False).select(F.col("well").alias("event_type"), F.col("t").alias("k"), F.col("pred").alias("forecast"))
+        return rows.join(fitted, ["event_type", "k"], "left")
+
+    done = buffered(spark, path, size + length, step, {}, files=files)
+    return done.filter("forecast is not null").select("event_type", "k", "forecast")
