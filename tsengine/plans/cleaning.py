@@ -21,7 +21,10 @@ def select_sources(spark, sf):
     return daily_rates(spark, sf).filter(F.col("well").isin("R-F", "none")).select("well").distinct()
 
 
-@query("drop_zero_rates", D + " SELECT mode, well, count(*) AS n FROM (SELECT 'nonzero_dropna' AS mode, well, t FROM d WHERE choke <> 0 UNION ALL SELECT 'nonzero', well, t FROM d WHERE choke IS NULL OR choke <> 0 UNION ALL SELECT 'positive', well, t FROM d WHERE choke > 0) GROUP BY 1, 2")
+@query("drop_zero_rates", D + 
+    " SELECT mode, well, count(*) AS n FROM (SELECT 'nonzero_dropna' AS mode, well, t FROM d WHERE choke <> 0 UNION "
+    "ALL SELECT 'nonzero', well, t FROM d WHERE choke IS NULL OR choke <> 0 UNION ALL SELECT 'positive', well, t FROM "
+    "d WHERE choke > 0) GROUP BY 1, 2")
 def drop_zero_rates(spark, sf):
     d = daily_rates(spark, sf)
     parts = [C.drop_zero_rates(d, "choke", m).select(F.lit(m).alias("mode"), "well") for m in ("nonzero_dropna", "nonzero", "positive")]
@@ -39,7 +42,9 @@ def project_features(spark, sf):
     return daily_rates(spark, sf).select("well", "t", "gas", "whp", "oil").na.drop(subset=["gas", "whp", "oil"])
 
 
-@query("dedupe_first", "SELECT event_type, slot, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, slot ORDER BY ts, event_id) AS rn FROM (SELECT *, date_trunc('hour', ts) AS slot FROM events)) WHERE rn = 1")
+@query("dedupe_first", 
+    "SELECT event_type, slot, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, slot ORDER "
+    "BY ts, event_id) AS rn FROM (SELECT *, date_trunc('hour', ts) AS slot FROM events)) WHERE rn = 1")
 def dedupe_first(spark, sf):
     e = read(spark, sf, "events").withColumn("slot", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return C.first_of(e, ["event_type", "slot"], [F.col("ts"), F.col("event_id")]).select("event_type", "slot", "event_id", "value")
@@ -69,19 +74,26 @@ def mean_impute(spark, sf):
     return rounded(C.mean_impute(daily_rates(spark, sf), ["whp"]).select("well", "t", "whp"), "whp")
 
 
-@query("validity_gate", D + " SELECT 'whp' AS \"column\", count(*) AS total, count(*) FILTER (WHERE whp IS NULL) AS n_null, 0::BIGINT AS n_pos_inf, 0::BIGINT AS n_neg_inf, 0::BIGINT AS n_big FROM d UNION ALL SELECT 'gas', count(*), 0, 0, 0, count(*) FILTER (WHERE abs(gas) > 1e6) FROM d")
+@query("validity_gate", D + 
+    " SELECT 'whp' AS \"column\", count(*) AS total, count(*) FILTER (WHERE whp IS NULL) AS n_null, 0::BIGINT AS n_pos_inf, "
+    "0::BIGINT AS n_neg_inf, 0::BIGINT AS n_big FROM d UNION ALL SELECT 'gas', count(*), 0, 0, 0, count(*) FILTER (WHERE "
+    "abs(gas) > 1e6) FROM d")
 def validity_gate(spark, sf):
     return C.bad_values(daily_rates(spark, sf), ["whp", "gas"], 1e6)
 
 
-@query("integrity_report", D + " SELECT well, count(*) AS total, count(*) FILTER (WHERE whp IS NULL) AS n_null, round(100.0 * count(*) FILTER (WHERE whp IS NULL) / count(*), 6) AS pct_null FROM d GROUP BY well")
+@query("integrity_report", D + 
+    " SELECT well, count(*) AS total, count(*) FILTER (WHERE whp IS NULL) AS n_null, round(100.0 * count(*) FILTER "
+    "(WHERE whp IS NULL) / count(*), 6) AS pct_null FROM d GROUP BY well")
 def integrity_report(spark, sf):
     n = F.count_if(F.col("whp").isNull())
     out = daily_rates(spark, sf).groupBy("well").agg(F.count(F.lit(1)).alias("total"), n.alias("n_null"), (100.0 * n / F.count(F.lit(1))).alias("pct_null"))
     return rounded(out, "pct_null")
 
 
-@query("unit_convert", D + " SELECT well, t, round(downhole * 0.145037738, 6) AS kpa_psi, round(downhole * 14.5038, 6) AS bar_psi, round(oil * 6.2898, 6) AS m3d_stbd, round(oil * 35.3147, 6) AS m3d_scfd, round(downhole / 14.5038, 6) AS psi_bar FROM d")
+@query("unit_convert", D + 
+    " SELECT well, t, round(downhole * 0.145037738, 6) AS kpa_psi, round(downhole * 14.5038, 6) AS bar_psi, round(oil "
+    "* 6.2898, 6) AS m3d_stbd, round(oil * 35.3147, 6) AS m3d_scfd, round(downhole / 14.5038, 6) AS psi_bar FROM d")
 def unit_convert(spark, sf):
     source = {"kpa_psi": "downhole", "bar_psi": "downhole", "m3d_stbd": "oil", "m3d_scfd": "oil"}
     d = daily_rates(spark, sf).select("well", "t", *[convert(F.col(source[k]), k).alias(k) for k in FACTORS], convert(F.col("downhole"), "bar_psi", inverse=True).alias("psi_bar"))
@@ -98,18 +110,24 @@ def decimate(spark, sf):
     return C.decimate(daily_rates(spark, sf), 24, 20).select("well", "t", "oil")
 
 
-@query("time_index", D + " SELECT well, day, t, date_add(DATE '2020-01-01', CAST(t - 1 AS INTEGER))::DATE AS synthetic FROM d WHERE t > 1".replace("date_add(DATE '2020-01-01', CAST(t - 1 AS INTEGER))::DATE", "CAST(DATE '2020-01-01' + CAST(t - 1 AS INTEGER) AS DATE)"))
+@query("time_index", D + 
+    " SELECT well, day, t, date_add(DATE '2020-01-01', CAST(t - 1 AS INTEGER))::DATE AS synthetic FROM d WHERE t > "
+    "1".replace("date_add(DATE '2020-01-01', CAST(t - 1 AS INTEGER))::DATE", "CAST(DATE '2020-01-01' + CAST(t - 1 AS INTEGER) AS DATE)"))
 def time_index(spark, sf):
     return daily_rates(spark, sf).filter("t > 1").select("well", "day", "t", F.date_add(F.lit("2020-01-01").cast("date"), F.col("t") - 1).alias("synthetic"))
 
 
-@query("dataset_filter", R + " SELECT architecture_id, hyperparam_id, well, smape FROM r WHERE architecture_id <> 'BUILDING' AND well IN ('NATION_1', 'NATION_2', 'NATION_3')")
+@query("dataset_filter", R + 
+    " SELECT architecture_id, hyperparam_id, well, smape FROM r WHERE architecture_id <> 'BUILDING' AND well IN ('NATION_1', "
+    "'NATION_2', 'NATION_3')")
 def dataset_filter(spark, sf):
     r = runs(spark, sf)
     return r.filter(~F.col("architecture_id").isin("BUILDING") & F.col("well").isin("NATION_1", "NATION_2", "NATION_3")).select("architecture_id", "hyperparam_id", "well", "smape")
 
 
-@query("eligible_folds", D + " SELECT well, it FROM (SELECT well, count(*) AS n FROM d GROUP BY well), (SELECT unnest(range(0, 3000, 250)) AS it) WHERE n - 150 - 112 > it")
+@query("eligible_folds", D + 
+    " SELECT well, it FROM (SELECT well, count(*) AS n FROM d GROUP BY well), (SELECT unnest(range(0, 3000, 250)) AS "
+    "it) WHERE n - 150 - 112 > it")
 def eligible_folds(spark, sf):
     n = daily_rates(spark, sf).groupBy("well").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(2750), F.lit(250)).cast("array<long>"))).filter("n - 150 - 2 * 56 > it").select("well", "it")
@@ -121,7 +139,9 @@ def pending_jobs(spark, sf):
     return runs(spark, sf).withColumn("status", status).filter("status = 'pending'").select("job_id")
 
 
-@query("structure_results", R + " SELECT r2 AS \"R2\", smape AS \"SMAPE\", mae AS \"MAE\", upper(category[1]) || lower(category[2:]) AS category, well FROM r".replace("upper(category[1]) || lower(category[2:])", "array_to_string(list_transform(string_split(category, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"))
+@query("structure_results", R + 
+    " SELECT r2 AS \"R2\", smape AS \"SMAPE\", mae AS \"MAE\", upper(category[1]) || lower(category[2:]) AS category, "
+    "well FROM r".replace("upper(category[1]) || lower(category[2:])", "array_to_string(list_transform(string_split(category, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"))
 def structure_results(spark, sf):
     return runs(spark, sf).drop("architecture_id", "hyperparam_id", "job_id", "n").select(F.col("r2").alias("R2"), F.col("smape").alias("SMAPE"), F.col("mae").alias("MAE"), F.initcap("category").alias("category"), "well")
 
@@ -158,14 +178,19 @@ def prep_signature(spark, sf):
 _NAME = "translate(well, ' ', '_') || '_w' || CAST(n % 9 + 1 AS VARCHAR) || '_h' || CAST(n % 5 AS VARCHAR)"
 
 
-@query("parse_run_name", R + f" SELECT job_id, replace(regexp_extract({_NAME}, '^(.*)_w([0-9]+)_h([0-9]+)$', 1), '_', '/') AS well_name, CAST(regexp_extract({_NAME}, '_w([0-9]+)_h', 1) AS INTEGER) AS win, CAST(regexp_extract({_NAME}, '_h([0-9]+)$', 1) AS INTEGER) AS hor FROM r")
+@query("parse_run_name", R + 
+    f" SELECT job_id, replace(regexp_extract({_NAME}, '^(.*)_w([0-9]+)_h([0-9]+)$', 1), '_', '/') AS well_name, CAST(regexp_extract({_NAME}, "
+    f"'_w([0-9]+)_h', 1) AS INTEGER) AS win, CAST(regexp_extract({_NAME}, '_h([0-9]+)$', 1) AS INTEGER) AS hor FROM "
+    f"r")
 def parse_run_name(spark, sf):
     r = runs(spark, sf).withColumn("f", F.concat(F.translate("well", " ", "_"), F.lit("_w"), (F.col("n") % 9 + 1).cast("string"), F.lit("_h"), (F.col("n") % 5).cast("string")))
     part = lambda i: F.regexp_extract("f", r"^(.*)_w([0-9]+)_h([0-9]+)$", i)
     return r.select("job_id", F.translate(part(1), "_", "/").alias("well_name"), part(2).cast("int").alias("win"), part(3).cast("int").alias("hor"))
 
 
-@query("log_metrics", R + " SELECT architecture_id, well, smape, mae FROM (SELECT *, row_number() OVER (PARTITION BY architecture_id, well ORDER BY hyperparam_id DESC) AS k FROM r) WHERE k = 1")
+@query("log_metrics", R + 
+    " SELECT architecture_id, well, smape, mae FROM (SELECT *, row_number() OVER (PARTITION BY architecture_id, well "
+    "ORDER BY hyperparam_id DESC) AS k FROM r) WHERE k = 1")
 def log_metrics(spark, sf):
     """Metric lines of a run's log belong to the next header; a later line overwrites."""
     line = F.concat(F.lit("SMAPE on the test set: "), F.col("smape").cast("string"), F.lit("%\nMAE on the test set: "), F.col("mae").cast("string"), F.lit("\n"))
@@ -178,7 +203,9 @@ def log_metrics(spark, sf):
     return parts.select("architecture_id", "x.well", last(r"SMAPE on the test set: ([-0-9.E]+)%").alias("smape"), last(r"(?m)^MAE on the test set: ([-0-9.E]+)$").alias("mae"))
 
 
-@query("walk_forward_folds", D + " SELECT f.well, f.t AS fold, count(*) AS n, min(a.t) AS first_anchor, max(a.t) AS last_anchor FROM d f JOIN d a ON a.well = f.well AND a.t BETWEEN f.t - 199 AND f.t - 56 WHERE f.t >= 206 GROUP BY 1, 2")
+@query("walk_forward_folds", D + 
+    " SELECT f.well, f.t AS fold, count(*) AS n, min(a.t) AS first_anchor, max(a.t) AS last_anchor FROM d f JOIN d "
+    "a ON a.well = f.well AND a.t BETWEEN f.t - 199 AND f.t - 56 WHERE f.t >= 206 GROUP BY 1, 2")
 def walk_forward_folds(spark, sf):
     from ..operators.features import walk_forward_folds as folds
 
@@ -217,7 +244,10 @@ def wells_by_size(spark, sf):
     return n.withColumn("longest", F.max("n").over(Window.partitionBy()))
 
 
-@query("describe", D + " SELECT well, count(whp) AS n, round(avg(whp), 6) AS mean, round(stddev_samp(whp), 6) AS std, min(whp) AS lo, quantile_cont(whp, 0.25) AS q1, median(whp) AS mid, quantile_cont(whp, 0.75) AS q3, max(whp) AS hi FROM d GROUP BY well")
+@query("describe", D + 
+    " SELECT well, count(whp) AS n, round(avg(whp), 6) AS mean, round(stddev_samp(whp), 6) AS std, min(whp) AS lo, "
+    "quantile_cont(whp, 0.25) AS q1, median(whp) AS mid, quantile_cont(whp, 0.75) AS q3, max(whp) AS hi FROM d GROUP "
+    "BY well")
 def describe(spark, sf):
     q = lambda p: F.percentile("whp", F.lit(p))
     out = daily_rates(spark, sf).groupBy("well").agg(F.count("whp").alias("n"), F.avg("whp").alias("mean"), F.stddev_samp("whp").alias("std"), F.min("whp").alias("lo"), q(0.25).alias("q1"), q(0.5).alias("mid"), q(0.75).alias("q3"), F.max("whp").alias("hi"))

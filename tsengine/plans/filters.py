@@ -44,7 +44,10 @@ def kalman_smooth(spark, sf):
     return rounded(S.filter_series(daily_rates(spark, sf), "oil", "kalman_smooth").select("well", "t", "filtered"), "filtered", digits=4)
 
 
-@query("filtered_vs_raw_metrics", D + _K + ", f AS (SELECT k.well, lead(z.oil) OVER (PARTITION BY k.well ORDER BY k.t) AS y, z.oil AS raw, k.x AS filtered FROM k JOIN z USING (well, t)) SELECT well, round(avg(abs(y - raw)), 4) AS mae_raw, round(avg(abs(y - filtered)), 4) AS mae_filtered FROM f WHERE y IS NOT NULL GROUP BY well")
+@query("filtered_vs_raw_metrics", D + _K + 
+    ", f AS (SELECT k.well, lead(z.oil) OVER (PARTITION BY k.well ORDER BY k.t) AS y, z.oil AS raw, k.x AS filtered "
+    "FROM k JOIN z USING (well, t)) SELECT well, round(avg(abs(y - raw)), 4) AS mae_raw, round(avg(abs(y - filtered)), "
+    "4) AS mae_filtered FROM f WHERE y IS NOT NULL GROUP BY well")
 def filtered_vs_raw_metrics(spark, sf):
     f = S.filter_series(daily_rates(spark, sf), "oil", "kalman").withColumn("y", F.lead("oil").over(along())).filter("y is not null")
     out = f.groupBy("well").agg(F.avg(F.abs(F.col("y") - F.col("oil"))).alias("mae_raw"), F.avg(F.abs(F.col("y") - F.col("filtered"))).alias("mae_filtered"))
@@ -99,7 +102,11 @@ def haar_single(spark, sf):
     return _ends(S.haar_denoise(_vectors(spark, sf), "x", 1, F.lit(0.1)))
 
 
-@query("gaussian_smooth", D + _SEQ + ", g AS (SELECT unnest(range(-2, 3)) AS k), n AS (SELECT k, exp(-0.5 * power(k / 1.2, 2)) / (SELECT sum(exp(-0.5 * power(k / 1.2, 2))) FROM g) AS w FROM g) SELECT a.well, a.window_id, a.step, round(sum(coalesce(b.y, 0) * w), 4) AS y FROM e a CROSS JOIN n LEFT JOIN e b ON b.well = a.well AND b.window_id = a.window_id AND b.step = a.step + k GROUP BY 1, 2, 3")
+@query("gaussian_smooth", D + _SEQ + 
+    ", g AS (SELECT unnest(range(-2, 3)) AS k), n AS (SELECT k, exp(-0.5 * power(k / 1.2, 2)) / (SELECT sum(exp(-0.5 "
+    "* power(k / 1.2, 2))) FROM g) AS w FROM g) SELECT a.well, a.window_id, a.step, round(sum(coalesce(b.y, 0) * w), "
+    "4) AS y FROM e a CROSS JOIN n LEFT JOIN e b ON b.well = a.well AND b.window_id = a.window_id AND b.step = a.step "
+    "+ k GROUP BY 1, 2, 3")
 def gaussian_smooth(spark, sf):
     import math
 
@@ -109,7 +116,9 @@ def gaussian_smooth(spark, sf):
     return rounded(_steps(spark, sf).select("well", "window_id", "step", total.alias("y")), "y", digits=4)
 
 
-@query("augment_scale", D + _SEQ + " SELECT well, window_id, f AS block, round(x[7] / f, 6) AS x_last, round(y[30] / f, 6) AS y_last FROM q, (SELECT unnest([1.0, 1.5, 3.0, 19.0]::DOUBLE[]) AS f)")
+@query("augment_scale", D + _SEQ + 
+    " SELECT well, window_id, f AS block, round(x[7] / f, 6) AS x_last, round(y[30] / f, 6) AS y_last FROM q, (SELECT "
+    "unnest([1.0, 1.5, 3.0, 19.0]::DOUBLE[]) AS f)")
 def augment_scale(spark, sf):
     w = _windows(spark, sf).withColumn("block", F.explode(F.array(*map(F.lit, (1.0, 1.5, 3.0, 19.0)))))
     return rounded(w.select("well", "window_id", "block", (F.get(F.element_at("x", -1), F.lit(0)) / F.col("block")).alias("x_last"), (F.element_at("y", -1) / F.col("block")).alias("y_last")), "x_last", "y_last")
@@ -133,7 +142,9 @@ def augment_subsample(spark, sf):
     return w.filter(F.col("k") <= F.floor(F.col("n") * 0.95)).select("well", "window_id", "block")
 
 
-@query("augment_decline", D + " SELECT well, t, f, round(oil / f, 6) AS oil, round(downhole / f, 6) AS downhole, round(gas / f, 6) AS gas, choke FROM d, (SELECT unnest([2.0, 4.0]::DOUBLE[]) AS f)")
+@query("augment_decline", D + 
+    " SELECT well, t, f, round(oil / f, 6) AS oil, round(downhole / f, 6) AS downhole, round(gas / f, 6) AS gas, choke "
+    "FROM d, (SELECT unnest([2.0, 4.0]::DOUBLE[]) AS f)")
 def augment_decline(spark, sf):
     d = daily_rates(spark, sf).withColumn("f", F.explode(F.array(F.lit(2.0), F.lit(4.0))))
     return rounded(d.select("well", "t", "f", *[(F.col(c) / F.col("f")).alias(c) for c in ("oil", "downhole", "gas")], "choke"), "oil", "downhole", "gas")
@@ -204,7 +215,10 @@ def lag_regression(spark, sf):
     return ML.lag_regression(daily_rates(spark, sf))
 
 
-@query("lag_gram", D + ", g AS (SELECT well, oil, lag(oil, 1) OVER w AS x1, lag(oil, 6) OVER w AS x6, lead(oil, 56) OVER w AS y FROM d WINDOW w AS (PARTITION BY well ORDER BY t)) SELECT well, count(*) AS n, sum(oil * x1) AS g01, sum(oil * y) AS g0y, sum(x6 * y) AS g6y FROM g WHERE x6 IS NOT NULL AND y IS NOT NULL GROUP BY well")
+@query("lag_gram", D + 
+    ", g AS (SELECT well, oil, lag(oil, 1) OVER w AS x1, lag(oil, 6) OVER w AS x6, lead(oil, 56) OVER w AS y FROM d "
+    "WINDOW w AS (PARTITION BY well ORDER BY t)) SELECT well, count(*) AS n, sum(oil * x1) AS g01, sum(oil * y) AS "
+    "g0y, sum(x6 * y) AS g6y FROM g WHERE x6 IS NOT NULL AND y IS NOT NULL GROUP BY well")
 def lag_gram(spark, sf):
     """Some of the sums that the regression solves."""
     rows, _ = ML._gram(daily_rates(spark, sf), 7, 56)
@@ -245,7 +259,12 @@ def choose_k(spark, sf):
     return ML.choose_k(read(spark, sf, "embeddings"), "embedding", [2, 4, 8])
 
 
-@query("tabular_prepare", D + ", l AS (SELECT well, t, oil AS x, lag(oil) OVER w AS x1, lead(oil, 5) OVER w AS y FROM d WINDOW w AS (PARTITION BY well ORDER BY t)), m AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY t) AS k, count(*) OVER (PARTITION BY well) AS n FROM l WHERE x1 IS NOT NULL AND y IS NOT NULL), s AS (SELECT well, avg(x) AS c, stddev_pop(x) AS sd, sum(y) AS before FROM m WHERE k <= n - floor(n * 0.2) GROUP BY well) SELECT m.well, t, round((x - c) / sd, 6) + 0.0 AS scaled, before, k <= n - floor(n * 0.2) AS train FROM m JOIN s ON m.well = s.well")
+@query("tabular_prepare", D + 
+    ", l AS (SELECT well, t, oil AS x, lag(oil) OVER w AS x1, lead(oil, 5) OVER w AS y FROM d WINDOW w AS (PARTITION "
+    "BY well ORDER BY t)), m AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY t) AS k, count(*) OVER (PARTITION "
+    "BY well) AS n FROM l WHERE x1 IS NOT NULL AND y IS NOT NULL), s AS (SELECT well, avg(x) AS c, stddev_pop(x) AS "
+    "sd, sum(y) AS before FROM m WHERE k <= n - floor(n * 0.2) GROUP BY well) SELECT m.well, t, round((x - c) / sd, "
+    "6) + 0.0 AS scaled, before, k <= n - floor(n * 0.2) AS train FROM m JOIN s ON m.well = s.well")
 def tabular_prepare(spark, sf):
     rows = X.chrono_split(X.lag_features(daily_rates(spark, sf), "oil", 2, 5), 0.2)
     stats = rows.filter("side = 'train'").groupBy("well").agg(F.avg("oil_lag0").alias("c"), F.stddev_pop("oil_lag0").alias("sd"), F.sum("label").alias("before"))
@@ -289,7 +308,9 @@ def sink_results(spark, sf):
     return spark.read.parquet(path).select("architecture_id", "well", "smape")
 
 
-@query("load_experiments", R + " SELECT architecture_id AS variant, 'smape' AS metric, count(*) AS n, round(avg(smape), 6) AS value FROM r GROUP BY 1 UNION ALL SELECT architecture_id, 'mae', count(*), round(avg(mae), 6) FROM r GROUP BY 1")
+@query("load_experiments", R + 
+    " SELECT architecture_id AS variant, 'smape' AS metric, count(*) AS n, round(avg(smape), 6) AS value FROM r GROUP "
+    "BY 1 UNION ALL SELECT architecture_id, 'mae', count(*), round(avg(mae), 6) FROM r GROUP BY 1")
 def load_experiments(spark, sf):
     """Saved as one folder a variant and metric, and found again by partition discovery."""
     path = files.shared_folder(spark)
@@ -300,17 +321,28 @@ def load_experiments(spark, sf):
 
 
 # Streams: the table is read as a stream of files until it ends; results equal the batch's.
-@query("stream_decimation", "SELECT event_type, date_trunc('day', ts) + CASE WHEN hour(ts) >= 12 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END AS start, count(*) AS n, min(ts) AS first_ts FROM events GROUP BY 1, 2")
+@query("stream_decimation", 
+    "SELECT event_type, date_trunc('day', ts) + CASE WHEN hour(ts) >= 12 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR "
+    "END AS start, count(*) AS n, min(ts) AS first_ts FROM events GROUP BY 1, 2")
 def stream_decimation(spark, sf):
     return jobs.tumbling_first(spark, f"{sf}/events.parquet")
 
 
-@query("stream_kalman", "WITH RECURSIVE e AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, value + 1e-6 AS z FROM events), k(event_type, k, x, p) AS (SELECT event_type, k, z::DOUBLE, 1 - 1 / (1 + 1e-3)::DOUBLE FROM e WHERE k = 1 UNION ALL SELECT e.event_type, e.k, k.x + (k.p + 1e-4) / (k.p + 1e-4 + 1e-3) * (greatest(e.z, 1e-6) - k.x), (1 - (k.p + 1e-4) / (k.p + 1e-4 + 1e-3)) * (k.p + 1e-4) FROM k JOIN e ON e.event_type = k.event_type AND e.k = k.k + 1) SELECT event_type, k, round(x, 4) AS x FROM k")
+@query("stream_kalman", 
+    "WITH RECURSIVE e AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, "
+    "value + 1e-6 AS z FROM events), k(event_type, k, x, p) AS (SELECT event_type, k, z::DOUBLE, 1 - 1 / (1 + 1e-3)::DOUBLE "
+    "FROM e WHERE k = 1 UNION ALL SELECT e.event_type, e.k, k.x + (k.p + 1e-4) / (k.p + 1e-4 + 1e-3) * (greatest(e.z, "
+    "1e-6) - k.x), (1 - (k.p + 1e-4) / (k.p + 1e-4 + 1e-3)) * (k.p + 1e-4) FROM k JOIN e ON e.event_type = k.event_type "
+    "AND e.k = k.k + 1) SELECT event_type, k, round(x, 4) AS x FROM k")
 def stream_kalman(spark, sf):
     return rounded(jobs.online_kalman(spark, f"{sf}/events.parquet"), "x", digits=4)
 
 
-@query("stream_window_rows", "WITH e AS (SELECT event_type, row_number() OVER w AS k, sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 6 PRECEDING) AS total, sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_type, k, round(total, 4) AS total, round(running, 2) AS running FROM e WHERE k >= 7")
+@query("stream_window_rows", 
+    "WITH e AS (SELECT event_type, row_number() OVER w AS k, sum(value) OVER (PARTITION BY event_type ORDER BY ts, "
+    "event_id ROWS 6 PRECEDING) AS total, sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED "
+    "PRECEDING) AS running FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_type, "
+    "k, round(total, 4) AS total, round(running, 2) AS running FROM e WHERE k >= 7")
 def stream_window_rows(spark, sf):
     out = jobs.rolling_buffer(spark, f"{sf}/events.parquet", 7).drop("lags")
     return rounded(rounded(out, "total", digits=4), "running", digits=2)

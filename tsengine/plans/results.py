@@ -49,18 +49,24 @@ def sensitivity_pivot(spark, sf):
     return rounded(out, *[c for c in out.columns if c != "win"])
 
 
-@query("drilldown", R + " SELECT architecture_id, well, round(avg(smape), 9) AS smape, round(avg(mae), 9) AS mae, count(*) AS n FROM r GROUP BY ROLLUP (architecture_id, well)")
+@query("drilldown", R + 
+    " SELECT architecture_id, well, round(avg(smape), 9) AS smape, round(avg(mae), 9) AS mae, count(*) AS n FROM r "
+    "GROUP BY ROLLUP (architecture_id, well)")
 def drilldown(spark, sf):
     return rounded(runs(spark, sf).rollup("architecture_id", "well").agg(F.avg("smape").alias("smape"), F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("n")), "smape", "mae", digits=9)
 
 
-@query("best_cell", R + _BOARD + " SELECT arg_min(architecture_id, m) AS architecture_id, arg_min(hyperparam_id, m) AS hyperparam_id, round(min(m), 6) AS best, round(median(m), 6) AS middle FROM k")
+@query("best_cell", R + _BOARD + 
+    " SELECT arg_min(architecture_id, m) AS architecture_id, arg_min(hyperparam_id, m) AS hyperparam_id, round(min(m), "
+    "6) AS best, round(median(m), 6) AS middle FROM k")
 def best_cell(spark, sf):
     b = runs(spark, sf).groupBy(*KEYS).agg(F.avg("smape").alias("m"))
     return rounded(b.agg(*[F.min_by(k, "m").alias(k) for k in KEYS], F.min("m").alias("best"), F.median("m").alias("middle")), "best", "middle")
 
 
-@query("category_stats", R + " SELECT category, split_part(category, ' ', 1) AS base, count(*) AS n, round(avg(smape), 9) AS mean_smape, round(stddev_samp(smape), 9) AS std_smape, round(avg(r2), 9) AS mean_r2 FROM r GROUP BY category")
+@query("category_stats", R + 
+    " SELECT category, split_part(category, ' ', 1) AS base, count(*) AS n, round(avg(smape), 9) AS mean_smape, round(stddev_samp(smape), "
+    "9) AS std_smape, round(avg(r2), 9) AS mean_r2 FROM r GROUP BY category")
 def category_stats(spark, sf):
     g = runs(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("smape").alias("mean_smape"), F.stddev_samp("smape").alias("std_smape"), F.avg("r2").alias("mean_r2"))
     return rounded(g.withColumn("base", F.split_part("category", F.lit(" "), F.lit(1))), "mean_smape", "std_smape", "mean_r2", digits=9)
@@ -69,26 +75,44 @@ def category_stats(spark, sf):
 _CAT = ", c AS (SELECT architecture_id AS g, hyperparam_id AS h, avg(r2) AS r2, avg(smape) AS smape, avg(mae) AS mae FROM r GROUP BY 1, 2)"
 
 
-@query("composite_rank", R + _CAT + ", x AS (SELECT g, h, round(0.3 * CASE WHEN max(r2) OVER w = min(r2) OVER w THEN 0.5 ELSE (r2 - min(r2) OVER w) / (max(r2) OVER w - min(r2) OVER w) END + 0.5 * CASE WHEN max(smape) OVER w = min(smape) OVER w THEN 0.5 ELSE (max(smape) OVER w - smape) / (max(smape) OVER w - min(smape) OVER w) END + 0.2 * CASE WHEN max(mae) OVER w = min(mae) OVER w THEN 0.5 ELSE (max(mae) OVER w - mae) / (max(mae) OVER w - min(mae) OVER w) END, 9) AS score FROM c WINDOW w AS (PARTITION BY g)) SELECT g, h, round(score, 6) AS score, row_number() OVER (PARTITION BY g ORDER BY score DESC, h) AS rank FROM x")
+@query("composite_rank", R + _CAT + 
+    ", x AS (SELECT g, h, round(0.3 * CASE WHEN max(r2) OVER w = min(r2) OVER w THEN 0.5 ELSE (r2 - min(r2) OVER w) "
+    "/ (max(r2) OVER w - min(r2) OVER w) END + 0.5 * CASE WHEN max(smape) OVER w = min(smape) OVER w THEN 0.5 ELSE "
+    "(max(smape) OVER w - smape) / (max(smape) OVER w - min(smape) OVER w) END + 0.2 * CASE WHEN max(mae) OVER w = "
+    "min(mae) OVER w THEN 0.5 ELSE (max(mae) OVER w - mae) / (max(mae) OVER w - min(mae) OVER w) END, 9) AS score FROM "
+    "c WINDOW w AS (PARTITION BY g)) SELECT g, h, round(score, 6) AS score, row_number() OVER (PARTITION BY g ORDER "
+    "BY score DESC, h) AS rank FROM x")
 def composite_rank(spark, sf):
     c = runs(spark, sf).groupBy(F.col("architecture_id").alias("g"), F.col("hyperparam_id").alias("h")).agg(*[F.avg(m).alias(m) for m in ("r2", "smape", "mae")])
     out = M.composite_rank(c, "g", "h", {"r2": 0.3, "smape": 0.5, "mae": 0.2}, {"r2"})
     return rounded(out.select("g", "h", "score", F.col("rank").cast("long").alias("rank")), "score")
 
 
-@query("welch_t", R + ", s AS (SELECT avg(smape) FILTER (WHERE a) AS m0, avg(smape) FILTER (WHERE b) AS m1, var_samp(smape) FILTER (WHERE a) / count(smape) FILTER (WHERE a) AS e0, var_samp(smape) FILTER (WHERE b) / count(smape) FILTER (WHERE b) AS e1, count(smape) FILTER (WHERE a) AS n0, count(smape) FILTER (WHERE b) AS n1 FROM (SELECT smape, architecture_id = 'BUILDING' AS a, architecture_id = 'MACHINERY' AS b FROM r)) SELECT round((m0 - m1) / sqrt(e0 + e1), 6) AS t, round(power(e0 + e1, 2) / (power(e0, 2) / (n0 - 1) + power(e1, 2) / (n1 - 1)), 4) AS dof FROM s")
+@query("welch_t", R + 
+    ", s AS (SELECT avg(smape) FILTER (WHERE a) AS m0, avg(smape) FILTER (WHERE b) AS m1, var_samp(smape) FILTER (WHERE "
+    "a) / count(smape) FILTER (WHERE a) AS e0, var_samp(smape) FILTER (WHERE b) / count(smape) FILTER (WHERE b) AS "
+    "e1, count(smape) FILTER (WHERE a) AS n0, count(smape) FILTER (WHERE b) AS n1 FROM (SELECT smape, architecture_id "
+    "= 'BUILDING' AS a, architecture_id = 'MACHINERY' AS b FROM r)) SELECT round((m0 - m1) / sqrt(e0 + e1), 6) AS t, "
+    "round(power(e0 + e1, 2) / (power(e0, 2) / (n0 - 1) + power(e1, 2) / (n1 - 1)), 4) AS dof FROM s")
 def welch_t(spark, sf):
     return rounded(rounded(M.welch_t(runs(spark, sf), "architecture_id", "BUILDING", "MACHINERY", "smape"), "t"), "dof", digits=4)
 
 
-@query("merge_val_test", R + ", v AS (SELECT architecture_id, hyperparam_id, well, smape AS smape_val FROM r WHERE n % 3 <> 0), t AS (SELECT architecture_id, hyperparam_id, well, mae AS smape_test FROM r WHERE n % 4 <> 0) SELECT coalesce(v.architecture_id, t.architecture_id) AS architecture_id, coalesce(v.hyperparam_id, t.hyperparam_id) AS hyperparam_id, coalesce(v.well, t.well) AS well, smape_val, smape_test FROM v FULL JOIN t ON v.architecture_id = t.architecture_id AND v.hyperparam_id = t.hyperparam_id AND v.well = t.well")
+@query("merge_val_test", R + 
+    ", v AS (SELECT architecture_id, hyperparam_id, well, smape AS smape_val FROM r WHERE n % 3 <> 0), t AS (SELECT "
+    "architecture_id, hyperparam_id, well, mae AS smape_test FROM r WHERE n % 4 <> 0) SELECT coalesce(v.architecture_id, "
+    "t.architecture_id) AS architecture_id, coalesce(v.hyperparam_id, t.hyperparam_id) AS hyperparam_id, coalesce(v.well, "
+    "t.well) AS well, smape_val, smape_test FROM v FULL JOIN t ON v.architecture_id = t.architecture_id AND v.hyperparam_id "
+    "= t.hyperparam_id AND v.well = t.well")
 def merge_val_test(spark, sf):
     r = runs(spark, sf)
     cols = [*KEYS, "well"]
     return M.merge_val_test(r.filter("n % 3 <> 0").select(*cols, "smape"), r.filter("n % 4 <> 0").select(*cols, F.col("mae").alias("smape")), ["smape"])
 
 
-@query("topn_detail", R + _BOARD + " SELECT r.architecture_id, r.hyperparam_id, round(avg(smape), 6) AS mean_smape, count(*) AS n FROM r JOIN k ON r.architecture_id = k.architecture_id AND r.hyperparam_id = k.hyperparam_id WHERE k.rank <= 5 GROUP BY 1, 2")
+@query("topn_detail", R + _BOARD + 
+    " SELECT r.architecture_id, r.hyperparam_id, round(avg(smape), 6) AS mean_smape, count(*) AS n FROM r JOIN k ON "
+    "r.architecture_id = k.architecture_id AND r.hyperparam_id = k.hyperparam_id WHERE k.rank <= 5 GROUP BY 1, 2")
 def topn_detail(spark, sf):
     r = runs(spark, sf)
     top = M.leaderboard(r, KEYS).filter("rank <= 5")
@@ -114,13 +138,18 @@ def ordered_results(spark, sf):
     return out.select("well", "smape", "architecture_id", "place")
 
 
-@query("topn_per_group", R + " SELECT architecture_id, job_id, smape FROM (SELECT *, row_number() OVER (PARTITION BY architecture_id ORDER BY smape, job_id) AS k FROM r) WHERE k <= 3")
+@query("topn_per_group", R + 
+    " SELECT architecture_id, job_id, smape FROM (SELECT *, row_number() OVER (PARTITION BY architecture_id ORDER BY "
+    "smape, job_id) AS k FROM r) WHERE k <= 3")
 def topn_per_group(spark, sf):
     k = F.row_number().over(Window.partitionBy("architecture_id").orderBy("smape", "job_id"))
     return runs(spark, sf).withColumn("k", k).filter("k <= 3").select("architecture_id", "job_id", "smape")
 
 
-@query("union_metrics", R + " SELECT job_id, smape, coalesce(mae, 0) AS mae, coalesce(kind, 'global') AS kind FROM (SELECT job_id, smape, NULL::DOUBLE AS mae, NULL AS kind FROM r WHERE n % 2 = 0 UNION ALL SELECT job_id, smape, mae, 'slice' FROM r WHERE n % 2 = 1)")
+@query("union_metrics", R + 
+    " SELECT job_id, smape, coalesce(mae, 0) AS mae, coalesce(kind, 'global') AS kind FROM (SELECT job_id, smape, NULL::DOUBLE "
+    "AS mae, NULL AS kind FROM r WHERE n % 2 = 0 UNION ALL SELECT job_id, smape, mae, 'slice' FROM r WHERE n % 2 = "
+    "1)")
 def union_metrics(spark, sf):
     r = runs(spark, sf)
     a, b = r.filter("n % 2 = 0").select("job_id", "smape"), r.filter("n % 2 = 1").select("job_id", "smape", "mae", F.lit("slice").alias("kind"))
@@ -132,7 +161,10 @@ def collate_status(spark, sf):
     return runs(spark, sf).groupBy("architecture_id").agg(F.count_if(F.col("n") % 5 != 0).alias("ok"), F.count_if(F.col("n") % 5 == 0).alias("failed"))
 
 
-@query("top_correlations", D + " SELECT feature, round(r, 6) AS r FROM (SELECT 'gas' AS feature, corr(oil, gas) AS r FROM d UNION ALL SELECT 'water', corr(oil, water) FROM d UNION ALL SELECT 'downhole', corr(oil, downhole) FROM d UNION ALL SELECT 'choke', corr(oil, choke) FROM d) ORDER BY abs(r) DESC LIMIT 3")
+@query("top_correlations", D + 
+    " SELECT feature, round(r, 6) AS r FROM (SELECT 'gas' AS feature, corr(oil, gas) AS r FROM d UNION ALL SELECT 'water', "
+    "corr(oil, water) FROM d UNION ALL SELECT 'downhole', corr(oil, downhole) FROM d UNION ALL SELECT 'choke', corr(oil, "
+    "choke) FROM d) ORDER BY abs(r) DESC LIMIT 3")
 def top_correlations(spark, sf):
     names = ["gas", "water", "downhole", "choke"]
     wide = daily_rates(spark, sf).agg(*[F.corr("oil", c).alias(c) for c in names])
@@ -173,14 +205,21 @@ def attr_gini(spark, sf):
     return rounded(_report(spark, sf).groupBy("iteration").agg(gini.alias("gini")), "gini")
 
 
-@query("attr_stability", _A + " SELECT b.iteration, round(corr(a.rank, b.rank), 6) AS rho FROM q a JOIN q b ON a.feature = b.feature AND a.iteration = b.iteration - 1 GROUP BY 1")
+@query("attr_stability", _A + 
+    " SELECT b.iteration, round(corr(a.rank, b.rank), 6) AS rho FROM q a JOIN q b ON a.feature = b.feature AND a.iteration "
+    "= b.iteration - 1 GROUP BY 1")
 def attr_stability(spark, sf):
     q = _report(spark, sf).select("iteration", "feature", "rank")
     prev = q.select((F.col("iteration") + 1).alias("iteration"), "feature", F.col("rank").alias("before"))
     return rounded(q.join(prev, ["iteration", "feature"]).groupBy("iteration").agg(F.corr("rank", "before").alias("rho")), "rho")
 
 
-@query("attr_direction", _A + ", k AS (SELECT iteration, feature, rank() OVER x + (count(*) OVER y - 1) / 2.0 AS rx, rank() OVER p + (count(*) OVER o - 1) / 2.0 AS rp FROM a WINDOW x AS (PARTITION BY iteration, feature ORDER BY x), y AS (PARTITION BY iteration, feature, x), p AS (PARTITION BY iteration, feature ORDER BY phi), o AS (PARTITION BY iteration, feature, phi)) SELECT iteration, feature, CASE WHEN corr(rx, rp) >= 0 THEN 'up' ELSE 'down' END AS direction, round(corr(rx, rp), 4) AS rho FROM k GROUP BY 1, 2")
+@query("attr_direction", _A + 
+    ", k AS (SELECT iteration, feature, rank() OVER x + (count(*) OVER y - 1) / 2.0 AS rx, rank() OVER p + (count(*) "
+    "OVER o - 1) / 2.0 AS rp FROM a WINDOW x AS (PARTITION BY iteration, feature ORDER BY x), y AS (PARTITION BY iteration, "
+    "feature, x), p AS (PARTITION BY iteration, feature ORDER BY phi), o AS (PARTITION BY iteration, feature, phi)) "
+    "SELECT iteration, feature, CASE WHEN corr(rx, rp) >= 0 THEN 'up' ELSE 'down' END AS direction, round(corr(rx, "
+    "rp), 4) AS rho FROM k GROUP BY 1, 2")
 def attr_direction(spark, sf):
     w = lambda *c: Window.partitionBy("iteration", "feature", *c)
     mean_rank = lambda c: F.rank().over(w().orderBy(c)) + (F.count(F.lit(1)).over(w(c)) - 1) / 2.0
@@ -217,7 +256,10 @@ def attr_summary(spark, sf):
     return rounded(out.withColumn("stable", F.col("least_rho") >= 0.9), "least_rho", "gini_change")
 
 
-@query("attr_longitudinal", _A + f", g AS (SELECT iteration, {_GINI} AS gini, arg_min(feature, rank * 1000 + feature) AS top FROM q GROUP BY 1) SELECT arg_min(top, iteration) AS first_top, arg_max(top, iteration) AS last_top, round(arg_min(gini, iteration), 6) AS first_gini, round(arg_max(gini, iteration), 6) AS last_gini FROM g")
+@query("attr_longitudinal", _A + 
+    f", g AS (SELECT iteration, {_GINI} AS gini, arg_min(feature, rank * 1000 + feature) AS top FROM q GROUP BY 1) SELECT "
+    f"arg_min(top, iteration) AS first_top, arg_max(top, iteration) AS last_top, round(arg_min(gini, iteration), 6) "
+    f"AS first_gini, round(arg_max(gini, iteration), 6) AS last_gini FROM g")
 def attr_longitudinal(spark, sf):
     gini = 1 - 2.0 / F.count(F.lit(1)) * (1 - (F.min("share") + F.max("share")) / 2)
     g = _report(spark, sf).groupBy("iteration").agg(gini.alias("gini"), F.min_by("feature", F.col("rank") * 1000 + F.col("feature")).alias("top"))

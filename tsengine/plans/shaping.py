@@ -39,7 +39,11 @@ def engineer_features(spark, sf):
     return rounded(rounded(f, "decline"), "dp", "pi", digits=4)
 
 
-@query("engineer_features_sim", D + f", w0 AS (SELECT well, t, oil, gas, 63000 * 0.145037738 - downhole * 0.145037738 AS dp FROM d) SELECT well, t, round(log_gas, 6) AS log_gas, round(dp, 4) AS dp, round(oil / dp, 6) AS pi, round(decline, 6) + 0.0 AS decline FROM (SELECT *, ln(1 + gas) AS log_gas, {_DECLINE} AS decline FROM w0 WINDOW w AS (PARTITION BY well ORDER BY t)) WHERE t > 1")
+@query("engineer_features_sim", D + 
+    f", w0 AS (SELECT well, t, oil, gas, 63000 * 0.145037738 - downhole * 0.145037738 AS dp FROM d) SELECT well, t, "
+    f"round(log_gas, 6) AS log_gas, round(dp, 4) AS dp, round(oil / dp, 6) AS pi, round(decline, 6) + 0.0 AS decline "
+    f"FROM (SELECT *, ln(1 + gas) AS log_gas, {_DECLINE} AS decline FROM w0 WINDOW w AS (PARTITION BY well ORDER BY "
+    f"t)) WHERE t > 1")
 def engineer_features_sim(spark, sf):
     f = X.simulated_features(daily_rates(spark, sf)).select("well", "t", "log_gas", "dp", "pi", "decline")
     return rounded(rounded(f, "log_gas", "pi", "decline"), "dp", digits=4)
@@ -50,7 +54,10 @@ def cumulative(spark, sf):
     return daily_rates(spark, sf).select("well", "t", X.cumulative("oil").alias("total"))
 
 
-@query("lag_features", D + ", l AS (SELECT well, t, oil AS oil_lag0, lag(oil, 1) OVER w AS oil_lag1, lag(oil, 2) OVER w AS oil_lag2, lag(oil, 3) OVER w AS oil_lag3, lead(oil, 5) OVER w AS label FROM d WINDOW w AS (PARTITION BY well ORDER BY t)) SELECT * FROM l WHERE oil_lag3 IS NOT NULL AND label IS NOT NULL")
+@query("lag_features", D + 
+    ", l AS (SELECT well, t, oil AS oil_lag0, lag(oil, 1) OVER w AS oil_lag1, lag(oil, 2) OVER w AS oil_lag2, lag(oil, "
+    "3) OVER w AS oil_lag3, lead(oil, 5) OVER w AS label FROM d WINDOW w AS (PARTITION BY well ORDER BY t)) SELECT "
+    "* FROM l WHERE oil_lag3 IS NOT NULL AND label IS NOT NULL")
 def lag_features(spark, sf):
     return X.lag_features(daily_rates(spark, sf), "oil", 4, 5)
 
@@ -95,7 +102,9 @@ def seq_windows(spark, sf):
     return _windows(spark, sf).select("well", "window_id", at(at("x", 0), 0).alias("x_first"), at(at("x", 6), 0).alias("x_last"), at(at("x", 6), 1).alias("gas_last"), at("y", 0).alias("y_first"), at("y", 29).alias("y_last"))
 
 
-@query("window_context", D + _SEQ + " SELECT well, window_id, round(list_avg(x), 6) AS mean_oil, x[7] AS last_oil, round(list_avg(g), 4) AS mean_gas, len(x) + len(g) AS flat FROM q")
+@query("window_context", D + _SEQ + 
+    " SELECT well, window_id, round(list_avg(x), 6) AS mean_oil, x[7] AS last_oil, round(list_avg(g), 4) AS mean_gas, "
+    "len(x) + len(g) AS flat FROM q")
 def window_context(spark, sf):
     w = _windows(spark, sf)
     mean = lambda i: F.aggregate("x", F.lit(0.0), lambda a, r: a + F.get(r, F.lit(i))) / F.size("x")
@@ -108,7 +117,9 @@ def reconstruct_series(spark, sf):
     return X.reconstruct(_steps(spark, sf), 30)
 
 
-@query("aggregate_predictions", D + _SEQ + " SELECT well, t, round(value, 6) AS value FROM (SELECT well, window_id + step AS t, p AS value FROM e WHERE window_id = 0 UNION ALL SELECT well, window_id + 30, avg(p) FROM e WHERE window_id > 0 AND step > 23 GROUP BY well, window_id)")
+@query("aggregate_predictions", D + _SEQ + 
+    " SELECT well, t, round(value, 6) AS value FROM (SELECT well, window_id + step AS t, p AS value FROM e WHERE window_id "
+    "= 0 UNION ALL SELECT well, window_id + 30, avg(p) FROM e WHERE window_id > 0 AND step > 23 GROUP BY well, window_id)")
 def aggregate_predictions(spark, sf):
     return rounded(X.reconstruct(_steps(spark, sf), 30, "p", "mean", 7), "value")
 
@@ -121,7 +132,10 @@ def stitch_forecasts(spark, sf):
 _SCORE = "round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 6) AS r2, round(100 * avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE 2 * abs(y - p) / (abs(y) + abs(p)) END), 6) AS smape, round(avg(abs(y - p)), 6) AS mae"
 
 
-@query("seq_eval", D + _SEQ + f", a AS (SELECT well, window_id + step AS t, y FROM e WHERE window_id = 0 OR step = 30), b AS (SELECT well, window_id + step AS t, p FROM e WHERE window_id = 0 UNION ALL SELECT well, window_id + 30, avg(p) FROM e WHERE window_id > 0 AND step > 23 GROUP BY well, window_id) SELECT well, {_SCORE} FROM a JOIN b USING (well, t) GROUP BY well")
+@query("seq_eval", D + _SEQ + 
+    f", a AS (SELECT well, window_id + step AS t, y FROM e WHERE window_id = 0 OR step = 30), b AS (SELECT well, window_id "
+    f"+ step AS t, p FROM e WHERE window_id = 0 UNION ALL SELECT well, window_id + 30, avg(p) FROM e WHERE window_id "
+    f"> 0 AND step > 23 GROUP BY well, window_id) SELECT well, {_SCORE} FROM a JOIN b USING (well, t) GROUP BY well")
 def seq_eval(spark, sf):
     steps = _steps(spark, sf)
     truth = X.reconstruct(steps, 30).withColumnRenamed("value", "truth")
@@ -129,7 +143,9 @@ def seq_eval(spark, sf):
     return rounded(scores(truth.join(pred, ["well", "t"]), ["well"]).select("well", "r2", "smape", "mae"), "r2", "smape", "mae")
 
 
-@query("slice_metrics", D + _SEQ + f", c AS (SELECT well, max(window_id) + 1 AS n FROM q GROUP BY well) SELECT well, pct, {_SCORE} FROM e JOIN c USING (well), (SELECT unnest([25, 50, 100]) AS pct) WHERE window_id < ceil(n * pct / 100.0) GROUP BY well, pct")
+@query("slice_metrics", D + _SEQ + 
+    f", c AS (SELECT well, max(window_id) + 1 AS n FROM q GROUP BY well) SELECT well, pct, {_SCORE} FROM e JOIN c USING "
+    f"(well), (SELECT unnest([25, 50, 100]) AS pct) WHERE window_id < ceil(n * pct / 100.0) GROUP BY well, pct")
 def slice_metrics(spark, sf):
     s = _steps(spark, sf)
     n = F.max("window_id").over(Window.partitionBy("well")) + 1
@@ -145,7 +161,9 @@ def chrono_split(spark, sf):
     return X.chrono_split(daily_rates(spark, sf), 0.2).select("well", "t", "side")
 
 
-@query("three_way_split", D + _N + " SELECT well, t, CASE WHEN t <= n - floor(n * 0.4) THEN 'train' WHEN t - (n - floor(n * 0.4)) <= floor(floor(n * 0.4) * 0.5) THEN 'val' ELSE 'test' END AS side FROM n")
+@query("three_way_split", D + _N + 
+    " SELECT well, t, CASE WHEN t <= n - floor(n * 0.4) THEN 'train' WHEN t - (n - floor(n * 0.4)) <= floor(floor(n "
+    "* 0.4) * 0.5) THEN 'val' ELSE 'test' END AS side FROM n")
 def three_way_split(spark, sf):
     return X.three_way_split(daily_rates(spark, sf), 0.4, 0.5).select("well", "t", "side")
 
@@ -157,7 +175,10 @@ def ratio_split(spark, sf):
     return d.groupBy("well").agg(F.count_if("left").alias("head"), F.count_if(~F.col("left")).alias("tail"))
 
 
-@query("block_validation_split", D + ", b AS (SELECT well, t, t % 3 AS block FROM d), k AS (SELECT *, row_number() OVER (PARTITION BY well, block ORDER BY t) AS rn, count(*) OVER (PARTITION BY well, block) AS n FROM b) SELECT well, block, t FROM k WHERE rn > n - floor(n * 0.1)")
+@query("block_validation_split", D + 
+    ", b AS (SELECT well, t, t % 3 AS block FROM d), k AS (SELECT *, row_number() OVER (PARTITION BY well, block ORDER "
+    "BY t) AS rn, count(*) OVER (PARTITION BY well, block) AS n FROM b) SELECT well, block, t FROM k WHERE rn > n - "
+    "floor(n * 0.1)")
 def block_validation_split(spark, sf):
     w = Window.partitionBy("well", "block")
     b = daily_rates(spark, sf).withColumn("block", F.col("t") % 3)
@@ -179,7 +200,11 @@ def last_k_train(spark, sf):
     return train.select("well", "t", k.alias("k")).filter("k <= 50").select("well", "t")
 
 
-@query("feature_branches", D + " SELECT well, t, branch, round(v, 4) AS v FROM (SELECT well, t, 'gas-water-downhole' AS branch, gas + water + downhole AS v FROM d UNION ALL SELECT well, t, 'gas-water-choke', gas + water + choke FROM d UNION ALL SELECT well, t, 'gas-downhole-choke', gas + downhole + choke FROM d UNION ALL SELECT well, t, 'water-downhole-choke', water + downhole + choke FROM d)")
+@query("feature_branches", D + 
+    " SELECT well, t, branch, round(v, 4) AS v FROM (SELECT well, t, 'gas-water-downhole' AS branch, gas + water + "
+    "downhole AS v FROM d UNION ALL SELECT well, t, 'gas-water-choke', gas + water + choke FROM d UNION ALL SELECT "
+    "well, t, 'gas-downhole-choke', gas + downhole + choke FROM d UNION ALL SELECT well, t, 'water-downhole-choke', "
+    "water + downhole + choke FROM d)")
 def feature_branches(spark, sf):
     from itertools import combinations
 
@@ -187,7 +212,9 @@ def feature_branches(spark, sf):
     return rounded(daily_rates(spark, sf).select("well", "t", F.inline(F.array(*branches))), "v", digits=4)
 
 
-@query("cumulative_eval", D + _N + " SELECT well, t, (SELECT sum(b.oil) FROM n b WHERE b.well = n.well AND b.t <= b.n - floor(b.n * 0.2)) + sum(oil) OVER (PARTITION BY well ORDER BY t ROWS UNBOUNDED PRECEDING) AS total FROM n WHERE t > n - floor(n * 0.2)")
+@query("cumulative_eval", D + _N + 
+    " SELECT well, t, (SELECT sum(b.oil) FROM n b WHERE b.well = n.well AND b.t <= b.n - floor(b.n * 0.2)) + sum(oil) "
+    "OVER (PARTITION BY well ORDER BY t ROWS UNBOUNDED PRECEDING) AS total FROM n WHERE t > n - floor(n * 0.2)")
 def cumulative_eval(spark, sf):
     d = X.chrono_split(daily_rates(spark, sf), 0.2)
     before = d.filter("side = 'train'").groupBy("well").agg(F.sum("oil").alias("before"))
@@ -229,7 +256,10 @@ for _name in DECLINES:
 _GRID = ", g AS (SELECT pf, dd, bb FROM (SELECT unnest([1.05, 1.1, 1.3]) AS pf), (SELECT unnest([0.001, 0.01, 0.1]) AS dd), (SELECT unnest([0.25, 0.5, 1.0]) AS bb)), h AS (SELECT well, t, oil, downhole, oil / 100 AS pi FROM d), m AS (SELECT well, avg(downhole) AS p FROM h GROUP BY well)"
 
 
-@query("decline_fit_grid", D + _GRID + ", x AS (SELECT well, pf, dd, bb, sum(power(oil - abs(pi * (p * pf / power(1 + bb * dd * t, 1 / bb) - downhole)), 2)) AS sse FROM h JOIN m USING (well), g GROUP BY ALL) SELECT well, arg_min(pf, sse) AS p_factor, arg_min(dd, sse) AS d, arg_min(bb, sse) AS b, round(min(sse), 2) AS sse FROM x GROUP BY well")
+@query("decline_fit_grid", D + _GRID + 
+    ", x AS (SELECT well, pf, dd, bb, sum(power(oil - abs(pi * (p * pf / power(1 + bb * dd * t, 1 / bb) - downhole)), "
+    "2)) AS sse FROM h JOIN m USING (well), g GROUP BY ALL) SELECT well, arg_min(pf, sse) AS p_factor, arg_min(dd, "
+    "sse) AS d, arg_min(bb, sse) AS b, round(min(sse), 2) AS sse FROM x GROUP BY well")
 def decline_fit_grid(spark, sf):
     """The best (P, D, b) of a fixed grid for each well."""
     h = daily_rates(spark, sf).withColumn("p", F.avg("downhole").over(Window.partitionBy("well")))
@@ -241,7 +271,9 @@ def decline_fit_grid(spark, sf):
     return rounded(best, "sse", digits=2)
 
 
-@query("blend_forecast", D + _LAST + f" SELECT well, tau_ AS tau, round((0.8 / (1 + exp(-(tau - 15) / 10.0)) + 0.2) * {_CURVES['exponential']} + (1 - (0.8 / (1 + exp(-(tau - 15) / 10.0)) + 0.2)) * pwf, 4) AS q FROM s")
+@query("blend_forecast", D + _LAST + 
+    f" SELECT well, tau_ AS tau, round((0.8 / (1 + exp(-(tau - 15) / 10.0)) + 0.2) * {_CURVES['exponential']} + (1 - "
+    f"(0.8 / (1 + exp(-(tau - 15) / 10.0)) + 0.2)) * pwf, 4) AS q FROM s")
 def blend_forecast(spark, sf):
     alpha = 0.8 / (1 + F.exp(-(F.col("tau") - 15) / 10.0)) + 0.2
     q = decline("exponential", F.col("pi"), F.col("pwf"), F.col("p"), F.col("tau"))
@@ -288,14 +320,20 @@ def _mu_sigma(spark, sf) -> DataFrame:
     return members(spark, sf).groupBy("well", "t").agg(F.first("y").alias("y"), F.avg("p").alias("mu"), F.stddev_samp("p").alias("sigma"))
 
 
-@query("scenario_curve", D + _F + _MS + f" SELECT well, t, round(mu + {z_score(0.1)!r} * sigma, 4) AS p10, round(mu, 4) AS p50, round(mu + {z_score(0.9)!r} * sigma, 4) AS p90 FROM ms")
+@query("scenario_curve", D + _F + _MS + 
+    f" SELECT well, t, round(mu + {z_score(0.1)!r} * sigma, 4) AS p10, round(mu, 4) AS p50, round(mu + {z_score(0.9)!r} "
+    f"* sigma, 4) AS p90 FROM ms")
 def scenario_curve(spark, sf):
     m = _mu_sigma(spark, sf)
     out = m.select("well", "t", (F.col("mu") + z_score(0.1) * F.col("sigma")).alias("p10"), F.col("mu").alias("p50"), (F.col("mu") + z_score(0.9) * F.col("sigma")).alias("p90"))
     return rounded(out, "p10", "p50", "p90", digits=4)
 
 
-@query("cumulative_envelope", D + _F + _MS + f", c AS (SELECT well, t, sum(mu) OVER w AS mid, sum(mu - {z_score(0.9)!r} * sigma) OVER w AS lo, sum(mu + {z_score(0.9)!r} * sigma) OVER w AS hi, first_value(y) OVER w - first_value(mu) OVER w AS shift FROM ms WINDOW w AS (PARTITION BY well ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT well, t, round(lo + shift, 2) AS lo, round(mid + shift, 2) AS mid, round(hi + shift, 2) AS hi FROM c")
+@query("cumulative_envelope", D + _F + _MS + 
+    f", c AS (SELECT well, t, sum(mu) OVER w AS mid, sum(mu - {z_score(0.9)!r} * sigma) OVER w AS lo, sum(mu + {z_score(0.9)!r} "
+    f"* sigma) OVER w AS hi, first_value(y) OVER w - first_value(mu) OVER w AS shift FROM ms WINDOW w AS (PARTITION "
+    f"BY well ORDER BY t ROWS UNBOUNDED PRECEDING)) SELECT well, t, round(lo + shift, 2) AS lo, round(mid + shift, 2) "
+    f"AS mid, round(hi + shift, 2) AS hi FROM c")
 def cumulative_envelope(spark, sf):
     w = along().rowsBetween(Window.unboundedPreceding, 0)
     z = z_score(0.9)
@@ -304,7 +342,10 @@ def cumulative_envelope(spark, sf):
     return rounded(_mu_sigma(spark, sf).select("well", "t", *[(F.sum(c).over(w) + shift).alias(k) for k, c in curve.items()]), "lo", "mid", "hi", digits=2)
 
 
-@query("scenario_select", D + _F + _MS + f" SELECT well, t, kind, round(CASE WHEN t % 4 = 0 OR kind = 'P50' THEN mu WHEN kind = 'P10' THEN mu + {z_score(0.1)!r} * sigma ELSE mu + {z_score(0.9)!r} * sigma END, 4) AS value FROM ms, (SELECT unnest(['P10', 'P50', 'P90']) AS kind)")
+@query("scenario_select", D + _F + _MS + 
+    f" SELECT well, t, kind, round(CASE WHEN t % 4 = 0 OR kind = 'P50' THEN mu WHEN kind = 'P10' THEN mu + {z_score(0.1)!r} "
+    f"* sigma ELSE mu + {z_score(0.9)!r} * sigma END, 4) AS value FROM ms, (SELECT unnest(['P10', 'P50', 'P90']) AS "
+    f"kind)")
 def scenario_select(spark, sf):
     """P10, P50 or P90; where sigma is missing all are P50."""
     m = _mu_sigma(spark, sf).withColumn("sigma", F.when(F.col("t") % 4 != 0, F.col("sigma"))).withColumn("kind", F.explode(F.array(*map(F.lit, ("P10", "P50", "P90")))))
@@ -332,21 +373,29 @@ def metrics_by_well(spark, sf):
     return rounded(rounded(scores(members(spark, sf), ["well", "m"], "y", "p"), "r2", "smape", "mae"), "mse", digits=4)
 
 
-@query("select_best_members", D + _F + ", l AS (SELECT well, m, avg(abs(y - p)) AS loss FROM f1 GROUP BY well, m), k AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY loss, m) AS place FROM l) SELECT well, m, round(loss, 6) AS loss, place FROM k WHERE place <= 2")
+@query("select_best_members", D + _F + 
+    ", l AS (SELECT well, m, avg(abs(y - p)) AS loss FROM f1 GROUP BY well, m), k AS (SELECT *, row_number() OVER (PARTITION "
+    "BY well ORDER BY loss, m) AS place FROM l) SELECT well, m, round(loss, 6) AS loss, place FROM k WHERE place <= "
+    "2")
 def select_best_members(spark, sf):
     loss = members(spark, sf).groupBy("well", "m").agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("loss"))
     k = loss.withColumn("place", F.row_number().over(Window.partitionBy("well").orderBy("loss", "m")).cast("long")).filter("place <= 2")
     return rounded(k, "loss")
 
 
-@query("contribution_share", D + _F + ", c AS (SELECT well, abs(0.6 * p) AS a, abs(0.4 * (y - p)) AS b FROM f1) SELECT well, round(avg(a / (a + b + 1e-8)), 6) AS mean_share, round(sum(a) / (sum(a) + sum(b)), 6) AS global_share FROM c GROUP BY well")
+@query("contribution_share", D + _F + 
+    ", c AS (SELECT well, abs(0.6 * p) AS a, abs(0.4 * (y - p)) AS b FROM f1) SELECT well, round(avg(a / (a + b + 1e-8)), "
+    "6) AS mean_share, round(sum(a) / (sum(a) + sum(b)), 6) AS global_share FROM c GROUP BY well")
 def contribution_share(spark, sf):
     a, b = F.abs(0.6 * F.col("p")), F.abs(0.4 * (F.col("y") - F.col("p")))
     out = members(spark, sf).groupBy("well").agg(F.avg(a / (a + b + 1e-8)).alias("mean_share"), (F.sum(a) / (F.sum(a) + F.sum(b))).alias("global_share"))
     return rounded(out, "mean_share", "global_share")
 
 
-@query("standard_scale", D + " SELECT well, t, round((oil - avg(oil) OVER w) / CASE WHEN stddev_pop(oil) OVER w = 0 THEN 1 ELSE stddev_pop(oil) OVER w END, 6) + 0.0 AS scaled, round((oil - avg(oil) OVER w) / greatest(stddev_pop(oil) OVER w, 1e-3), 6) + 0.0 AS guarded FROM d WINDOW w AS (PARTITION BY well)")
+@query("standard_scale", D + 
+    " SELECT well, t, round((oil - avg(oil) OVER w) / CASE WHEN stddev_pop(oil) OVER w = 0 THEN 1 ELSE stddev_pop(oil) "
+    "OVER w END, 6) + 0.0 AS scaled, round((oil - avg(oil) OVER w) / greatest(stddev_pop(oil) OVER w, 1e-3), 6) + 0.0 "
+    "AS guarded FROM d WINDOW w AS (PARTITION BY well)")
 def standard_scale(spark, sf):
     d = daily_rates(spark, sf)
     stats = d.groupBy("well").agg(F.avg("oil").alias("center"), F.stddev_pop("oil").alias("scale"))
@@ -355,7 +404,10 @@ def standard_scale(spark, sf):
     return rounded(out, "scaled", "guarded")
 
 
-@query("inverse_scale", D + ", s AS (SELECT well, median(oil) AS c, quantile_cont(oil, 0.75) - quantile_cont(oil, 0.25) AS k FROM d GROUP BY well) SELECT well, t, round((oil - c) / k, 6) + 0.0 AS scaled, round((oil - c) / k * k + c, 4) AS back FROM d JOIN s USING (well)")
+@query("inverse_scale", D + 
+    ", s AS (SELECT well, median(oil) AS c, quantile_cont(oil, 0.75) - quantile_cont(oil, 0.25) AS k FROM d GROUP BY "
+    "well) SELECT well, t, round((oil - c) / k, 6) + 0.0 AS scaled, round((oil - c) / k * k + c, 4) AS back FROM d "
+    "JOIN s USING (well)")
 def inverse_scale(spark, sf):
     d = daily_rates(spark, sf)
     stats = d.groupBy("well").agg(F.median("oil").alias("c"), (F.percentile("oil", F.lit(0.75)) - F.percentile("oil", F.lit(0.25))).alias("k"))
