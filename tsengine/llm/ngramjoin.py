@@ -401,7 +401,7 @@ def _first_blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
     leads = F.col("priority") == F.col("lead")
     part = F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_dealt("rid", F.col("blocks"), 1)))
     role = F.when(leads, 2).otherwise(1)
-    placed = placed.withColumn("part", F.explode(part)).join(sets.selectExpr(*_IDS, "sig"), "rid")
+    placed = placed.withColumn("part", F.explode(part)).join(sets.selectExpr(*_IDS, "sig").hint("merge"), "rid")
     columns = [F.col("part").cast("string").alias("part"), F.col("rid").alias("comp"), role.alias("role"), (F.col("blocks") > 1).alias("split")]
     placed = placed.select("lead", "rid", "priority", *columns, "key", "id", "n", "sig")
     return _open_rows(placed.filter("not split")).unionByName(placed.filter("split").drop("n", "sig"))

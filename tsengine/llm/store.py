@@ -80,10 +80,11 @@ def maybe(docs: DataFrame, keys: KeyFilter, key: str, among: bool = True) -> Dat
 def with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """`wanted`, a written table with the columns key (row_key) and id (doc_id), with text. Rows
     that repeat give a text twice. Only texts that may be wanted, by a filter of bounded size,
-    are shuffled; an ordinary equi-join decides, and adaptive execution splits its hot keys."""
+    are shuffled; a sort-merge join at every size decides, and adaptive execution splits its hot
+    keys."""
     texts = docs.select(row_key().alias("key"), F.col("doc_id").alias("_doc"), "text")
     texts = maybe(texts, KeyFilter(wanted, "key"), "key")
-    return texts.join(wanted, "key").filter(F.col("id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    return texts.join(wanted.hint("merge"), "key").filter(F.col("id").eqNullSafe(F.col("_doc"))).drop("_doc")
 
 
 @contextmanager
