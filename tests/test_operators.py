@@ -99,6 +99,14 @@ def test_search_draws_distinct_points(spark, series):
     assert min(r.mse for r in got) == next(r.mse for r in got if r.chosen)
 
 
+def test_concentration_of_a_published_attribution(spark):
+    # Strengths of eleven features and their published concentration.
+    strength = [0.48772423373561147, 0.22934939556257128, 0.22746941058883546, 0.382628185984989, 0.13276563527162782, 0.13645797697891895]
+    strength += [0.17225421990588075, 0.213144329211597, 0.30044983578651835, 0.47015580222958103, 0.14766796595520443]
+    share = spark.createDataFrame([(x / sum(strength),) for x in strength], "share double")
+    assert abs(share.agg(metrics.concentration("share").alias("g")).first().g - 0.8376324619361502) < 1e-12
+
+
 def test_data_check(spark):
     df = spark.createDataFrame([(1.0, 2, "x"), (None, 3, "y"), (float("inf"), 4, "z"), (2e6, 5, None), (float("nan"), 6, "")], "a double, b int, c string")
     got = {r.dataset: r for r in clean.data_check({"one": df, "two": df.select("b"), "none": df.limit(0)}).collect()}

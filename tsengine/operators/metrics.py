@@ -55,6 +55,11 @@ def welch_t(df: DataFrame, group: str, a: str, b: str, metric: str) -> DataFrame
     return s.select(t.alias("t"), dof.alias("dof"))
 
 
+def concentration(share: str) -> Column:
+    """An aggregate of shares that sum to 1: 0 or so when all are equal, towards 1 with their number."""
+    return 1 - 2.0 / F.count(F.lit(1)) * (1 - (F.min(share) + F.max(share)) / 2)
+
+
 def t_test_p(t: Column, dof: Column, nodes: int = 2000) -> Column:
     """Two-sided p-value of Student's t: the share of cos^(dof - 1) between atan(|t| / sqrt(dof))
     and a right angle, or where the curve has long ended, by Simpson's rule."""

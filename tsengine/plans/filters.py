@@ -245,7 +245,12 @@ def linear_attribution(spark, sf):
 
 @query("walk_forward_eval")
 def walk_forward_eval(spark, sf):
-    return scores(ML.walk_forward(daily_rates(spark, sf)), ["well"])
+    """Each fold's forecasts by a fitted and two plain models, joined into one series of each well
+    and model, and scored."""
+    d, past = daily_rates(spark, sf), along().rowsBetween(-6, 0)
+    folds = ML.walk_forward(d).join(d.select("well", "t", F.col("oil").alias("last"), F.avg("oil").over(past).alias("mean")), ["well", "t"])
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("forecast")) for m, c in (("linear", "pred"), ("last", "last"), ("mean", "mean"))]))
+    return scores(folds.select("well", "t", "truth", each), ["well", "model"], "truth", "forecast")
 
 
 @query("gbt_forecast")

@@ -201,7 +201,7 @@ _GINI = "1 - 2.0 / count(*) * (1 - (min(share) + max(share)) / 2)"
 
 @query("attr_gini", _A + f" SELECT iteration, round({_GINI}, 6) AS gini FROM q GROUP BY 1")
 def attr_gini(spark, sf):
-    gini = 1 - 2.0 / F.count(F.lit(1)) * (1 - (F.min("share") + F.max("share")) / 2)
+    gini = M.concentration("share")
     return rounded(_report(spark, sf).groupBy("iteration").agg(gini.alias("gini")), "gini")
 
 
@@ -243,7 +243,7 @@ def attr_summary(spark, sf):
     """Over all iterations: the most influential features, whether their order is stable, how far
     the gini moved, and how many features drive the outcome up and down."""
     q = _report(spark, sf).select("iteration", "feature", "rank", "share")
-    gini = 1 - 2.0 / F.count(F.lit(1)) * (1 - (F.min("share") + F.max("share")) / 2)
+    gini = M.concentration("share")
     change = q.groupBy("iteration").agg(gini.alias("gini")).agg((F.max_by("gini", "iteration") - F.min_by("gini", "iteration")).alias("gini_change"))
     before = q.select((F.col("iteration") + 1).alias("iteration"), "feature", F.col("rank").alias("before"))
     rho = q.join(before, ["iteration", "feature"]).groupBy("iteration").agg(F.corr("rank", "before").alias("rho")).agg(F.min("rho").alias("least_rho"))
@@ -261,7 +261,7 @@ def attr_summary(spark, sf):
     f"arg_min(top, iteration) AS first_top, arg_max(top, iteration) AS last_top, round(arg_min(gini, iteration), 6) "
     f"AS first_gini, round(arg_max(gini, iteration), 6) AS last_gini FROM g")
 def attr_longitudinal(spark, sf):
-    gini = 1 - 2.0 / F.count(F.lit(1)) * (1 - (F.min("share") + F.max("share")) / 2)
+    gini = M.concentration("share")
     g = _report(spark, sf).groupBy("iteration").agg(gini.alias("gini"), F.min_by("feature", F.col("rank") * 1000 + F.col("feature")).alias("top"))
     out = g.agg(F.min_by("top", "iteration").alias("first_top"), F.max_by("top", "iteration").alias("last_top"), F.min_by("gini", "iteration").alias("first_gini"), F.max_by("gini", "iteration").alias("last_gini"))
     return rounded(out, "first_gini", "last_gini")
