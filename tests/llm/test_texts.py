@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tsengine.llm import decontaminate, langid, linededup, packing, pii, toxicity, urlfilter
+from tsengine.llm import decontaminate, exactdedup, langid, linededup, packing, pii, toxicity, urlfilter
 from tsengine.llm.queries import public_vocabulary
 
 CLASH = ("n_words", "score", "top", "passages", "base", "spans", "lang_pred", "word_share", "row_key", "rid", "key", "kind", "n_hit", "items", "start", "length", "ids", "host", "path", "rule", "verdict", "n_lines", "_id", "_key", "tune")
@@ -343,6 +343,23 @@ def test_listed_urls_of_any_host(spark, blocks, monkeypatch):
     assert len(got) == 656 and urlfilter.url_verdicts(pages.limit(0), listed).count() == 0 and urlfilter.url_verdicts(pages, listed.limit(0)).filter("verdict = 'block'").count() == 0
 
 
+def test_rules_that_tie(spark):
+    rules = [("allow", "a.net", "/x"), ("block", "net", "/x/y/")]  # seven characters each
+    pages = spark.createDataFrame([(1, "http://a.net/x/y/z"), (1, "http://a.net/x/y/z"), (2, "http://a.net/x"), (None, None)], "page_id long, url string")
+    listed = spark.createDataFrame([], "canonical string")
+    run = lambda r: sorted(((x.page_id, x.rule, x.verdict) for x in urlfilter.url_verdicts(pages, listed, r).collect()), key=str)
+    assert run(rules) == [(1, "net/x/y/", "block"), (1, "net/x/y/", "block"), (2, "a.net/x", "allow"), (None, None, "allow")]
+    assert run(rules[::-1])[0] == (1, "a.net/x", "allow")
+
+
+def test_exact_copies_of_long_texts(spark):
+    long = "word " * 400_000
+    rows = [(3, long), (1, long.replace(" ", "\t")), (2, long + " "), (4, ""), (None, " \n"), (5, None)]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exactdedup.exact_dedup(df).collect()}
+    assert got == {1: (2, 3, False), 2: (2, 3, True), 3: (2, 3, False), 4: (None, 3, False), 5: (None, 3, False), None: (None, 3, True)}
+
+
 def test_lines_by_brute_force(spark):
     rng = random.Random(14)
     lines = ["Shared line number %d that is long enough to be counted as one" % i for i in range(12)] + ["short", "", "   ", "é" * 39, "é" * 40]

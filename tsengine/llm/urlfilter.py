@@ -69,8 +69,8 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str
     when small and joined by block number when not. A URL that a third of the pages share is
     one row of the list, so adaptive execution splits its pages.
 
-    A null url, or one without ://, has an empty host and path and is allowed. Rules that tie
-    in length fit no url together. Repeated page_ids are judged row by row; urls may have any
+    A null url, or one without ://, has an empty host and path and is allowed. Of rules that
+    tie in length the one listed later wins. Repeated page_ids are judged row by row; urls may have any
     length; other columns are ignored, whatever their names; empty tables are fine."""
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
