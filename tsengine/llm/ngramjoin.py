@@ -5,11 +5,11 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -292,12 +292,13 @@ def index_groups(sets: DataFrame) -> DataFrame:
     return postings.join(leads, "token").filter("core or n >= least or priority = lead").select("lead", "rid", "n", "priority").distinct()
 
 
-def _weighed(n_rows: str, n_shingles: str):
+def _weighed(n_rows: str, n_shingles: str) -> Column:
     """Blocks for so many sets with so many shingles."""
     return F.greatest(F.ceil(F.col(n_rows) / BLOCK), F.ceil(F.col(n_shingles) / WEIGHT)).cast("int")
 
 
-def _dealt(rid: str, n, seed: int):
+def _dealt(rid: str, n: Column, seed: int) -> Column:
+    """Which of n blocks a set goes to."""
     return F.pmod(F.xxhash64(F.lit(seed), rid), n).cast("int")
 
 
@@ -407,32 +408,50 @@ def _first_blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
     return _open_rows(placed.filter("not split")).unionByName(placed.filter("split").drop("n", "sig"))
 
 
-def _later_blocks(state: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of groups that were dealt into several blocks, the blocks that are still to be searched.
+def _place(kind: str, i: Column, j: Column, query: Column | bool) -> Column:
+    """A block of two sides i and j, and whether a set is a query in it."""
+    query = F.lit(query) if isinstance(query, bool) else query
+    return F.struct(F.concat_ws(":", F.lit(kind), i, j).alias("part"), query.cast("int").alias("role"))
+
+
+def _places(n: Column, place: Callable[[Column], Column]) -> Column:
+    """The places for each of n blocks; none if n is 0."""
+    none = F.array().cast("array<struct<part:string,role:int>>")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), place)).otherwise(none)
+
 
-    Sets linked to the lead are one component. The others are compared with each other, and with
-    those if they are not in that component and near enough: the distance 1 - Jaccard obeys the
-    triangle inequality, so a set that is linked to one at most 1 - p from the lead is at most
-    2 - 2p from the lead."""
+def _sides(state: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of split groups, with their components: linked to the group's lead; or not (far),
+    and of these whether they may be linked to one that is (near).
+
+    Sets linked to the lead are one component. The distance 1 - Jaccard obeys the triangle
+    inequality, so a set that is linked to one at most 1 - p from the lead is at most 2 - 2p
+    from the lead."""
     state = state.select("lead", F.col("u").alias("rid"), "o", "total").distinct().join(sets.select("rid", "n", "priority"), "rid")
-    state = state.join(labels, state["rid"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "rid")).drop("node", "component")
+    state = state.join(labels, state["rid"] == labels["node"], "left").withColumn("comp", F.coalesce("component", "rid"))
     top = state.filter("priority = lead").groupBy("lead").agg(F.min("comp").alias("top"))
     linked = F.expr(f"100 * o >= {PERCENT} * total")
-    near = F.expr(f"100 * o >= {max(0, 2 * PERCENT - 100)} * total") & (F.col("comp") != F.col("top"))
-    state = state.join(top, "lead").select("lead", "rid", "n", "priority", "comp", linked.alias("linked"), (near & ~linked).alias("near"))
-    one = lambda test, x: F.sum(F.when(test, x).otherwise(0))
-    counts = [one(t, x).alias(f"{name}_{c}") for name, t in (("far", ~F.col("linked")), ("near", F.col("near")), ("linked", F.col("linked"))) for c, x in (("rows", F.lit(1)), ("shingles", F.col("n")))]
-    stats = state.groupBy("lead").agg(*counts).filter("far_rows > 0")
-    stats = table(stats.select("lead", *(_weighed(f"{x}_rows", f"{x}_shingles").alias(x) for x in ("far", "near", "linked"))).withColumnRenamed("near", "n_near").withColumnRenamed("linked", "n_linked"), "jaccard-open")
-    state = state.join(stats, "lead")
-    each = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), make)).otherwise(F.array().cast("array<struct<part:string,role:int>>"))
-    place = lambda kind, i, j, role: F.struct(F.concat_ws(":", F.lit(kind), i, j).alias("part"), F.lit(role).cast("int").alias("role") if isinstance(role, int) else role.cast("int").alias("role"))
-    own = _dealt("rid", F.greatest("far", F.lit(1)), 2)
-    among = each(F.col("far"), lambda k: place("far", F.least(own, k), F.greatest(own, k), (own <= k)))
-    across = each(F.col("n_linked"), lambda k: place("near", _dealt("rid", F.greatest("n_near", F.lit(1)), 3), k, 1))
-    under = each(F.col("n_near"), lambda k: place("near", k, _dealt("rid", F.greatest("n_linked", F.lit(1)), 4), 0))
+    reachable = F.expr(f"100 * o >= {max(0, 2 * PERCENT - 100)} * total")
+    side = {"linked": linked, "far": ~linked, "near": ~linked & reachable & (F.col("comp") != F.col("top"))}
+    return state.join(top, "lead").select("lead", "rid", "n", "priority", "comp", *[c.alias(name) for name, c in side.items()])
+
+
+def _later_blocks(state: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of groups that were dealt into several blocks, what is still to be searched: far sets
+    against each other, and near ones against linked ones. Each side is cut into blocks, and
+    two of them make a block to search; sets of the first are its queries."""
+    state = _sides(state, labels, sets)
+    sides = ("linked", "far", "near")
+    sums = [F.sum(F.when(F.col(x), c).otherwise(0)).alias(f"{x}_{name}") for x in sides for name, c in (("rows", F.lit(1)), ("shingles", F.col("n")))]
+    blocks = state.groupBy("lead").agg(*sums).filter("far_rows > 0").select("lead", *[_weighed(f"{x}_rows", f"{x}_shingles").alias(f"n_{x}") for x in sides])
+    state = state.join(table(blocks, "jaccard-open"), "lead")
+    mine = {x: _dealt("rid", F.greatest(f"n_{x}", F.lit(1)), seed) for seed, x in enumerate(sides, 2)}
+    among = _places(F.col("n_far"), lambda k: _place("far", F.least(mine["far"], k), F.greatest(mine["far"], k), mine["far"] <= k))
+    across = _places(F.col("n_linked"), lambda k: _place("near", mine["near"], k, True))
+    under = _places(F.col("n_near"), lambda k: _place("near", k, mine["linked"], False))
     places = F.when(F.col("linked"), under).when(F.col("near"), F.concat(among, across)).otherwise(among)
-    return state.select("lead", F.explode(places).alias("place"), "rid", "priority", "comp").select("lead", "place.part", "rid", "priority", "comp", "place.role", F.lit(False).alias("split")).join(sets.selectExpr(*_IDS), "rid")
+    placed = state.select("lead", "rid", "priority", "comp", F.explode(places).alias("place"))
+    return placed.select("lead", "place.part", "rid", "priority", "comp", "place.role", F.lit(False).alias("split")).join(sets.selectExpr(*_IDS), "rid")
 
 
 def jaccard_components(docs: DataFrame, batch_size: str = "4m") -> DataFrame:
