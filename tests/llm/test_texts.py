@@ -344,11 +344,11 @@ def test_listed_urls_of_any_host(spark, blocks, monkeypatch):
 
 
 def test_rules_that_tie(spark):
-    rules = [("allow", "a.net", "/x"), ("block", "net", "/x/y/")]  # seven characters each
+    rules = [("allow", "a.net", "/x"), ("block", "net", "/x/y")]  # seven characters each
     pages = spark.createDataFrame([(1, "http://a.net/x/y/z"), (1, "http://a.net/x/y/z"), (2, "http://a.net/x"), (None, None)], "page_id long, url string")
     listed = spark.createDataFrame([], "canonical string")
     run = lambda r: sorted(((x.page_id, x.rule, x.verdict) for x in urlfilter.url_verdicts(pages, listed, r).collect()), key=str)
-    assert run(rules) == [(1, "net/x/y/", "block"), (1, "net/x/y/", "block"), (2, "a.net/x", "allow"), (None, None, "allow")]
+    assert run(rules) == [(1, "net/x/y", "block"), (1, "net/x/y", "block"), (2, "a.net/x", "allow"), (None, None, "allow")]
     assert run(rules[::-1])[0] == (1, "a.net/x", "allow")
 
 

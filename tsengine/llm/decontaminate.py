@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import KeyFilter, row_key, table
+from .store import KeyFilter, bound_batches, row_key, table
 
 #: Words in a window; a shorter item is one window.
 WINDOW = 13
@@ -70,7 +70,7 @@ def _inside(at: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
 
 def _shingle_counts(docs: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
     """(key, n): how often each of `keys` occurs in the documents, if it does."""
-    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(keys, "key"))
+    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(keys, "key").lookup())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, held, n = shared.value, [], 0
@@ -101,7 +101,7 @@ def _places(docs: DataFrame, keys: DataFrame, sizes: list[int]) -> DataFrame:
     """A row for each document (pos is null), with its number of words, and one for each place
     where a prefix shingle may occur: the words around it that a window can reach. A shingle of
     fewer than SHINGLE words is a whole window and needs no more than itself."""
-    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(keys, "key"))
+    shared = docs.sparkSession.sparkContext.broadcast(KeyFilter(keys, "key").lookup())
     names = ["rid", "row_key", "doc_id", "n_words", "key", "pos", "from", "ctx"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +152,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     repeated doc_ids are judged row by row, repeated items count once; a long text's places
     are rows of their own; without items nothing is hit, without documents nothing returned;
     other columns are ignored, whatever their names."""
+    bound_batches(docs.sparkSession)
     wins = table(item_windows(items), "item-windows")
     each = table(wins.select("win", "k", "keys").dropDuplicates(["win"]), "windows")
     sizes = sorted(r.m for r in each.select(F.least("k", F.lit(SHINGLE)).alias("m")).distinct().collect())  # at most SHINGLE
@@ -160,7 +161,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     rarest = ranked.groupBy("win", "k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "off")).alias("least"))
     # A window with a shingle that occurs nowhere occurs nowhere.
     prefix = table(rarest.filter("least.n > 0").select("win", "k", "least.key", "least.off"), "prefix")
-    seen = table(_places(docs, prefix.select("key").distinct(), sizes), "places")
+    seen = table(_places(docs, prefix.select("key"), sizes), "places")
     if prefix.count() <= BROADCAST_WINDOWS:
         prefix = F.broadcast(prefix)
     places = seen.filter("pos is not null").select("rid", "key", "pos", "from", "ctx", (F.col("from") + F.size("ctx")).alias("to"))

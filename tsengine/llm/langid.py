@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
+from .store import bound_batches
 
 #: About so many labelled rows of each language are learned from, in up to SEGMENTS pieces of
 #: SEGMENT_WORDS words spread over the whole text.
@@ -296,4 +297,5 @@ def language(docs: DataFrame) -> DataFrame:
     have a lang, then identify all rows. Only text is looked at in a prediction. Repeated rows
     are judged row by row; a null doc_id is not held out; texts of any length are one chain each;
     an empty table gives an empty one; other columns are ignored, whatever their names."""
+    bound_batches(docs.sparkSession)
     return identify(docs, fit(docs.select("doc_id", "text", "lang")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import KeyFilter, maybe, row_key, table
+from .store import KeyFilter, bound_batches, row_key, table
 
 MIN_POINTS = 40
 MIN_DOCS = 5
@@ -131,6 +131,7 @@ def line_keep_bitmaps(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: i
     Returns doc_id, row_key, n_lines, n_dropped, keep_bitmap (zlib of one bit a line, first
     line highest; 1 is kept). A null doc_id is a document of its own that is smaller than all
     others; rows of one doc_id are one document; a null or empty text is one empty line."""
+    bound_batches(docs.sparkSession)
     lines = table(long_lines(docs, min_points), "lines")
     order = [F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last(), F.col("row_key"), F.col("pos")]
     doc_type = docs.schema["doc_id"].dataType
@@ -166,12 +167,13 @@ def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """`docs` with text cut to the kept lines, joined by newlines, and two more columns:
     n_lines (before) and n_dropped, which replace columns of these names. A document without a
     bitmap keeps its text as it is, and only texts that may have one are shuffled."""
+    bound_batches(docs.sparkSession)
     flag = table(bitmaps.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("n_dropped").alias("_dropped"), F.col("keep_bitmap").alias("_bitmap")), "line-flags")
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     keyed, keys = docs.select(*names, row_key().alias("_row")), KeyFilter(flag, "_key")
     whole = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    rest = maybe(keyed, keys, "_row", False).select(*names, F.coalesce(whole, F.lit(1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    kept = maybe(keyed, keys, "_row").join(flag, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rest = keys.maybe(keyed, "_row", False).select(*names, F.coalesce(whole, F.lit(1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    kept = keys.maybe(keyed, "_row").join(flag, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

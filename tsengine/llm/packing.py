@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import table
+from .store import bound_batches, table
 
 WINDOW = 1024
 #: A shard of the index ends at this many tokens or documents; it bounds a task's memory.
@@ -234,6 +234,7 @@ def packed_sequences(docs: DataFrame, vocabulary: str, ranks: str | None = None,
     Returns a row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id and offset. Null and empty texts are the end token alone; repeated
     rows are packed each; each task cuts its last window into powers of two."""
+    bound_batches(docs.sparkSession)
     tokens = table(tokenize(docs, vocabulary, ranks, pattern), "packing-tokens")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import table
+from .store import bound_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words to the left of a candidate, on its line, that make its pattern; of a longer word than
@@ -205,6 +205,7 @@ def personal_data(docs: DataFrame, patterns: DataFrame | None = None) -> DataFra
     Null texts count as empty; repeated rows are searched row by row; a text or word of any
     length is read in linear time; an empty table learns nothing and returns nothing; other
     columns are ignored, whatever their names."""
+    bound_batches(docs.sparkSession)
     patterns = (trusted_patterns(docs) if patterns is None else patterns).select("pattern", "kind")
     few = patterns.limit(MAX_PATTERNS + 1).collect()
     known = {r.pattern: r.kind for r in few}

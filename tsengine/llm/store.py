@@ -6,9 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,36 +45,46 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 class KeyFilter:
     """A bit for each class of the 64-bit keys that may be looked for; others are surely absent.
 
-    It has RATE bits for each key, within BITS (32 MB at most), so that it can always be
-    broadcast; with more keys it lets more pass, and the exact join behind it decides."""
+    It has RATE bits for each key, within BITS, so that it can always be broadcast (16 bytes for
+    a word of 64 bits: 32 MB at most); with more keys it lets more pass, and the exact join
+    behind it decides. `keys` is a written table."""
 
-    RATE, BITS = 128, (1 << 20, 1 << 28)
+    RATE, BITS = 128, (1 << 20, 1 << 27)
 
     def __init__(self, keys: DataFrame, key: str):
         n = keys.count()
         self.log = int(np.ceil(np.log2(min(max(self.RATE * n, self.BITS[0]), self.BITS[1]))))
-        bit = F.expr(f"shiftrightunsigned({key}, {64 - self.log})")
-        words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {64 - self.log}) & 63 as int))")).alias("bits")).toArrow()
-        self.bits = np.zeros(1 << self.log - 6, np.uint64)
-        self.bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+        word, bit = self._place(key)
+        self.words = keys.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
 
-    def where(self, x: np.ndarray) -> np.ndarray:
-        """Positions in x (unsigned) whose value may be among the keys."""
-        at = x >> np.uint64(64 - self.log)
-        return np.flatnonzero(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+    def _place(self, key: str) -> tuple[Column, str]:
+        at = f"shiftrightunsigned({key}, {64 - self.log})"
+        return F.expr(f"shiftright({at}, 6)"), f"cast({at} & 63 as int)"
 
+    def maybe(self, docs: DataFrame, key: str, among: bool = True) -> DataFrame:
+        """The rows of `docs` whose `key` may be one of the keys; the others with among=False."""
+        word, bit = self._place(key)
+        met = docs.withColumn("_word", word).join(F.broadcast(self.words), "_word", "left")
+        there = F.expr(f"coalesce(shiftrightunsigned(_bits, {bit}) & 1, 0L) = 1")
+        return met.filter(there if among else ~there).drop("_word", "_bits")
 
-def maybe(docs: DataFrame, keys: KeyFilter, key: str, among: bool = True) -> DataFrame:
-    """The rows of `docs` whose `key` may be one of `keys`; the others with among=False."""
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
+    def lookup(self) -> KeyLookup:
+        """The same filter for Python tasks."""
+        words = self.words.toArrow()
+        bits = np.zeros(1 << self.log - 6, np.uint64)
+        bits[words.column("_word").to_numpy()] = words.column("_bits").to_numpy().view(np.uint64)
+        return KeyLookup(self.log, bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.zeros(len(batch), bool)
-            found[shared.value.where(batch.column(key).to_numpy().view(np.uint64))] = True
-            yield batch.filter(pa.array(found == among))
 
-    return docs.mapInArrow(run, docs.schema)
+@dataclass
+class KeyLookup:
+    log: int
+    bits: np.ndarray
+
+    def where(self, x: np.ndarray) -> np.ndarray:
+        """Positions in x (unsigned) whose value may be among the keys."""
+        at = x >> np.uint64(64 - self.log)
+        return np.flatnonzero(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
 
 
 def with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
@@ -83,18 +93,30 @@ def with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     are shuffled; a sort-merge join at every size decides, and adaptive execution splits its hot
     keys."""
     texts = docs.select(row_key().alias("key"), F.col("doc_id").alias("_doc"), "text")
-    texts = maybe(texts, KeyFilter(wanted, "key"), "key")
+    texts = KeyFilter(wanted, "key").maybe(texts, "key")
     return texts.join(wanted.hint("merge"), "key").filter(F.col("id").eqNullSafe(F.col("_doc"))).drop("_doc")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of some `size` bytes from now on, unless the session has a size of its own.
+
+    A Python task holds several copies of a batch outside the heap, and an executor runs several;
+    Spark's own 64 MB make that a gigabyte. The setting stays, as what an operator returns is
+    run later."""
+    if spark.conf.get(_BATCH).lower() in ("64mb", "64m", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, size)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
     """Arrow batches of some `size` bytes, not Spark's 64 MB, in what runs meanwhile: a task
     holds several copies of a batch outside the heap. The session's own setting returns."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, size)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH, before)

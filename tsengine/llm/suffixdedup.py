@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import KeyFilter, maybe, table
+from .store import KeyFilter, bound_batches, table
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -195,7 +195,7 @@ def stretches(docs: DataFrame, opened: DataFrame) -> DataFrame:
     the end of its last string; its anchor lies `place` bytes behind the first start."""
     runs = F.sort_array(F.collect_set(F.struct("lo", "hi", "anchor", "state"))).alias("runs")
     named = table(opened.groupBy("k1", "k2").agg(runs), "suffix-open")
-    texts = maybe(docs, KeyFilter(named, "k1"), "k1").select("k1", "k2", "text")
+    texts = KeyFilter(named, "k1").maybe(docs, "k1").select("k1", "k2", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["k1", "k2", "lo", "place", "state", "bytes"]
@@ -466,24 +466,17 @@ def remove_repeated(docs: DataFrame, spans: DataFrame) -> DataFrame:
     Only texts that may lose bytes, by a filter of bounded size, are met by a shuffle."""
     spans = table(spans, "suffix-spans")
     keys = KeyFilter(spans, "k1")
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if "starts" in batch.schema.names:
-                starts = batch.column("starts")
-            else:  # rows that are surely in no span
-                there = np.ones(len(batch), bool)
-                there[shared.value.where(batch.column("k1").to_numpy().view(B.U))] = False
-                batch = batch.filter(pa.array(there))
-                starts = None
+            starts = batch.column("starts")
             size, gone, n_spans, kept, digest = [], [], [], [], []
             for lo, hi, data, offs in B.text_chunks(batch.column("text")):
                 for r in range(lo, hi):
                     text = data[offs[r - lo] : offs[r - lo + 1] - 1]
                     size.append(len(text))
-                    if starts is not None and starts[r].is_valid:
+                    if starts[r].is_valid:
                         mark = np.zeros(len(text) + 1, np.int32)
                         v = starts[r].values
                         np.add.at(mark, v.field("lo").to_numpy(), 1)
@@ -501,9 +494,10 @@ def remove_repeated(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     long = [T.StructField(c, T.LongType()) for c in names[1:4]]
     schema = T.StructType([docs.schema["doc_id"], *long, T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
-    clean = docs.select("doc_id", "k1", "text").mapInArrow(cut, schema)
-    met = maybe(docs, keys, "k1").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "starts").mapInArrow(cut, schema)
-    return clean.unionAll(met)
+    none = F.lit(None).cast(spans.schema["starts"].dataType).alias("starts")
+    clean = keys.maybe(docs, "k1", False).select("doc_id", "text", none)
+    met = keys.maybe(docs, "k1").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "starts")
+    return clean.unionAll(met).mapInArrow(cut, schema)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -511,6 +505,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     of 128 bits of doc_id and text; repeated rows are copies of each other and each keeps a row;
     texts of any length are cut into stretches; an empty table gives an empty one; other columns
     are ignored, whatever their names."""
+    bound_batches(docs.sparkSession)
     keys = [F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias(f"k{seed}") for seed in (1, 2)]
     docs = docs.select(*keys, "doc_id", "text")
     return remove_repeated(docs, repeated_spans(docs))

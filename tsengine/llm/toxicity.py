@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
+from .store import bound_batches
 
 #: About so many labelled rows of each class are learned from; more are thinned by a hash.
 MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
@@ -250,6 +251,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None)
     Repeated rows are scored row by row, texts of any length are scanned whole in linear time,
     an empty table gives an empty one. Columns of `docs` that are not in `keep` are ignored; a
     name in `keep` that this operator returns itself is refused."""
+    bound_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     if clash := {"n_words", "top", "score", "passages"} & set(keep):
         raise ValueError(f"rename {sorted(clash)} before")
