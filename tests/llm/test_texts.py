@@ -365,7 +365,7 @@ def test_lines_by_brute_force(spark):
     lines = ["Shared line number %d that is long enough to be counted as one" % i for i in range(12)] + ["short", "", "   ", "é" * 39, "é" * 40]
     rows = [(i, "\n".join(rng.choice(["", " ", "\t"]) + rng.choice([str.upper, str])(rng.choice(lines)) + rng.choice(["", " \r"]) for _ in range(rng.randrange(12)))) for i in range(80)]
     rows += [(100, None), (101, "x" * 10**6 + "\n" + lines[0]), (102, "\n" * 1000 + lines[0])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("h1", "pos", "row_key", "drop", "n_docs")}).repartition(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("h1", "pos", "row_key", "drop", "n_docs", "_row", "_id", "_key", "_word", "_bits", "n_lines", "keep_bitmap")}).repartition(4)
     lower = lambda s: re.sub("[A-Z]", lambda m: m.group().lower(), s)
     split = {d: (t or "").split("\n") for d, t in rows}
     key = lambda x: lower(x.strip(" \t\n\v\f\r"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import KeyFilter, bound_batches, row_key, table
+from .store import KeyFilter, apart, bound_batches, row_key, table
 
 MIN_POINTS = 40
 MIN_DOCS = 5
@@ -168,9 +168,11 @@ def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     n_lines (before) and n_dropped, which replace columns of these names. A document without a
     bitmap keeps its text as it is, and only texts that may have one are shuffled."""
     bound_batches(docs.sparkSession)
-    flag = table(bitmaps.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("n_dropped").alias("_dropped"), F.col("keep_bitmap").alias("_bitmap")), "line-flags")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    keyed, keys = docs.select(*names, row_key().alias("_row")), KeyFilter(flag, "_key")
+    flag = [F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("n_dropped").alias("_dropped"), F.col("keep_bitmap").alias("_bitmap")]
+    flag = table(bitmaps.select(*flag), "line-flags")
+    docs, back = apart(docs.drop("n_lines", "n_dropped"))
+    names = docs.columns
+    keyed, keys = docs.withColumn("_row", row_key()), KeyFilter(flag, "_key")
     whole = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     rest = keys.maybe(keyed, "_row", False).select(*names, F.coalesce(whole, F.lit(1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     kept = keys.maybe(keyed, "_row").join(flag, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
@@ -188,4 +190,4 @@ def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             yield pa.record_batch([out[f.name] for f in schema.fields], [f.name for f in schema.fields])
 
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return rest.unionByName(kept.select(*names, "_dropped", "_bitmap").mapInArrow(cut, schema))
+    return rest.unionByName(kept.select(*names, "_dropped", "_bitmap").mapInArrow(cut, schema)).select(*back, "n_lines", "n_dropped")
