@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsengine.llm import decontaminate, linededup, ngramjoin, packing, toxicity
 from tsengine.llm.queries import public_vocabulary
-from tsengine.llm.store import row_key, table
-
-
-def apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """`docs` with doc_id and text, its other columns under names that no operator uses, and the
-    expressions that give the columns back."""
-    names = {c: c if c in ("doc_id", "text") else f"_column_{i}" for i, c in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), [F.col(new).alias(old) for old, new in names.items()]
+from tsengine.llm.store import apart, row_key, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
