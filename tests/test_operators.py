@@ -150,13 +150,13 @@ def test_notebooks(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def events(spark, tmp_path_factory):
-    """Six files in sequence of time, which a stream takes one after the other."""
+    """Three files in sequence of time, which a stream takes one after the other."""
     folder = tmp_path_factory.mktemp("stream")
     rng = np.random.default_rng(3)
     rows = [(f"k{int(rng.integers(2))}", i, i * 7, float(rng.random() * 10)) for i in range(900)]
     (folder / "events.parquet").mkdir()
-    for f in range(6):
-        part = spark.createDataFrame(rows[f * 150 : f * 150 + 150], "event_type string, event_id long, minute int, value double")
+    for f in range(3):
+        part = spark.createDataFrame(rows[f * 300 : f * 300 + 300], "event_type string, event_id long, minute int, value double")
         part = part.select("event_type", "event_id", F.timestamp_seconds(F.col("minute") * 60).cast("timestamp_ntz").alias("ts"), "value")
         part.toPandas().to_parquet(folder / "events.parquet" / f"part-{f}.parquet", coerce_timestamps="us")
     return f"{folder}/events.parquet", {k: [v for t, _, _, v in rows if t == k] for k in ("k0", "k1")}
