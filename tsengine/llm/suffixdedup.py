@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -308,138 +309,153 @@ def _ranges(keys: list[bytes], s: Suffixes) -> np.ndarray:
     return out
 
 
+#: What a task says about starts: runs of starts that repeat (kind 0), or the start of an edge
+#: key, the key, and whether it repeats in its range (kind 1; lo is -1 for a witness).
+_SAID = {"kind": pa.int8(), "k1": pa.int64(), "k2": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "edge": pa.binary(), "many": pa.bool_()}
+_SAID_SCHEMA = "kind byte, k1 long, k2 long, lo int, hi int, edge binary, many boolean"
+#: What it sends to a range: pieces (runs of starts), as columns of bytes, and their text.
+_SENT = {"bucket": pa.int32(), **{f"c{i}": pa.binary() for i in range(7)}}
+_SENT_SCHEMA = "bucket int, " + ", ".join(f"c{i} binary" for i in range(7))
+_PIECE = [np.int64, np.int64, np.int32, np.int32, np.uint8, np.uint8, np.uint8]  # k1, k2, lo, n, place, flag, text
+
+
+def _batch(columns: dict[str, pa.Array], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """A batch of all `kinds`; columns that are not given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.record_batch([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+
+
+def _repeating(k1: np.ndarray, k2: np.ndarray, at: np.ndarray) -> dict[str, pa.Array]:
+    """Starts that repeat, as runs."""
+    order = np.lexsort((at, k2, k1))
+    k1, k2, at = k1[order], k2[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    first, n = _pieces(new)
+    return {"kind": pa.array(np.zeros(len(first), np.int8)), "k1": pa.array(k1[first]), "k2": pa.array(k2[first]), "lo": pa.array(at[first]), "hi": pa.array((at[first] + n - 1).astype(np.int32))}
+
+
+def _sending(data: np.ndarray, at: np.ndarray, n: np.ndarray, cols: list[np.ndarray], bucket: np.ndarray) -> dict[str, pa.Array]:
+    """One row for each bucket: its pieces' columns as blocks of bytes, and their text."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, cols = bucket[order], [c[order] for c in cols]
+    _, i = _starts(n[order] + LENGTH - 1, at[order])
+    text, ends = data[i], np.cumsum(n[order] + LENGTH - 1)
+    cut = _groups(bucket)
+    blobs = [[_blob(c[a:b]) for a, b in cut] for c in cols] + [[_blob(text[ends[a - 1] if a else 0 : ends[b - 1]]) for a, b in cut]]
+    return {"bucket": pa.array([int(bucket[a]) for a, _ in cut], pa.int32()), **{f"c{i}": pa.array(x, pa.binary()) for i, x in enumerate(blobs)}}
+
+
+def _suffixes(n: np.ndarray, place: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, Suffixes]:
+    """The piece of each start, its number in it, and the strings of pieces of n starts each, whose
+    texts follow each other in `data`; `place` is that of the anchor in a piece's first string."""
+    size = n.astype(np.int64) + LENGTH - 1
+    first = np.cumsum(size) - size
+    piece, at = _starts(n.astype(np.int64), first)
+    within = at - first[piece]
+    return piece, within, Suffixes(data, at, place[piece].astype(np.int64) - within)
+
+
+def _deal(batches: Iterator[pa.RecordBatch], split: list[bytes], fan: int) -> Iterator[pa.RecordBatch]:
+    """Stretches to pieces for their ranges. Suffixes are sorted here already: of those that are
+    held twice one goes on for all (flag 1), the others are known to repeat (flag 2: a witness,
+    which is itself settled)."""
+    kinds = _SENT | _SAID
+    held, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        k1, k2, lo, place, state = (np.concatenate([h[i] for h in held]) for i in range(5))
+        data = np.frombuffer(b"".join(t for h in held for t in h[5]), np.uint8)
+        length = np.array([len(t) for h in held for t in h[5]], np.int64)
+        held.clear()
+        run, within, s = _suffixes(length - LENGTH + 1, place, data)
+        order, differs = multikey_quicksort(len(run), KEY_WORDS, s.word)
+        group = np.cumsum(differs) - 1
+        twice, first = np.zeros(len(run), bool), np.zeros(len(run), bool)
+        twice[order], first[order] = np.bincount(group)[group] > 1, differs
+        start, state = (lo[run] + within).astype(np.int32), state[run]
+        hit = np.flatnonzero(~first & (state == 0))
+        yield _batch(_repeating(k1[run[hit]], k2[run[hit]], start[hit]), kinds)
+        to = _ranges(split, s) * fan
+        if fan > 1:
+            to += _spread(B.Spans(data).of(s.at, s.at + LENGTH), fan)
+        flag = twice.astype(np.uint8) | (state == 2).astype(np.uint8) << 1
+        kept = np.flatnonzero(first)
+        new = np.ones(len(kept), bool)
+        new[1:] = kept[1:] != kept[:-1] + 1
+        for x in (run, to, flag):
+            new[1:] |= x[kept[1:]] != x[kept[:-1]]
+        begin, n = _pieces(new)
+        a = kept[begin]
+        yield _batch(_sending(data, s.at[a], n, [k1[run[a]], k2[run[a]], start[a], n.astype(np.int32), s.place[a].astype(np.uint8), flag[a]], to[a]), kinds)
+
+    for batch in batches:
+        held.append([*(batch.column(c).to_numpy() for c in ("k1", "k2", "lo", "place", "state")), batch.column("bytes").to_pylist()])
+        size += sum(map(len, held[-1][5])) - (LENGTH - 1) * len(batch)
+        if size > 2 * BUCKET:
+            yield from flush()
+            size = 0
+    if size:
+        yield from flush()
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges, one after the other: sorted, neighbours compared. The first and the last key may go
+    on in other ranges, so a row tells about each."""
+
+    def close(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        k1, k2, lo, n, place, flag, data = (np.concatenate([h[i] for h in held]) for i in range(7))
+        piece, within, s = _suffixes(n, place, data)
+        order, differs = multikey_quicksort(len(piece), KEY_WORDS, s.word)
+        group, row = np.cumsum(differs) - 1, piece[order]
+        f, start = flag[row], (lo[piece] + within).astype(np.int32)[order]
+        many = (np.bincount(group)[group] > 1) | (np.bincount(group, f & 1)[group] > 0)
+        hit = many & (f & 2 == 0)
+        yield _batch(_repeating(k1[row[hit]], k2[row[hit]], start[hit]), _SAID)
+        at = np.unique(np.searchsorted(group, [0, group[-1]]))
+        lo_ = pa.array(np.where(f[at] & 2, -1, start[at]).astype(np.int32))
+        edge = [s.key(int(k)) for k in order[at]]
+        yield _batch({"kind": pa.array(np.ones(len(at), np.int8)), "k1": pa.array(k1[row[at]]), "k2": pa.array(k2[row[at]]), "lo": lo_, "hi": lo_, "edge": pa.array(edge, pa.binary()), "many": pa.array(many[at])}, _SAID)
+
+    current, held = None, []
+    for batch in batches:
+        sent = batch.column("bucket").is_valid()
+        said = batch.select(list(_SAID)).filter(pa.compute.invert(sent))
+        if len(said):
+            yield said
+        for r in np.flatnonzero(sent.to_numpy(zero_copy_only=False)).tolist():
+            b = batch.column("bucket")[r].as_py()
+            if b != current and held:
+                yield from close(held)
+                held = []
+            current = b
+            held.append([np.frombuffer(batch.column(f"c{i}")[r].as_py(), kind) for i, kind in enumerate(_PIECE)])
+    if held:
+        yield from close(held)
+
+
 def repeated_starts(runs: DataFrame, n_starts: int) -> DataFrame:
     """(k1, k2, lo, hi): starts of the open runs whose LENGTH bytes also start elsewhere.
 
     `runs` are stretches. Their suffixes are cut into ranges by sampled splitters on the leading
     bytes. Each range is sorted by multikey quicksort and neighbours are compared, as are the
     first and the last key of each range with those of others: keys that are equal to a
-    splitter lie on both sides of it. Of suffixes that a map task holds twice, one goes on
-    for all."""
+    splitter lie on both sides of it."""
     n_buckets = max(1, -(-n_starts // BUCKET))
     keys = splitters(runs, n_starts, min(n_buckets, MAX_SPLITTERS))
     fan = max(1, -(-n_buckets // (len(keys) + 1)))
     shared = runs.sparkSession.sparkContext.broadcast(keys)
-    names, found_names = ["kind", "k1", "k2", "lo", "hi", "edge", "many"], ["k1", "k2", "at", "n", "place", "flag"]
-    kinds = [np.int64, np.int64, np.int32, np.int32, np.uint8, np.uint8]
-
-    def said(k1, k2, at, edge=None, many=None) -> pa.RecordBatch:
-        """Starts as runs (kind 0), or the sums of an edge key (kind 1)."""
-        if edge is None:
-            order = np.lexsort((at, k2, k1))
-            k1, k2, at = k1[order], k2[order], at[order]
-            new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-            first, n = _pieces(new)
-            return pa.record_batch([pa.array(np.zeros(len(first), np.int8)), pa.array(k1[first]), pa.array(k2[first]), pa.array(at[first]), pa.array((at[first] + n - 1).astype(np.int32)), pa.nulls(len(first), pa.binary()), pa.nulls(len(first), pa.bool_())], names)
-        return pa.record_batch([pa.array(np.ones(len(at), np.int8)), pa.array(k1), pa.array(k2), pa.array(at), pa.array(at), pa.array(edge, pa.binary()), pa.array(many)], names)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held, size = shared.value, [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            k1, k2, lo, place, state = (np.concatenate([h[i] for h in held]) for i in range(5))
-            data = np.frombuffer(b"".join(t for h in held for t in h[5]), np.uint8)
-            length = np.array([len(t) for h in held for t in h[5]], np.int64)
-            held.clear()
-            run, at = _starts(length - LENGTH + 1, np.cumsum(length) - length)
-            within = at - (np.cumsum(length) - length)[run]
-            s = Suffixes(data, at, place[run] - within)
-            order, differs = multikey_quicksort(len(at), KEY_WORDS, s.word)
-            group = np.cumsum(differs) - 1
-            n = np.bincount(group, minlength=1)[group]
-            twice, first = np.zeros(len(at), bool), np.zeros(len(at), bool)
-            twice[order], first[order] = n > 1, differs
-            state = state[run]
-            # Starts that stand behind another of their kind are known to repeat.
-            hit = np.flatnonzero(~first & (state == 0))
-            yield _with_bucket(said(k1[run[hit]], k2[run[hit]], (lo[run] + within)[hit].astype(np.int32)), None)
-            to = _ranges(split, s) * fan
-            if fan > 1:
-                to += _spread(B.Spans(data).of(at, at + LENGTH), fan)
-            flag = twice.astype(np.uint8) | (state == 2).astype(np.uint8) << 1
-            at_kept = np.flatnonzero(first)
-            new = np.ones(len(at_kept), bool)
-            new[1:] = (at_kept[1:] != at_kept[:-1] + 1) | (run[at_kept[1:]] != run[at_kept[:-1]]) | (to[at_kept[1:]] != to[at_kept[:-1]]) | (flag[at_kept[1:]] != flag[at_kept[:-1]])
-            begin, n = _pieces(new)
-            a = at_kept[begin]
-            yield _with_bucket(None, _sent(data, at[a], n, [k1[run[a]], k2[run[a]], (lo[run] + within)[a].astype(np.int32), n.astype(np.int32), s.place[a].astype(np.uint8), flag[a]], to[a]))
-
-        for batch in batches:
-            held.append([*(batch.column(c).to_numpy() for c in ("k1", "k2", "lo", "place", "state")), batch.column("bytes").to_pylist()])
-            size += sum(map(len, held[-1][5])) - (LENGTH - 1) * len(batch)
-            if size > 2 * BUCKET:
-                yield from flush()
-                size = 0
-        if size:
-            yield from flush()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            k1, k2, lo, n, place, flag, data = columns
-            piece, at = _starts(n.astype(np.int64), np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1))
-            within = at - (np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1))[piece]
-            s = Suffixes(data, at, place[piece].astype(np.int64) - within)
-            order, differs = multikey_quicksort(len(at), KEY_WORDS, s.word)
-            group, f = np.cumsum(differs) - 1, flag[piece][order]
-            many = (np.bincount(group)[group] > 1) | (np.bincount(group, f & 1)[group] > 0)
-            row = piece[order]
-            start = (lo[piece] + within).astype(np.int32)[order]
-            hit = many & (f & 2 == 0)
-            yield said(k1[row[hit]], k2[row[hit]], start[hit])
-            # The first and the last key may go on in other ranges: one row for each.
-            for g in sorted({0, int(group[-1])}):
-                p = np.flatnonzero(group == g)[:1]
-                yield said(k1[row[p]], k2[row[p]], np.where(f[p] & 2, -1, start[p]).astype(np.int32), [s.key(int(order[p[0]]))], many[p])
-
-        current, held = None, []
-        for batch in batches:
-            yield from _rows_said(batch, names)
-            for r in np.flatnonzero(batch.column("bucket").is_valid().to_numpy(zero_copy_only=False)).tolist():
-                b = batch.column("bucket")[r].as_py()
-                if b != current and held:
-                    yield from close([np.concatenate([h[i] for h in held]) for i in range(7)])
-                    held = []
-                current = b
-                held.append([np.frombuffer(batch.column(f"c{i}")[r].as_py(), k) for i, k in enumerate([*kinds, np.uint8])])
-        if held:
-            yield from close([np.concatenate([h[i] for h in held]) for i in range(7)])
-
-    def _with_bucket(rows: pa.RecordBatch | None, sent: pa.RecordBatch | None) -> pa.RecordBatch:
-        """Both kinds of rows in one schema."""
-        n = len(rows if rows is not None else sent)
-        null = {"bucket": pa.int32(), **{f"c{i}": pa.binary() for i in range(7)}, "kind": pa.int8(), "k1": pa.int64(), "k2": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "edge": pa.binary(), "many": pa.bool_()}
-        have = rows if rows is not None else sent
-        return pa.record_batch([have.column(c) if c in have.schema.names else pa.nulls(n, t) for c, t in null.items()], list(null))
-
-    result = "kind byte, k1 long, k2 long, lo int, hi int, edge binary, many boolean"
-    dealt = runs.mapInArrow(deal, "bucket int, " + ", ".join(f"c{i} binary" for i in range(7)) + ", " + result)
-    salt = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("k1"), F.lit(max(8, n_buckets))).cast("int"))
-    out = table(dealt.withColumn("to", salt).repartition("to").sortWithinPartitions("bucket").drop("to").mapInArrow(meet, result), "suffix-starts")
-    edges = out.filter("kind = 1")
+    dealt = runs.mapInArrow(lambda it: _deal(it, shared.value, fan), f"{_SENT_SCHEMA}, {_SAID_SCHEMA}")
+    to = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("k1"), F.lit(max(8, n_buckets))).cast("int"))
+    out = dealt.withColumn("to", to).repartition("to").sortWithinPartitions("bucket").drop("to").mapInArrow(_meet, _SAID_SCHEMA)
+    out = table(out, "suffix-starts")
     # A key that is alone in its range repeats if another range has it too.
+    edges = out.filter("kind = 1")
     again = edges.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge")
     crossed = edges.filter("lo >= 0 and not many").join(again, "edge").select("k1", "k2", "lo", "hi")
     return out.filter("kind = 0").select("k1", "k2", "lo", "hi").unionAll(crossed)
 
 
-def _sent(data: np.ndarray, at: np.ndarray, n: np.ndarray, cols: list[np.ndarray], bucket: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket: its pieces' columns as blocks of bytes, and their text."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, cols = bucket[order], [c[order] for c in cols]
-    of, i = _starts(n[order] + LENGTH - 1, at[order])
-    text, ends = data[i], np.cumsum(n[order] + LENGTH - 1)
-    cut = _groups(bucket)
-    blobs = [[_blob(c[a:b]) for a, b in cut] for c in cols] + [[_blob(text[ends[a - 1] if a else 0 : ends[b - 1]]) for a, b in cut]]
-    return pa.record_batch([pa.array([int(bucket[a]) for a, _ in cut], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", *(f"c{i}" for i in range(7))])
-
-
-def _rows_said(batch: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
-    rows = batch.select(names).filter(batch.column("bucket").is_null())
-    if len(rows):
-        yield rows
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """The bytes of each text that lie in a string of LENGTH bytes which also starts elsewhere.
 
