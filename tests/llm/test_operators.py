@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tsengine.llm import decontaminate, exactdedup, graph, langid, linededup, ngramjoin, packing, pii, suffixdedup, toxicity, urlfilter
+from tsengine.llm import decontaminate, exactdedup, graph, langid, linededup, ngramjoin, packing, pii, store, suffixdedup, toxicity, urlfilter
 from tsengine.llm.queries import public_vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, key string"
@@ -103,6 +103,7 @@ def test_jaccard_components_between_map_tasks(spark, block, monkeypatch):
     """A text and many versions with two edits lie in one map task, which holds their tokens
     often; versions with one edit lie in others, similar to the text but not to most leaders."""
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0 if block == 8 else store.BROADCAST_ROWS)
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     edited = lambda w, at: " ".join(word() if i in at else x for i, x in enumerate(w))
