@@ -1,8 +1,9 @@
 """Vectorised splitting and hashing of UTF-8 text held in Arrow buffers.
 
 Rows of a batch are laid end to end with one separator between them, so that one
-numpy expression works on many documents. Hashes are polynomials over random byte
-values modulo 2^64, evaluated for any span from prefix sums, then mixed."""
+numpy expression works on many documents. Two kinds of hashes: Spans, polynomials over random
+byte values modulo 2^64, for any span from prefix sums, which only ever pre-select (structured
+texts of a kilobyte can collide in them); and span_hashes, which tell texts apart."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 5
@@ -81,6 +83,34 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         at = end
 
 
+#: Spans of up to this many bytes are hashed side by side; longer ones by a library, one by one.
+SHORT = 64
+_LANES = ((0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127), (0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int = 2) -> list[np.ndarray]:
+    """64-bit hashes of these spans, `lanes` of them, independent of each other.
+
+    Eight bytes at a time are mixed into a state; mixing is a bijection and no polynomial, so
+    that no structure of a text makes two collide more often than chance."""
+    n = end - start
+    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    out = [mix(n.astype(U) + U(seed)) for seed, _ in _LANES[:lanes]]
+    short = n <= SHORT
+    for k in range(0, min(SHORT, int(n.max(initial=0))), 8):
+        at = np.flatnonzero(short & (n > k)) if k else np.flatnonzero(short)
+        w = words[start[at] + k] & _TAILS[np.minimum(n[at] - k, 8)]
+        for h, (_, factor) in zip(out, _LANES):
+            h[at] = mix((h[at] ^ w) * U(factor))
+    raw = data.data if data.flags.c_contiguous else data.tobytes()
+    for i in np.flatnonzero(~short).tolist():
+        digest = xxhash.xxh3_128_intdigest(raw[start[i] : end[i]])
+        for lane, h in enumerate(out):
+            h[i] = U(digest >> 64 * lane & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
 class Spans:
     """Hashes of any spans of a byte array."""
 
@@ -109,6 +139,32 @@ def words(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tuple[np
     return s, e, np.searchsorted(s, starts)
 
 
+def anchored_runs(value: np.ndarray, begin: np.ndarray, count: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every start of a window within a row belongs to the window's gram of the least value, the
+    leftmost of equals; an equal window has the same one wherever it stands.
+
+    value[i] is that of the gram that begins at place i; row r has count[r] places from begin[r]
+    on. Returns for each maximal run of starts with one anchor: first and last start, anchor, row."""
+    fit = np.maximum(0, count - window + 1)
+    row = np.repeat(np.arange(len(count)), fit)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(fit) - fit, fit) + begin[row]
+    if not len(at):
+        return at, at, at, at
+    bits = max(21, len(value).bit_length())
+    low = (value >> U(bits) << U(bits)) | np.arange(len(value), dtype=U)
+    grams, width = window - gram + 1, 1
+    while 2 * width <= grams:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    low = np.minimum(low[: len(low) - (grams - width)], low[grams - width :])
+    a = (low & U((1 << bits) - 1)).astype(np.int64)[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    return at[first], at[last], a[first], row[first]
+
+
 def shingles(word_hash: np.ndarray, size: int) -> np.ndarray:
     """Hash of the `size` words that begin at each word; the last ones are cut short
     and are the caller's to leave out."""

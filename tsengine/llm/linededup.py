@@ -47,7 +47,7 @@ def long_lines(docs: DataFrame, min_points: int) -> DataFrame:
                 data = B.LOWER[data]
                 take = pa.array(lo + row)
                 yield pa.record_batch(
-                    [*(pa.array(B.Spans(data, lane).of(s, e).view(np.int64)) for lane in (0, 1)), batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(lines[row].astype(np.int32)), pa.array(pos.astype(np.int32))],
+                    [*(pa.array(h.view(np.int64)) for h in B.span_hashes(data, s, e)), batch.column("doc_id").take(take), batch.column("row_key").take(take), pa.array(lines[row].astype(np.int32)), pa.array(pos.astype(np.int32))],
                     ["h1", "h2", "doc_id", "row_key", "n_lines", "pos"],
                 )
 

@@ -41,7 +41,7 @@ def document_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
     data = B.LOWER[data]
     s, e, first = B.words(data, starts, ~B.SPACES)
-    h = B.Spans(data).of(s, e)
+    h = B.span_hashes(data, s, e, 1)[0]
     g = B.shingles(h, WORDS)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

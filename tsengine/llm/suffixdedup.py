@@ -34,35 +34,11 @@ MAX_SPLITTERS, OVERSAMPLED = 4096, 16
 
 
 def _anchors(data: np.ndarray, starts: np.ndarray):
-    """Every start of a string of LENGTH bytes within a row belongs to the least gram of the
-    string, the leftmost of equals; the same string has the same one wherever it stands.
-    Returns for each maximal run of starts with one anchor: first and last start, anchor, row."""
-    n = len(data)
-    empty = np.zeros(0, np.int64)
-    if n < LENGTH + 1:
-        return empty, empty, empty, empty, B.Spans(data)
+    """The runs of starts of strings of LENGTH bytes with one anchor (B.anchored_runs), and the
+    hashes that chose the anchors. These only choose, so they need not be strong."""
     spans = B.Spans(data)
-    gram = B.mix((spans.prefix[GRAM:] - spans.prefix[:-GRAM]) * spans.powers[: n - GRAM + 1])
-    bits = max(21, int(n).bit_length())
-    low = (gram >> B.U(bits) << B.U(bits)) | np.arange(len(gram), dtype=B.U)
-    width = 1
-    while 2 * width <= WINDOW:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    low = np.minimum(low[: len(low) - (WINDOW - width)], low[WINDOW - width :])
-    anchor = (low & B.U((1 << bits) - 1)).astype(np.int64)  # of start i
-    lens = np.diff(starts) - 1
-    fit = np.maximum(0, lens - LENGTH + 1)
-    row = np.repeat(np.arange(len(lens)), fit)
-    i = np.arange(len(row)) - np.repeat(np.cumsum(fit) - fit, fit) + starts[row]
-    if not len(i):
-        return empty, empty, empty, empty, spans
-    a = anchor[i]
-    new = np.ones(len(i), bool)
-    new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(i)) - 1
-    return i[first], i[last], a[first], row[first], spans
+    gram = B.mix((spans.prefix[GRAM:] - spans.prefix[:-GRAM]) * spans.powers[: max(0, len(data) - GRAM + 1)])
+    return *B.anchored_runs(gram, starts[:-1], np.diff(starts) - 1, LENGTH, GRAM), spans
 
 
 def _words_of(data: np.ndarray) -> np.ndarray:
@@ -149,9 +125,8 @@ def anchor_runs(docs: DataFrame, n_buckets: int) -> DataFrame:
                 lo, hi, a, row, spans = _anchors(data, starts)
                 if not len(lo):
                     continue
-                other = B.Spans(data, 1)
                 place = (a - lo).astype(B.U) * B.U(0x9E3779B97F4A7C15)
-                whole = [B.mix(s.of(lo, hi + LENGTH) + place) for s in (spans, other)]
+                whole = [B.mix(h + place) for h in B.span_hashes(data, lo, hi + LENGTH)]
                 at = starts[row]
                 held.append([k1[first_row + row], k2[first_row + row], *((x - at).astype(np.int32) for x in (lo, hi, a)), spans.of(a, a + GRAM), *whole])
                 size += len(lo)
