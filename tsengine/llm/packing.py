@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -23,13 +24,18 @@ SHARD_TOKENS, SHARD_DOCS = 2_000_000, 2048
 QUERY_TERMS, NEIGHBOURS = 16, 16
 K1, B = 1.2, 0.75
 END = 0
+#: The fast library's pattern needs stack in proportion to a run of blanks; it fails at some 10^6.
+#: The look-behind keeps the search linear.
+MANY_BLANKS = 1 << 16
+_BLANKS = re.compile(rf"(?<!\s)\s{{{MANY_BLANKS}}}")
 
 
 class Tokens:
     """Ids of texts, without special tokens, each followed by END.
 
     The fast library reads the same vocabulary as ranks and gives the same ids; a text that
-    spells a special token goes to `tokenizers`, which alone treats it as one."""
+    spells a special token goes to `tokenizers`, which alone treats it as one, and so does one
+    with a run of MANY_BLANKS blanks."""
 
     def __init__(self, vocabulary: str, ranks: str | None, pattern: str | None):
         from tokenizers import Tokenizer
@@ -48,7 +54,7 @@ class Tokens:
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or len(text) >= MANY_BLANKS and _BLANKS.search(text):
             ids = self.slow.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
@@ -233,7 +239,9 @@ def packed_sequences(docs: DataFrame, vocabulary: str, ranks: str | None = None,
 
     Returns a row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id and offset. Null and empty texts are the end token alone; repeated
-    rows are packed each; each task cuts its last window into powers of two."""
+    rows are packed each; each task cuts its last window into powers of two. A text of any length
+    is one list of ids, in whole windows but for its rest; an empty table gives an empty one;
+    other columns are ignored, whatever their names."""
     bound_batches(docs.sparkSession)
     tokens = table(tokenize(docs, vocabulary, ranks, pattern), "packing-tokens")
 
