@@ -94,20 +94,13 @@ class KeyLookup:
         return np.flatnonzero(self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
 
 
-#: Rows (some 100 bytes each) up to which with_texts broadcasts what is wanted.
-BROADCAST_ROWS = 100_000
-
-
 def with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """`wanted`, a written table with the columns key (row_key) and id (doc_id), with text. Rows
-    that repeat give a text twice. Up to BROADCAST_ROWS rows are broadcast; more are met by a
-    sort-merge join, to which only texts go that may be wanted, by a filter of bounded size, and
-    whose hot keys adaptive execution splits."""
+    that repeat give a text twice. One plan at every size: a sort-merge join, to which only texts
+    go that may be wanted, by a filter of bounded size, and whose hot keys adaptive execution
+    splits."""
     texts = docs.select(row_key().alias("key"), F.col("doc_id").alias("_doc"), "text")
-    if wanted.count() <= BROADCAST_ROWS:
-        met = texts.join(F.broadcast(wanted), "key")
-    else:
-        met = KeyFilter(wanted, "key").maybe(texts, "key").join(wanted.hint("merge"), "key")
+    met = KeyFilter(wanted, "key").maybe(texts, "key").join(wanted.hint("merge"), "key")
     return met.filter(F.col("id").eqNullSafe(F.col("_doc"))).drop("_doc")
 
 
