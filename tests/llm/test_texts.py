@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tsengine.llm import decontaminate, exactdedup, langid, linededup, packing, pii, toxicity, urlfilter
+from tsengine.llm import bytetext, decontaminate, doubling, exactdedup, langid, linededup, ngramjoin, packing, pii, suffixdedup, toxicity, urlfilter
 from tsengine.llm.queries import public_vocabulary
 
 CLASH = ("n_words", "score", "top", "passages", "base", "spans", "lang_pred", "word_share", "row_key", "rid", "key", "kind", "n_hit", "items", "start", "length", "ids", "host", "path", "rule", "verdict", "n_lines", "_id", "_key", "tune")
@@ -380,3 +380,91 @@ def test_lines_by_brute_force(spark):
         keep = [x for x in ls if gone.get(key(x), d) == d]
         assert (got[d].n_lines, got[d].n_dropped, got[d].text or "") == (len(ls), len(ls) - len(keep), "\n".join(keep)), d
     assert len(got) == len(rows) and hashlib.sha256((got[100].text or "").encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+def thue_morse(n):
+    """A word of n letters and its complement: structured so that polynomial hashes modulo a power of two collide."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096, 65536])
+def test_structured_texts_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    for h in bytetext.span_hashes(data, np.array([0, n]), np.array([n, 2 * n])):
+        assert h[0] != h[1]
+    if n == 4096:
+        pair = spark.createDataFrame([(1, f"w1 w2 w3 w4 {a}"), (2, f"w1 w2 w3 w4 {b}")], "doc_id long, text string")
+        assert sorted(r.component_id for r in ngramjoin.jaccard_components(pair).collect()) == [1, 2]
+        six = spark.createDataFrame([(i, a if i < 3 else b) for i in range(6)], "doc_id long, text string")
+        assert linededup.line_keep_bitmaps(six).count() == 0
+    if n <= 1024:
+        runs = spark.createDataFrame([(1, f"x{a}"), (2, f"y{b}"), (3, f"z{a}")], "doc_id long, text string")
+        got = {r.doc_id: r.n_removed for r in suffixdedup.suffix_dedup(runs).collect()}
+        strings = lambda t: [t[i : i + 200] for i in range(len(t) - 199)]
+        held = [(d, i, s) for d, t in ((1, "x" + a), (2, "y" + b), (3, "z" + a)) for i, s in enumerate(strings(t))]
+        often = {}
+        for _, _, s in held:
+            often[s] = often.get(s, 0) + 1
+        for d in (1, 2, 3):
+            assert got[d] == len({p for e, i, s in held if e == d and often[s] > 1 for p in range(i, i + 200)})
+
+
+def brute_windows(rows, window):
+    first, out = {}, []
+    for d, t in rows:
+        w = (t or "").encode().split()
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
+            if d is not None:
+                first[k] = min(d, first.get(k, d))
+    for d, t in rows:
+        w = (t or "").encode().split()
+        starts = [i for i in range(len(w) - window + 1) if (f := first.get(tuple(w[i : i + window]))) is not None and (d is None or d > f)]
+        gone = {p for i in starts for p in range(i, i + window)}
+        out.append((str(d), len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, window, letters", [(1, 50, 200), (2, 5, 3), (3, 13, 200), (4, 4, 200), (5, 9, 3)])
+def test_window_dedup(spark, seed, window, letters):
+    rng = random.Random(seed)
+    prose = lambda n: [f"w{rng.randrange(letters)}" for _ in range(n)]
+    shared, rows = [prose(rng.randint(window, 3 * window)) for _ in range(6)], [(0, None), (1, ""), (2, " \t\n")]
+    for d in range(3, 80):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            p = list(rng.choice(shared)) if rng.random() < 0.6 else prose(rng.randint(1, 2 * window))
+            if rng.random() < 0.3:
+                p[rng.randrange(len(p))] = f"é{rng.random()}"
+            words += p[rng.randrange(len(p)) :] if rng.random() < 0.3 else p
+        rows.append((d if d % 17 else None, rng.choice([" ", "  ", "\n"]).join(words)))
+    rows += [rows[10], (rows[11][0], rows[12][1]), (500, " ".join(["a"] * 4 * window)), (501, " ".join(["a"] * 6 * window))]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, key string, lo int").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in doubling.window_dedup(docs, window).collect())
+    assert got == brute_windows(rows, window) and sum(r[2] for r in got) > 0
+
+
+def test_window_dedup_of_little_and_of_long_texts(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert doubling.window_dedup(empty).count() == 0
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    two = spark.createDataFrame([(1, long), (2, "x " + long)], "doc_id long, text string")
+    assert [(r.n_words, r.n_removed) for r in doubling.window_dedup(two).orderBy("doc_id").collect()] == [(300_000, 0), (300_001, 300_000)]
+
+
+@pytest.mark.parametrize("letter", [" ", "\n", " ", "7", "a", "語"])
+def test_packing_of_long_runs(spark, letter):
+    tokens = packing.Tokens(**dict(zip(("vocabulary", "ranks", "pattern"), public_vocabulary().values())))
+    text = "x" + letter * 1_000_000 + "y"
+    assert tokens.ids(text)[:-1].tolist() == tokens.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_blanks(spark):
+    docs = spark.createDataFrame([(1, " " * 10_000_000), (2, "\n" * 1_000_000), (3, "a b")], "doc_id long, text string")
+    got = packing.packed_sequences(docs, **public_vocabulary()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert len(got) == 3 and all(r.n == r.m for r in got)
