@@ -26,9 +26,15 @@ def scores(df: DataFrame, keys: list[str], y: str = "truth", p: str = "pred") ->
     return agg.select(*keys, r2.alias("r2"), "smape", "mae", "mse", "n")
 
 
+def exact_mean(c: str, decimals: int = 6) -> Column:
+    """The mean of values of so many decimals at most: summed as decimals, divided once, and so
+    the same in whatever order rows come."""
+    return F.sum(F.col(c).cast(f"decimal(18,{decimals})")).cast("double") / F.count(c)
+
+
 def leaderboard(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Mean SMAPE of each configuration, best first."""
-    means = runs.groupBy(*keys).agg(F.avg("smape").alias("mean_smape"))
+    means = runs.groupBy(*keys).agg(exact_mean("smape").alias("mean_smape"))
     return means.withColumn("rank", F.row_number().over(Window.orderBy("mean_smape", *keys)))
 
 

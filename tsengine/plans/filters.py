@@ -13,7 +13,7 @@ from ..operators.metrics import scores
 from ..sources import files
 from ..streaming import jobs
 from .daily import daily_rates, read, runs
-from .registry import D, R, draw, draw_sql, query, rounded
+from .registry import D, R, draw, draw_sql, mean, mean_sql, query, rounded
 from .shaping import _SEQ, _steps, _windows
 
 _K = ", z AS (SELECT well, t, oil, greatest(oil + 1e-6, 1e-6) AS z FROM d), k(well, t, x, p) AS (SELECT well, t, z::DOUBLE, 1 - 1 / (1 + 1e-3)::DOUBLE FROM z WHERE t = 1 UNION ALL SELECT z.well, z.t, k.x + (k.p + 1e-4) / (k.p + 1e-4 + 1e-3) * (z.z - k.x), (1 - (k.p + 1e-4) / (k.p + 1e-4 + 1e-3)) * (k.p + 1e-4) FROM k JOIN z ON z.well = k.well AND z.t = k.t + 1)"
@@ -314,14 +314,14 @@ def sink_results(spark, sf):
 
 
 @query("load_experiments", R + 
-    " SELECT architecture_id AS variant, 'smape' AS metric, count(*) AS n, round(avg(smape), 6) AS value FROM r GROUP "
-    "BY 1 UNION ALL SELECT architecture_id, 'mae', count(*), round(avg(mae), 6) FROM r GROUP BY 1")
+    f" SELECT architecture_id AS variant, 'smape' AS metric, count(*) AS n, round({mean_sql('smape')}, 6) AS value FROM r GROUP "
+    f"BY 1 UNION ALL SELECT architecture_id, 'mae', count(*), round({mean_sql('mae')}, 6) FROM r GROUP BY 1")
 def load_experiments(spark, sf):
     """Saved as one folder a variant and metric, and found again by partition discovery."""
     path = files.shared_folder(spark)
     long = runs(spark, sf).select(F.col("architecture_id").alias("variant"), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("smape", "mae")])))
     files.save_results(long, path, ["variant", "metric"])
-    out = spark.read.parquet(path).groupBy("variant", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value"))
+    out = spark.read.parquet(path).groupBy("variant", "metric").agg(F.count(F.lit(1)).alias("n"), mean("value").alias("value"))
     return rounded(out, "value")
 
 

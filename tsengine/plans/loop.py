@@ -14,7 +14,7 @@ from ..operators.clean import along
 from ..sources import files
 from ..streaming import jobs
 from .daily import MANY_RATES, daily_rates, many_rates, read, runs
-from .registry import D, R, query, rounded
+from .registry import D, R, mean, mean_sql, query, rounded
 from .shaping import _SEQ, _steps, _windows, z_score
 
 
@@ -215,10 +215,10 @@ def nb_text(spark, sf):
 @query(
     "sink_experiment",
     R
-    + """
+    + f"""
 SELECT 'ORDERS-LINES_seq_ens5_20240131' AS experiment, architecture_id AS variant, 'smape' AS metric, count(*) AS n,
-       round(avg(smape), 6) AS value, '[7, 56]' AS shape FROM r GROUP BY 2
-UNION ALL SELECT 'ORDERS-LINES_seq_ens5_20240131', architecture_id, 'mae', count(*), round(avg(mae), 6), '[7, 56]' FROM r GROUP BY 2""",
+       round({mean_sql('smape')}, 6) AS value, '[7, 56]' AS shape FROM r GROUP BY 2
+UNION ALL SELECT 'ORDERS-LINES_seq_ens5_20240131', architecture_id, 'mae', count(*), round({mean_sql('mae')}, 6), '[7, 56]' FROM r GROUP BY 2""",
 )
 def sink_experiment(spark, sf):
     """Saved with its configuration under its name, and read again."""
@@ -227,7 +227,7 @@ def sink_experiment(spark, sf):
     results = runs(spark, sf).select(F.col("architecture_id").alias("variant"), "well", metrics)
     path = files.save_experiment(spark, files.shared_folder(spark), name, {"shape": [7, 56], "members": 5}, results)
     shape = spark.read.parquet(f"{path}/config").filter("key = 'shape'").first().value
-    out = spark.read.parquet(f"{path}/results").groupBy("variant", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value"))
+    out = spark.read.parquet(f"{path}/results").groupBy("variant", "metric").agg(F.count(F.lit(1)).alias("n"), mean("value").alias("value"))
     return rounded(out.select(F.lit(name).alias("experiment"), "*", F.lit(shape).alias("shape")), "value")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics as M
 from .daily import DAILY_RATES, RUNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,14 @@ def draw_sql(*columns: str) -> str:
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Doubles rounded, without negative zero, so that engines agree on every bit."""
     return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+def mean(c: str) -> Column:
+    """The mean of values of at most six decimals, summed exactly, so that it doesn't depend on
+    the order of rows."""
+    return M.exact_mean(c)
+
+
+def mean_sql(c: str, where: str = "") -> str:
+    where = f" FILTER (WHERE {where})" if where else ""
+    return f"(CAST(sum(CAST({c} AS DECIMAL(18,6))){where} AS DOUBLE) / count({c}){where})"

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from .daily import daily_rates, read, runs
-from .registry import D, R, query, rounded
+from .registry import D, R, mean, mean_sql, query, rounded
 
 KEYS = ["architecture_id", "hyperparam_id"]
-_BOARD = ", b AS (SELECT architecture_id, hyperparam_id, avg(smape) AS m FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (ORDER BY m, architecture_id, hyperparam_id) AS rank FROM b)"
+_BOARD = f", b AS (SELECT architecture_id, hyperparam_id, {mean_sql('smape')} AS m FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (ORDER BY m, architecture_id, hyperparam_id) AS rank FROM b)"
 
 
 @query("leaderboard", R + _BOARD + " SELECT architecture_id, hyperparam_id, round(m, 6) AS mean_smape, rank FROM k")
@@ -32,47 +32,46 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 @query(
     "leaderboard_pivot",
-    R + " SELECT hyperparam_id, " + ", ".join(f"round(avg(smape) FILTER (WHERE architecture_id = '{a}'), 9) AS \"{a}\"" for a in SEGMENTS) + " FROM r GROUP BY 1",
+    R + " SELECT hyperparam_id, " + ", ".join(f"round({mean_sql('smape', f"architecture_id = '{a}'")}, 9) AS \"{a}\"" for a in SEGMENTS) + " FROM r GROUP BY 1",
 )
 def leaderboard_pivot(spark, sf, names=tuple(SEGMENTS)):
-    return rounded(runs(spark, sf).groupBy("hyperparam_id").pivot("architecture_id", list(names)).agg(F.avg("smape")), *names, digits=9)
+    return rounded(runs(spark, sf).groupBy("hyperparam_id").pivot("architecture_id", list(names)).agg(mean("smape")), *names, digits=9)
 
 
 @query(
     "sensitivity_pivot",
-    R + " SELECT win, " + ", ".join(f"round(avg(smape) FILTER (WHERE hor = {h}), 6) AS h{h}" for h in (0, 1, 2)) + " FROM (SELECT *, n % 4 AS win, n % 3 AS hor FROM r) GROUP BY 1",
+    R + " SELECT win, " + ", ".join(f"round({mean_sql('smape', f'hor = {h}')}, 6) AS h{h}" for h in (0, 1, 2)) + " FROM (SELECT *, n % 4 AS win, n % 3 AS hor FROM r) GROUP BY 1",
 )
 def sensitivity_pivot(spark, sf):
     """Window sizes by horizons; the horizons are those that occur."""
     r = runs(spark, sf).withColumns({"win": F.col("n") % 4, "hor": F.concat(F.lit("h"), F.col("n") % 3)})
-    out = r.groupBy("win").pivot("hor").agg(F.avg("smape"))
+    out = r.groupBy("win").pivot("hor").agg(mean("smape"))
     return rounded(out, *[c for c in out.columns if c != "win"])
 
 
 @query("drilldown", R + 
-    " SELECT architecture_id, well, round(avg(smape), 9) AS smape, round(avg(mae), 9) AS mae, count(*) AS n FROM r "
-    "GROUP BY ROLLUP (architecture_id, well)")
+    f" SELECT architecture_id, well, round({mean_sql('smape')}, 9) AS smape, round({mean_sql('mae')}, 9) AS mae, count(*) AS n "
+    "FROM r GROUP BY ROLLUP (architecture_id, well)")
 def drilldown(spark, sf):
-    return rounded(runs(spark, sf).rollup("architecture_id", "well").agg(F.avg("smape").alias("smape"), F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("n")), "smape", "mae", digits=9)
+    return rounded(runs(spark, sf).rollup("architecture_id", "well").agg(mean("smape").alias("smape"), mean("mae").alias("mae"), F.count(F.lit(1)).alias("n")), "smape", "mae", digits=9)
 
 
 @query("best_cell", R + _BOARD + 
     " SELECT arg_min(architecture_id, m) AS architecture_id, arg_min(hyperparam_id, m) AS hyperparam_id, round(min(m), "
     "6) AS best, round(median(m), 6) AS middle FROM k")
 def best_cell(spark, sf):
-    b = runs(spark, sf).groupBy(*KEYS).agg(F.avg("smape").alias("m"))
+    b = runs(spark, sf).groupBy(*KEYS).agg(mean("smape").alias("m"))
     return rounded(b.agg(*[F.min_by(k, "m").alias(k) for k in KEYS], F.min("m").alias("best"), F.median("m").alias("middle")), "best", "middle")
 
 
 @query("category_stats", R + 
-    " SELECT category, split_part(category, ' ', 1) AS base, count(*) AS n, round(avg(smape), 9) AS mean_smape, round(stddev_samp(smape), "
-    "9) AS std_smape, round(avg(r2), 9) AS mean_r2 FROM r GROUP BY category")
+    " SELECT category, split_part(category, ' ', 1) AS base, count(*) AS n, " + f"round({mean_sql('smape')}, 9) AS mean_smape, round(stddev_samp(smape), 9) AS std_smape, round({mean_sql('r2')}, 9) AS mean_r2 FROM r GROUP BY category")
 def category_stats(spark, sf):
-    g = runs(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("smape").alias("mean_smape"), F.stddev_samp("smape").alias("std_smape"), F.avg("r2").alias("mean_r2"))
+    g = runs(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n"), mean("smape").alias("mean_smape"), F.stddev_samp("smape").alias("std_smape"), mean("r2").alias("mean_r2"))
     return rounded(g.withColumn("base", F.split_part("category", F.lit(" "), F.lit(1))), "mean_smape", "std_smape", "mean_r2", digits=9)
 
 
-_CAT = ", c AS (SELECT architecture_id AS g, hyperparam_id AS h, avg(r2) AS r2, avg(smape) AS smape, avg(mae) AS mae FROM r GROUP BY 1, 2)"
+_CAT = f", c AS (SELECT architecture_id AS g, hyperparam_id AS h, {mean_sql('r2')} AS r2, {mean_sql('smape')} AS smape, {mean_sql('mae')} AS mae FROM r GROUP BY 1, 2)"
 
 
 @query("composite_rank", R + _CAT + 
@@ -83,7 +82,7 @@ _CAT = ", c AS (SELECT architecture_id AS g, hyperparam_id AS h, avg(r2) AS r2,
     "c WINDOW w AS (PARTITION BY g)) SELECT g, h, round(score, 6) AS score, row_number() OVER (PARTITION BY g ORDER "
     "BY score DESC, h) AS rank FROM x")
 def composite_rank(spark, sf):
-    c = runs(spark, sf).groupBy(F.col("architecture_id").alias("g"), F.col("hyperparam_id").alias("h")).agg(*[F.avg(m).alias(m) for m in ("r2", "smape", "mae")])
+    c = runs(spark, sf).groupBy(F.col("architecture_id").alias("g"), F.col("hyperparam_id").alias("h")).agg(*[mean(m).alias(m) for m in ("r2", "smape", "mae")])
     out = M.composite_rank(c, "g", "h", {"r2": 0.3, "smape": 0.5, "mae": 0.2}, {"r2"})
     return rounded(out.select("g", "h", "score", F.col("rank").cast("long").alias("rank")), "score")
 
@@ -111,12 +110,12 @@ def merge_val_test(spark, sf):
 
 
 @query("topn_detail", R + _BOARD + 
-    " SELECT r.architecture_id, r.hyperparam_id, round(avg(smape), 6) AS mean_smape, count(*) AS n FROM r JOIN k ON "
+    f" SELECT r.architecture_id, r.hyperparam_id, round({mean_sql('smape')}, 6) AS mean_smape, count(*) AS n FROM r JOIN k ON "
     "r.architecture_id = k.architecture_id AND r.hyperparam_id = k.hyperparam_id WHERE k.rank <= 5 GROUP BY 1, 2")
 def topn_detail(spark, sf):
     r = runs(spark, sf)
     top = M.leaderboard(r, KEYS).filter("rank <= 5")
-    return rounded(r.join(top, KEYS, "left_semi").groupBy(*KEYS).agg(F.avg("smape").alias("mean_smape"), F.count(F.lit(1)).alias("n")), "mean_smape")
+    return rounded(r.join(top, KEYS, "left_semi").groupBy(*KEYS).agg(mean("smape").alias("mean_smape"), F.count(F.lit(1)).alias("n")), "mean_smape")
 
 
 @query("top10_by_smape", R + " SELECT job_id, smape FROM r ORDER BY smape, job_id LIMIT 10")
