@@ -3,10 +3,11 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tsengine.operators import clean, features, metrics, models, signals
+from tsengine.operators import blocks, clean, features, metrics, models, signals
 from tsengine.sources import files
 from tsengine.streaming import jobs
 
@@ -25,26 +26,149 @@ def arrays(df, c="oil"):
     return {w: np.array(v) for w, v in out.items()}
 
 
-@pytest.mark.parametrize("method", ["kalman", "kalman_smooth"])
-def test_filters_in_blocks(series, method):
+def kalman(z, q=1e-4, r=1e-3, eps=1e-6):
+    """The recursion, value by value."""
+    z = np.where(np.asarray(z) + eps <= 0, eps, np.asarray(z) + eps)
+    x, p, out = z[0], 1.0, []
+    for i, v in enumerate(z):
+        p = p + q if i else p
+        k = p / (p + r)
+        x, p = x + k * (v - x), p * (1 - k)
+        out.append(x)
+    return np.array(out)
+
+
+def kalman_smooth(z, q=1e-5, r=1e-3):
+    x, p, xs, ps = z[0], 1.0, [], []
+    for i, v in enumerate(z):
+        p = p + q if i else p
+        k = p / (p + r)
+        x, p = x + k * (v - x), p * (1 - k)
+        xs.append(x)
+        ps.append(p)
+    for i in range(len(z) - 2, -1, -1):
+        xs[i] += ps[i] / (ps[i] + q) * (xs[i + 1] - xs[i])
+    return np.array(xs)
+
+
+def exponential(z, alpha=0.2):
+    out = [z[0]]
+    for v in z[1:]:
+        out.append(out[-1] + alpha * (v - out[-1]))
+    return np.array(out)
+
+
+PLAIN = {"kalman": kalman, "kalman_smooth": kalman_smooth, "exponential": exponential}
+PARAMS = [("kalman", {}), ("kalman", {"q": 1e-8}), ("kalman", {"q": 0.0}), ("kalman", {"q": 5.0, "r": 2.0}), ("kalman_smooth", {}), ("kalman_smooth", {"q": 1e-8, "r": 1.0}), ("kalman_smooth", {"q": 0.0}), ("exponential", {}), ("exponential", {"alpha": 1.0})]
+
+
+@pytest.mark.parametrize("method, params", PARAMS)
+def test_filters_in_blocks(series, method, params):
     raw = arrays(series)
     for block in (100, 8192):
-        got = signals.filter_columns(series.withColumn("kept", F.lit("x")), ["oil"], method, block=block, warm=512)
+        got = signals.filter_columns(series.withColumn("kept", F.lit("x")), ["oil"], method, block=block, **params)
         assert got.columns == ["well", "t", "oil", "kept", "oil_Original"]
         for w, v in arrays(got).items():
-            assert np.allclose(v, signals.FILTERS[method](raw[w]), atol=1e-9)
+            assert np.allclose(v, PLAIN[method](raw[w], **params), rtol=1e-10, atol=1e-10)
         assert all(np.array_equal(v, raw[w]) for w, v in arrays(got, "oil_Original").items())
+
+
+def test_filters_by_wrong_names(series):
     with pytest.raises(ValueError):
         signals.filter_columns(series, ["nothing"])
+    with pytest.raises(ValueError):
+        signals.filter_columns(series, ["oil"], "nothing")
 
 
-def test_filter_of_each_fold(series):
+@pytest.mark.parametrize("method", sorted(PLAIN))
+def test_one_long_series_is_filtered_in_many_tasks(spark, method):
+    """A random walk of a million rows; a small q remembers for long."""
+    rng = np.random.default_rng(5)
+    z = np.abs(np.cumsum(rng.normal(size=1_000_000))) + 1
+    df = spark.createDataFrame(pd.DataFrame({"well": "w", "t": np.arange(1, len(z) + 1, dtype=np.int32), "oil": z}))
+    params = {} if method == "exponential" else {"q": 1e-8}
+    got = signals.filter_columns(df, ["oil"], method, **params)
+    tasks = got.select(F.spark_partition_id().alias("p")).distinct().count()
+    x = got.select("t", "oil").toPandas().sort_values("t")["oil"].to_numpy()
+    assert tasks > 1 and np.allclose(x, PLAIN[method](z, **params), rtol=1e-9)
+
+
+@pytest.mark.parametrize("q", [1e-6, 1e-8, 0.0, 1.0])
+def test_filter_of_each_fold(series, q):
     raw = arrays(series)
-    got = signals.kalman_per_fold(series, "oil", length=30, window=4, horizon=10).collect()
-    assert len(got) == sum(len(v) - 49 for v in raw.values())
-    for r in got[::50]:
-        x = signals.kalman(raw[r.well][r.fold - 40 : r.fold + 10], q=1e-6)
-        assert np.allclose(r.lags, x[36:40]) and np.isclose(r.label, x[-1])
+    for block in (64, 8192):
+        got = signals.kalman_per_fold(series, "oil", length=30, window=4, horizon=10, q=q, block=block).collect()
+        assert len(got) == len({(r.well, r.fold) for r in got}) == sum(len(v) - 49 for v in raw.values())
+        for r in got[::50]:
+            x = kalman(raw[r.well][r.fold - 40 : r.fold + 10], q=q)
+            assert np.allclose(r.lags, x[36:40]) and np.isclose(r.label, x[-1])
+
+
+def field(spark, n, seed=4, null=0.3):
+    rng = np.random.default_rng(seed)
+    some = lambda: np.where(rng.random(n) < null, None, np.round(rng.random(n) * 9 + 1, 3))
+    rows = list(zip(["w"] * n, range(1, n + 1), np.round(np.where(rng.random(n) < 0.1, 0.0, rng.random(n) * 9), 3).tolist(), some().tolist(), some().tolist(), some().tolist(), [float(i % 4) for i in range(n)]))
+    rows += [("v", t, *rest) for _, t, *rest in rows[: n // 3]]
+    return spark.createDataFrame(rows, "well string, t int, oil double, gas double, downhole double, whp double, choke double").repartition(3)
+
+
+WORK = {
+    "ffill": lambda d: clean.ffill(d, "whp", "f"),
+    "impute": lambda d: clean.causal_impute(d, "whp", "f"),
+    "cumulative": lambda d: blocks.cumulative(d, "gas", "f"),
+    "renumbered": lambda d: blocks.renumbered(d.filter("oil > 1")),
+    "field": features.field_features,
+    "simulated": features.simulated_features,
+    "lags": lambda d: features.lag_features(d, "oil", 4, 5),
+    "windows": lambda d: features.window_rows(d, "oil", ["gas"], 5, 7),
+    "sequences": lambda d: features.seq_windows(d, ["oil", "choke"], "oil", 6, 9),
+    "walk_forward": lambda d: models.walk_forward(d, 30, 3, 5).select("well", "t", "truth", F.round("pred", 6)),
+    "regression": lambda d: models.lag_regression(d, 3, 5).select("well", F.transform("beta", lambda x: F.round(x, 6))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WORK))
+def test_blocks_change_nothing(spark, name, monkeypatch):
+    """The same rows whether a series is one block or many."""
+    df = field(spark, 330)
+
+    def rows():
+        return sorted(repr([round(v, 7) if isinstance(v, float) else v for v in r]) for r in WORK[name](df).collect())
+
+    whole = rows()
+    for size in (7, 64):
+        monkeypatch.setattr(blocks, "BLOCK", size)
+        assert rows() == whole and whole
+
+
+def test_one_long_series_spreads_over_many_tasks(spark):
+    n = 500_000
+    df = spark.range(1, n + 1).select(F.lit("w").alias("well"), F.col("id").cast("int").alias("t"), (F.abs(F.sin("id")) + 1).alias("oil"), F.when(F.col("id") % 3 > 0, F.col("id") * 1.0).alias("whp"))
+    for work, name in ((features.lag_features(df, "oil", 3, 5), "label"), (clean.causal_impute(df, "whp", "f"), "f"), (blocks.cumulative(df, "oil", "total"), "total"), (models.walk_forward(df, 30, 3, 5), "pred")):
+        got = work.groupBy(F.spark_partition_id()).agg(F.count(name).alias("n")).collect()
+        assert len(got) > 1 and sum(r.n for r in got) > n - 100
+    t = np.arange(1, n + 1)
+    total = blocks.cumulative(df, "oil", "total").filter(F.col("t") == n).first().total
+    assert np.isclose(total, np.sum(np.abs(np.sin(t)) + 1), rtol=1e-12)
+
+
+def test_walk_forward_leaves_rows_with_nulls_out(spark):
+    rng = np.random.default_rng(8)
+    v = [float(x) for x in np.abs(np.cumsum(rng.normal(size=320))) + 1]
+    v[100] = v[101] = v[200] = None
+    df = spark.createDataFrame([("a", i + 1, x) for i, x in enumerate(v)], "well string, t int, oil double")
+    got = {r.t: r.pred for r in models.walk_forward(df, 40, 3, 5).collect()}
+    row = lambda i: [1.0, v[i], v[i - 1], v[i - 2]]
+    want = {}
+    for t in range(45, 316):
+        whole = [i for i in range(t - 1 - 42, t - 5) if None not in row(i) and v[i + 5] is not None]
+        if None in row(t - 1) or v[t + 4] is None or len(whole) < 4:
+            continue
+        x = np.array([row(i) for i in whole])
+        g = x.T @ x
+        beta = np.linalg.solve(g + np.eye(4) * 1e-9 * np.trace(g), x.T @ np.array([v[i + 5] for i in whole]))
+        want[t] = beta @ row(t - 1)
+    assert got.keys() == want.keys() and all(np.isclose(got[t], want[t], rtol=1e-6) for t in want)
 
 
 def test_regressions_are_least_squares(spark, series):
@@ -172,7 +296,7 @@ def collected(df):
 def test_streams_in_several_batches(spark, events):
     path, values = events
     for k, rows in collected(jobs.online_kalman(spark, path, files=1)).items():
-        assert np.allclose([r.x for r in rows], signals.kalman(np.array(values[k])), atol=1e-9)
+        assert np.allclose([r.x for r in rows], kalman(values[k]), atol=1e-9)
     for k, rows in collected(jobs.rolling_buffer(spark, path, 7, files=1)).items():
         v = values[k]
         assert [r.k for r in rows] == list(range(7, len(v) + 1))

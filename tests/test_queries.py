@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tsengine.functions.units import decline
-from tsengine.operators import clean, features, signals
+from tsengine.operators import clean, features
 from tsengine.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -66,11 +66,6 @@ def test_fold_of_205(spark):
     assert len(anchors) == 144 and max(anchors) + 56 <= 206
 
 
-def test_steady_state_of_kalman():
-    z = np.full(500, 5.0)
-    assert np.allclose(signals.kalman(z), 5, atol=1e-5) and np.allclose(signals.kalman_smooth(z), 5)
-
-
 def test_unknown_names_are_errors():
     with pytest.raises(ValueError):
         decline("nothing", None, None, None, None)

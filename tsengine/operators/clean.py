@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import carried
+
 
 def along(keys: str = "well", order: str = "t") -> Window:
     """The one window spec that all operators share, so that a plan sorts once."""
@@ -36,24 +38,29 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def ffill(c: str, keys: str = "well", order: str = "t") -> Column:
-    return F.last(c, ignorenulls=True).over(along(keys, order).rowsBetween(Window.unboundedPreceding, 0))
+def ffill(df: DataFrame, c: str, out: str, keys: str = "well", order: str = "t") -> DataFrame:
+    """`out`: the last known value of c. A block gets what the blocks before it end with."""
+    spot = F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("t"), F.col(c).alias("v")))
+    df, w, _ = carried(df, {"_past": (spot, F.max, False)}, keys, order)
+    here = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn(out, F.coalesce(here, F.col("_past.v"))).drop("_past", "_block")
 
 
 def causal_impute(df: DataFrame, c: str, out: str, limit: int = 3, keys: str = "well", order: str = "t") -> DataFrame:
     """Carry the last value forward for `limit` rows; what is left of a gap is interpolated
     between its neighbours after that, the tail carries on, and the head stays null.
 
-    Both neighbours are running aggregates, the next one along the reversed series, so that a
-    series is passed a fixed number of times."""
-    w = along(keys, order)
-    df = df.withColumn("_c", F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0)))
-    spot = F.when(F.col("_c").isNotNull(), F.struct(F.col(order).alias("t"), F.col("_c").alias("v")))
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"_p": F.last(spot, ignorenulls=True).over(before), "_n": F.last(spot, ignorenulls=True).over(after)})
-    blend = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col(order) - F.col("_p.t")) / (F.col("_n.t") - F.col("_p.t"))
-    return df.withColumn(out, F.coalesce("_c", F.when(F.col("_p").isNotNull() & F.col("_n").isNotNull(), blend), F.col("_p.v"))).drop("_c", "_p", "_n")
+    `order` numbers a series' rows without gaps. A row needs the known values before and after it
+    only: running aggregates along its block, forward and backward, or what earlier and later
+    blocks have, so that a series of any length is worked on in many tasks."""
+    spot = F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("t"), F.col(c).alias("v")))
+    df, ahead, back = carried(df.withColumn("_spot", spot), {"_past": (spot, F.max, False), "_next": (spot, F.min, True)}, keys, order)
+    near = lambda w, far: F.coalesce(F.last("_spot", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col(far))
+    df = df.withColumns({"_past": near(ahead, "_past"), "_next": near(back, "_next")})
+    t, last, begin = F.col(order), F.col("_past.v"), F.col("_past.t") + limit
+    blend = last + (F.col("_next.v") - last) * (t - begin) / (F.col("_next.t") - begin)
+    filled = F.when(t <= begin, last).when(F.col("_past").isNotNull() & F.col("_next").isNotNull(), blend).otherwise(last)
+    return df.withColumn(out, filled).drop("_spot", "_past", "_next", "_block")
 
 
 def mean_impute(df: DataFrame, columns: list[str], keys: str = "well") -> DataFrame:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.units import RESERVOIR_KPA, convert, guarded
+from .blocks import in_blocks, renumbered
 from .clean import along, causal_impute
 
 EPS = 1e-6
 
 
-def decline_rate(q: str, window: int = 10, eps: float = EPS) -> Column:
-    """-ln(q / previous): the previous rate, or where it isn't positive the mean of the last
-    `window` rows; nothing falls below eps."""
-    w = along()
+def decline_rate(df: DataFrame, q: str, out: str, window: int = 10, eps: float = EPS) -> DataFrame:
+    """`out`: -ln(q / previous), where previous is the previous rate, or where it isn't positive the
+    mean of the last `window` rows; nothing falls below eps."""
+    return in_blocks(df, lambda rows, w: rows.withColumn(out, _decline(q, w, window, eps)), window, 0)
+
+
+def _decline(q: str, w: WindowSpec, window: int, eps: float) -> Column:
     prev = F.lag(q).over(w)
     prev = F.coalesce(F.when(prev > 0, prev), F.avg(q).over(w.rowsBetween(-window, -1)), F.lit(eps))
     return -F.log(F.greatest(F.col(q) / F.greatest(prev, F.lit(eps)), F.lit(eps)))
@@ -33,48 +37,52 @@ def field_features(df: DataFrame) -> DataFrame:
         "choke",
     ).withColumn("_dp", F.col("downhole") - F.col("whp"))
     df = causal_impute(df, "_dp", "dp").withColumn("dp", guarded(F.col("dp"))).drop("_dp")
-    return df.select("*", (F.col("oil") / F.col("dp")).alias("pi"), F.try_divide("oil", F.nullif("choke", F.lit(0.0))).alias("ce"), decline_rate("oil").alias("decline"))
+    df = df.select("*", (F.col("oil") / F.col("dp")).alias("pi"), F.try_divide("oil", F.nullif("choke", F.lit(0.0))).alias("ce"))
+    return decline_rate(df, "oil", "decline")
 
 
 def simulated_features(df: DataFrame, reservoir_kpa: float = RESERVOIR_KPA) -> DataFrame:
     """Features of a simulated well: positive rates only, log gas (no less than 0, no more than
     1e9), drawdown from the reservoir pressure; the first row, whose decline is made up, goes."""
-    df = df.filter("oil > 0").withColumn("t", F.row_number().over(along()))
+    df = decline_rate(renumbered(df.filter("oil > 0")), "oil", "decline")
     dp = convert(F.lit(reservoir_kpa), "kpa_psi") - convert(F.col("downhole"), "kpa_psi")
-    return df.select("well", "t", "oil", F.log1p(F.least(F.greatest("gas", F.lit(0.0)), F.lit(1e9))).alias("log_gas"), dp.alias("dp"), (F.col("oil") / dp).alias("pi"), decline_rate("oil").alias("decline")).filter("t > 1")
-
+    return df.select("well", "t", "oil", F.log1p(F.least(F.greatest("gas", F.lit(0.0)), F.lit(1e9))).alias("log_gas"), dp.alias("dp"), (F.col("oil") / dp).alias("pi"), "decline").filter("t > 1")
 
-def cumulative(c: str) -> Column:
-    return F.sum(c).over(along().rowsBetween(Window.unboundedPreceding, 0))
 
+def lag_features(df: DataFrame, target: str, window: int, horizon: int) -> DataFrame:
+    """Lags of the target, <target>_lag0 .. <target>_lag(window - 1), and its value `horizon` steps
+    ahead; incomplete rows go."""
 
-def lag_columns(c: str, window: int) -> list[Column]:
-    """c_lag0 .. c_lag(window - 1)."""
-    return [F.lag(c, k).over(along()).alias(f"{c}_lag{k}") for k in range(window)]
-
+    def work(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        lags = [F.lag(target, k).over(w).alias(f"{target}_lag{k}") for k in range(window)]
+        return rows.select("_block", "_own", "well", "t", *lags, F.lead(target, horizon).over(w).alias("label")).na.drop()
 
-def lag_features(df: DataFrame, target: str, window: int, horizon: int) -> DataFrame:
-    """Lags of the target and its value `horizon` steps ahead; incomplete rows go."""
-    return df.select("well", "t", *lag_columns(target, window), F.lead(target, horizon).over(along()).alias("label")).na.drop()
+    return in_blocks(df, work, window - 1, horizon)
 
 
 def window_rows(df: DataFrame, target: str, others: list[str], window: int, horizon: int) -> DataFrame:
     """For each anchor t: other features at t, the last `window` targets, oldest first, as an
     array, their mean, and the label at t + horizon. Incomplete windows go."""
-    w = along()
-    past = w.rowsBetween(-window + 1, 0)
-    out = df.select("well", "t", *others, F.collect_list(target).over(past).alias("lags"), F.avg(target).over(past).alias("window_mean"), F.lead(target, horizon).over(w).alias("label"))
-    return out.filter((F.size("lags") == window) & F.col("label").isNotNull())
+
+    def work(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        past = w.rowsBetween(-window + 1, 0)
+        out = rows.select("_block", "_own", "well", "t", *others, F.collect_list(target).over(past).alias("lags"), F.avg(target).over(past).alias("window_mean"), F.lead(target, horizon).over(w).alias("label"))
+        return out.filter((F.size("lags") == window) & F.col("label").isNotNull())
+
+    return in_blocks(df, work, window - 1, horizon)
 
 
 def seq_windows(df: DataFrame, features: list[str], target: str, length: int, horizon: int, stride: int = 1) -> DataFrame:
     """Sequence to sequence windows: x, the features of `length` rows, and y, the next
     `horizon` targets. A series of n rows has n - (length + horizon) + 1 of them."""
-    w = along()
-    x = F.collect_list(F.array(*features)).over(w.rowsBetween(-length + 1, 0))
-    y = F.collect_list(target).over(w.rowsBetween(1, horizon))
-    out = df.select("well", (F.col("t") - length).cast("int").alias("window_id"), x.alias("x"), y.alias("y"))
-    return out.filter((F.size("x") == length) & (F.size("y") == horizon) & (F.col("window_id") % stride == 0))
+
+    def work(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        x = F.collect_list(F.array(*features)).over(w.rowsBetween(-length + 1, 0))
+        y = F.collect_list(target).over(w.rowsBetween(1, horizon))
+        out = rows.select("_block", "_own", "well", (F.col("t") - length).cast("int").alias("window_id"), x.alias("x"), y.alias("y"))
+        return out.filter((F.size("x") == length) & (F.size("y") == horizon) & (F.col("window_id") % stride == 0))
+
+    return in_blocks(df, work, length - 1, horizon)
 
 
 def ratio_normalize(df: DataFrame) -> DataFrame:

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
 from .clean import along
 
 
 def _gram(df: DataFrame, window: int, horizon: int) -> tuple[DataFrame, list[str]]:
     """Lags, the label and a constant of each anchor, and the names of all products."""
-    w = along()
+    work = lambda rows, w: _anchors(rows, w, window, horizon, "_block", "_own")
+    return in_blocks(df, work, window - 1, horizon), [f"x{i}" for i in range(window + 1)]
+
+
+def _anchors(rows: DataFrame, w: WindowSpec, window: int, horizon: int, *kept: str) -> DataFrame:
     x = [F.lit(1.0).alias("x0"), *[F.lag("oil", k).over(w).alias(f"x{k + 1}") for k in range(window)]]
-    return df.select("well", "t", *x, F.lead("oil", horizon).over(w).alias("y")), [f"x{i}" for i in range(window + 1)]
+    return rows.select(*kept, "well", "t", *x, F.lead("oil", horizon).over(w).alias("y"))
 
 
 def lag_regression(df: DataFrame, window: int = 7, horizon: int = 56) -> DataFrame:
@@ -42,20 +47,32 @@ def _solve(sums: DataFrame, keys: list[str], xs: list[str]) -> DataFrame:
 
 def walk_forward(df: DataFrame, length: int = 150, window: int = 7, horizon: int = 56, known: bool = True) -> DataFrame:
     """A forecast at each fold T from the model of the anchors T - (horizon + length - window)
-    .. T - horizon. Normal equations of a frame are differences of running sums, so each row is
-    added once, whatever the frame's length, and folds are never copied. Folds whose truth is not
-    known yet are left out unless known is False."""
-    rows, xs = _gram(df, window, horizon)
-    w = along()
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    .. T - horizon. Normal equations of a frame are differences of running sums over a block of
+    the series and what lies before it in its first frame, so each row is added once, whatever
+    the frame's length, and folds are never copied.
+
+    Anchors with a null among their lags or label are left out of the fit, as a whole; a fold
+    whose own lags have one, or whose frame has fewer whole anchors than the model has numbers,
+    gives no forecast. Folds whose truth is not known yet are left out unless known is False."""
+    xs, span = [f"x{i}" for i in range(window + 1)], length - window + 1
     pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]] + [(a, "y") for a in xs]
-    keep = ["well", "t", "y", *xs]
-    # The label of a future anchor isn't in the frame, as frames end `horizon` rows before T.
-    rows = rows.select(*keep, F.count(xs[-1]).over(running).alias("_n"), *[F.sum(F.coalesce(F.col(a) * F.col(b), F.lit(0.0))).over(running).alias(f"_{a}_{b}") for a, b in pairs])
-    frame = lambda c: F.lag(c, horizon).over(w) - F.lag(c, horizon + length - window + 1, 0).over(w)
-    rows = rows.select(*keep, frame("_n").alias("n"), *[frame(f"_{a}_{b}").alias(f"{a}_{b}") for a, b in pairs])
-    rows = rows.filter(F.col("n") == length - window + 1)
-    rows = rows.filter("y is not null") if known else rows
+
+    def work(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        keep = ["_block", "_own", "well", "t", "y", *xs]
+        running = w.rowsBetween(Window.unboundedPreceding, 0)
+        rows = _anchors(rows, w, window, horizon, "_block", "_own")
+        whole = F.col("y").isNotNull()
+        for x in xs:
+            whole = whole & F.col(x).isNotNull()
+        total = lambda c: F.sum(F.when(whole, c).otherwise(0.0)).over(running)
+        # The label of a future anchor isn't in the frame, as frames end `horizon` rows before T.
+        rows = rows.select(*keep, total(F.lit(1.0)).alias("_n"), *[total(F.col(a) * F.col(b)).alias(f"_{a}_{b}") for a, b in pairs])
+        frame = lambda c: F.lag(c, horizon).over(w) - F.lag(c, horizon + span, 0).over(w)
+        rows = rows.select(*keep, frame("_n").alias("n"), *[frame(f"_{a}_{b}").alias(f"{a}_{b}") for a, b in pairs])
+        return rows.filter((F.col("t") >= horizon + length) & (F.col("n") >= len(xs)))
+
+    rows = in_blocks(df, work, horizon + length, horizon)
+    rows = rows.na.drop(subset=[*xs, "y"] if known else xs)
     beta = _solve(rows.drop("n"), ["well", "t", "y", *xs], xs)
     pred = sum((F.get("beta", F.lit(i)) * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
     return beta.select("well", "t", F.col("y").alias("truth"), pred.alias("pred"))

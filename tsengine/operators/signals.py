@@ -1,74 +1,188 @@
-"""Signal filters on series (in blocks of a series) and on arrays (column expressions)."""
+"""Signal filters on series (scans of affine maps over blocks) and on arrays (column expressions)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+from .blocks import block_of, geometric, in_blocks, scan, starts_of_blocks
 
-def kalman(z: np.ndarray, q: float = 1e-4, r: float = 1e-3, eps: float = 1e-6) -> np.ndarray:
-    """Local-level Kalman filter: the state begins at z + eps with variance 1; values that are
-    not positive become eps."""
-    z = np.where(z + eps <= 0, eps, z + eps)
-    x, p, out = z[0] if len(z) else 0.0, 1.0, np.empty(len(z))
-    for i, v in enumerate(z):
-        if i:
-            p += q
-        k = p / (p + r)
-        x += k * (v - x)
-        p *= 1 - k
-        out[i] = x
-    return out
-
-
-def kalman_smooth(z: np.ndarray, q: float = 1e-5, r: float = 1e-3) -> np.ndarray:
-    """Local-level Kalman smoother: a forward pass, then Rauch, Tung and Striebel's backward one."""
-    n = len(z)
-    x, p, xs, ps, pred = (z[0] if n else 0.0), 1.0, np.empty(n), np.empty(n), np.empty(n)
-    for i, v in enumerate(z):
-        p = p + q if i else p
-        pred[i] = p
-        k = p / (p + r)
-        x, p = x + k * (v - x), (1 - k) * p
-        xs[i], ps[i] = x, p
-    for i in range(n - 2, -1, -1):
-        xs[i] += ps[i] / pred[i + 1] * (xs[i + 1] - xs[i])
-    return xs
-
-
-FILTERS = {"kalman": kalman, "kalman_smooth": kalman_smooth}
-#: Rows of a block, and rows before and after it that are filtered with it. A filter with gain k
-#: forgets what lies n rows back by (1 - k)^n: 1e-22 for the smallest gain used here.
-BLOCK, WARM = 8192, 512
-
-
-def filter_columns(df: DataFrame, columns: list[str], method: str = "kalman", keys: list[str] | None = None, order: str = "t", block: int = BLOCK, warm: int = WARM, **params: float) -> DataFrame:
+#: Rows of a block of a filtered series.
+BLOCK = 8192
+
+
+class Level:
+    """The local-level Kalman filter of variances q (of the level) and r (of a value) in closed form.
+
+    The level's variance P follows P' = r (P + q) / (P + q + r), a linear fractional map, so that
+    (P_i - high) / (P_i - low) falls geometrically, where high and low are its fixed points.
+    Gains depend on a row's place i (from 1) only. The state begins as the first value, with
+    variance 1 before it. `m` is NumPy or pyspark.sql.functions."""
+
+    def __init__(self, q: float, r: float):
+        if q < 0 or r <= 0:
+            raise ValueError("q is not negative and r is positive")
+        self.q, self.r, self.first = q, r, r / (1 + r)
+        root = math.sqrt(q * q + 4 * q * r)
+        self.high, self.low = 2 * q * r / (root + q) if q else 0.0, -(root + q) / 2
+        self.log_keep = -math.log1p((q + root) / (2 * r))  # of the product of 1 - gain, once gains are steady
+        self.ratio = math.exp(self.log_keep)
+        ahead = self.first - self.high
+        self.sign = math.copysign(1.0, ahead) if ahead and q else 0.0
+        share = root / (self.first - self.low)  # 1 - share is the first row's e
+        self.log_e = math.log1p(-share) if share < 0.5 else math.log(abs(ahead) / (self.first - self.low)) if self.sign else 0.0
+
+    def _log(self, i):
+        return self.log_e + 2 * self.log_keep * (i - 1)
+
+    def _e(self, m: ModuleType, i):
+        return self.sign * m.exp(self._log(i)) if self.sign else i * 0.0
+
+    def _rest(self, m: ModuleType, i):
+        """1 - e, without cancellation."""
+        return -m.expm1(self._log(i)) if self.sign > 0 else 1 - self._e(m, i)
+
+    def variance(self, m: ModuleType, i):
+        if not self.q:
+            return self.r * self.first / (self.r + (i - 1) * self.first)
+        return self.high + (self.high - self.low) * self._e(m, i) / self._rest(m, i)
+
+    def gain(self, m: ModuleType, i):
+        """Of rows after the first, whose gain is 1."""
+        p = self.variance(m, i - 1) + self.q
+        return p / (p + self.r)
+
+    def keep(self, m: ModuleType, i, end):
+        """The product of 1 - gain over rows i + 1 .. end: the weight of state i in state `end`."""
+        if not self.q:
+            return (self.r + (i - 1) * self.first) / (self.r + (end - 1) * self.first)
+        return m.exp(self.log_keep * (end - i)) * self._rest(m, i) / self._rest(m, end)
+
+    def lead(self, m: ModuleType, i):
+        """The smoother's weight of the row after row i."""
+        p = self.variance(m, i)
+        return p / (p + self.q)
+
+    def back(self, m: ModuleType, i, end):
+        """The product of `lead` over rows i .. end - 1: the weight of smoothed row `end` in row i."""
+        if not self.q:
+            return 1.0 + 0.0 * i
+        share = lambda k: self.high - self.low * self._e(m, k)
+        return m.exp(self.log_keep * (end - i)) * share(i) / share(end)
+
+
+class Exponential:
+    """Exponential smoothing with a fixed weight of the newest value, from the first value on."""
+
+    def __init__(self, alpha: float):
+        self.alpha = alpha
+
+    def gain(self, m: ModuleType, i):
+        return self.alpha + i * 0.0
+
+    def keep(self, m: ModuleType, i, end):
+        return m.exp((end - i) * math.log1p(-self.alpha)) if self.alpha < 1 else (end - i) * 0.0
+
+
+def _placed(df: DataFrame, keys: list[str], order: str, block: int) -> tuple[DataFrame, Column, Column]:
+    """Rows with their block, their place, and the last place of the block."""
+    return df.withColumn("_block", block_of(order, block)), F.col(order).cast("double"), ((F.col("_block") + 1) * block).cast("double")
+
+
+def _scanned(df: DataFrame, maps: DataFrame, columns: list[str], keys: list[str], order: str, reverse: bool, each) -> DataFrame:
+    """Each block's rows, with the state it begins with: each(values, places, start) of a column."""
+    starts = starts_of_blocks(maps, keys, columns, reverse)
+    schema = ", ".join(f"`{c}` {'double' if c in columns else kind}" for c, kind in df.dtypes if c != "_block")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ascending=not reverse)
+        place = pdf[order].to_numpy(float)
+        out = {c: each(pdf[c].to_numpy(float), place, pdf[f"_start_{c}"].iloc[0]) for c in columns}
+        return pdf.drop(columns=["_block", *(f"_start_{c}" for c in columns)]).assign(**out)
+
+    return df.join(starts, [*keys, "_block"], "left").groupBy(*keys, "_block").applyInPandas(run, schema)
+
+
+def _filter(df: DataFrame, columns: list[str], gains: Level | Exponential, keys: list[str], order: str, block: int) -> DataFrame:
+    """x_1 = z_1, then x_i = x_{i-1} + gain_i (z_i - x_{i-1}). A block's map is an aggregate with
+    weights in closed form; maps are composed, and then each block is scanned from its state."""
+    df, t, end = _placed(df, keys, order, block)
+    first = F.col(order) == 1
+    # Exponents of the last block would overflow where `end` lies beyond the series; its map is not used.
+    weight = F.when(first, 1.0).otherwise(gains.gain(F, t)) * gains.keep(F, t, end)
+    maps = df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(weight * F.col(c)).alias(c) for c in columns]).filter(F.col("_n") == block)
+    last = (F.col("_block") + 1).cast("double") * block
+    maps = maps.withColumn("_a", F.when(F.col("_block") == 0, 0.0).otherwise(gains.keep(F, last - block, last)))
+
+    def each(z: np.ndarray, place: np.ndarray, start: float) -> np.ndarray:
+        k = np.where(place == 1, 1.0, gains.gain(np, np.maximum(place, 2)))
+        return scan(1 - k, k * z, 0.0 if place[0] == 1 else start)
+
+    return _scanned(df, maps, columns, keys, order, False, each)
+
+
+def _smooth(df: DataFrame, columns: list[str], level: Level, keys: list[str], order: str, block: int) -> DataFrame:
+    """Rauch, Tung and Striebel's backward pass over filtered values: s_n = x_n, then
+    s_i = x_i + lead_i (s_{i+1} - x_i), from the last block to the first."""
+    ends = df.groupBy(*keys).agg(F.max(order).alias("_last"))
+    df, t, _ = _placed(df.join(ends, keys), keys, order, block)
+    first = (F.col("_block") * block + 1).cast("double")
+    final = F.col(order) == F.col("_last")
+    weight = F.when(final, 1.0).otherwise(1 - level.lead(F, t)) * level.back(F, first, t)
+    whole = F.max(final.cast("int"))
+    maps = df.groupBy(*keys, "_block").agg(whole.alias("_final"), *[F.sum(weight * F.col(c)).alias(c) for c in columns])
+    begin = (F.col("_block") * block + 1).cast("double")
+    maps = maps.withColumn("_a", F.when(F.col("_final") == 1, 0.0).otherwise(level.back(F, begin, begin + block)))
+
+    def each(x: np.ndarray, place: np.ndarray, start: float) -> np.ndarray:
+        c = level.lead(np, place)
+        if np.isnan(start):  # the last block: its last row is smoothed already
+            c[0] = 0.0
+        return scan(c, (1 - c) * x, 0.0 if np.isnan(start) else start)
+
+    return _scanned(df.drop("_last"), maps, columns, keys, order, True, each)
+
+
+def filter_columns(df: DataFrame, columns: list[str], method: str = "kalman", keys: list[str] | None = None, order: str = "t", block: int = BLOCK, **params: float) -> DataFrame:
     """`df` with these columns filtered and their raw values kept as <column>_Original.
 
-    `order` numbers a series' rows from 1 without gaps. Series are cut into blocks with some
-    rows of their neighbours, so that one long series spreads over many tasks; a series' first
-    block begins as the whole series does. An unknown column is an error."""
+    Methods: `kalman` (local level; values that are not positive become eps), `kalman_smooth` (with
+    the backward pass, raw values) and `exponential`. `order` numbers a series' rows from 1
+    without gaps. All are recursions x_i = a_i x_{i-1} + b_i whose a_i depend on the place only:
+    blocks' maps are aggregated and composed, then each block is scanned from its true state, so
+    that one long series spreads over many tasks and the result is the recursion's for any
+    parameters. A null value counts as NaN, and so does all after it. An unknown column or
+    method is an error."""
     keys = keys or ["well"]
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"no columns {missing}")
-    fn = FILTERS[method]
-    schema = ", ".join(f"`{c}` {'double' if c in columns else kind}" for c, kind in df.dtypes) + "".join(f", `{c}_Original` double" for c in columns)
-    number = F.col(order) - 1
-    blocks = F.sequence(F.floor(F.greatest(number - warm, F.lit(0)) / block), F.floor((number + warm) / block))
+    if method not in FILTERS:
+        raise ValueError(f"unknown filter {method}; known: {', '.join(FILTERS)}")
+    raw = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) if c in columns else F.col(c) for c in df.columns], *[F.col(c).cast("double").alias(f"{c}_Original") for c in columns])
+    return FILTERS[method](raw, columns, keys, order, block, **params).select(*df.columns, *[f"{c}_Original" for c in columns])
+
+
+def _kalman(df, columns, keys, order, block, q: float = 1e-4, r: float = 1e-3, eps: float = 1e-6):
+    df = df.withColumns({c: F.greatest(F.col(c) + eps, F.lit(eps)) for c in columns})
+    return _filter(df, columns, Level(q, r), keys, order, block)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        mine = (pdf[order] - 1) // block == pdf["_block"]
-        for c in columns:
-            pdf[f"{c}_Original"] = pdf[c].astype(float)
-            pdf[c] = fn(pdf[c].to_numpy(float), **params)
-        return pdf[mine].drop(columns="_block")
 
-    return df.withColumn("_block", F.explode(blocks)).groupBy(*keys, "_block").applyInPandas(run, schema)
+def _kalman_smooth(df, columns, keys, order, block, q: float = 1e-5, r: float = 1e-3):
+    level = Level(q, r)
+    return _smooth(written(_filter(df, columns, level, keys, order, block)), columns, level, keys, order, block)
+
+
+def _exponential(df, columns, keys, order, block, alpha: float = 0.2):
+    return _filter(df, columns, Exponential(alpha), keys, order, block)
+
+
+FILTERS = {"kalman": _kalman, "kalman_smooth": _kalman_smooth, "exponential": _exponential}
 
 
 def filter_series(df: DataFrame, c: str, method: str, **params: float) -> DataFrame:
@@ -77,37 +191,45 @@ def filter_series(df: DataFrame, c: str, method: str, **params: float) -> DataFr
     return out.select("well", "t", F.col(f"{c}_Original").alias(c), F.col(c).alias("filtered"))
 
 
-def kalman_weights(length: int, q: float, r: float) -> np.ndarray:
-    """The filter as a matrix: row i holds the weights of values 0 .. i in the state after value
-    i. Gains depend on the place only, so the state is linear in the values."""
-    out, p = np.zeros((length, length)), 1.0
-    for i in range(length):
-        p = p + q if i else p
-        k = p / (p + r)
-        if i:
-            out[i] = (1 - k) * out[i - 1]
-        out[i, i] += k if i else 1.0
-        p *= 1 - k
-    return out
+def restarted(z: np.ndarray, level: Level, m: int) -> np.ndarray:
+    """The filter's state after the m values z[s] .. z[s + m - 1], begun anew at each s.
 
+    With the gains' closed form the state is a sum of the first value, values that decay with
+    their distance from the last one, and values that decay with that from the first: two sliding
+    geometric sums, whatever m is."""
+    n = max(0, len(z) - m + 1)
+    if not level.q:
+        total = geometric(z[1:], 1.0, m - 1)[:n] if m > 1 else 0.0
+        return (level.r * z[:n] + level.first * total) / (level.r + (m - 1) * level.first)
+    mu, e, one = level.ratio, float(level._e(np, np.float64(1))), np.float64(1)
+    late = geometric(z[1:], mu, m - 1)[:n] if m > 1 else 0.0
+    early = geometric(z[1:][::-1], mu, m - 1)[::-1][:n] if m > 1 else 0.0
+    inner = -math.expm1(level.log_keep) * (late + e * mu ** (m - 1) * early)
+    return (inner + mu ** (m - 1) * float(level._rest(np, one)) * z[:n]) / float(level._rest(np, np.float64(m)))
 
-def kalman_per_fold(df: DataFrame, c: str, length: int = 150, window: int = 7, horizon: int = 56, q: float = 1e-6, r: float = 1e-3, eps: float = 1e-6) -> DataFrame:
+
+def kalman_per_fold(df: DataFrame, c: str, length: int = 150, window: int = 7, horizon: int = 56, q: float = 1e-6, r: float = 1e-3, eps: float = 1e-6, block: int = BLOCK) -> DataFrame:
     """For each fold, the filter restarted at the fold's own slice of the series: rows T - (length
     + horizon - 1) .. T + horizon of fold T. Returns the filtered lags of the test anchor T,
-    oldest first, and its filtered label. A slice is one array, filtered by a constant matrix."""
-    w = Window.partitionBy("well").orderBy("t")
-    size = length + 2 * horizon
-    z = F.greatest(F.col(c) + eps, F.lit(eps))
-    slices = df.select("well", F.col("t").alias("fold"), F.collect_list(z).over(w.rowsBetween(horizon + 1 - size, horizon)).alias("z")).filter(F.size("z") == size)
-    anchor = size - horizon - 1
-    weights = kalman_weights(size, q, r)[[*range(anchor - window + 1, anchor + 1), size - 1]].T
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.stack(pdf["z"].to_list()) @ weights if len(pdf) else np.zeros((0, window + 1))
-            yield pd.DataFrame({"well": pdf["well"], "fold": pdf["fold"], "lags": list(x[:, :-1]), "label": x[:, -1]})
-
-    return slices.mapInPandas(run, "well string, fold int, lags array<double>, label double")
+    oldest first, and its filtered label.
+
+    Blocks of the series have a halo of a slice's length; no slice is copied for a fold, and the
+    work for a fold is a constant."""
+    size, level = length + 2 * horizon, Level(q, r)
+    anchor = size - horizon  # values up to the anchor
+    counts = [*range(anchor - window + 1, anchor + 1), size]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        z, n = pdf["z"].to_numpy(float), max(0, len(pdf) - size + 1)
+        x = np.stack([restarted(z, level, m)[:n] for m in counts], 1)
+        mine = pdf["_own"].to_numpy()[anchor - 1 : anchor - 1 + n]
+        rows = pdf.iloc[anchor - 1 : anchor - 1 + n][mine]
+        return pd.DataFrame({"well": rows["well"], "fold": rows["t"], "lags": pd.Series(list(x[mine, :-1]), index=rows.index, dtype=object), "label": x[mine, -1], "_own": np.ones(len(rows), bool), "_block": rows["_block"]})
+
+    z = df.select("well", "t", F.greatest(F.col(c) + eps, F.lit(eps)).alias("z"))
+    work = lambda rows, _: rows.groupBy("well", "_block").applyInPandas(run, "well string, fold int, lags array<double>, label double, _own boolean, _block long")
+    return in_blocks(z, work, anchor - 1, horizon, block=block)
 
 
 def filter_windows(df: DataFrame, x: str, y: str, alpha: float = 0.2) -> DataFrame:

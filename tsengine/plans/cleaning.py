@@ -52,7 +52,7 @@ def dedupe_first(spark, sf):
 
 @query("ffill", D + " SELECT well, t, last_value(whp IGNORE NULLS) OVER (PARTITION BY well ORDER BY t ROWS UNBOUNDED PRECEDING) AS whp FROM d")
 def ffill(spark, sf):
-    return daily_rates(spark, sf).select("well", "t", C.ffill("whp").alias("whp"))
+    return C.ffill(daily_rates(spark, sf).select("well", "t", "whp"), "whp", "whp")
 
 
 _IMPUTED = """, g AS (SELECT *, CASE WHEN t % 11 < 6 THEN NULL ELSE whp END AS v FROM d),

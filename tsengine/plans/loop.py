@@ -10,6 +10,7 @@ from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import signals as S
+from ..operators.blocks import cumulative
 from ..operators.clean import along
 from ..sources import files
 from ..streaming import jobs
@@ -303,7 +304,7 @@ def cumulative_eval_variants(spark, sf):
     in front of the test rows, and from 0."""
     d = X.chrono_split(daily_rates(spark, sf), 0.2)
     before = d.filter("side = 'train'").groupBy("well").agg(F.sum("oil").alias("whole"), F.max_by("oil", "t").alias("last"))
-    test = d.filter("side = 'test'").select("well", "t", X.cumulative("oil").alias("total")).join(before, "well")
+    test = cumulative(d.filter("side = 'test'"), "oil", "total").select("well", "t", "total").join(before, "well")
     offset = {"whole": F.col("whole"), "prepended": (F.col("whole") - F.col("last")) + F.col("last"), "zero": F.lit(0.0)}
     each = F.inline(F.array(*[F.struct(F.lit(k).alias("variant"), (v + F.col("total")).alias("total")) for k, v in offset.items()]))
     return test.select("well", "t", each)

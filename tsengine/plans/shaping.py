@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import DECLINES, decline
 from ..operators import features as X
+from ..operators.blocks import cumulative as cumulate
 from ..operators.clean import along
 from ..operators.metrics import scores
 from .daily import daily_rates
@@ -20,7 +21,7 @@ _DECLINE = f"-ln(greatest(oil / greatest(coalesce({_PREV}, avg(oil) OVER (PARTIT
 
 @query("decline_rate", D + f" SELECT well, t, round({_DECLINE}, 6) + 0.0 AS decline FROM d WINDOW w AS (PARTITION BY well ORDER BY t)")
 def decline_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(daily_rates(spark, sf).select("well", "t", X.decline_rate("oil").alias("decline")), "decline")
+    return rounded(X.decline_rate(daily_rates(spark, sf), "oil", "decline").select("well", "t", "decline"), "decline")
 
 
 _FIELD = """, u AS (SELECT well, t, oil * 6.2898 AS oil, downhole * 14.5038 - whp * 14.5038 AS v, choke FROM d),
@@ -51,7 +52,7 @@ def engineer_features_sim(spark, sf):
 
 @query("cumulative", D + " SELECT well, t, sum(oil) OVER (PARTITION BY well ORDER BY t ROWS UNBOUNDED PRECEDING) AS total FROM d")
 def cumulative(spark, sf):
-    return daily_rates(spark, sf).select("well", "t", X.cumulative("oil").alias("total"))
+    return cumulate(daily_rates(spark, sf), "oil", "total").select("well", "t", "total")
 
 
 @query("lag_features", D + 
@@ -218,7 +219,7 @@ def feature_branches(spark, sf):
 def cumulative_eval(spark, sf):
     d = X.chrono_split(daily_rates(spark, sf), 0.2)
     before = d.filter("side = 'train'").groupBy("well").agg(F.sum("oil").alias("before"))
-    test = d.filter("side = 'test'").select("well", "t", X.cumulative("oil").alias("total"))
+    test = cumulate(d.filter("side = 'test'"), "oil", "total").select("well", "t", "total")
     return test.join(before, "well").select("well", "t", (F.col("before") + F.col("total")).alias("total"))
 
 

@@ -126,6 +126,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df`, written once below the shared folder and read from there: what is used twice is not
+    made twice, and a lost executor costs no more than its own part."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save_results(df: DataFrame, path: str, by: list[str]) -> None:
     """Result tables as Parquet, one folder for each value of `by`."""
     df.write.partitionBy(*by).parquet(path)
