@@ -129,7 +129,9 @@ class Spans:
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True."""
-    edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
+    edge = np.zeros(len(mask) + 2, np.int8)
+    edge[1:-1] = mask
+    edge = np.diff(edge)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 

@@ -17,6 +17,8 @@ from .store import KeyFilter, bound_batches, row_key, table, with_texts
 
 #: Words of a window.
 WINDOW = 50
+#: Text that a task works on at once, in bytes.
+TEXT = 1 << 18
 
 _FACTORS = (B.U(0x9DDFEA08EB382D69), B.U(0xE7037ED1A0B428DB))
 _SIDE = B.U(0x8EBC6AF09C88C6E3)
@@ -72,7 +74,7 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, starts in B.text_chunks(batch.column("text")):
+            for _, _, data, starts in B.text_chunks(batch.column("text"), TEXT):
                 w, _, _, _, a, _ = _runs(data, starts, window)
                 g, n = np.unique(w.of(_gram(window))[0][a], return_counts=True)
                 yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
@@ -87,7 +89,7 @@ def runs(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, _, data, starts in B.text_chunks(batch.column("text")):
+            for at, _, data, starts in B.text_chunks(batch.column("text"), TEXT):
                 w, first, lo, hi, a, row = _runs(data, starts, window)
                 take = pa.array(at + row)
                 whole = w.spans(lo, hi - lo + window)
@@ -114,7 +116,7 @@ def second_level(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("runs")
-            for at, end, data, starts in B.text_chunks(batch.column("text")):
+            for at, end, data, starts in B.text_chunks(batch.column("text"), TEXT):
                 w, first = _windows(data, starts)
                 mine = lists.slice(at, end - at)
                 of = np.repeat(np.arange(end - at), np.diff(mine.offsets.to_numpy()))
@@ -197,7 +199,7 @@ def window_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     columns are ignored, whatever their names."""
     if window < 4:
         raise ValueError("a window has at least four words")
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, "4m")
     docs = docs.select("doc_id", "text")
     lost = repeated_windows(docs, window).groupBy("key", F.col("doc_id").alias("id")).agg(F.collect_set(F.struct("lo", "hi")).alias("lost"))
     lost = table(lost, "doubling-lost")
