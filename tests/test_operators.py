@@ -1,6 +1,7 @@
 """Operators against plain versions: filters, models, tests, files and streams."""
 
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tsengine.operators import blocks, clean, features, metrics, models, signals
 from tsengine.sources import files
-from tsengine.streaming import jobs
+from tsengine.streaming import jobs, state
 
 
 @pytest.fixture(scope="module")
@@ -281,7 +282,7 @@ def events(spark, tmp_path_factory):
     (folder / "events.parquet").mkdir()
     for f in range(3):
         part = spark.createDataFrame(rows[f * 300 : f * 300 + 300], "event_type string, event_id long, minute int, value double")
-        part = part.select("event_type", "event_id", F.timestamp_seconds(F.col("minute") * 60).cast("timestamp_ntz").alias("ts"), "value")
+        part = part.select("event_type", "event_id", F.timestamp_seconds(F.col("minute") * 60 + 1_700_000_000).cast("timestamp_ntz").alias("ts"), "value")
         part.toPandas().to_parquet(folder / "events.parquet" / f"part-{f}.parquet", coerce_timestamps="us")
     return f"{folder}/events.parquet", {k: [v for t, _, _, v in rows if t == k] for k in ("k0", "k1")}
 
@@ -307,6 +308,8 @@ def test_streams_in_several_batches(spark, events):
         v = values[k]
         errors = [abs(v[i] - np.mean(v[i - 11 : i - 4])) for i in range(11, len(v))]
         assert np.allclose([r.mae for r in rows], np.cumsum(errors) / np.arange(1, len(errors) + 1)) and [r.n for r in rows] == list(range(1, len(errors) + 1))
+        y, p = np.array(v[11:]), np.array([np.mean(v[i - 11 : i - 4]) for i in range(11, len(v))])
+        assert np.isclose(rows[-1].r2, 1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2)) and np.isclose(rows[-1].smape, 100 * np.mean(2 * abs(y - p) / (y + p)))
 
 
 def test_refits_are_those_of_the_whole_series(spark, events):
@@ -318,6 +321,47 @@ def test_refits_are_those_of_the_whole_series(spark, events):
     assert got.keys() == want.keys() and all(np.isclose(got[x], want[x], rtol=1e-5) for x in got)
 
 
+def test_late_rows(spark, tmp_path):
+    """A row that is late by less than the bound takes its place in time; one that is later goes."""
+    folder = tmp_path / "late.parquet"
+    folder.mkdir()
+    minutes = [(1, 10), (2, 20), (3, 40)], [(4, 30), (5, 400)], [(7, 390)], [(6, 15), (8, 410)], [(9, 800)]  # 6 comes when 15 has passed
+    for f, rows in enumerate(minutes):
+        part = pd.DataFrame({"event_type": "k", "event_id": [i for i, _ in rows], "ts": [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m) for _, m in rows], "value": [float(i) for i, _ in rows]})
+        part.to_parquet(folder / f"part-{f}.parquet", coerce_timestamps="us")
+        os.utime(folder / f"part-{f}.parquet", (f, f))
+    got = jobs.rolling_buffer(spark, str(folder), 2, files=1, late="60 minutes").orderBy("k").collect()
+    kept = [1.0, 2, 4, 3, 7, 5, 8, 9]
+    assert [r.lags for r in got] == [[b, a] for a, b in zip(kept, kept[1:])]
+
+
+@pytest.mark.parametrize("batches", [1, 40])
+def test_updated_factors_are_those_of_the_whole_fit(batches):
+    rng = np.random.default_rng(6)
+    v = np.abs(np.cumsum(rng.normal(size=100_000))) + 1
+    v[5_000:5_200] = 3.0  # no rank
+    work, got, k = state.Refit(60, 3, 5), {}, 0
+    numbers = work.begin()
+    for part in np.array_split(v, batches):
+        numbers, out = work.step(k, np.array(numbers), pd.DataFrame({"value": part}))
+        got |= dict(zip(out.get("k", []), out.get("forecast", [])))
+        k += len(part)
+    assert sorted(got) == list(range(65, len(v) + 1))
+    for t in range(65, len(v) + 1, 37):
+        anchors = range(t - 1 - 5 - 57, t - 5)
+        x = np.array([[1, v[i], v[i - 1], v[i - 2]] for i in anchors])
+        beta = np.linalg.lstsq(x, v[[i + 5 for i in anchors]], rcond=1e-8)[0]
+        assert np.isclose(got[t], beta @ [1, v[t - 1], v[t - 2], v[t - 3]], rtol=1e-8)
+
+
+def test_factors_that_lose_rank_are_told():
+    factor = np.linalg.cholesky(np.eye(3))
+    x = np.array([0.5, 0.2, 0.1])
+    assert state.update(factor, x, 1) and np.allclose(factor @ factor.T, np.eye(3) + np.outer(x, x))
+    assert state.update(factor, x, -1) and np.allclose(factor, np.eye(3))
+    assert not state.update(factor, np.array([1.0, 0, 0]), -1)
+
+
 def test_windows_close_behind_the_watermark(spark, events):
     path, _ = events
     got = sorted((r.event_type, str(r.start), r.n, str(r.first_ts)) for r in jobs.tumbling_first(spark, path).collect())

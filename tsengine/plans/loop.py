@@ -357,12 +357,17 @@ _EVENTS = """WITH e AS (SELECT event_type, row_number() OVER w AS k, value, avg(
     "stream_running_metrics",
     _EVENTS
     + """,
-m AS (SELECT event_type, k, abs(value - lag(CASE WHEN k >= 7 THEN f END, 5) OVER (PARTITION BY event_type ORDER BY k)) AS e FROM e)
-SELECT event_type, k, round(avg(e) OVER (PARTITION BY event_type ORDER BY k ROWS UNBOUNDED PRECEDING), 8) AS mae, k - 11 AS n
-FROM m WHERE k > 11""",
+m AS (SELECT event_type, k, value AS y, lag(CASE WHEN k >= 7 THEN f END, 5) OVER (PARTITION BY event_type ORDER BY k) AS p FROM e),
+j AS (SELECT *, y - first_value(y) OVER (PARTITION BY event_type ORDER BY k) AS c FROM m WHERE p IS NOT NULL)
+SELECT event_type, k, k - 11 AS n, round(avg(abs(y - p)) OVER w, 6) AS mae,
+       round(100 * avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE 2 * abs(y - p) / (abs(y) + abs(p)) END) OVER w, 6) AS smape,
+       round(CASE WHEN k > 20 THEN 1 - sum((y - p) * (y - p)) OVER w / (sum(c * c) OVER w - power(sum(c) OVER w, 2) / (k - 11)) END, 5) AS r2
+FROM j WINDOW w AS (PARTITION BY event_type ORDER BY k ROWS UNBOUNDED PRECEDING)""",
 )
 def stream_running_metrics(spark, sf):
-    return rounded(jobs.running_metrics(spark, f"{sf}/events.parquet"), "mae", digits=8)
+    """R2 is compared from the tenth forecast on: of few truths the variance may be next to nothing."""
+    out = jobs.running_metrics(spark, f"{sf}/events.parquet").withColumn("r2", F.when(F.col("k") > 20, F.col("r2")))
+    return rounded(rounded(out, "mae", "smape"), "r2", digits=5)
 
 
 @query(

@@ -1,18 +1,22 @@
 """Structured Streaming versions of the daily loop: buffers, online filters, refits, decimation.
 
 Each job reads a table as a stream until it ends (availableNow), writes its output as
-Parquet below the shared folder, and returns what was written."""
+Parquet below the shared folder, and returns what was written.
+
+Late rows: rows are taken in order of (ts, event_id). A row waits in state until the watermark,
+`late` behind the newest row so far, has passed it; one that comes for a time that the
+watermark has passed already is dropped (the engine's watermark begins at 1970)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.models import walk_forward
-from ..operators.signals import filter_columns
 from ..sources.files import shared_folder
+from .state import InOrder, Kalman, Lags, Numbered, Refit, Scores, Work
 
 #: Files of a micro-batch: bounds what is sorted at once.
 FILES = 4
@@ -27,130 +31,118 @@ def _stream(spark: SparkSession, path: str, files: int = FILES) -> DataFrame:
     return stream.parquet(folder if one else path)
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, on the executors' disks with a copy in the checkpoint, for what starts here."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
 def _run(df: DataFrame, out: str) -> None:
-    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    with _rocksdb(df.sparkSession):
+        q = df.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
 
 
+class Closing:
+    """A stream with an end: one more row, of a time after all others, which closes what waits for
+    the watermark. Its own key is null, and it is never passed itself."""
+
+    def __init__(self, spark: SparkSession, like: DataFrame, out: str):
+        values = {"ts": F.lit("2250-01-01").cast("timestamp")}
+        row = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
+        self.row, self.folder = row, f"{out}/closing"
+        row.filter("false").write.parquet(f"{self.folder}/none")
+        self.stream = lambda: like.unionByName(spark.readStream.schema(row.schema).parquet(f"{self.folder}/*"))
+
+    def close(self) -> None:
+        self.row.write.parquet(f"{self.folder}/last")
+
+
 def tumbling_first(spark: SparkSession, path: str, width: str = "12 hours", late: str = "1 day") -> DataFrame:
     """Rows and first time of each window of `width`. Windows close `late` behind the newest row,
     and what comes for a closed window is dropped, so that only open windows are state. When the
     stream has ended, a row of a time after all others closes the last windows; its own never
     closes."""
     out = shared_folder(spark)
-    closing = spark.range(1).select(F.lit(None).cast("string").alias("event_type"), F.lit("9000-01-01").cast("timestamp").alias("ts"))
-    closing.filter("false").write.parquet(f"{out}/closing/none")
-    events = _stream(spark, path).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    last = spark.readStream.schema(closing.schema).parquet(f"{out}/closing/*")
-    both = events.unionAll(last).withWatermark("ts", late)
+    closing = Closing(spark, _stream(spark, path).select("event_type", F.col("ts").cast("timestamp").alias("ts")), out)
+    both = closing.stream().withWatermark("ts", late)
     agg = both.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
     flat = agg.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"))
     _run(flat, out)
-    closing.write.parquet(f"{out}/closing/last")
+    closing.close()
     _run(flat, out)  # goes on from the checkpoint
     return spark.read.schema(flat.schema).parquet(f"{out}/data")
 
 
-def buffered(spark: SparkSession, path: str, size: int, step: Callable[[DataFrame], DataFrame], carried: dict[str, str], ttl: str = "3650 days", files: int = FILES) -> DataFrame:
-    """Each micro-batch behind the last `size` rows of each key, through `step`.
+def _events(spark: SparkSession, path: str, files: int) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    return _stream(spark, path, files).select("event_type", "event_id", ts.alias("ts"), F.unix_micros(ts).alias("at"), F.col("value").cast("double").alias("value"))
 
-    `step` gets rows (event_type, event_id, ts, value, k, fresh, and the carried columns, null
-    in fresh rows) in which k numbers a key's rows in sequence; it fills in the carried columns
-    and adds others. What it returns for fresh rows is the output. The buffer is a table of each
-    epoch below the shared folder, so an epoch that is run again gives the same; keys that are
-    silent for `ttl` leave it. Nothing is gathered in one process: rows of a key are sorted by
-    Spark, which spills."""
-    out = shared_folder(spark)
-    names = ["event_type", "event_id", "ts", "value"]
-    key = Window.partitionBy("event_type")
-    schemas: list = []
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        new = batch.select(*names, F.row_number().over(key.orderBy("ts", "event_id")).cast("long").alias("k"))
-        if epoch:
-            old = session.read.parquet(f"{out}/state/{epoch - 1}")
-            seen = old.groupBy("event_type").agg(F.max("k").alias("seen"))
-            new = new.join(seen, "event_type", "left").withColumn("k", F.col("k") + F.coalesce("seen", F.lit(0))).drop("seen")
-        rows = new.select("*", F.lit(True).alias("fresh"), *[F.lit(None).cast(t).alias(c) for c, t in carried.items()])
-        if epoch:
-            rows = rows.unionByName(old.withColumn("fresh", F.lit(False)))
-        done = step(rows)
-        schemas[:] = [done.drop("fresh", *[c for c in carried if c not in done.columns]).schema]
-        done.write.mode("overwrite").parquet(f"{out}/all/{epoch}")
-        done = session.read.schema(done.schema).parquet(f"{out}/all/{epoch}")
-        done.filter("fresh").drop("fresh").write.mode("overwrite").parquet(f"{out}/data/{epoch}")
-        newest = F.max("ts").over(Window.partitionBy())
-        keys = done.groupBy("event_type").agg(F.max("ts").alias("ts"), F.max("k").alias("top"))
-        alive = keys.withColumn("newest", newest).filter(F.col("ts") >= F.col("newest") - F.expr(f"INTERVAL '{ttl.split()[0]}' DAY")).select("event_type", "top")
-        kept = done.join(alive, "event_type").filter(F.col("k") > F.col("top") - size)
-        kept.select(*names, "k", *carried).write.mode("overwrite").parquet(f"{out}/state/{epoch}")
-
-    q = _stream(spark, path, files).writeStream.foreachBatch(run).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(schemas[0]).option("recursiveFileLookup", True).parquet(f"{out}/data")
 
+def _stateful(rows: DataFrame, work: Work, more: list[str] | None = None, time: str = "") -> DataFrame:
+    """`work` over the rows of each event_type in order of time (see InOrder); `time` names the
+    column of its output that the watermark holds for, if a stateful step follows."""
+    return rows.groupBy("event_type").transformWithStateInPandas(statefulProcessor=InOrder(work, more), outputStructType=work.schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName=time)
 
-def _running(c: str, start: str) -> Column:
-    """The running total of c over fresh rows, from the carried total of the last old row on."""
-    w = Window.partitionBy("event_type").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    fresh = F.sum(F.when(F.col("fresh"), F.col(c)).otherwise(0.0)).over(w)
-    return F.when(F.col("fresh"), F.coalesce(F.last(start, ignorenulls=True).over(w), F.lit(0.0)) + fresh).otherwise(F.col(start))
 
+def in_order(events: DataFrame, work: Work, out: str, late: str) -> DataFrame:
+    """`work` over the rows of each event_type in order of time: its columns for each row. Stateful
+    in the engine: rows that wait and what `work` carries on are lists and values in RocksDB,
+    timers are by event time, and keys silent for work.ttl_days are forgotten."""
+    closing = Closing(events.sparkSession, events, out)
 
-def online_kalman(spark: SparkSession, path: str, q: float = 1e-4, r: float = 1e-3, files: int = FILES) -> DataFrame:
-    """event_type, k and x, the local-level filter's state after row k. The filter forgets: behind
-    a buffer of 512 rows it gives what it gives over all of them."""
+    done = lambda: _stateful(closing.stream().withWatermark("ts", late), work)
+    _run(done(), out)
+    closing.close()
+    _run(done(), out)
+    return events.sparkSession.read.schema(work.schema).parquet(f"{out}/data")
 
-    def step(rows: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("event_type").orderBy("k"))
-        placed = rows.select("*", F.col("value").cast("double").alias("x"), place.alias("_place"))
-        return filter_columns(placed, ["x"], "kalman", ["event_type"], "_place", q=q, r=r).drop("_place", "x_Original")
 
-    return buffered(spark, path, 512, step, {}, files=files).select("event_type", "k", "x")
+def online_kalman(spark: SparkSession, path: str, q: float = 1e-4, r: float = 1e-3, files: int = FILES, late: str = "1 day") -> DataFrame:
+    """event_type, k and x, the local-level filter's state after row k."""
+    return in_order(_events(spark, path, files), Kalman(q, r), shared_folder(spark), late)
 
 
-def rolling_buffer(spark: SparkSession, path: str, window: int, size: int = 150, files: int = FILES) -> DataFrame:
+def rolling_buffer(spark: SparkSession, path: str, window: int, files: int = FILES, late: str = "1 day") -> DataFrame:
     """From the window-th row of a key on, each new row gives the sum of the last `window` values,
     these values as lags, newest first, and the running total."""
+    return in_order(_events(spark, path, files), Lags(window), shared_folder(spark), late).select("event_type", "k", "total", "running", "lags")
 
-    def step(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy("event_type").orderBy("k")
-        past = w.rowsBetween(1 - window, 0)
-        lags = F.reverse(F.collect_list("value").over(past))
-        out = rows.withColumn("running", _running("value", "running"))
-        return out.select("*", F.sum("value").over(past).alias("total"), lags.alias("lags"))
 
-    done = buffered(spark, path, size, step, {"running": "double"}, files=files)
-    return done.filter(F.col("k") >= window).select("event_type", "k", "total", "running", "lags")
+def online_refit(spark: SparkSession, path: str, length: int = 60, window: int = 3, horizon: int = 5, files: int = FILES, late: str = "1 day") -> DataFrame:
+    """Each new row refits the linear model on the last anchors whose labels are known, and
+    forecasts `horizon` rows ahead: event_type, k, forecast."""
+    return in_order(_events(spark, path, files), Refit(length, window, horizon), shared_folder(spark), late)
 
 
-def running_metrics(spark: SparkSession, path: str, window: int = 7, horizon: int = 5, size: int = 150, files: int = FILES) -> DataFrame:
+def running_metrics(spark: SparkSession, path: str, window: int = 7, horizon: int = 5, files: int = FILES, late: str = "1 day", delay: str = "365 days") -> DataFrame:
     """Each new value is the truth of the forecast that was made `horizon` rows before, the mean of
-    the `window` values up to there: event_type, k, mae so far, and n, the forecasts judged."""
-
-    def step(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy("event_type").orderBy("k")
-        mean = F.avg("value").over(w.rowsBetween(1 - window, 0))
-        rows = rows.withColumn("forecast", F.when(F.col("k") >= window, mean))
-        rows = rows.withColumn("_e", F.coalesce(F.abs(F.col("value") - F.lag("forecast", horizon).over(w)), F.lit(0.0)))
-        rows = rows.withColumn("errors", _running("_e", "errors")).drop("_e", "forecast")
-        return rows
-
-    done = buffered(spark, path, size, step, {"errors": "double"}, files=files)
-    n = F.col("k") - window - horizon + 1
-    return done.filter(n > 0).select("event_type", "k", (F.col("errors") / n).alias("mae"), n.alias("n"))
+    the `window` values up to there: event_type, k, n (forecasts judged so far), and of these
+    r2, smape and mae.
 
-
-def online_refit(spark: SparkSession, path: str, length: int = 60, window: int = 3, horizon: int = 5, files: int = FILES) -> DataFrame:
-    """Each new row refits the linear model on the buffer's last anchors whose labels are known,
-    and forecasts `horizon` rows ahead: event_type, k, forecast."""
-    size = length + horizon + window
-
-    def step(rows: DataFrame) -> DataFrame:
-        series = rows.select(F.col("event_type").alias("well"), F.col("k").alias("t"), F.col("value").cast("double").alias("oil"))
-        fitted = walk_forward(series, length, window, horizon, known=False).select(F.col("well").alias("event_type"), F.col("t").alias("k"), F.col("pred").alias("forecast"))
-        return rows.join(fitted, ["event_type", "k"], "left")
-
-    done = buffered(spark, path, size + length, step, {}, files=files)
-    return done.filter("forecast is not null").select("event_type", "k", "forecast")
+    Forecasts and truths are two streams, joined by the number of the row that is forecast; a
+    truth that comes more than `delay` after its forecast finds it no more, and state is kept no
+    longer. The rows are numbered by one stateful step before the join, and what the join gives
+    is scored in order of time by another behind it; watermarks pass through all of them."""
+    out = shared_folder(spark)
+    closing = Closing(spark, _events(spark, path, files), out)
+
+    def scored() -> DataFrame:
+        step = lambda: _stateful(closing.stream().withWatermark("ts", late), Numbered(window), time="ts")
+        forecasts = step().filter("forecast is not null").select(F.col("event_type").alias("_type"), (F.col("k") + horizon).alias("_due"), F.col("ts").alias("_made"), "forecast")
+        within = (F.col("ts") >= F.col("_made")) & (F.col("ts") <= F.col("_made") + F.expr(f"INTERVAL {delay}"))
+        both = step().drop("forecast").join(forecasts, (F.col("event_type") == F.col("_type")) & (F.col("k") == F.col("_due")) & within)
+        return _stateful(both.select("event_type", F.col("k").alias("event_id"), "ts", "at", "value", "forecast"), Scores(), ["forecast"])
+
+    _run(scored(), out)
+    closing.close()
+    _run(scored(), out)
+    return spark.read.schema(Scores.schema).parquet(f"{out}/data")
