@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tsengine.operators import blocks, clean, features, metrics, models, signals
+from tsengine.operators import blocks, clean, features, metrics, models, ranking, signals
 from tsengine.sources import files
 from tsengine.streaming import jobs, state
 
@@ -217,6 +217,27 @@ def test_place_is_the_order(spark):
     assert [(r.g, r.k) for r in got] == want and [r.place for r in got] == list(range(1, 29))
 
 
+@pytest.mark.parametrize("rows", [1_000_000, 40])
+def test_ranks_and_quantiles(spark, rows, monkeypatch):
+    """A group with one very frequent value, nulls and NaN; ranges of few rows."""
+    monkeypatch.setattr(ranking, "ROWS", rows)
+    rng = np.random.default_rng(9)
+    values = [("a", float(v), i) for i, v in enumerate(np.round(rng.normal(size=300), 1))] + [("a", 0.5, i) for i in range(300, 700)]
+    values += [("b", float(v), i) for i, v in enumerate(rng.random(50))] + [(None, 2.0, 1), (None, 1.0, 2), ("c", None, 1), ("a", None, 1), ("b", float("nan"), 2)]
+    df = spark.createDataFrame(values, "g string, v double, i int").repartition(3)
+    got = {r.g: r for r in ranking.quantiles(df, ["g"], "v", {"q": 0.3, "m": 0.5}).collect()}
+    for g in ("a", "b", None):
+        v = [x for k, x, _ in values if k == g and x is not None and x == x]
+        assert np.allclose([got[g].q, got[g].m], np.quantile(v, [0.3, 0.5]))
+    assert got["c"].q is None
+    for g, v, rank in [(r.g, r.v, r.rank) for r in ranking.average_ranks(df, ["g"], "v", "rank").collect()]:
+        mine = [x for k, x, _ in values if k == g and x is not None and x == x]
+        assert rank is None if v is None or v != v else rank == sum(x < v for x in mine) + (sum(x == v for x in mine) + 1) / 2
+    known = df.filter("v is null or not isnan(v)")
+    places = sorted((r.place, r.v is not None, r.v or 0, r.g or "", r.i) for r in ranking.numbered(known, "v", ["g", "i"], "place").collect())
+    assert [p[0] for p in places] == list(range(1, known.count() + 1)) and [p[1:] for p in places] == sorted(p[1:] for p in places)
+
+
 def test_search_draws_distinct_points(spark, series):
     w = features.chrono_split(features.ratio_normalize(features.window_rows(series, "oil", [], 3, 5)), 0.2)
     got = models.gbt_search(w, {"maxIter": [1, 2], "maxDepth": [1, 2]}, 4, folds=2).collect()

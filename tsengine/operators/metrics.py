@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def smape(y: str, p: str) -> Column:
     """100 times the mean of |y - p| over the mean of |y| and |p|; 0 / 0 counts as 0."""
@@ -34,8 +36,7 @@ def exact_mean(c: str, decimals: int = 6) -> Column:
 
 def leaderboard(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Mean SMAPE of each configuration, best first."""
-    means = runs.groupBy(*keys).agg(exact_mean("smape").alias("mean_smape"))
-    return means.withColumn("rank", F.row_number().over(Window.orderBy("mean_smape", *keys)))
+    return numbered(runs.groupBy(*keys).agg(exact_mean("smape").alias("mean_smape")), "mean_smape", keys, "rank")
 
 
 def composite_rank(df: DataFrame, group: str, name: str, weights: dict[str, float], rising: set[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import FACTORS, convert
 from ..operators import clean as C
+from ..operators.ranking import quantiles
 from .daily import daily_rates, read, runs
 from .registry import D, R, query, rounded
 
@@ -102,7 +103,7 @@ def unit_convert(spark, sf):
 
 @query("unit_sanity", D + " SELECT well, median(downhole) AS mid, median(downhole) > 160 AS suspicious FROM d GROUP BY well")
 def unit_sanity(spark, sf):
-    return daily_rates(spark, sf).groupBy("well").agg(F.median("downhole").alias("mid")).withColumn("suspicious", F.col("mid") > 160)
+    return quantiles(daily_rates(spark, sf), ["well"], "downhole", {"mid": 0.5}).withColumn("suspicious", F.col("mid") > 160)
 
 
 @query("decimate", D + " SELECT well, t, oil FROM d WHERE t > 20 AND (t - 21) % 24 = 0")
@@ -249,6 +250,6 @@ def wells_by_size(spark, sf):
     "quantile_cont(whp, 0.25) AS q1, median(whp) AS mid, quantile_cont(whp, 0.75) AS q3, max(whp) AS hi FROM d GROUP "
     "BY well")
 def describe(spark, sf):
-    q = lambda p: F.percentile("whp", F.lit(p))
-    out = daily_rates(spark, sf).groupBy("well").agg(F.count("whp").alias("n"), F.avg("whp").alias("mean"), F.stddev_samp("whp").alias("std"), F.min("whp").alias("lo"), q(0.25).alias("q1"), q(0.5).alias("mid"), q(0.75).alias("q3"), F.max("whp").alias("hi"))
-    return rounded(out, "mean", "std")
+    d = daily_rates(spark, sf)
+    out = d.groupBy("well").agg(F.count("whp").alias("n"), F.avg("whp").alias("mean"), F.stddev_samp("whp").alias("std"), F.min("whp").alias("lo"), F.max("whp").alias("hi"))
+    return rounded(out.join(quantiles(d, ["well"], "whp", {"q1": 0.25, "mid": 0.5, "q3": 0.75}), "well"), "mean", "std")

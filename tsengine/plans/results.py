@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.ranking import quantiles, spearman
 from .daily import daily_rates, read, runs
 from .registry import D, R, mean, mean_sql, query, rounded
 
@@ -61,7 +62,8 @@ def drilldown(spark, sf):
     "6) AS best, round(median(m), 6) AS middle FROM k")
 def best_cell(spark, sf):
     b = runs(spark, sf).groupBy(*KEYS).agg(mean("smape").alias("m"))
-    return rounded(b.agg(*[F.min_by(k, "m").alias(k) for k in KEYS], F.min("m").alias("best"), F.median("m").alias("middle")), "best", "middle")
+    best = b.agg(*[F.min_by(k, "m").alias(k) for k in KEYS], F.min("m").alias("best"))
+    return rounded(best.join(quantiles(b, [], "m", {"middle": 0.5})), "best", "middle")  # one row each
 
 
 @query("category_stats", R + 
@@ -220,10 +222,7 @@ def attr_stability(spark, sf):
     "SELECT iteration, feature, CASE WHEN corr(rx, rp) >= 0 THEN 'up' ELSE 'down' END AS direction, round(corr(rx, "
     "rp), 4) AS rho FROM k GROUP BY 1, 2")
 def attr_direction(spark, sf):
-    w = lambda *c: Window.partitionBy("iteration", "feature", *c)
-    mean_rank = lambda c: F.rank().over(w().orderBy(c)) + (F.count(F.lit(1)).over(w(c)) - 1) / 2.0
-    k = attributions(spark, sf).select("iteration", "feature", mean_rank("x").alias("rx"), mean_rank("phi").alias("rp"))
-    g = k.groupBy("iteration", "feature").agg(F.corr("rx", "rp").alias("rho"))
+    g = spearman(attributions(spark, sf), ["iteration", "feature"], "x", "phi", "rho")
     return rounded(g.withColumn("direction", F.when(F.col("rho") >= 0, "up").otherwise("down")), "rho", digits=4)
 
 

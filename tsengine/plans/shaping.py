@@ -12,6 +12,7 @@ from ..operators import features as X
 from ..operators.blocks import cumulative as cumulate
 from ..operators.clean import along
 from ..operators.metrics import scores
+from ..operators.ranking import quantiles
 from .daily import daily_rates
 from .registry import ORACLE_SQL, QUERIES, D, query, rounded
 
@@ -411,6 +412,6 @@ def standard_scale(spark, sf):
     "JOIN s USING (well)")
 def inverse_scale(spark, sf):
     d = daily_rates(spark, sf)
-    stats = d.groupBy("well").agg(F.median("oil").alias("c"), (F.percentile("oil", F.lit(0.75)) - F.percentile("oil", F.lit(0.25))).alias("k"))
+    stats = quantiles(d, ["well"], "oil", {"q1": 0.25, "c": 0.5, "q3": 0.75}).select("well", "c", (F.col("q3") - F.col("q1")).alias("k"))
     x = (F.col("oil") - F.col("c")) / F.col("k")
     return rounded(rounded(d.join(stats, "well").select("well", "t", x.alias("scaled"), (x * F.col("k") + F.col("c")).alias("back")), "scaled"), "back", digits=4)
