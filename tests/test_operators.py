@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tsengine.operators import blocks, clean, features, metrics, models, ranking, signals
+from tsengine.operators import blocks, clean, experiments, features, metrics, models, ranking, signals
 from tsengine.sources import files
 from tsengine.streaming import jobs, state
 
@@ -74,7 +74,21 @@ def test_filters_in_blocks(series, method, params):
         assert all(np.array_equal(v, raw[w]) for w, v in arrays(got, "oil_Original").items())
 
 
-def test_filters_by_wrong_names(series):
+@pytest.mark.parametrize("n, q, r", [(7, 1e-5, 1e-3), (30, 1e-5, 1e-3), (12, 1.0, 0.1), (1, 1e-5, 1e-3), (9, 0.0, 1.0)])
+def test_smoothed_windows(spark, n, q, r):
+    y = np.random.default_rng(3).normal(size=(20, n))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "i int, y array<double>")
+    for row in signals.smooth_windows(df, "y", n, q, r).collect():
+        assert np.allclose(row.smoothed, kalman_smooth(y[row.i], q, r))
+    if n == 7:
+        for name in signals.WINDOW_FILTERS:
+            got = signals.filter_windows(df, {"y": n}, name).collect()
+            assert len(got) == 20 and all(len(row.y_filtered) == n for row in got)
+
+
+def test_filters_by_wrong_names(spark, series):
+    with pytest.raises(ValueError):
+        signals.filter_windows(series, {"oil": 1}, "nothing")
     with pytest.raises(ValueError):
         signals.filter_columns(series, ["nothing"])
     with pytest.raises(ValueError):
@@ -245,6 +259,38 @@ def test_search_draws_distinct_points(spark, series):
     assert min(r.mse for r in got) == next(r.mse for r in got if r.chosen)
 
 
+def test_failing_jobs_leave_the_others_whole(spark, series, monkeypatch):
+    def odd(z, window, horizon, length):
+        raise RuntimeError("a defect")
+
+    monkeypatch.setitem(experiments.MODELS, "odd", odd)
+    table = [(1, "a", "linear", 3, 5, 40), (2, "a", "nothing", 3, 5, 40), (3, "b", "mean", 4, 5, 40), (4, "zzz", "mean", 4, 5, 40), (5, "b", "mean", None, 5, 40), (6, "b", "last", 1, 5, 400), (7, "a", "linear", 30, 5, 40), (8, "b", "last", 1, 5, 40)]
+    jobs_ = spark.createDataFrame(table, "job_id long, well string, model string, window int, horizon int, length int")
+    for block in (64, 8192):
+        status, forecasts = experiments.run_jobs(jobs_, series, block)
+        got = {r.job_id: (r.status, r.error) for r in status.collect()}
+        assert [j for j, (s, _) in got.items() if s == "success"] == [1, 3, 8] or sorted(j for j, (s, _) in got.items() if s == "success") == [1, 3, 8]
+        assert "unknown model" in got[2][1] and "zzz" in got[4][1] and "window" in got[5][1] and "fewer" in got[6][1] and "too few" in got[7][1]
+        want = {r.t: r.pred for r in models.walk_forward(series.filter("well = 'a'"), 40, 3, 5).withColumn("t", F.col("t") + 5).collect()}
+        mine = {r.t: r for r in forecasts.filter("job_id = 1").collect()}
+        assert len(mine) > 700 and all(np.isclose(r.pred, want[t], rtol=1e-5) for t, r in mine.items())
+        scored = experiments.collate(status, forecasts).collect()
+        assert sorted((r.job_id, r.kind) for r in scored) == [(j, k) for j in (1, 3, 8) for k in ("aggregated", "cumulative")]
+        raw = arrays(series)["b"]
+        e = np.abs(raw[44:] - raw[39:-5])
+        row = next(r for r in scored if r.job_id == 8 and r.kind == "aggregated")
+        assert np.isclose(row.mae_val, e[: len(e) // 2].mean()) and np.isclose(row.mae_test, e[len(e) // 2 :].mean())
+    none = experiments.collate(*experiments.run_jobs(jobs_.filter("false"), series))
+    assert none.count() == 0
+
+
+def test_queues_and_configurations(spark):
+    got = [tuple(r) for r in experiments.job_queue(spark, ("a", ["x", "y"]), ("b", [1, 2, 3])).orderBy("exp_id").collect()]
+    assert got == [(i * 3 + j + 1, a, b) for i, a in enumerate("xy") for j, b in enumerate((1, 2, 3))]
+    assert [c["filter_method"] for c in experiments.filter_configurations(["kalman", "wavelet"])] == ["kalman", "wavelet"]
+    assert experiments.filter_configurations([])[0]["apply_adaptive_filtering"] is False
+
+
 def test_concentration_of_a_published_attribution(spark):
     # Strengths of eleven features and their published concentration.
     strength = [0.48772423373561147, 0.22934939556257128, 0.22746941058883546, 0.382628185984989, 0.13276563527162782, 0.13645797697891895]

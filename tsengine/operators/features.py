@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -137,6 +139,18 @@ def walk_forward_folds(df: DataFrame, length: int = 150, window: int = 7, horizo
     return folds.join(anchors, ["well", "block"]).filter(F.col("anchor").between(lo, F.col("fold") - horizon)).select("well", "fold", "anchor")
 
 
+def late_decline(length: int, seed: int, low: float = 0.6, high: float = 1.0) -> tuple[int, float]:
+    """Where a window of `length` rows begins to decline, in its later two thirds, and to what share."""
+    rng = random.Random(seed)
+    return rng.randint(length // 3, length - 1), rng.uniform(low, high)
+
+
+def warped(c: str, cut: Column, alpha: Column, features: int) -> Column:
+    """A window (an array of values, or of arrays of `features` values) times alpha from place cut on."""
+    scale = lambda v, i: v * F.when(i >= cut, alpha).otherwise(1.0)
+    return F.transform(c, (lambda row, i: F.transform(row, lambda v: scale(v, i))) if features else scale)
+
+
 def augment(df: DataFrame, scale: tuple[float, ...] = (), jitter: float = 0.0, warp: float = 1.0, bootstrap: int = 0, seed: int = 7) -> DataFrame:
     """well, t, oil, downhole and `block`: the rows, and copies of them by the techniques that are
     on. scale: rate and pressure by each factor; jitter: noise of this deviation on the pressure;

@@ -78,6 +78,15 @@ def walk_forward(df: DataFrame, length: int = 150, window: int = 7, horizon: int
     return beta.select("well", "t", F.col("y").alias("truth"), pred.alias("pred"))
 
 
+def blend_weights(df: DataFrame, keys: list[str], a: str, b: str, y: str, low: float = 0.2, high: float = 1.0) -> DataFrame:
+    """(keys, alpha): the weight of a against b that fits y best by least squares, kept within low and
+    high, where the sum of squares is least too, as it is a parabola. One aggregate of cross terms;
+    where a and b never differ, alpha is high."""
+    d = F.col(a) - F.col(b)
+    best = F.try_divide(F.sum(d * (F.col(y) - F.col(b))), F.sum(d * d))
+    return df.groupBy(*keys).agg(F.coalesce(F.least(F.greatest(best, F.lit(low)), F.lit(high)), F.lit(high)).alias("alpha"))
+
+
 def linear_attribution(df: DataFrame, features: list[str], target: str, horizon: int) -> DataFrame:
     """phi_<feature> of each row: the exact Shapley values beta (x - mean x) of the linear model
     that is fitted to each series' target `horizon` rows ahead."""

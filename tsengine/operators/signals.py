@@ -232,11 +232,39 @@ def kalman_per_fold(df: DataFrame, c: str, length: int = 150, window: int = 7, h
     return in_blocks(z, work, anchor - 1, horizon, block=block)
 
 
-def filter_windows(df: DataFrame, x: str, y: str, alpha: float = 0.2) -> DataFrame:
-    """Windows whose target column x and label y are each smoothed on their own: `x_filtered` and
-    `y_filtered`."""
-    for c in (x, y):
-        df = exp_smooth(df, c, alpha).withColumnRenamed("fitted", f"{c}_filtered")
+def smoother_weights(n: int, q: float, r: float) -> np.ndarray:
+    """The local-level smoother of n values as a matrix: row i holds the weights of the values in
+    smoothed value i. Gains depend on the place only, so it is linear in the values."""
+    level, place = Level(q, r), np.arange(1, n + 1, dtype=float)
+    gain = np.where(place == 1, 1.0, level.gain(np, np.maximum(place, 2)))
+    ahead = scan(np.broadcast_to(1 - gain, (n, n)), np.eye(n) * gain)  # [value, place]
+    lead = level.lead(np, place)
+    lead[-1] = 0.0
+    return scan(np.broadcast_to(lead[::-1], (n, n)), ((1 - lead) * ahead)[:, ::-1])[:, ::-1].T
+
+
+def smooth_windows(df: DataFrame, c: str, n: int, q: float = 1e-5, r: float = 1e-3) -> DataFrame:
+    """`smoothed`: the smoother over each window of n values, by constant weights."""
+    dot = lambda w: F.aggregate(F.zip_with(c, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return df.withColumn("smoothed", F.array(*[dot(w) for w in smoother_weights(n, q, r).tolist()]))
+
+
+#: Filters of windows by name: (rows, array column, its length, parameters) -> rows, name of the result.
+WINDOW_FILTERS = {
+    "exponential_smoothing": lambda df, c, n, **p: (exp_smooth(df, c, p.get("smoothing_level", 0.2)), "fitted"),
+    "wavelet": lambda df, c, n, **p: (haar_denoise(df, c, 3, p.get("threshold")), "denoised"),
+    "kalman": lambda df, c, n, **p: (smooth_windows(df, c, n, p.get("process_var", 1e-5), p.get("measurement_var", 1e-3)), "smoothed"),
+}
+
+
+def filter_windows(df: DataFrame, columns: dict[str, int], method: str = "exponential_smoothing", **params) -> DataFrame:
+    """Windows (array columns and their lengths), each filtered on its own by the filter of that name:
+    `<column>_filtered`. An unknown name is an error."""
+    if method not in WINDOW_FILTERS:
+        raise ValueError(f"unknown filter {method}; known: {', '.join(WINDOW_FILTERS)}")
+    for c, n in columns.items():
+        df, out = WINDOW_FILTERS[method](df, c, n, **params)
+        df = df.withColumnRenamed(out, f"{c}_filtered")
     return df
 
 

@@ -127,11 +127,12 @@ def dataset_filter(spark, sf):
 
 
 @query("eligible_folds", D + 
-    " SELECT well, it FROM (SELECT well, count(*) AS n FROM d GROUP BY well), (SELECT unnest(range(0, 3000, 250)) AS "
+    " SELECT well, it FROM (SELECT well, count(*) AS n FROM d GROUP BY well), (SELECT unnest(range(0, (SELECT CAST(max(t) AS BIGINT) FROM d), 250)) AS "
     "it) WHERE n - 150 - 112 > it")
 def eligible_folds(spark, sf):
     n = daily_rates(spark, sf).groupBy("well").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(2750), F.lit(250)).cast("array<long>"))).filter("n - 150 - 2 * 56 > it").select("well", "it")
+    last = F.col("n") - 150 - 2 * 56 - 1  # no series is too long to have all its folds
+    return n.filter(last >= 0).select("well", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(250).cast("long"))).alias("it"))
 
 
 @query("pending_jobs", R + " SELECT job_id FROM r WHERE n % 2 = 0")
@@ -148,9 +149,10 @@ def structure_results(spark, sf):
 
 
 @query("injection_join", D + " SELECT a.well, a.t, a.oil, coalesce(b.water, 0) AS injected FROM d a LEFT JOIN d b ON b.well = 'R-F' AND a.day = b.day")
-def injection_join(spark, sf):
+def injection_join(spark, sf, injector_well: str = "R-F"):
+    """All producers with the field's one injector, whose name is a parameter."""
     d = daily_rates(spark, sf)
-    injector = d.filter("well = 'R-F'").select("day", F.col("water").alias("injected"))
+    injector = d.filter(F.col("well") == injector_well).select("day", F.col("water").alias("injected"))
     return d.join(injector, "day", "left").select("well", "t", "oil", F.coalesce("injected", F.lit(0.0)).alias("injected"))
 
 

@@ -24,10 +24,7 @@ def kalman_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.filter_series(daily_rates(spark, sf), "oil", "kalman").select("well", "t", "filtered"), "filtered", digits=4)
 
 
-@query(
-    "kalman_smooth",
-    D
-    + """,
+_SMOOTHED = """,
 n AS (SELECT well, max(t) AS n FROM d GROUP BY well),
 f(well, t, x, p) AS (
   SELECT well, t, CAST(oil AS DOUBLE), CAST(1 - 1 / (1 + 1e-3) AS DOUBLE) FROM d WHERE t = 1
@@ -37,20 +34,28 @@ f(well, t, x, p) AS (
 b(well, t, x) AS (
   SELECT f.well, f.t, f.x FROM f JOIN n ON n.well = f.well AND n.n = f.t
   UNION ALL
-  SELECT f.well, f.t, f.x + f.p / (f.p + 1e-5) * (b.x - f.x) FROM b JOIN f ON f.well = b.well AND f.t = b.t - 1)
-SELECT well, t, round(x, 4) AS filtered FROM b""",
-)
+  SELECT f.well, f.t, f.x + f.p / (f.p + 1e-5) * (b.x - f.x) FROM b JOIN f ON f.well = b.well AND f.t = b.t - 1)"""
+
+
+@query("kalman_smooth", D + _SMOOTHED + " SELECT well, t, round(x, 4) AS filtered FROM b")
 def kalman_smooth(spark, sf):
     return rounded(S.filter_series(daily_rates(spark, sf), "oil", "kalman_smooth").select("well", "t", "filtered"), "filtered", digits=4)
 
 
-@query("filtered_vs_raw_metrics", D + _K + 
-    ", f AS (SELECT k.well, lead(z.oil) OVER (PARTITION BY k.well ORDER BY k.t) AS y, z.oil AS raw, k.x AS filtered "
-    "FROM k JOIN z USING (well, t)) SELECT well, round(avg(abs(y - raw)), 4) AS mae_raw, round(avg(abs(y - filtered)), "
-    "4) AS mae_filtered FROM f WHERE y IS NOT NULL GROUP BY well")
+@query("filtered_vs_raw_metrics", D + _K + _SMOOTHED + 
+    ", u(well, t, x) AS (SELECT well, t, oil FROM d WHERE t = 1 UNION ALL SELECT d.well, d.t, u.x + 0.2 * (d.oil - u.x) FROM u JOIN d ON d.well = u.well AND d.t = u.t + 1), "
+    "a AS (SELECT 'kalman' AS method, well, t, x FROM k UNION ALL SELECT 'kalman_smooth', well, t, x FROM b UNION ALL SELECT 'exponential', well, t, x FROM u), "
+    "y AS (SELECT well, t, oil AS raw, lead(oil) OVER (PARTITION BY well ORDER BY t) AS y FROM d) "
+    "SELECT method, well, round(avg(abs(y - raw)), 4) AS mae_raw, round(avg(abs(y - x)), 4) AS mae_filtered FROM a JOIN y USING (well, t) WHERE y IS NOT NULL GROUP BY method, well")
 def filtered_vs_raw_metrics(spark, sf):
-    f = S.filter_series(daily_rates(spark, sf), "oil", "kalman").withColumn("y", F.lead("oil").over(along())).filter("y is not null")
-    out = f.groupBy("well").agg(F.avg(F.abs(F.col("y") - F.col("oil"))).alias("mae_raw"), F.avg(F.abs(F.col("y") - F.col("filtered"))).alias("mae_filtered"))
+    """The last value as a forecast, raw and through each filter by its name."""
+    d = daily_rates(spark, sf).select("well", "t", "oil", F.lead("oil").over(along()).alias("y"))
+    out = None
+    for method in ("kalman", "kalman_smooth", "exponential"):
+        f = S.filter_columns(d, ["oil"], method).filter("y is not null")
+        error = lambda c: F.avg(F.abs(F.col("y") - F.col(c)))
+        one = f.groupBy(F.lit(method).alias("method"), "well").agg(error("oil_Original").alias("mae_raw"), error("oil").alias("mae_filtered"))
+        out = one if out is None else out.unionByName(one)
     return rounded(out, "mae_raw", "mae_filtered", digits=4)
 
 
@@ -116,11 +121,15 @@ def gaussian_smooth(spark, sf):
     return rounded(_steps(spark, sf).select("well", "window_id", "step", total.alias("y")), "y", digits=4)
 
 
-@query("augment_scale", D + _SEQ + 
-    " SELECT well, window_id, f AS block, round(x[7] / f, 6) AS x_last, round(y[30] / f, 6) AS y_last FROM q, (SELECT "
-    "unnest([1.0, 1.5, 3.0, 19.0]::DOUBLE[]) AS f)")
+# The amplitude factors of the scaled copies.
+SCALES = (1.5, 2.0, 3.0, 5.0, 7.0, 9.0, 11.0, 13.0, 15.0, 17.0, 19.0)
+_SCALES = f"(SELECT unnest({[1.0, *SCALES]!r}::DOUBLE[]) AS f)"
+
+
+@query("augment_scale", D + _SEQ + f" SELECT well, window_id, f AS block, round(x[7] / f, 6) AS x_last, round(y[30] / f, 6) AS y_last FROM q, {_SCALES}")
 def augment_scale(spark, sf):
-    w = _windows(spark, sf).withColumn("block", F.explode(F.array(*map(F.lit, (1.0, 1.5, 3.0, 19.0)))))
+    """The windows, and a copy of each for every factor."""
+    w = _windows(spark, sf).withColumn("block", F.explode(F.array(*map(F.lit, (1.0, *SCALES)))))
     return rounded(w.select("well", "window_id", "block", (F.get(F.element_at("x", -1), F.lit(0)) / F.col("block")).alias("x_last"), (F.element_at("y", -1) / F.col("block")).alias("y_last")), "x_last", "y_last")
 
 
@@ -128,31 +137,54 @@ def augment_scale(spark, sf):
     "augment_subsample",
     D
     + _SEQ
-    + f""", w AS (SELECT well, window_id, f AS block FROM q, (SELECT unnest([1.5, 3.0]::DOUBLE[]) AS f)),
+    + f""", w AS (SELECT well, window_id, f AS block FROM q, {_SCALES}),
 k AS (SELECT *, row_number() OVER (PARTITION BY well, block ORDER BY {draw_sql("7", "well", "window_id", "CAST(block * 2 AS INTEGER)")}, window_id) AS k,
-             count(*) OVER (PARTITION BY well, block) AS n FROM w)
-SELECT well, window_id, block FROM k WHERE k <= floor(n * 0.95)""",
+             count(*) OVER (PARTITION BY well, block) AS n FROM w),
+c AS (SELECT well, window_id, block FROM k WHERE block = 1 OR k <= floor(n * 0.95)),
+ends AS (SELECT well, block, CAST(sum(count(*)) OVER (PARTITION BY well ORDER BY block) AS BIGINT) AS block_end FROM c GROUP BY well, block)
+SELECT well, window_id, block, block_end FROM c JOIN ends USING (well, block)""",
 )
 def augment_subsample(spark, sf):
-    """95 % of each scaled block, chosen by a seeded hash, in order of time."""
-    w = _windows(spark, sf).select("well", "window_id", F.explode(F.array(*map(F.lit, (1.5, 3.0)))).alias("block"))
+    """The windows, and of each scaled copy 95 %, chosen by a seeded hash, in order of time; with
+    the end of each block among a well's rows."""
+    w = _windows(spark, sf).select("well", "window_id", F.explode(F.array(*map(F.lit, (1.0, *SCALES)))).alias("block"))
     p = Window.partitionBy("well", "block")
     order = draw(F.lit("7"), "well", F.col("window_id").cast("string"), (F.col("block") * 2).cast("int").cast("string"))
     w = w.withColumns({"k": F.row_number().over(p.orderBy(order, "window_id")), "n": F.count(F.lit(1)).over(p)})
-    return w.filter(F.col("k") <= F.floor(F.col("n") * 0.95)).select("well", "window_id", "block")
+    kept = w.filter((F.col("block") == 1) | (F.col("k") <= F.floor(F.col("n") * 0.95))).select("well", "window_id", "block")
+    ends = kept.groupBy("well", "block").agg(F.count(F.lit(1)).alias("_n"))
+    ends = ends.select("well", "block", F.sum("_n").over(Window.partitionBy("well").orderBy("block")).alias("block_end"))
+    return kept.join(ends, ["well", "block"]).select("well", "window_id", "block", "block_end")
 
 
 @query("augment_decline", D + 
-    " SELECT well, t, f, round(oil / f, 6) AS oil, round(downhole / f, 6) AS downhole, round(gas / f, 6) AS gas, choke "
-    "FROM d, (SELECT unnest([2.0, 4.0]::DOUBLE[]) AS f)")
+    f" SELECT well, t, f, round(oil / f, 6) AS oil, round(downhole / f, 6) AS downhole, round(gas / f, 6) AS gas, "
+    f"round(oil / downhole / f, 9) AS pi, choke FROM d, (SELECT unnest({list(SCALES)!r}::DOUBLE[]) AS f)")
 def augment_decline(spark, sf):
-    d = daily_rates(spark, sf).withColumn("f", F.explode(F.array(F.lit(2.0), F.lit(4.0))))
-    return rounded(d.select("well", "t", "f", *[(F.col(c) / F.col("f")).alias(c) for c in ("oil", "downhole", "gas")], "choke"), "oil", "downhole", "gas")
+    """Rate, pressure, gas and productivity of poorer regimes."""
+    d = daily_rates(spark, sf).withColumn("pi", F.col("oil") / F.col("downhole")).withColumn("f", F.explode(F.array(*map(F.lit, SCALES))))
+    d = d.select("well", "t", "f", *[(F.col(c) / F.col("f")).alias(c) for c in ("oil", "downhole", "gas", "pi")], "choke")
+    return rounded(rounded(d, "oil", "downhole", "gas"), "pi", digits=9)
+
+
+_WARPS = [X.late_decline(7, seed) for seed in range(5)]
 
 
-@query("augment_warp", D + _SEQ + " SELECT well, window_id, step, round(CASE WHEN step >= 12 THEN y * 0.8 ELSE y END, 6) AS y FROM e")
+@query("augment_warp", D + 
+    ", s AS (SELECT well, t - 7 AS window_id, list(oil) OVER a AS x, list(downhole - coalesce(whp, 0)) OVER a AS p, list(oil) OVER b AS y FROM d "
+    "WINDOW a AS (PARTITION BY well ORDER BY t ROWS 6 PRECEDING), b AS (PARTITION BY well ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)), "
+    "q AS (SELECT * FROM s WHERE len(x) = 7 AND len(y) = 30), w AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {c}, {a!r}::DOUBLE)" for i, (c, a) in enumerate(_WARPS)) + ") v(copy, cut, alpha)) "
+    "SELECT well, window_id, copy, round(x[7] * alpha, 6) AS x_last, round(CASE WHEN cut > 3 THEN x[4] ELSE x[4] * alpha END, 6) AS x_middle, "
+    "round(p[7] * alpha, 6) AS drop_last, round(list_sum(y[1:cut]) + alpha * list_sum(y[cut + 1:30]), 4) AS y_total FROM q, w")
 def augment_warp(spark, sf):
-    return rounded(_steps(spark, sf).select("well", "window_id", "step", F.when(F.col("step") >= 12, F.col("y") * 0.8).otherwise(F.col("y")).alias("y")), "y")
+    """Copies whose rates, pressure drops and labels decline from a drawn place on."""
+    d = daily_rates(spark, sf).withColumn("drop", F.col("downhole") - F.coalesce("whp", F.lit(0.0)))
+    w = X.seq_windows(d, ["oil", "drop"], "oil", 7, 30)
+    copies = F.explode(F.array(*[F.struct(F.lit(i).alias("copy"), F.lit(c).alias("cut"), F.lit(a).alias("alpha")) for i, (c, a) in enumerate(_WARPS)]))
+    w = w.withColumn("_w", copies).select("well", "window_id", "_w.copy", *[X.warped(c, F.col("_w.cut"), F.col("_w.alpha"), k).alias(n) for n, c, k in (("x", "x", 2), ("y", "y", 0))])
+    at = lambda i, k: F.get(F.get("x", F.lit(i)), F.lit(k))
+    out = w.select("well", "window_id", "copy", at(6, 0).alias("x_last"), at(3, 0).alias("x_middle"), at(6, 1).alias("drop_last"), F.aggregate("y", F.lit(0.0), lambda a, v: a + v).alias("y_total"))
+    return rounded(rounded(out, "x_last", "x_middle", "drop_last"), "y_total", digits=4)
 
 
 @query("augment_jitter")

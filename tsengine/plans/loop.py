@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clean
+from ..operators import experiments as E
 from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import models as ML
@@ -16,6 +19,7 @@ from ..sources import files
 from ..streaming import jobs
 from .daily import MANY_RATES, daily_rates, many_rates, read, runs
 from .registry import D, R, mean, mean_sql, query, rounded
+from .results import SEGMENTS
 from .shaping import _SEQ, _steps, _windows, z_score
 
 
@@ -108,22 +112,69 @@ l_{c} AS (SELECT well, window_id, max(CASE WHEN k = 1 THEN base END) AS b1, max(
           sum(power(0.8, k - 1) * (v - base)) / sum(power(0.8, k - 1) * power(0.8, k - 1)) AS s0 FROM b_{c} GROUP BY 1, 2)"""
 
 
+def _wavelet_sql(source: str, column: str, n: int) -> str:
+    """Tables that end in z_<c>: three Haar steps of windows of n values, details softened by half the
+    window's deviation, and back. Odd lengths repeat their last value."""
+    c, sizes = column, [n]
+    sql = f", t_{c} AS (SELECT well, window_id, {c} AS a0, 0.5 * list_stddev_pop({c}) AS th FROM {source})"
+    last = f"t_{c}"
+    for i in range(3):
+        half = (sizes[-1] + 1) // 2
+        even = f"list_append(a{i}, a{i}[-1])" if sizes[-1] % 2 else f"a{i}"
+        pair = lambda sign: f"[(v[2*i-1] {sign} v[2*i]) / sqrt(2.0) for i in range(1, {half + 1})]"  # noqa: B023, E731
+        soft = f"[sign(w) * greatest(abs(w) - th, 0) for w in {pair('-')}]"
+        sql += f", u_{c}{i} AS (SELECT *, {even} AS v FROM {last}), h_{c}{i} AS (SELECT * EXCLUDE v, {pair('+')} AS a{i + 1}, {soft} AS d{i} FROM u_{c}{i})"
+        last, sizes = f"h_{c}{i}", [*sizes, half]
+    out = "a3"
+    for i in reversed(range(3)):
+        sql += f", r_{c}{i} AS (SELECT *, flatten([[({out}[i] + d{i}[i]) / sqrt(2.0), ({out}[i] - d{i}[i]) / sqrt(2.0)] for i in range(1, {sizes[i + 1] + 1})])[1:{sizes[i]}] AS y{i} FROM {last})"
+        last, out = f"r_{c}{i}", f"y{i}"
+    return sql + f", z_{c} AS (SELECT well, window_id, y0 AS z FROM {last})"
+
+
+def _smoother_sql(column: str, n: int) -> str:
+    """The local-level smoother of windows as a recursion forward and one back: table s_<c>."""
+    c, gain = column, "((f.p + 1e-5) / (f.p + 1e-5 + 1e-3))"
+    return f""", f_{c}(well, window_id, k, x, p) AS (
+  SELECT well, window_id, 1, CAST({c}[1] AS DOUBLE), CAST(1 - 1 / (1 + 1e-3) AS DOUBLE) FROM q
+  UNION ALL
+  SELECT f.well, f.window_id, f.k + 1, f.x + {gain} * (q.{c}[f.k + 1] - f.x), (1 - {gain}) * (f.p + 1e-5)
+  FROM f_{c} f JOIN q ON q.well = f.well AND q.window_id = f.window_id WHERE f.k < {n}),
+s_{c}(well, window_id, k, x) AS (
+  SELECT well, window_id, k, x FROM f_{c} WHERE k = {n}
+  UNION ALL
+  SELECT f.well, f.window_id, f.k, f.x + f.p / (f.p + 1e-5) * (s.x - f.x) FROM s_{c} s JOIN f_{c} f ON f.well = s.well AND f.window_id = s.window_id AND f.k = s.k - 1)"""
+
+
 @query(
     "filter_windows",
     D
     + _SEQ
     + _smooth_sql("x", 7)
     + _smooth_sql("y", 30)
+    + _wavelet_sql("q", "x", 7)
+    + _wavelet_sql("q", "y", 30)
+    + _smoother_sql("x", 7)
+    + _smoother_sql("y", 30)
     + """
-SELECT well, window_id, round(a.b1 + a.s0, 4) AS x_first, round(a.bn + a.s0 * power(0.8, 6), 4) AS x_last,
+SELECT 'exponential_smoothing' AS method, well, window_id, round(a.b1 + a.s0, 4) AS x_first, round(a.bn + a.s0 * power(0.8, 6), 4) AS x_last,
        round(b.b1 + b.s0, 4) AS y_first, round(b.bn + b.s0 * power(0.8, 29), 4) AS y_last
-FROM l_x a JOIN l_y b USING (well, window_id)""",
+FROM l_x a JOIN l_y b USING (well, window_id)
+UNION ALL SELECT 'wavelet', well, window_id, round(a.z[1], 4), round(a.z[7], 4), round(b.z[1], 4), round(b.z[30], 4) FROM z_x a JOIN z_y b USING (well, window_id)
+UNION ALL SELECT 'kalman', a.well, a.window_id, round(max(a.x) FILTER (WHERE a.k = 1), 4), round(max(a.x) FILTER (WHERE a.k = 7), 4),
+                 round(max(b.x) FILTER (WHERE b.k = 1), 4), round(max(b.x) FILTER (WHERE b.k = 30), 4)
+          FROM s_x a JOIN s_y b ON a.well = b.well AND a.window_id = b.window_id AND (a.k IN (1, 7) AND b.k IN (1, 30)) GROUP BY 2, 3""",
 )
 def filter_windows(spark, sf):
+    """Windows' target column and label through each filter by its name."""
     w = _windows(spark, sf).select("well", "window_id", F.transform("x", lambda r: F.get(r, F.lit(0))).alias("x"), "y")
-    w = S.filter_windows(w, "x", "y")
-    ends = [e.alias(f"{c}_{n}") for c in ("x", "y") for n, e in (("first", F.get(f"{c}_filtered", F.lit(0))), ("last", F.element_at(f"{c}_filtered", -1)))]
-    return rounded(w.select("well", "window_id", *ends), "x_first", "x_last", "y_first", "y_last", digits=4)
+    out = None
+    for method in S.WINDOW_FILTERS:
+        f = S.filter_windows(w, {"x": 7, "y": 30}, method)
+        ends = [e.alias(f"{c}_{n}") for c in ("x", "y") for n, e in (("first", F.get(f"{c}_filtered", F.lit(0))), ("last", F.element_at(f"{c}_filtered", -1)))]
+        one = f.select(F.lit(method).alias("method"), "well", "window_id", *ends)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, "x_first", "x_last", "y_first", "y_last", digits=4)
 
 
 @query(
@@ -278,14 +329,15 @@ def _simpson(a: str, b: str) -> str:
 g AS (SELECT architecture_id AS g, avg(smape) AS m, var_samp(smape) / count(smape) AS e, count(smape) AS n FROM r GROUP BY 1),
 s AS (SELECT a.g AS a, b.g AS b, a.m AS m0, b.m AS m1, (a.m - b.m) / sqrt(a.e + b.e) AS t,
              power(a.e + b.e, 2) / (power(a.e, 2) / (a.n - 1) + power(b.e, 2) / (b.n - 1)) AS dof
-      FROM g a JOIN g b ON (a.g, b.g) IN (('BUILDING', 'MACHINERY'), ('AUTOMOBILE', 'FURNITURE'), ('AUTOMOBILE', 'HOUSEHOLD'))),
+      FROM g a JOIN g b ON a.g < b.g),
 e AS (SELECT *, least(pi() / 2, 40 / sqrt(dof)) AS far FROM s),
 p AS (SELECT *, ({_simpson("least(atan(abs(t) / sqrt(dof)), far)", "far")}) / ({_simpson("0.0", "far")}) AS p FROM e)
 SELECT a, b, round(t, 6) AS t, round(dof, 4) AS dof, round(p, 6) AS p,
        CASE WHEN p < 0.05 THEN 'significant difference, lower in ' || CASE WHEN m0 < m1 THEN a ELSE b END ELSE 'no significant difference' END AS conclusion FROM p""",
 )
 def welch_conclusions(spark, sf):
-    pairs = [("BUILDING", "MACHINERY"), ("AUTOMOBILE", "FURNITURE"), ("AUTOMOBILE", "HOUSEHOLD")]
+    """Every pair of architectures."""
+    pairs = list(combinations(SEGMENTS, 2))
     return rounded(rounded(M.welch_conclusions(runs(spark, sf), "architecture_id", pairs, "smape"), "t", "p"), "dof", digits=4)
 
 
@@ -340,8 +392,8 @@ def many_wells_kalman(spark, sf):
 def gbt_search(spark, sf):
     """Random points of a grid, each cross-validated over the last rows of all wells."""
     w = X.chrono_split(X.ratio_normalize(X.window_rows(daily_rates(spark, sf), "oil", [], 7, 56)), 0.2)
-    grid = {"maxIter": [5, 10], "stepSize": [0.1, 0.3], "maxDepth": [2, 3, 4], "minInstancesPerNode": [1, 5], "subsamplingRate": [0.7, 1.0]}
-    return ML.gbt_search(w, grid, n_iter=4)
+    grid = {"maxIter": [2, 3, 5], "stepSize": [0.05, 0.1, 0.3], "maxDepth": [2, 3, 4], "minInstancesPerNode": [1, 3, 5], "subsamplingRate": [0.8, 0.9, 1.0]}
+    return ML.gbt_search(w, grid, n_iter=30)
 
 
 @query("stream_refit")
@@ -381,22 +433,65 @@ def stream_lag_rows(spark, sf):
     return out.select("event_type", "k", F.get("lags", F.lit(0)).alias("newest"), F.get("lags", F.lit(6)).alias("oldest"))
 
 
+#: Each well with each of these; the last three of a well fail, as a job may.
+_JOBS = [("last", 7, 56, 150), ("mean", 7, 56, 150), ("mean", 14, 28, 150), ("linear", 7, 56, 150), ("linear", 7, 28, 150), ("nothing", 7, 56, 150), ("mean", 0, 56, 150), ("last", 7, 56, 100_000)]
+_JOBS_SQL = "SELECT well || '/' || i AS job_id, well, model, win, hor, len FROM (SELECT DISTINCT well FROM d), (VALUES " + ", ".join(f"({i}, '{m}', {w}, {h}, {n})" for i, (m, w, h, n) in enumerate(_JOBS)) + ") v(i, model, win, hor, len)"
+
+
+def _job_table(spark, sf) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("model"), F.lit(w).alias("window"), F.lit(h).alias("horizon"), F.lit(n).alias("length")) for i, (m, w, h, n) in enumerate(_JOBS)])
+    wells = daily_rates(spark, sf).select("well").distinct()
+    return wells.select("well", F.inline(each)).withColumn("job_id", F.concat_ws("/", "well", "i")).drop("i")
+
+
 @query("run_experiments")
 def run_experiments(spark, sf):
-    """Jobs (model, window, horizon) of all wells as one plan: forecast each fold, score the
-    earlier half as validation and the later as test, merge."""
-    d, w = daily_rates(spark, sf), along()
-    forecasts = None
-    for window, horizon in ((7, 56), (7, 28), (14, 28)):
-        mean = F.avg("oil").over(w.rowsBetween(1 - window, 0))
-        plain = d.select("well", "t", "oil", F.lead("oil", horizon).over(w).alias("truth"), mean.alias("_m")).filter(F.col("truth").isNotNull() & (F.col("t") >= window))
-        plain = plain.select("well", "t", "truth", F.inline(F.array(F.struct(F.lit("last").alias("model"), F.col("oil").alias("pred")), F.struct(F.lit("mean").alias("model"), F.col("_m").alias("pred")))))
-        fitted = ML.walk_forward(d, 150, window, horizon).withColumn("model", F.lit("linear"))
-        part = plain.unionByName(fitted).withColumns({"window": F.lit(window), "horizon": F.lit(horizon)})
-        forecasts = part if forecasts is None else forecasts.unionByName(part)
-    job = ["well", "model", "window", "horizon"]
-    middle = F.percent_rank().over(Window.partitionBy(*job).orderBy("t"))
-    scored = M.scores(forecasts.withColumn("half", F.when(middle <= 0.5, "val").otherwise("test")), [*job, "half"]).select(*job, "half", "r2", "smape", "mae")
-    halves = [scored.filter(F.col("half") == h).drop("half") for h in ("val", "test")]
-    return M.merge_val_test(*halves, ["r2", "smape", "mae"])
+    """A table of jobs, run, collated and merged; failing jobs are left out, the others complete."""
+    return E.collate(*E.run_jobs(_job_table(spark, sf), daily_rates(spark, sf).select("well", "t", "oil")))
+
+
+_JOB_ROWS = """, j AS (%s WHERE model IN ('last', 'mean') AND win > 0),
+z AS (SELECT j.*, d.t, d.oil, count(*) OVER (PARTITION BY job_id) AS n FROM j JOIN d USING (well)),
+p AS (SELECT z.*, CASE WHEN model = 'last' THEN b.oil ELSE (SELECT avg(c.oil) FROM d c WHERE c.well = z.well AND c.t BETWEEN z.t - hor - win + 1 AND z.t - hor) END AS p
+      FROM z JOIN d b ON b.well = z.well AND b.t = z.t - hor WHERE n >= len + 2 * hor AND z.t >= len + hor),
+h AS (SELECT *, CASE WHEN row_number() OVER w <= floor(count(*) OVER (PARTITION BY job_id) / 2) THEN 'val' ELSE 'test' END AS half FROM p WINDOW w AS (PARTITION BY job_id ORDER BY t)),
+k AS (SELECT job_id, half, 'aggregated' AS kind, oil AS y, p FROM h UNION ALL
+      SELECT job_id, half, 'cumulative', sum(oil) OVER w, sum(p) OVER w FROM h WINDOW w AS (PARTITION BY job_id, half ORDER BY t ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT job_id, kind, half, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)) AS r2, 100 * avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE 2 * abs(y - p) / (abs(y) + abs(p)) END) AS smape, avg(abs(y - p)) AS mae FROM k GROUP BY ALL)
+SELECT job_id, kind, """ % _JOBS_SQL + ", ".join(f"round(max({m}) FILTER (WHERE half = '{h}'), 5) AS {m}_{h}" for m in ("r2", "smape", "mae") for h in ("val", "test")) + " FROM s GROUP BY job_id, kind"
 
+
+@query("job_metrics", D + _JOB_ROWS)
+def job_metrics(spark, sf):
+    """The metrics of the jobs whose models SQL can express."""
+    jobs_ = _job_table(spark, sf).filter("model <> 'linear'")
+    out = E.collate(*E.run_jobs(jobs_, daily_rates(spark, sf).select("well", "t", "oil")))
+    metrics = [f"{m}_{h}" for m in ("r2", "smape", "mae") for h in ("val", "test")]
+    return rounded(out.select("job_id", "kind", *metrics), *metrics, digits=5)
+
+
+@query(
+    "collate_status",
+    D
+    + f""", j AS ({_JOBS_SQL}), n AS (SELECT well, count(*) AS n FROM d GROUP BY well),
+s AS (SELECT j.*, CASE WHEN model = 'nothing' THEN 'ValueError: unknown model nothing' WHEN win < 1 THEN 'ValueError: window is not positive'
+                       WHEN n < len + 2 * hor THEN 'ValueError: ' || n || ' rows are fewer than length + 2 * horizon' END AS error FROM j JOIN n USING (well))
+SELECT model, CASE WHEN error IS NULL THEN 'success' ELSE 'failure' END AS status, count(*) AS n, min(error) AS error FROM s GROUP BY ALL""",
+)
+def collate_status(spark, sf):
+    """How many jobs of each model succeed and fail, with a message."""
+    status, _ = E.run_jobs(_job_table(spark, sf), daily_rates(spark, sf).select("well", "t", "oil"))
+    return status.groupBy("model", "status").agg(F.count(F.lit(1)).alias("n"), F.min("error").alias("error"))
+
+
+@query(
+    "job_queue",
+    """SELECT row_number() OVER (ORDER BY d, w, e) AS exp_id, d.dataset, w.well, e.method
+FROM (SELECT unnest(['field', 'simulated']) AS dataset, unnest([1, 2]) AS d) d, (SELECT n_name AS well, row_number() OVER (ORDER BY n_name) AS w FROM nation) w,
+     (SELECT unnest([NULL, 'exponential_smoothing', 'wavelet', 'kalman']) AS method, unnest([1, 2, 3, 4]) AS e) e""",
+)
+def job_queue(spark, sf):
+    """The simple queue: datasets, then wells, then filter configurations, with a running number."""
+    wells = [r.n_name for r in read(spark, sf, "nation").select("n_name").orderBy("n_name").collect()]  # the names of a dimension
+    methods = [c["filter_method"] for c in E.filter_configurations(None) + E.filter_configurations(["exponential_smoothing", "wavelet", "kalman"])]
+    return E.job_queue(spark, ("dataset", ["field", "simulated"]), ("well", wells), ("method", methods))

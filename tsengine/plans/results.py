@@ -21,16 +21,18 @@ def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.leaderboard(jobs.join(r.select("job_id", "smape"), "job_id"), KEYS), "mean_smape").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("label_lookup", R + _BOARD + " SELECT architecture_id, CASE architecture_id WHEN 'BUILDING' THEN 'Conv' WHEN 'MACHINERY' THEN 'BiLSTM' END AS label, rank FROM k")
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+#: A label for each architecture.
+LABELS = dict(zip(SEGMENTS, ("GRU", "Conv", "Transformer", "Dense", "BiLSTM")))
+
+
+@query("label_lookup", R + _BOARD + " SELECT architecture_id, CASE architecture_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items()) + " END AS label, rank FROM k")
 def label_lookup(spark, sf):
-    names = spark.createDataFrame([("BUILDING", "Conv"), ("MACHINERY", "BiLSTM")], "architecture_id string, label string")
+    names = spark.createDataFrame(list(LABELS.items()), "architecture_id string, label string")
     board = M.leaderboard(runs(spark, sf), KEYS)
     return board.join(F.broadcast(names), "architecture_id", "left").select("architecture_id", "label", F.col("rank").cast("long").alias("rank"))
 
 
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-
-
 @query(
     "leaderboard_pivot",
     R + " SELECT hyperparam_id, " + ", ".join(f"round({mean_sql('smape', f"architecture_id = '{a}'")}, 9) AS \"{a}\"" for a in SEGMENTS) + " FROM r GROUP BY 1",
@@ -157,11 +159,6 @@ def union_metrics(spark, sf):
     return a.unionByName(b, allowMissingColumns=True).na.fill({"mae": 0.0, "kind": "global"})
 
 
-@query("collate_status", R + " SELECT architecture_id, count(*) FILTER (WHERE n % 5 <> 0) AS ok, count(*) FILTER (WHERE n % 5 = 0) AS failed FROM r GROUP BY 1")
-def collate_status(spark, sf):
-    return runs(spark, sf).groupBy("architecture_id").agg(F.count_if(F.col("n") % 5 != 0).alias("ok"), F.count_if(F.col("n") % 5 == 0).alias("failed"))
-
-
 @query("top_correlations", D + 
     " SELECT feature, round(r, 6) AS r FROM (SELECT 'gas' AS feature, corr(oil, gas) AS r FROM d UNION ALL SELECT 'water', "
     "corr(oil, water) FROM d UNION ALL SELECT 'downhole', corr(oil, downhole) FROM d UNION ALL SELECT 'choke', corr(oil, "

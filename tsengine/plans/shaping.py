@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import DECLINES, decline
 from ..operators import features as X
+from ..operators import models as ML
 from ..operators.blocks import cumulative as cumulate
 from ..operators.clean import along
 from ..operators.metrics import scores
@@ -282,6 +283,24 @@ def blend_forecast(spark, sf):
     return rounded(_last_rows(spark, sf).select("well", "tau", (alpha * q + (1 - alpha) * F.col("pwf")).alias("q")), "q", digits=4)
 
 
+_BLEND = ", b AS (SELECT well, t, oil, avg(oil) OVER (PARTITION BY well ORDER BY t ROWS 6 PRECEDING) AS m FROM d), g AS (SELECT b.well, b.t, step, c.oil AS y, b.oil * exp(-0.01 * step) AS q, b.m AS r FROM b, (SELECT unnest(range(1, 57)) AS step) s JOIN d c ON c.well = b.well AND c.t = b.t + s.step WHERE b.t >= 7)"
+
+
+@query("fitted_blend", D + _BLEND + 
+    ", a AS (SELECT step, least(greatest(sum((q - r) * (y - r)) / sum((q - r) * (q - r)), 0.2), 1.0) AS alpha FROM g GROUP BY step) "
+    "SELECT step, round(any_value(alpha), 6) AS alpha, round(avg(abs(y - alpha * q - (1 - alpha) * r)), 5) AS mae, count(*) AS n FROM g JOIN a USING (step) GROUP BY step")
+def fitted_blend(spark, sf, horizon: int = 56):
+    """A decline curve blended with the mean of the last rows, by a fitted weight for each step."""
+    w = along()
+    ahead = F.array(*[F.struct(F.lit(s).cast("long").alias("step"), F.lead("oil", s).over(w).alias("y")) for s in range(1, horizon + 1)])
+    g = daily_rates(spark, sf).select("well", "t", F.col("oil").alias("o"), F.avg("oil").over(w.rowsBetween(-6, 0)).alias("r"), ahead.alias("e")).filter("t >= 7")
+    g = g.select("o", "r", F.inline("e")).filter("y is not null").withColumn("q", F.col("o") * F.exp(-0.01 * F.col("step")))
+    weights = ML.blend_weights(g, ["step"], "q", "r", "y")
+    p = F.col("alpha") * F.col("q") + (1 - F.col("alpha")) * F.col("r")
+    out = g.join(F.broadcast(weights), "step").groupBy("step").agg(F.first("alpha").alias("alpha"), F.avg(F.abs(F.col("y") - p)).alias("mae"), F.count(F.lit(1)).alias("n"))  # a row for each step
+    return rounded(rounded(out, "alpha"), "mae", digits=5)
+
+
 # Ensembles: member m forecasts the value of 56 + m steps ago.
 _F = ", f AS (SELECT well, t, m, oil AS y, lag(oil, CAST(56 + m AS INTEGER)) OVER (PARTITION BY well, m ORDER BY t) AS p FROM d, (SELECT unnest(range(0, 5)) AS m)), f1 AS (SELECT * FROM f WHERE t > 60)"
 
@@ -344,15 +363,21 @@ def cumulative_envelope(spark, sf):
     return rounded(_mu_sigma(spark, sf).select("well", "t", *[(F.sum(c).over(w) + shift).alias(k) for k, c in curve.items()]), "lo", "mid", "hi", digits=2)
 
 
+_BAND = {"P10": (0.1, 0.1), "P50": (0.5, 0.5), "P90": (0.9, 0.9), "BAND": (0.1, 0.9)}
+_BAND_SQL = ", ".join(f"('{k}', {z_score(a)!r}, {z_score(b)!r})" for k, (a, b) in _BAND.items())
+
+
 @query("scenario_select", D + _F + _MS + 
-    f" SELECT well, t, kind, round(CASE WHEN t % 4 = 0 OR kind = 'P50' THEN mu WHEN kind = 'P10' THEN mu + {z_score(0.1)!r} "
-    f"* sigma ELSE mu + {z_score(0.9)!r} * sigma END, 4) AS value FROM ms, (SELECT unnest(['P10', 'P50', 'P90']) AS "
-    f"kind)")
+    f" SELECT well, t, CASE WHEN t % 4 = 0 THEN 'P50' ELSE kind END AS shown, kind, round(CASE WHEN t % 4 = 0 THEN mu ELSE mu + zlo * sigma END, 4) AS lo, "
+    f"round(CASE WHEN t % 4 = 0 THEN mu ELSE mu + zhi * sigma END, 4) AS hi FROM ms, (VALUES {_BAND_SQL}) k(kind, zlo, zhi)")
 def scenario_select(spark, sf):
-    """P10, P50 or P90; where sigma is missing all are P50."""
-    m = _mu_sigma(spark, sf).withColumn("sigma", F.when(F.col("t") % 4 != 0, F.col("sigma"))).withColumn("kind", F.explode(F.array(*map(F.lit, ("P10", "P50", "P90")))))
-    z = F.when(F.col("kind") == "P10", z_score(0.1)).when(F.col("kind") == "P90", z_score(0.9)).otherwise(0.0)
-    return rounded(m.select("well", "t", "kind", F.coalesce(F.col("mu") + z * F.col("sigma"), "mu").alias("value")), "value", digits=4)
+    """P10, P50, P90 or the band between two shares; where sigma is missing all are P50."""
+    m = _mu_sigma(spark, sf).withColumn("sigma", F.when(F.col("t") % 4 != 0, F.col("sigma")))
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(z_score(a)).alias("zlo"), F.lit(z_score(b)).alias("zhi")) for k, (a, b) in _BAND.items()]))
+    m = m.select("well", "t", "mu", "sigma", kinds)
+    edge = lambda z: F.coalesce(F.col("mu") + F.col(z) * F.col("sigma"), F.col("mu"))
+    shown = F.when(F.col("sigma").isNull(), "P50").otherwise(F.col("kind"))
+    return rounded(m.select("well", "t", shown.alias("shown"), "kind", edge("zlo").alias("lo"), edge("zhi").alias("hi")), "lo", "hi", digits=4)
 
 
 @query("mc_sample")
@@ -376,12 +401,14 @@ def metrics_by_well(spark, sf):
 
 
 @query("select_best_members", D + _F + 
-    ", l AS (SELECT well, m, avg(abs(y - p)) AS loss FROM f1 GROUP BY well, m), k AS (SELECT *, row_number() OVER (PARTITION "
-    "BY well ORDER BY loss, m) AS place FROM l) SELECT well, m, round(loss, 6) AS loss, place FROM k WHERE place <= "
-    "2")
-def select_best_members(spark, sf):
-    loss = members(spark, sf).groupBy("well", "m").agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("loss"))
-    k = loss.withColumn("place", F.row_number().over(Window.partitionBy("well").orderBy("loss", "m")).cast("long")).filter("place <= 2")
+    ", l AS (SELECT well, t // 250 AS cycle, m, avg(abs(y - p)) AS loss FROM f1 GROUP BY ALL), c AS (SELECT * FROM l QUALIFY row_number() OVER "
+    "(PARTITION BY well, cycle ORDER BY loss, m) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY loss, cycle) AS place FROM c) "
+    "SELECT well, cycle, m, round(loss, 6) AS loss, place FROM k WHERE place <= 3")
+def select_best_members(spark, sf, cycle: int = 250, best: int = 3):
+    """The best member of each cycle, and of these the best few of each well."""
+    loss = members(spark, sf).groupBy("well", F.floor(F.col("t") / cycle).alias("cycle"), "m").agg(F.avg(F.abs(F.col("y") - F.col("p"))).alias("loss"))
+    first = loss.withColumn("_k", F.row_number().over(Window.partitionBy("well", "cycle").orderBy("loss", "m"))).filter("_k = 1").drop("_k")
+    k = first.withColumn("place", F.row_number().over(Window.partitionBy("well").orderBy("loss", "cycle")).cast("long")).filter(F.col("place") <= best)
     return rounded(k, "loss")
 
 
