@@ -260,6 +260,17 @@ def test_pii_takes_a_second_step(spark):
     assert all(got[i] == [(3, 18, 26)] for i in range(60, 80)) and all(got[i] == [(3, 15, 23)] for i in range(80, 101)) and got[101] == []
 
 
+def test_pii_goes_on_until_nothing_is_new(spark):
+    """Contexts that are four steps from the only one with seeds."""
+    said = ["Please call us at", "or reach me on", "else ask him by", "and find them under", "his own line is"]
+    rows = [f"{said[0]} +1 (555) 010-{1000 + i} today" for i in range(200)]
+    for step in range(4):  # what two contexts share
+        rows += [f"{said[k]} 555-{step}{100 + i} now" for i in range(40) for k in (step, step + 1)]
+    rows += [f"{said[4]} 555-7777 now", "unlike page no 555-7777 then"]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(len(got[i]) == 1 for i in range(200, len(rows) - 1)) and got[len(rows) - 1] == []
+
+
 def test_pii_joins_what_it_does_not_broadcast(spark, monkeypatch):
     rows = [(i, f"{'Please call us at' if i % 2 else 'you may reach me on'} +1 (555) 010-{1000 + i} today") for i in range(60)]
     rows += [(99, "or call us at 555-0199, or reach me on 555-0198"), (99, "or call us at 555-0199, or reach me on 555-0198"), (None, "reach me on 555-0197"), (100, None), (101, "the 555-0199 thing")]

@@ -22,7 +22,9 @@ CONTEXT, LONG_WORD = 2, 40
 MIN_CONFIDENCE, MIN_INSTANCES = 0.8, 5
 #: Instances that count as unknown in a pattern's confidence.
 DOUBT = 1.0
-ROUNDS = 3
+#: Bootstrapping ends when no confidence grows by more than SETTLED in a round; that it doesn't in
+#: ROUNDS rounds is an error.
+SETTLED, ROUNDS = 1e-3, 100
 #: Trusted patterns up to which they are broadcast (some 60 bytes each); more are joined.
 MAX_PATTERNS = 20_000
 
@@ -180,19 +182,27 @@ def trusted_patterns(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     A seed's belief in its kind is 1. In each round a pattern's confidence in a kind is the
     summed belief of its instances over their number plus DOUBT, and an unseen instance's
     belief is that of its best pattern. Patterns without seeds are scored as well, as soon as
-    one of their instances is believed. Edges and scores stay in Spark tables."""
+    one of their instances is believed. Confidences only grow, and rounds go on until they have
+    settled, however far from a seed a pattern is. Edges and scores stay in Spark tables."""
     edges = table(context_edges(docs), "pii-edges")
     degree = edges.groupBy("pattern").agg(F.countDistinct("instance").alias("n")).filter(f"n >= {MIN_INSTANCES}")
     edges = table(edges.join(degree, "pattern"), "pii-graph")
     belief = edges.filter("kind is not null").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
     seeds = belief
-    scored = None
+    scored, steps = None, edges.select("pattern", "instance", "n").distinct()
     for _ in range(rounds):
-        joined = edges.select("pattern", "instance", "n").distinct().join(belief, "instance")
+        before, joined = scored, steps.join(belief, "instance")
         scored = table(joined.groupBy("pattern", "kind", "n").agg((F.sum("belief") / (F.col("n") + DOUBT)).alias("confidence")), "pii-patterns")
+        if before is not None:
+            old = before.select("pattern", "kind", F.col("confidence").alias("old"))
+            grown = F.max(F.col("confidence") - F.coalesce("old", F.lit(0.0)))
+            if (scored.join(old, ["pattern", "kind"], "left").agg(grown).first()[0] or 0.0) <= SETTLED:
+                break
         fresh = edges.filter("kind is null").select("pattern", "instance").distinct().join(scored.filter(F.col("confidence") >= MIN_CONFIDENCE / 2), "pattern")
         fresh = fresh.groupBy("instance", "kind").agg(F.max("confidence").alias("belief"))
         belief = table(seeds.unionByName(fresh).groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "pii-belief")
+    else:
+        raise RuntimeError("patterns did not settle")
     return scored.filter(F.col("confidence") >= MIN_CONFIDENCE).groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"), F.max("confidence").alias("confidence"))
 
 
