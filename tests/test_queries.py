@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tsengine.functions.units import decline
-from tsengine.operators import clean, features
+from tsengine.operators import clean, features, metrics
 from tsengine.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +66,29 @@ def test_fold_of_205(spark):
     assert len(anchors) == 144 and max(anchors) + 56 <= 206
 
 
+def test_published_leaderboard(spark):
+    """Published mean SMAPEs in order of rank (architecture, parameters, mean)."""
+    board = """
+    Model2_2xConv hp_medium_balanced 0.6764, Model2_2xConv hp_stable_regularized 0.6833, Model2_2xConv hp_small_fast 0.6905,
+    Model2_2xConv hp_large_robust 0.6951, Model2_2xConv hp_wide_and_shallow 0.7031, Model4_Transformer_BiLSTM hp_medium_balanced 0.7144,
+    Model4_Transformer_BiLSTM hp_large_robust 0.7317, Model4_Transformer_BiLSTM hp_wide_and_shallow 0.7535, Model4_Transformer_BiLSTM hp_small_fast 0.7567,
+    Model5_Transformer_2xConv hp_small_fast 0.7619, Model5_Transformer_2xConv hp_medium_balanced 0.7648, Model5_Transformer_2xConv hp_large_robust 0.7669"""
+    rows = [x.split() for x in board.replace("\n", " ").split(",")]
+    # Two wells each, whose mean is the published one, in another order.
+    runs = [(a, h, float(m) + d) for a, h, m in reversed(rows) for d in (0.1, -0.1)]
+    got = metrics.leaderboard(spark.createDataFrame(runs, "architecture_id string, hyperparam_id string, smape double"), ["architecture_id", "hyperparam_id"]).orderBy("rank").collect()
+    assert [(r.architecture_id, r.hyperparam_id, round(r.mean_smape, 4), r["rank"]) for r in got] == [(a, h, float(m), i + 1) for i, (a, h, m) in enumerate(rows)]
+
+
+def test_published_means(spark):
+    """Published MAE and SMAPE of each well with filtered data, and their means."""
+    mae = [17726.9053, 16386.5034, 12812.5637, 2119.3548, 5023.2735, 4222.1757, 4302.1665, 6788.1031, 4534.5577, 3909.5242, 3792.7705, 3284.52, 3058.8728, 4804.3128, 123718.0812, 24928.7346, 52207.5184]
+    smape = [2.8679, 0.7292, 0.7035, 2.1713, 0.2776, 0.1225, 0.2053, 0.3791, 0.171, 0.1162, 0.1532, 0.1531, 0.1727, 0.2181, 0.2256, 2.5666, 0.9659]
+    df = spark.createDataFrame(list(zip(mae, smape)), "mae double, smape double").repartition(4)
+    got = df.agg(metrics.exact_mean("mae").alias("mae"), metrics.exact_mean("smape").alias("smape")).first()
+    assert round(got.mae, 6) == 17271.761071 and round(got.smape, 6) == 0.717576
+
+
 def test_unknown_names_are_errors():
     with pytest.raises(ValueError):
         decline("nothing", None, None, None, None)

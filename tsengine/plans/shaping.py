@@ -135,6 +135,24 @@ def stitch_forecasts(spark, sf):
 _SCORE = "round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 6) AS r2, round(100 * avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE 2 * abs(y - p) / (abs(y) + abs(p)) END), 6) AS smape, round(avg(abs(y - p)), 6) AS mae"
 
 
+@query("stitched_eval", D + _SEQ + 
+    ", m AS (SELECT well, window_id, CAST(k AS INTEGER) AS step, y[k] AS y, x[7] AS \"last\", list_avg(x) AS mean FROM q, (SELECT unnest(range(1, 31)) AS k)), "
+    "c AS (SELECT * FROM m WHERE window_id % 10 = 0 AND (window_id = 0 OR step > 20)), "
+    "l AS (SELECT well, 'last' AS model, y, \"last\" AS p FROM c UNION ALL SELECT well, 'mean', y, mean FROM c) "
+    "SELECT well, model, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y)), 6) AS r2, round(100 * avg(CASE WHEN abs(y) + abs(p) = 0 THEN 0 ELSE 2 * abs(y - p) / (abs(y) + abs(p)) END), 6) AS smape, "
+    "round(avg(abs(y - p)), 6) AS mae, count(*) AS n FROM l GROUP BY well, model")
+def stitched_eval(spark, sf, stride: int = 10):
+    """Forecasts of every `stride`-th window, stitched into one curve of each well and model (the
+    first whole, then the last steps of each), and scored as that curve."""
+    w = _windows(spark, sf).select("well", "window_id", F.transform("x", lambda r: F.get(r, F.lit(0))).alias("x"), "y")
+    mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
+    models = F.inline(F.array(*[F.struct(F.lit(n).alias("model"), p.alias("p")) for n, p in (("last", F.element_at("x", -1)), ("mean", mean))]))
+    steps = w.select("well", "window_id", "y", models).select("well", "window_id", "model", "p", F.posexplode("y").alias("step", "y"))
+    steps = steps.withColumns({"step": F.col("step") + 1, "value": F.struct("model", "y", "p")})
+    curve = X.stitch(steps, 30, stride, "value").select("well", "value.*")
+    return rounded(scores(curve, ["well", "model"], "y", "p").drop("mse"), "r2", "smape", "mae")
+
+
 @query("seq_eval", D + _SEQ + 
     f", a AS (SELECT well, window_id + step AS t, y FROM e WHERE window_id = 0 OR step = 30), b AS (SELECT well, window_id "
     f"+ step AS t, p FROM e WHERE window_id = 0 UNION ALL SELECT well, window_id + 30, avg(p) FROM e WHERE window_id "
