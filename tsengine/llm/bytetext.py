@@ -103,11 +103,12 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lanes: int
         w = words[start[at] + k] & _TAILS[np.minimum(n[at] - k, 8)]
         for h, (_, factor) in zip(out, _LANES):
             h[at] = mix((h[at] ^ w) * U(factor))
-    raw = data.data if data.flags.c_contiguous else data.tobytes()
-    for i in np.flatnonzero(~short).tolist():
-        digest = xxhash.xxh3_128_intdigest(raw[start[i] : end[i]])
-        for lane, h in enumerate(out):
-            h[i] = U(digest >> 64 * lane & 0xFFFFFFFFFFFFFFFF)
+    at = np.flatnonzero(~short)
+    if len(at):
+        raw, digest = data.tobytes(), xxhash.xxh3_128_digest
+        both = b"".join([digest(raw[a:b]) for a, b in zip(start[at].tolist(), end[at].tolist())])
+        for h, x in zip(out, np.frombuffer(both, ">u8").reshape(-1, 2).T):
+            h[at] = x
     return out
 
 
