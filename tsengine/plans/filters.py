@@ -13,7 +13,7 @@ from ..operators.metrics import scores
 from ..sources import files
 from ..streaming import jobs
 from .daily import daily_rates, read, runs
-from .registry import D, R, draw, draw_sql, mean, mean_sql, query, rounded
+from .registry import D, R, draw, draw_sql, mean, mean_sql, normal, normal_sql, query, rounded
 from .shaping import _SEQ, _steps, _windows
 
 _K = ", z AS (SELECT well, t, oil, greatest(oil + 1e-6, 1e-6) AS z FROM d), k(well, t, x, p) AS (SELECT well, t, z::DOUBLE, 1 - 1 / (1 + 1e-3)::DOUBLE FROM z WHERE t = 1 UNION ALL SELECT z.well, z.t, k.x + (k.p + 1e-4) / (k.p + 1e-4 + 1e-3) * (z.z - k.x), (1 - (k.p + 1e-4) / (k.p + 1e-4 + 1e-3)) * (k.p + 1e-4) FROM k JOIN z ON z.well = k.well AND z.t = k.t + 1)"
@@ -187,10 +187,11 @@ def augment_warp(spark, sf):
     return rounded(rounded(out, "x_last", "x_middle", "drop_last"), "y_total", digits=4)
 
 
-@query("augment_jitter")
+@query("augment_jitter", D + f", n AS (SELECT *, 10 * {normal_sql('well', 't')} AS noise FROM d) SELECT well, t, round(downhole + noise, 4) AS downhole, round(whp + noise, 4) AS whp FROM n")
 def augment_jitter(spark, sf):
-    d = daily_rates(spark, sf).withColumn("noise", F.randn(7) * 5)
-    return d.select("well", "t", (F.col("downhole") + F.col("noise")).alias("downhole"), (F.col("whp") + F.col("noise")).alias("whp"))
+    """The same seeded noise on both pressures of a row."""
+    d = daily_rates(spark, sf).withColumn("noise", 10 * normal("well", F.col("t").cast("string")))
+    return rounded(d.select("well", "t", *[(F.col(c) + F.col("noise")).alias(c) for c in ("downhole", "whp")]), "downhole", "whp", digits=4)
 
 
 @query(

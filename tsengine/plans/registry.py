@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,17 @@ def draw_sql(*columns: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('-', {', '.join(columns)})), 1, 8) AS BIGINT)"
 
 
+def normal(*columns: str | Column) -> Column:
+    """A standard normal number drawn from these columns, the same in any engine (Box and Muller)."""
+    u, v = ((draw(F.lit(seed), *columns) + 0.5) / float(1 << 32) for seed in ("u", "v"))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)
+
+
+def normal_sql(*columns: str) -> str:
+    u, v = (f"(({draw_sql(seed, *columns)}) + 0.5) / {float(1 << 32)!r}" for seed in ("'u'", "'v'"))
+    return f"sqrt(-2 * ln({u})) * cos({2 * math.pi!r} * {v})"
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Doubles rounded, without negative zero, so that engines agree on every bit."""
     return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})

@@ -15,7 +15,7 @@ from ..operators.clean import along
 from ..operators.metrics import scores
 from ..operators.ranking import quantiles
 from .daily import daily_rates
-from .registry import ORACLE_SQL, QUERIES, D, query, rounded
+from .registry import ORACLE_SQL, QUERIES, D, normal, normal_sql, query, rounded
 
 _PREV = "CASE WHEN lag(oil) OVER w > 0 THEN lag(oil) OVER w END"
 _DECLINE = f"-ln(greatest(oil / greatest(coalesce({_PREV}, avg(oil) OVER (PARTITION BY well ORDER BY t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 1e-6), 1e-6), 1e-6))"
@@ -398,9 +398,12 @@ def scenario_select(spark, sf):
     return rounded(m.select("well", "t", shown.alias("shown"), "kind", edge("zlo").alias("lo"), edge("zhi").alias("hi")), "lo", "hi", digits=4)
 
 
-@query("mc_sample")
+@query("mc_sample", D + _F + _MS + f" SELECT well, t, CAST(n AS INTEGER) AS draw, round(mu + sigma * {normal_sql('well', 't', 'n')}, 4) AS value FROM ms, (SELECT unnest(range(1, 11)) AS n)")
 def mc_sample(spark, sf):
-    return _mu_sigma(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(10)))).select("well", "t", "draw", (F.col("mu") + F.randn(7) * F.col("sigma")).alias("value"))
+    """Ten seeded draws of each row's distribution."""
+    m = _mu_sigma(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    noise = normal("well", F.col("t").cast("string"), F.col("draw").cast("string"))
+    return rounded(m.select("well", "t", "draw", (F.col("mu") + noise * F.col("sigma")).alias("value")), "value", digits=4)
 
 
 @query("align_forecast", D + _F + " SELECT well, t, m, y, p FROM f WHERE p IS NOT NULL AND t <= (SELECT min(c) FROM (SELECT count(*) AS c FROM d GROUP BY well))")
