@@ -243,15 +243,30 @@ def smoother_weights(n: int, q: float, r: float) -> np.ndarray:
     return scan(np.broadcast_to(lead[::-1], (n, n)), ((1 - lead) * ahead)[:, ::-1])[:, ::-1].T
 
 
+def exponential_weights(n: int, alpha: float) -> np.ndarray:
+    """One-step fitted values of exponential smoothing of n values as a matrix. With a fixed alpha the
+    best first level is least squares, so it is linear in the values too (see exp_smooth)."""
+    k = np.arange(n)
+    far = k[:, None] - 1 - k[None, :]
+    base = np.where(far >= 0, alpha * (1 - alpha) ** np.maximum(far, 0), 0.0)
+    level = (1 - alpha) ** k.astype(float)
+    return base + np.outer(level, level @ (np.eye(n) - base) / (level @ level))
+
+
+def weighted_windows(df: DataFrame, c: str, weights: np.ndarray, out: str) -> DataFrame:
+    """`out`: a matrix times each window."""
+    dot = lambda w: F.aggregate(F.zip_with(c, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return df.withColumn(out, F.array(*[dot(w) for w in weights.tolist()]))
+
+
 def smooth_windows(df: DataFrame, c: str, n: int, q: float = 1e-5, r: float = 1e-3) -> DataFrame:
     """`smoothed`: the smoother over each window of n values, by constant weights."""
-    dot = lambda w: F.aggregate(F.zip_with(c, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn("smoothed", F.array(*[dot(w) for w in smoother_weights(n, q, r).tolist()]))
+    return weighted_windows(df, c, smoother_weights(n, q, r), "smoothed")
 
 
 #: Filters of windows by name: (rows, array column, its length, parameters) -> rows, name of the result.
 WINDOW_FILTERS = {
-    "exponential_smoothing": lambda df, c, n, **p: (exp_smooth(df, c, p.get("smoothing_level", 0.2)), "fitted"),
+    "exponential_smoothing": lambda df, c, n, **p: (weighted_windows(df, c, exponential_weights(n, p.get("smoothing_level", 0.2)), "fitted"), "fitted"),
     "wavelet": lambda df, c, n, **p: (haar_denoise(df, c, 3, p.get("threshold")), "denoised"),
     "kalman": lambda df, c, n, **p: (smooth_windows(df, c, n, p.get("process_var", 1e-5), p.get("measurement_var", 1e-3)), "smoothed"),
 }
