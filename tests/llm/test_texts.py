@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tsengine.llm import bytetext, decontaminate, doubling, exactdedup, langid, linededup, ngramjoin, packing, pii, suffixdedup, toxicity, urlfilter
 from tsengine.llm.queries import public_vocabulary
 
-CLASH = ("n_words", "score", "top", "passages", "base", "spans", "lang_pred", "word_share", "row_key", "rid", "key", "kind", "n_hit", "items", "start", "length", "ids", "host", "path", "rule", "verdict", "n_lines", "_id", "_key", "tune")
+CLASH = ("n_words", "score", "top", "surprise", "passages", "base", "spans", "lang_pred", "word_share", "row_key", "rid", "key", "kind", "n_hit", "items", "start", "length", "ids", "host", "path", "rule", "verdict", "n_lines", "_id", "_key", "tune")
 
 
 def clashing(df):
@@ -182,6 +182,41 @@ def test_segments_of_many_hits(gap):
     assert time.process_time() - began < 10
 
 
+def test_sums_of_segments_follow_their_law():
+    """Normalised scores of a clean text are the points of a Poisson process of rate exp(-x)."""
+    rng = np.random.default_rng(3)
+    points = -np.log(np.cumsum(rng.exponential(size=(200_000, 8)), axis=1))  # best first
+    for r in (2, 4, 8):
+        t = points[:, :r].sum(axis=1)
+        for share in (0.5, 0.1, 0.01):
+            assert abs(toxicity.sum_surprise(r, float(np.quantile(t, 1 - share))) + np.log(share)) < 0.1
+    assert toxicity.sum_surprise(2, 300.0) > 280 and toxicity.sum_surprise(64, -900.0) < 0.01
+
+
+def test_all_segments_count():
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), -0.1, 1.0, -2.0, (0.0, 1.0))
+    one, many = toxicity.evidence(model, [8.0], 1000), toxicity.evidence(model, [8.0] * 6, 1000)
+    assert toxicity.evidence(model, [], 1000) == 0 and many > one + 5
+    assert toxicity.evidence(model, [8.0] + [0.1] * 6, 1000) == pytest.approx(one)
+    assert toxicity.evidence(model, [9.0] * 100_000, 10**6) > 0
+
+
+def test_words_of_clean_texts_count(spark):
+    """A word that marks clean texts keeps insults on its two sides from being one passage."""
+    rng, rows = random.Random(5), []
+    for i in range(1200):
+        w = [f"w{rng.randrange(200)}" for _ in range(40)]
+        w[10] = "scumbag" if i % 4 == 0 else "reported"
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    odd = [(5000, "scumbag reported scumbag", None), (5001, "scumbag w1 scumbag", None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model.weight.min() < -1 and model.weight.max() > 2
+    scored = {r.doc_id: r for r in toxicity.toxicity(df, df.select("doc_id", "toxic")).collect()}
+    assert all((scored[i].score >= 0.5) == bool(y) for i, _, y in rows)
+    assert scored[5001].top > scored[5000].top + 1
+
+
 def toxic_rows(n=600, seed=8):
     rng = random.Random(seed)
     words, bad = [f"w{i}" for i in range(300)], ["scumbag", "vilething", "wretches"]

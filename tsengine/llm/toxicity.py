@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .store import bound_batches
+from .store import bound_batches, table
 
 #: About so many labelled rows of each class are learned from; more are thinned by a hash.
 MAX_TOXIC, MAX_CLEAN = 8_000, 16_000
-#: Token features kept: log-odds of at least MIN_ODDS, this many standard deviations from 0.
+#: Features that may open a passage: log-odds of at least MIN_ODDS, MIN_Z standard deviations from 0.
 MIN_Z = 4.0
-MIN_ODDS = 1.0
+MIN_ODDS = 2.0
+#: Features of clean texts: negative log-odds, this many standard deviations from 0.
+CLEAN_Z = 2.0
+#: Sums of so many best segments are looked at; 64 surprising ones are past any doubt.
+SUMS = (2, 4, 8, 16, 32, 64)
+#: Clean texts fall by at least this a word.
+DRIFT = 0.02
+#: Steps to a unit of score in which the scores of clean words are counted.
+STEPS = 64
 #: Weight of the prior, in documents.
 PRIOR = 50.0
 #: Bytes of a word's beginning that are features beside the whole word (0).
@@ -33,7 +42,7 @@ class Model:
     features: np.ndarray  # sorted hashes
     weight: np.ndarray
     z: np.ndarray
-    default: float  # score of a token without a feature
+    default: float  # score of a word without a feature
     lam: float
     log_k: float
     coef: tuple[float, float]
@@ -99,8 +108,8 @@ def _log_odds(counts: DataFrame, docs1: int, docs0: int) -> DataFrame:
 
 
 def token_scores(model: Model, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Each word's score: that of its most significant feature."""
-    score, best = np.full(len(s), model.default), np.zeros(len(s))
+    """Each word's score: that of its most significant feature; NaN if it has none."""
+    score, best = np.full(len(s), np.nan), np.zeros(len(s))
     members = B.Members(model.features)
     for at, h in _features(data, s, e):
         hit = members.where(h)
@@ -141,24 +150,55 @@ def _surprise(model: Model, top: float, n: int) -> float:
     return max(0.0, -math.log(-math.expm1(-math.exp(min(50.0, expected))))) if expected > -30 else -expected
 
 
+@lru_cache
+def _law_of_sums(r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the r best normalised scores of a clean document, and -ln of the chance of as much
+    or more: Karlin and Altschul's density, integrated numerically."""
+    low, top = r - 1 - r * math.log(r) - 8 * math.sqrt(2 * r), 200.0
+    t, y = np.linspace(low, top, 2048), np.linspace(0.0, top + r * (6 + math.log(r)), 1025)[1:]
+    f = (r - 2) * np.log(y) - np.exp(np.minimum(50.0, (y - t[:, None]) / r))
+    most = f.max(axis=1)
+    density = most + np.log(np.exp(f - most[:, None]).sum(axis=1) * (y[1] - y[0])) - t - math.lgamma(r + 1) - math.lgamma(r - 1)
+    between = np.logaddexp(density[:-1], density[1:]) + math.log((t[1] - t[0]) / 2)
+    chance = np.logaddexp.accumulate(np.append(density[-1], between[::-1]))[::-1]  # beyond the end it falls as exp(-t)
+    return t, np.maximum(0.0, -chance)
+
+
+def sum_surprise(r: int, total: float) -> float:
+    """-ln of the chance that the r best normalised scores of a clean document sum to `total` or more."""
+    t, surprise = _law_of_sums(r)
+    return float(np.interp(total, t, surprise)) + max(0.0, total - float(t[-1]))
+
+
+def evidence(model: Model, scores: list[float], n: int) -> float:
+    """How surprising all segments of a document of n words are together: the most surprising of
+    its best one and of the sums of its best ones in SUMS. Without a segment 0."""
+    if not scores or n == 0:
+        return 0.0
+    scores = -np.sort(-np.asarray(scores))
+    sums = np.cumsum(model.lam * scores - model.log_k - math.log(n))
+    return max([_surprise(model, float(scores[0]), n), *(sum_surprise(r, float(sums[r - 1])) for r in SUMS if r <= len(sums))])
+
+
 def _probability(model: Model, surprise: float) -> float:
     a, b = model.coef
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * min(60.0, surprise)))))
 
 
 def _score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """`docs` columns in `keep`, and n_words, top, score, passages."""
+    """`docs` columns in `keep`, and n_words, top, surprise, score, passages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # grows with the labelled sample only
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            n, top, prob, found = [], [], [], []
+            n, top, odd, prob, found = [], [], [], [], []
             for lo, hi, data, starts in B.text_chunks(batch.column("text")):
                 data = B.LOWER[data]
                 s, e, first = B.words(data, starts, B.ALNUM)
                 score = token_scores(model, data, s, e)
+                score[np.isnan(score)] = model.default
                 any_hit = np.add.reduceat(np.append(score > 0, False), first[:-1]) * (np.diff(first) > 0) if hi > lo else []
                 for r in range(hi - lo):
                     a, b = first[r], first[r + 1]
@@ -166,61 +206,88 @@ def _score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     best = max((x[2] for x in segments), default=0.0)
                     n.append(int(b - a))
                     top.append(float(best))
-                    prob.append(_probability(model, _surprise(model, best, int(b - a))))
+                    odd.append(evidence(model, [x[2] for x in segments], int(b - a)))
+                    prob.append(_probability(model, odd[-1]))
                     bar = -math.log(ALPHA)
                     found.append([{"start": int(x), "end": int(y), "score": float(v)} for x, y, v in segments if _surprise(model, v, int(b - a)) >= bar])
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(top, pa.float64()), pa.array(prob, pa.float64()), pa.array(found, kind)], [*keep, "n_words", "top", "score", "passages"])
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (top, odd, prob)), pa.array(found, kind)], [*keep, "n_words", "top", "surprise", "score", "passages"])
 
-    fields = [docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("top", T.DoubleType()), T.StructField("score", T.DoubleType())]
+    fields = [docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("top", "surprise", "score"))]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, T.StructType([*fields, T.StructField("passages", T.ArrayType(span))]))
 
 
-def _decay(p_hit: float, hit: float, default: float) -> float:
-    """The positive root of E[exp(lambda * score)] = 1 over a clean document's tokens."""
+def _score_counts(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Scores of words of clean texts in steps of 1 / STEPS, how many words have each, and for
+    each class how many words have no feature (keys 0 and 1) or one (2 and 3)."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch.column("toxic").to_numpy()
+            for lo, _, data, starts in B.text_chunks(batch.column("text")):
+                data = B.LOWER[data]
+                s, e, first = B.words(data, starts, B.ALNUM)
+                score = token_scores(shared.value, data, s, e)
+                y = toxic[lo + np.searchsorted(first, np.arange(len(s)), "right") - 1]
+                known = ~np.isnan(score)
+                step = np.where(known, np.round(np.nan_to_num(score) * STEPS), 0).astype(np.int64)
+                keys, n = np.unique(np.column_stack([y, known, step]), axis=0, return_counts=True)
+                yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in keys.reshape(-1, 3).T), pa.array(n.astype(np.int64))], ["toxic", "known", "step", "n"])
+
+    rows = sample.mapInArrow(count, "toxic long, known long, step long, n long").groupBy("toxic", "known", "step").agg(F.sum("n").alias("n")).collect()  # a row a step
+    clean = [(r.step / STEPS, r.n) for r in rows if r.known and not r.toxic]
+    totals = {k: sum(r.n for r in rows if 2 * r.known + r.toxic == k) for k in range(4)}
+    return np.array([x for x, _ in clean]), np.array([n for _, n in clean], float), totals
+
+
+def decay(score: np.ndarray, share: np.ndarray) -> float:
+    """The positive root of E[exp(lambda * score)] = 1 over a clean document's words, whose mean
+    score is negative."""
     lo, hi = 1e-6, 20.0
-    f = lambda x: p_hit * math.exp(min(700.0, x * hit)) + (1 - p_hit) * math.exp(x * default) - 1
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+        lo, hi = (mid, hi) if (share * np.exp(np.minimum(700.0, mid * score))).sum() < 1 else (lo, mid)
     return hi
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows that are not held out, at most about MAX_TOXIC + MAX_CLEAN.
 
-    Three quarters give the log-odds, the rest the extreme-value fit and the logistic curve.
-    Without any labels of one class every score is that class's share."""
-    sample = _sample(docs, labels)
-    learn = sample.filter("not tune")
-    n = {r.toxic: r["count"] for r in sample.groupBy("toxic", "tune").count().filter("not tune").collect()}
+    Three quarters give the log-odds, the rest the scores of clean words, the extreme-value law
+    and the logistic curve. Without any labels of one class every score is that class's share."""
+    sample = table(_sample(docs, labels).dropDuplicates(["text", "toxic"]), "toxicity-sample")
+    learn, tune = sample.filter("not tune"), sample.filter("tune")
+    n = {r.toxic: r["count"] for r in learn.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     model = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), -0.01, 1.0, 0.0, (math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -5.0, 0.0))
     if not n1 or not n0:
         return model
     odds = _log_odds(_document_counts(learn), n1, n0)
-    # Each stands for some five toxic texts of the sample at least, so the sample bounds them.
-    rows = odds.filter((F.col("z") >= MIN_Z) & (F.col("w") >= MIN_ODDS)).select("f", "w", "z").collect()
-    if not rows:
+    # Each stands for at least three texts of the sample, so the sample bounds them.
+    rows = odds.filter((F.col("z") >= MIN_Z) & (F.col("w") >= MIN_ODDS) | (F.col("z") <= -CLEAN_Z)).select("f", "w", "z").toArrow()
+    if not rows.num_rows:
         return model
-    f = np.array([r.f for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(f)
-    model.features, model.weight, model.z = f[order], np.array([r.w for r in rows])[order], np.array([r.z for r in rows])[order]
-
-    # How often tokens hit in each class, for the score of the others and the decay.
-    seen = _score(sample, model, ["toxic", "tune"]).select("toxic", "tune", "n_words", F.size("passages").alias("k"), "top").collect()  # MAX_TOXIC + MAX_CLEAN rows
-    words = {y: sum(r.n_words for r in seen if r.toxic == y) for y in (0, 1)}
-    mean_hit = float(np.median(model.weight))
-    hits = {y: sum(max(0.0, r.top) / mean_hit for r in seen if r.toxic == y) for y in (0, 1)}
-    p1, p0 = ((hits[y] + 0.5) / (words[y] + 100.0) for y in (1, 0))
-    model.default = min(-1e-3, math.log1p(-min(0.5, p1)) - math.log1p(-min(0.4, p0)))
-    model.lam = _decay(p0, mean_hit, model.default)
-    again = _score(sample.filter("tune"), model, ["toxic"]).select("toxic", "n_words", "top").collect()
-    clean = [(r.n_words, r.top) for r in again if r.toxic == 0 and r.n_words]
+    f, w, z = (rows.column(c).to_numpy() for c in ("f", "w", "z"))
+    order = np.argsort(f.view(np.uint64))
+    model.features, model.weight, model.z = f.view(np.uint64)[order], w[order], z[order]
+
+    score, words, totals = _score_counts(tune, model)
+    every = words.sum() + totals[0]
+    if not every or not (score > 0).any():
+        score, words, every = np.append(score, model.weight.max()), np.append(words, 0.5), every + 0.5
+    toxic_every = totals[1] + totals[3]
+    # A word without a feature: its own log-odds, and low enough that clean texts fall.
+    plain = math.log((totals[1] + 0.5) / (toxic_every + 1)) - math.log((totals[0] + 0.5) / (every + 1))
+    falling = (-DRIFT * every - (score * words).sum()) / max(totals[0], 1.0)
+    model.default = min(-1e-3, plain, falling)
+    model.lam = decay(np.append(score, model.default), np.append(words, totals[0]) / every)
+    clean = [(r.n_words, r.top) for r in _score(tune.filter("toxic = 0"), model, ["toxic"]).select("n_words", "top").collect() if r.n_words]
     if clean:
         # Gumbel: the mean of lambda * top - ln n over clean documents is ln K + Euler's constant.
         model.log_k = min(2.0, sum(model.lam * t - math.log(w) for w, t in clean) / len(clean) - 0.5772)
-    x = np.array([min(60.0, _surprise(model, r.top, r.n_words)) for r in again])
+    again = _score(tune, model, ["toxic"]).select("toxic", "surprise").collect()
+    x = np.array([min(60.0, r.surprise) for r in again])
     model.coef = _logistic(x, np.array([r.toxic for r in again], float))
     return model
 
@@ -240,12 +307,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None)
     """Score every whole text for toxicity.
 
     Words are lower-cased runs of letters, digits and non-ASCII characters; a word scores the
-    log-odds of its most significant feature (itself or its first 4 to 7 bytes). Ruzzo and
-    Tompa's scan finds all maximal scoring segments; the best one's chance in a clean text of
-    that length, by an extreme-value law, is turned into a probability by a logistic curve.
-
-    Returns the columns in `keep` (doc_id), n_words, top (best segment's score), score
-    (0 to 1) and passages (start, end, score in words) that are significant. A null, empty or
+    log-odds, of either sign, of its most significant feature (itself or its first 4 to 7
+    bytes). Ruzzo and Tompa's scan finds all maximal scoring segments. The chance of the best
+    one in a clean text of that length, by an extreme-value law, and the chances of the sums of
+    several by the law of sums, give the text's surprise, and a logistic curve a probability.
+
+    Returns the columns in `keep` (doc_id), n_words, top (best segment's score), surprise (-ln of
+    the chance), score (0 to 1) and passages (start, end, score in words) that are significant
+    by themselves. A null, empty or
     wordless text has no passage and the score of one that shows nothing. Rows whose
     crc32(doc_id) mod 5 is 0 are never learned from; repeated labels count once, toxic first.
     Repeated rows are scored row by row, texts of any length are scanned whole in linear time,
@@ -253,6 +322,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None)
     name in `keep` that this operator returns itself is refused."""
     bound_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
-    if clash := {"n_words", "top", "score", "passages"} & set(keep):
+    if clash := {"n_words", "top", "surprise", "score", "passages"} & set(keep):
         raise ValueError(f"rename {sorted(clash)} before")
     return _score(docs.select(*keep, *([] if "text" in keep else ["text"])), fit(docs.select("doc_id", "text"), labels), keep)
