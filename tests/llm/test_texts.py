@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tsengine.llm import bytetext, decontaminate, doubling, exactdedup, langid, linededup, ngramjoin, packing, pii, suffixdedup, toxicity, urlfilter
-from tsengine.llm.queries import public_vocabulary
+from tsengine.llm.queries import QUERIES, public_vocabulary
 
 CLASH = ("n_words", "score", "top", "surprise", "passages", "base", "spans", "lang_pred", "word_share", "row_key", "rid", "key", "kind", "n_hit", "items", "start", "length", "ids", "host", "path", "rule", "verdict", "n_lines", "_id", "_key", "tune")
 
@@ -152,6 +152,18 @@ def test_personal_data_row_by_row(spark):
     assert got == [("1", [(0, 0, 6)]), ("1", [(0, 0, 6)]), ("2", []), ("3", []), ("4", [(0, 10**6 + 1, 10**6 + 7)]), ("None", [(3, 0, 12)])]
 
 
+def test_personal_data_is_counted_by_kind(spark, tmp_path):
+    """The query's exact columns against the plain patterns, with several spans of a kind in a text."""
+    some = ["a@b.co", "c.d@e.org", "1.2.3.4", "10.0.0.1", "4111 1111 1111 1111", "+49 30 1234567", "+1 (555) 010-9999", "999.1.1.1", "4111111111111112", "é", "x@y"]
+    rng = random.Random(7)
+    rows = [(i, " , ".join(rng.choice(some) for _ in range(rng.randint(0, 9)))) for i in range(200)] + [(200, None), (200, ""), (None, "a@b.co c@d.co")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in QUERIES["op8_pii"](spark, str(tmp_path)).collect())
+    plain = lambda spans: ([sum(k == j for k, _, _ in spans) for j in range(4)], ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans))
+    want = [(str(i), *n, hashlib.sha256(listed.encode()).hexdigest()) for i, (n, listed) in ((i, plain(plain_spans(t or ""))) for i, t in rows)]
+    assert got == sorted(want)
+
+
 # Toxicity
 
 

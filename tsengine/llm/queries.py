@@ -39,7 +39,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.array(*map(F.lit, pii.KINDS))
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    # A second parameter of the lambda would be the span's place in the array, even with a default.
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
