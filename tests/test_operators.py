@@ -447,3 +447,60 @@ def test_prepared_data_are_reused(spark, tmp_path):
     for params in ({"a": 1, "b": 2}, {"b": 2, "a": 1}, {"a": 2, "b": 2}):
         assert files.prepared(spark, str(tmp_path), params, prepare).count() == 3
     assert len(calls) == 2
+
+
+class Kept:
+    """The engine's state in memory: a value, a list or a map, and timers."""
+
+    def __init__(self):
+        self.rows, self.timers = {}, set()
+
+    def state(self, *_):
+        k = Kept()
+        k.exists = lambda: bool(k.rows)
+        k.get = lambda: k.rows[0] if 0 in k.rows else iter(())
+        k.update = lambda v: k.rows.update({0: v})
+        k.clear = k.rows.clear
+        k.getValue, k.updateValue, k.removeKey = k.rows.__getitem__, k.rows.__setitem__, k.rows.pop
+        k.appendList = lambda v: k.rows.update({0: [*k.rows.get(0, []), *v]})
+        k.put = lambda v: k.rows.update({0: v})
+        return k
+
+    getMapState = getValueState = getListState = state
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_waiting_rows_are_handed_on_in_pieces(monkeypatch):
+    """However many rows wait, a step gets a bounded part of them, all in order of time and number."""
+    for name, size in (("RUN", 200), ("BLOCK", 16), ("PIECE", 50), ("RUNS", 4)):
+        monkeypatch.setattr(state.InOrder, name, size, raising=False)
+    rng, seen, mark = np.random.default_rng(3), [], [0]
+
+    class Seen(state.Work):
+        schema = "event_type string, k long"
+
+        def step(self, k, numbers, rows):
+            seen.append(list(zip(rows["at"], rows["event_id"], rows["value"])))
+            return numbers, pd.DataFrame({"k": range(k + 1, k + len(rows) + 1)})
+
+    job, times = state.InOrder(Seen()), type("Times", (), {"getCurrentWatermarkInMs": lambda self: mark[0]})()
+    job.init(Kept())
+    rows = pd.DataFrame({"event_id": rng.permutation(6000), "at": rng.integers(0, 400, 6000) * 1000, "value": rng.random(6000)})
+    taken = []
+    for i, now in enumerate((-1, 30, 200, 201, 1000)):
+        late = rows.iloc[i::5]
+        late = late[late["at"] > mark[0] * 1000] if i else late
+        taken.append(late)
+        list(job.handleInputRows(("a",), (late.iloc[j : j + 70] for j in range(0, len(late), 70)), times))
+        mark[0] = now
+        out = [k for part in job.handleExpiredTimer(("a",), times, None) for k in part["k"]]
+        got = [x for part in seen for x in part]
+        assert out == list(range(len(got) - len(out) + 1, len(got) + 1))
+        waiting = pd.concat(taken)
+        assert got == [tuple(x) for x in waiting[waiting["at"] <= now * 1000].sort_values(["at", "event_id"])[["at", "event_id", "value"]].itertuples(index=False)]
+    assert len(got) > 4000 and max(map(len, seen)) < 50 + 16 * 6

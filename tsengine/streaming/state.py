@@ -19,47 +19,119 @@ DAY = 86_400_000
 class InOrder(StatefulProcessor):
     """Hands each key's rows to `work` in order of (at, event_id), `at` in microseconds.
 
-    Rows wait in a list until the watermark has passed them. A timer by event time wakes the key
-    then, and one ttl_days behind its last row lets it be forgotten. `work` has a schema, begin()
-    (the numbers that it carries at first) and step(k, numbers, rows), which returns the numbers
-    after these rows and a row of output for each, or for some."""
+    Rows wait in state until the watermark has passed them: sorted runs of at most RUN rows, an
+    entry for each BLOCK of them. A timer by event time wakes the key then; the due rows of all
+    runs are merged from their first blocks and handed on in pieces of about PIECE rows, so that
+    Python holds a run that is being sorted, or a block of each run, however many rows wait. More
+    than RUNS runs become one. A timer ttl_days behind the last row lets the key be forgotten.
+    `work` has a schema, begin() (the numbers that it carries at first) and step(k, numbers,
+    rows), which returns the numbers after these rows and a row of output for each, or for some."""
+
+    RUN, BLOCK, PIECE, RUNS = 1 << 19, 1 << 13, 1 << 16, 64
 
     def __init__(self, work: Any, more: list[str] | None = None):
-        self.work, self.more = work, more or []
+        self.work = work
+        self.type = np.dtype([("at", "<i8"), ("event_id", "<i8"), ("value", "<f8"), *((c, "<f8") for c in more or [])])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event_id long, value double" + "".join(f", {c} double" for c in self.more))
+        self.blocks = handle.getMapState("blocks", "run long, block long", "rows binary")
+        self.runs = handle.getValueState("runs", "run long, spans array<long>")  # next run; run, first block, end of each
         self.carried = handle.getValueState("carried", "k long, last long, numbers array<double>")
 
+    def _spans(self) -> tuple[int, list[list[int]]]:
+        fresh, flat = self.runs.get() if self.runs.exists() else (0, [])
+        return fresh, [list(flat[i : i + 3]) for i in range(0, len(flat), 3)]
+
+    def _keep(self, fresh: int, spans: list[list[int]]) -> None:
+        self.runs.update((fresh, [x for s in spans for x in s]))
+
+    def _block(self, run: int, block: int) -> np.ndarray:
+        return np.frombuffer(self.blocks.getValue((run, block))[0], self.type)
+
+    def _write(self, run: int, pieces: Iterator[np.ndarray]) -> list[int]:
+        """A run of sorted pieces, in blocks."""
+        n, rest = 0, np.empty(0, self.type)
+        for piece in pieces:
+            rest = np.concatenate([rest, piece])
+            whole = len(rest) // self.BLOCK * self.BLOCK
+            for i in range(0, whole, self.BLOCK):
+                self.blocks.updateValue((run, n), (rest[i : i + self.BLOCK].tobytes(),))
+                n += 1
+            rest = rest[whole:]
+        if len(rest):
+            self.blocks.updateValue((run, n), (rest.tobytes(),))
+        return [run, 0, n + (len(rest) > 0)]
+
+    def _add(self, held: list[np.ndarray]) -> None:
+        fresh, spans = self._spans()
+        if len(spans) >= self.RUNS:
+            span = self._write(fresh, self._due(spans, np.iinfo("i8").max))
+            fresh, spans = fresh + 1, [span]
+        spans.append(self._write(fresh, iter([_sorted(held)])))
+        self._keep(fresh + 1, spans)
+
+    def _due(self, spans: list[list[int]], limit: int) -> Iterator[np.ndarray]:
+        """The waiting rows up to the time `limit`, in sequence; they leave the state and `spans`."""
+        heads = [(s, self._block(s[0], s[1])) for s in spans]
+        heads = [(s, h) for s, h in heads if h["at"][0] <= limit]
+        while heads:
+            # Blocks that are not read yet hold nothing before the least last row of those that are.
+            at, event_id = min((h["at"][-1], h["event_id"][-1]) for _, h in heads)
+            taken, left = [], []
+            for s, h in heads:
+                a, b = np.searchsorted(h["at"], at), np.searchsorted(h["at"], at, "right")
+                n = min(a + np.searchsorted(h["event_id"][a:b], event_id, "right"), np.searchsorted(h["at"], limit, "right"))
+                taken.append(h[:n])
+                if n == len(h):
+                    self.blocks.removeKey((s[0], s[1]))
+                    s[1] += 1
+                    if s[1] == s[2]:
+                        continue
+                    h, n = self._block(s[0], s[1]), 0
+                if n and h["at"][n] > limit:  # no more of this run is due
+                    self.blocks.updateValue((s[0], s[1]), (h[n:].tobytes(),))
+                elif h["at"][n] <= limit:
+                    left.append((s, h[n:]))
+            yield _sorted(taken)
+            heads = left
+        spans[:] = [s for s in spans if s[1] < s[2]]
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for part in rows:
             part = part[part["event_id"].notna()]
             if len(part):
-                ids = (part[c].astype("int64").tolist() for c in ("at", "event_id"))
-                self.waiting.appendList(list(zip(*ids, *(part[c].astype(float).tolist() for c in ("value", *self.more)))))
+                held.append(np.empty(len(part), self.type))
+                for c in self.type.names:
+                    held[-1][c] = part[c].to_numpy(self.type[c])
+                n += len(part)
+            if n >= self.RUN:
+                self._add(held)
+                held, n = [], 0
+        if n:
+            self._add(held)
         self._wake(timerValues.getCurrentWatermarkInMs() + 1)
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         k, last, numbers = self.carried.get() if self.carried.exists() else (0, 0, self.work.begin())
-        rows = pd.DataFrame(list(self.waiting.get()), columns=["at", "event_id", "value", *self.more])
-        past = rows["at"] <= now * 1000
-        ready, rest = rows[past].sort_values(["at", "event_id"]), rows[~past]
-        if len(ready):
-            numbers, out = self.work.step(k, np.array(numbers, float), ready)
-            k, last = k + len(ready), int(ready["at"].iloc[-1]) // 1000
-            self.carried.update((k, last, [float(x) for x in numbers]))
-            self.waiting.clear()
-            if len(rest):
-                self.waiting.put(list(rest.itertuples(index=False, name=None)))
+        numbers, before = np.array(numbers, float), k
+        fresh, spans = self._spans()
+        for ready in _pieces(self._due(spans, now * 1000), self.PIECE):
+            numbers, out = self.work.step(k, numbers, pd.DataFrame(ready))
+            k, last = k + len(ready), int(ready["at"][-1]) // 1000
             if len(out):
                 yield out.assign(event_type=key[0])[[c.split()[0] for c in self.work.schema.split(", ")]]
-        if len(rest):
+        if k > before:
+            self.carried.update((k, last, [float(x) for x in numbers]))
+            self._keep(fresh, spans)
+        if spans:
             self._wake(now + 1)
         elif now >= last + self.work.ttl_days * DAY:
             self.carried.clear()
+            self.runs.clear()
         else:
             self._wake(last + self.work.ttl_days * DAY)
 
@@ -71,6 +143,24 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def _sorted(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    return rows[np.lexsort((rows["event_id"], rows["at"]))]
+
+
+def _pieces(parts: Iterator[np.ndarray], size: int) -> Iterator[np.ndarray]:
+    """The same rows in parts of at least `size`, but the last."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 class Work:
     ttl_days = 3650
 
