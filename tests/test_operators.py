@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -421,6 +422,13 @@ def test_updated_factors_are_those_of_the_whole_fit(batches):
         assert np.isclose(got[t], beta @ [1, v[t - 1], v[t - 2], v[t - 3]], rtol=1e-8)
 
 
+def test_refits_of_a_long_series_take_microseconds_each():
+    v = np.abs(np.cumsum(np.random.default_rng(9).normal(size=300_000))) + 1
+    work, began = state.Refit(60, 3, 5), time.process_time()
+    _, out = work.step(0, np.array(work.begin()), pd.DataFrame({"value": v}))
+    assert len(out) == len(v) - 64 and time.process_time() - began < 9
+
+
 def test_factors_that_lose_rank_are_told():
     factor = np.linalg.cholesky(np.eye(3))
     x = np.array([0.5, 0.2, 0.1])

@@ -256,21 +256,31 @@ class Scores(Work):
         return np.array([n[-1], first, s[-1], ss[-1], sse[-1], sm[-1], ae[-1]]), out
 
 
-def update(factor: np.ndarray, x: np.ndarray, sign: int) -> bool:
-    """The Cholesky factor of L L' + sign x x', in place, by rotations; False if a downdate would
-    leave a matrix that is not positive."""
-    x = x.copy()
-    for i in range(len(x)):
-        d = factor[i, i]
-        square = d * d + sign * x[i] * x[i]
-        if square <= 1e-14 * d * d:
-            return False
-        r = math.sqrt(square)
-        c, s = r / d, x[i] / d
-        factor[i, i] = r
-        factor[i + 1 :, i] = (factor[i + 1 :, i] + sign * s * x[i + 1 :]) / c
-        x[i + 1 :] = c * x[i + 1 :] - s * factor[i + 1 :, i]
-    return True
+def update(factor: np.ndarray, x: np.ndarray, sign: int) -> np.ndarray:
+    """The Cholesky factors of L L' + sign x x' for each L in `factor` and x, in place, by rotations;
+    False where a downdate would leave a matrix that is not positive."""
+    x, ok = x.copy(), np.ones(x.shape[:-1], bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i in range(x.shape[-1]):
+            d, e = factor[..., i, i].copy(), x[..., i].copy()
+            square = d * d + sign * e * e
+            ok = ok & ~(square <= 1e-14 * d * d)
+            r = np.sqrt(np.where(ok, square, 1.0))
+            c, s = (r / d)[..., None], (e / d)[..., None]
+            factor[..., i, i] = r
+            factor[..., i + 1 :, i] = (factor[..., i + 1 :, i] + sign * s * x[..., i + 1 :]) / c
+            x[..., i + 1 :] = c * x[..., i + 1 :] - s * factor[..., i + 1 :, i]
+    return ok
+
+
+def solve(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """beta of L L' beta = right, for each L in `factor`."""
+    beta, p = right.copy(), right.shape[-1]
+    for i in range(p):
+        beta[..., i] = (beta[..., i] - (factor[..., i, :i] * beta[..., :i]).sum(-1)) / factor[..., i, i]
+    for i in reversed(range(p)):
+        beta[..., i] = (beta[..., i] - (factor[..., i + 1 :, i] * beta[..., i + 1 :]).sum(-1)) / factor[..., i, i]
+    return beta
 
 
 class Refit(Work):
@@ -278,7 +288,8 @@ class Refit(Work):
     values that these reach, the Cholesky factor of the normal equations and their right side: an
     anchor that comes updates the factor, one that leaves downdates it. Every ANEW rows, or where
     a downdate loses rank, the factor is made anew from the values, so that rounding never adds
-    up; anchors without full rank get the shortest solution."""
+    up; anchors without full rank get the shortest solution. What lies between two such rows
+    depends on nothing before, so all these stretches are gone through side by side."""
 
     schema = "event_type string, k long, forecast double"
     ANEW = 256
@@ -291,10 +302,14 @@ class Refit(Work):
     def begin(self) -> list[float]:
         return [0.0] * (self.p * self.p + self.p)
 
-    def _factor(self, x: np.ndarray) -> np.ndarray:
-        """From the anchors themselves, not from their products, which would lose half the digits."""
-        r = np.linalg.qr(x, mode="r")
-        return (r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]).T
+    def _anew(self, x: np.ndarray, past: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Factors and right sides of the anchors that end with each of `new`; from the anchors
+        themselves, not from their products, which would lose half the digits."""
+        rows = new[:, None] + np.arange(1 - self.span, 1)
+        anchors, labels = x[rows], past[rows + self.window - 1 + self.horizon]
+        r = np.linalg.qr(anchors, mode="r")
+        sign = np.where(np.diagonal(r, axis1=1, axis2=2) < 0, -1.0, 1.0)
+        return (r * sign[:, :, None]).transpose(0, 2, 1), (anchors * labels[:, :, None]).sum(1)
 
     def step(self, k: int, numbers: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
         v = rows["value"].to_numpy(float)
@@ -303,25 +318,34 @@ class Refit(Work):
         past = np.concatenate([numbers[m + self.p :], v])
         before = len(past) - len(v)
         x = np.column_stack([np.ones(max(0, len(past) - self.window + 1)), _lags(past, self.window)]) if len(past) >= self.window else np.zeros((0, self.p))
-        ks, out = [], []
-        for i in range(before, len(past)):  # place of the newest value
-            number = k + 1 + i - before
-            if number < self.size:
-                continue
-            new = i - self.horizon - self.window + 1  # row of x of the newest known anchor
-            old = new - self.span
-            anchors, labels = slice(old + 1, new + 1), slice(old + self.size - self.span + 1, i + 1)
-            lost = number == self.size or number % self.ANEW == 0 or not (update(factor, x[new], 1) and update(factor, x[old], -1))
-            if lost:
-                factor, right = self._factor(x[anchors]), x[anchors].T @ past[labels]
-            else:
-                right += x[new] * past[i] - x[old] * past[i - self.span]
-            size = np.abs(np.diag(factor))
-            if size.min() <= 1e-8 * size.max():
-                beta = np.linalg.lstsq(x[anchors], past[labels], rcond=1e-8)[0]
-            else:
-                beta = np.linalg.solve(factor.T, np.linalg.solve(factor, right))
-            ks.append(number)
-            out.append(float(x[i - self.window + 1] @ beta))
+        number = np.arange(k + 1, k + len(v) + 1)
+        active = number >= self.size
+        ks, places = number[active], np.arange(before, len(past))[active]
+        out = np.empty(len(ks))
+        if len(ks):
+            fresh = (ks == self.size) | (ks % self.ANEW == 0)
+            first = np.flatnonzero(fresh | (np.arange(len(ks)) == 0))  # where each stretch begins
+            length = np.diff(np.append(first, len(ks)))
+            factors, rights = np.broadcast_to(factor, (len(first), self.p, self.p)).copy(), np.broadcast_to(right, (len(first), self.p)).copy()
+            for j in range(length.max()):
+                on = np.flatnonzero(length > j)
+                at = first[on] + j
+                i, f, g = places[at], factors[on], rights[on]
+                new = i - self.horizon - self.window + 1  # row of x of the newest known anchor
+                old = np.maximum(new - self.span, 0)  # of a fresh factor none
+                lost = fresh[at] | ~(update(f, x[new], 1) & update(f, x[old], -1))
+                g += x[new] * past[i][:, None] - x[old] * past[i - self.span][:, None]
+                if lost.any():
+                    f[lost], g[lost] = self._anew(x, past, new[lost])
+                size = np.abs(np.diagonal(f, axis1=1, axis2=2))
+                poor = size.min(1) <= 1e-8 * size.max(1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    beta = solve(f, g)
+                for q in np.flatnonzero(poor):
+                    anchors = slice(new[q] - self.span + 1, new[q] + 1)
+                    beta[q] = np.linalg.lstsq(x[anchors], past[i[q] - self.span + 1 : i[q] + 1], rcond=1e-8)[0]
+                out[at] = (x[i - self.window + 1] * beta).sum(1)
+                factors[on], rights[on] = f, g
+            factor, right = factors[-1], rights[-1]
         kept = past[max(0, len(past) - self.size) :]
         return np.concatenate([factor.ravel(), right, kept]), pd.DataFrame({"k": ks, "forecast": out})
