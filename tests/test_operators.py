@@ -187,6 +187,19 @@ def test_walk_forward_leaves_rows_with_nulls_out(spark):
     assert got.keys() == want.keys() and all(np.isclose(got[t], want[t], rtol=1e-6) for t in want)
 
 
+def test_normal_equations_of_many_folds_are_solved_together():
+    xs, rng = ["x0", "x1", "x2"], np.random.default_rng(4)
+    x = rng.normal(size=(60_000, 9, 3))
+    y = rng.normal(size=(60_000, 9))
+    g, right = x.transpose(0, 2, 1) @ x, (x * y[:, :, None]).sum(1)
+    sums = {f"{a}_{b}": g[:, i, j] for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j} | {f"{a}_y": right[:, i] for i, a in enumerate(xs)}
+    pdf, began = pd.DataFrame(sums), time.process_time()
+    got = models._betas(pdf, xs)
+    assert time.process_time() - began < 1
+    assert all(np.allclose(got[i], np.linalg.solve(g[i] + np.eye(3) * 1e-9 * np.trace(g[i]), right[i]), rtol=1e-12) for i in range(0, 60_000, 997))
+    assert models._betas(pdf[:0], xs).shape == (0, 3)
+
+
 def test_regressions_are_least_squares(spark, series):
     raw = arrays(series)
     for r in models.lag_regression(series, 3, 5).collect():

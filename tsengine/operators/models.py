@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -30,16 +31,23 @@ def lag_regression(df: DataFrame, window: int = 7, horizon: int = 56) -> DataFra
     return _solve(rows.na.drop().groupBy("well").agg(*sums), ["well"], xs)
 
 
+def _betas(pdf: pd.DataFrame, xs: list[str]) -> np.ndarray:
+    """Solutions of all rows' normal equations at once, by a ridge of 1e-9 of the trace."""
+    g = np.empty((len(pdf), len(xs), len(xs)))
+    for i, a in enumerate(xs):
+        for j, b in enumerate(xs[i:], i):
+            g[:, i, j] = g[:, j, i] = pdf[f"{a}_{b}"]
+    right = pdf[[f"{a}_y" for a in xs]].to_numpy(float)
+    ridge = np.eye(len(xs)) * (1e-9 * np.trace(g, axis1=1, axis2=2))[:, None, None]
+    return np.linalg.solve(g + ridge, right[:, :, None])[:, :, 0]
+
+
 def _solve(sums: DataFrame, keys: list[str], xs: list[str]) -> DataFrame:
-    """Normal equations in rows -> beta, by a ridge of 1e-9 of the trace."""
+    """Normal equations in rows -> beta."""
 
     def run(it):
         for pdf in it:
-            betas = []
-            for r in pdf.to_dict("records"):
-                g = np.array([[r[f"{a}_{b}" if i <= j else f"{b}_{a}"] for j, b in enumerate(xs)] for i, a in enumerate(xs)], float)
-                betas.append(np.linalg.solve(g + np.eye(len(xs)) * 1e-9 * np.trace(g), np.array([r[f"{a}_y"] for a in xs], float)).tolist())
-            yield pdf[keys].assign(beta=betas)
+            yield pdf[keys].assign(beta=list(_betas(pdf, xs)))
 
     types = dict(sums.dtypes)
     return sums.mapInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", beta array<double>")
