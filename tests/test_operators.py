@@ -442,6 +442,24 @@ def test_refits_of_a_long_series_take_microseconds_each():
     assert len(out) == len(v) - 64 and time.process_time() - began < 9
 
 
+def test_forecasts_wait_in_the_state_of_one_step():
+    """In pieces of any size as in one; a truth that comes too late isn't judged, and what is carried
+    doesn't grow."""
+    rng = np.random.default_rng(5)
+    v, at = rng.random(200) + 1, np.cumsum(rng.integers(1, 9, 200))
+    for parts in (1, 7, 200):
+        work, rows, k = state.Scores(3, 5, 24), [], 0
+        numbers = work.begin()
+        for part in np.array_split(np.arange(200), parts):
+            numbers, out = work.step(k, np.array(numbers, float), pd.DataFrame({"at": at[part], "value": v[part]}))
+            rows += out.to_dict("records")
+            k += len(part)
+        assert len(numbers) == 7 + 2 * 7
+        judged = [i for i in range(7, 200) if at[i] - at[i - 5] <= 24]
+        assert 20 < len(judged) < 180 and [r["k"] for r in rows] == [i + 1 for i in judged] and [r["n"] for r in rows] == list(range(1, len(judged) + 1))
+        assert np.allclose([r["mae"] for r in rows], np.cumsum([abs(v[i] - np.mean(v[i - 7 : i - 4])) for i in judged]) / np.arange(1, len(judged) + 1))
+
+
 def test_factors_that_lose_rank_are_told():
     factor = np.linalg.cholesky(np.eye(3))
     x = np.array([0.5, 0.2, 0.1])

@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import shared_folder
-from .state import InOrder, Kalman, Lags, Numbered, Refit, Scores, Work
+from .state import InOrder, Kalman, Lags, Refit, Scores, Work
 
 #: Files of a micro-batch: bounds what is sorted at once.
 FILES = 4
@@ -87,15 +88,14 @@ def _events(spark: SparkSession, path: str, files: int) -> DataFrame:
     return _stream(spark, path, files).select("event_type", "event_id", ts.alias("ts"), F.unix_micros(ts).alias("at"), F.col("value").cast("double").alias("value"))
 
 
-def _stateful(rows: DataFrame, work: Work, more: list[str] | None = None, time: str = "") -> DataFrame:
-    """`work` over the rows of each event_type in order of time (see InOrder); `time` names the
-    column of its output that the watermark holds for, if a stateful step follows."""
-    return rows.groupBy("event_type").transformWithStateInPandas(statefulProcessor=InOrder(work, more), outputStructType=work.schema, outputMode="Append", timeMode="EventTime", eventTimeColumnName=time)
+def _stateful(rows: DataFrame, work: Work) -> DataFrame:
+    """`work` over the rows of each event_type in order of time (see InOrder)."""
+    return rows.groupBy("event_type").transformWithStateInPandas(statefulProcessor=InOrder(work), outputStructType=work.schema, outputMode="Append", timeMode="EventTime")
 
 
 def in_order(events: DataFrame, work: Work, out: str, late: str) -> DataFrame:
     """`work` over the rows of each event_type in order of time: its columns for each row. Stateful
-    in the engine: rows that wait and what `work` carries on are lists and values in RocksDB,
+    in the engine: rows that wait and what `work` carries on are maps and values in RocksDB,
     timers are by event time, and keys silent for work.ttl_days are forgotten."""
     closing = Closing(events.sparkSession, events, out)
 
@@ -128,21 +128,9 @@ def running_metrics(spark: SparkSession, path: str, window: int = 7, horizon: in
     the `window` values up to there: event_type, k, n (forecasts judged so far), and of these
     r2, smape and mae.
 
-    Forecasts and truths are two streams, joined by the number of the row that is forecast; a
-    truth that comes more than `delay` after its forecast finds it no more, and state is kept no
-    longer. The rows are numbered by one stateful step before the join, and what the join gives
-    is scored in order of time by another behind it; watermarks pass through all of them."""
-    out = shared_folder(spark)
-    closing = Closing(spark, _events(spark, path, files), out)
-
-    def scored() -> DataFrame:
-        step = lambda: _stateful(closing.stream().withWatermark("ts", late), Numbered(window), time="ts")
-        forecasts = step().filter("forecast is not null").select(F.col("event_type").alias("_type"), (F.col("k") + horizon).alias("_due"), F.col("ts").alias("_made"), "forecast")
-        within = (F.col("ts") >= F.col("_made")) & (F.col("ts") <= F.col("_made") + F.expr(f"INTERVAL {delay}"))
-        both = step().drop("forecast").join(forecasts, (F.col("event_type") == F.col("_type")) & (F.col("k") == F.col("_due")) & within)
-        return _stateful(both.select("event_type", F.col("k").alias("event_id"), "ts", "at", "value", "forecast"), Scores(), ["forecast"])
-
-    _run(scored(), out)
-    closing.close()
-    _run(scored(), out)
-    return spark.read.schema(Scores.schema).parquet(f"{out}/data")
+    A forecast waits for its truth in the state of the step that made it, as the few values and
+    times that it needs: both are rows of one key in one order, so that a stream-stream join by
+    the row's number would ship and keep every row twice to find what is at hand. A truth that
+    comes more than `delay` after its forecast isn't judged."""
+    work = Scores(window, horizon, pd.Timedelta(delay) // pd.Timedelta("1us"))
+    return in_order(_events(spark, path, files), work, shared_folder(spark), late)
