@@ -273,6 +273,15 @@ def test_search_draws_distinct_points(spark, series):
     assert min(r.mse for r in got) == next(r.mse for r in got if r.chosen)
 
 
+def test_search_is_the_same_from_any_partitions(spark, series):
+    """Subsampling draws by partition: a fit's rows come in the same ones, no more than they fill."""
+    w = features.chrono_split(features.ratio_normalize(features.window_rows(series, "oil", [], 3, 5)), 0.2).localCheckpoint()
+    run = lambda d: [r.mse for r in models.gbt_search(d, {"maxIter": [1], "maxDepth": [2], "subsamplingRate": [0.6]}, 1, folds=2).collect()]
+    assert run(w.coalesce(1)) == run(w.repartition(13, "label"))
+    parts = models.in_partitions(spark.range(1000), 1000, ["id"], 300)
+    assert parts.rdd.getNumPartitions() == 4 and [r.id for r in parts.collect()] == list(range(1000))
+
+
 def test_failing_jobs_leave_the_others_whole(spark, series, monkeypatch):
     def odd(z, window, horizon, length):
         raise RuntimeError("a defect")

@@ -123,6 +123,16 @@ def gbt_forecast(windows: DataFrame, max_iter: int = 5, max_depth: int = 3, step
     return model.transform(rows.filter("side = 'test'")).select("well", "t", (F.col("label") * F.col("window_mean")).alias("truth"), (F.col("prediction") * F.col("window_mean")).alias("pred"))
 
 
+#: Rows of a partition where a fit's many short jobs read the same rows again.
+FIT_ROWS = 16_384
+
+
+def in_partitions(df: DataFrame, n: int, order: list[str], size: int | None = None) -> DataFrame:
+    """`df`, of n rows, in ranges of `order` of about `size` rows each, sorted: as many tasks as its
+    rows are worth, whatever plan they come from, and the same sequence in any cluster."""
+    return df.repartitionByRange(max(1, -(-n // (size or FIT_ROWS))), *order).sortWithinPartitions(*order)
+
+
 def gbt_search(windows: DataFrame, grid: dict[str, list], n_iter: int, folds: int = 3, last: int = 50, seed: int = 7) -> DataFrame:
     """Boosted trees whose parameters are drawn at random: n_iter points of the grid, each scored
     by the mean squared error of `folds` cross-validation folds over the last `last` training
@@ -134,9 +144,11 @@ def gbt_search(windows: DataFrame, grid: dict[str, list], n_iter: int, folds: in
     from pyspark.ml.regression import GBTRegressor
     from pyspark.ml.tuning import CrossValidator
 
-    recent = F.row_number().over(Window.partitionBy("well").orderBy(F.desc("t")))
-    rows = windows.filter("side = 'train'").withColumn("_k", recent).filter(F.col("_k") <= last)
-    rows = rows.withColumns({"fold": F.pmod(F.xxhash64("well", "t"), F.lit(folds)).cast("int"), "features": array_to_vector("lags")}).select("features", "label", "fold")
+    place = F.row_number().over(Window.partitionBy("well").orderBy(F.desc("t")))
+    rows = windows.filter("side = 'train'").withColumn("_k", place).filter(F.col("_k") <= last)
+    rows = rows.withColumns({"fold": F.pmod(F.xxhash64("well", "t"), F.lit(folds)).cast("int"), "features": array_to_vector("lags")}).select("well", "t", "features", "label", "fold")
+    recent = rows.persist()
+    rows = in_partitions(recent, recent.count(), ["well", "t"]).drop("well", "t").persist()
     gbt, rng = GBTRegressor(seed=seed, maxBins=64), random.Random(seed)
     points, tried = [], set()
     size = 1
@@ -148,9 +160,10 @@ def gbt_search(windows: DataFrame, grid: dict[str, list], n_iter: int, folds: in
             tried.add(point)
             points.append(dict(zip(grid, point)))
     maps = [{gbt.getParam(k): v for k, v in p.items()} for p in points]
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="mse"), numFolds=folds, foldCol="fold", parallelism=4, seed=seed)
-    mse = cv.fit(rows.persist()).avgMetrics
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="mse"), numFolds=folds, foldCol="fold", parallelism=8, seed=seed)
+    mse = cv.fit(rows).avgMetrics
     rows.unpersist()
+    recent.unpersist()
     best = min(range(len(points)), key=lambda i: mse[i])
     return windows.sparkSession.createDataFrame([({k: float(v) for k, v in p.items()}, float(m), i == best) for i, (p, m) in enumerate(zip(points, mse))], "params map<string,double>, mse double, chosen boolean")
 
