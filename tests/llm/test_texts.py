@@ -213,6 +213,27 @@ def test_all_segments_count():
     assert toxicity.evidence(model, [9.0] * 100_000, 10**6) > 0
 
 
+def test_logistic_curve_is_the_least_loss():
+    """Full Newton steps go round in circles where classes lie apart; most ended at slope 0, by which nothing is toxic."""
+    for n0, n1, gap in itertools.product((100, 400, 4000), (100, 500, 2000), (2, 4, 8)):
+        x, y = np.concatenate([np.zeros(n0 - 1), [16 - gap], np.linspace(16, 60, n1)]), np.repeat([0.0, 1.0], [n0, n1])
+        a, b = toxicity._logistic(x, y)
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        assert abs((p - y).sum() + 1e-3 * a) < 1e-3 and abs((p - y) @ x + 1e-2 * b) < 1e-2
+        assert ((p >= 0.5) == (y == 1)).all()
+    a, b = toxicity._logistic(np.array([0.0, 0.0, 5.0, 5.0]), np.array([1.0, 1.0, 0.0, 1.0]))
+    assert b == 0 and a == pytest.approx(np.log(3), abs=0.01)
+
+
+def test_toxicity_learns_alike_in_every_run(spark):
+    """Which of equal texts is met first changes nothing, nor do partitions."""
+    rows = [(i + 1000 * k, text, y) for k in range(4) for i, text, y in toxic_rows(250)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    one, other = (toxicity.fit(x.select("doc_id", "text"), x.select("doc_id", "toxic")) for x in (df.orderBy("doc_id"), df.orderBy(F.desc("doc_id")).repartition(7)))
+    assert np.array_equal(one.features, other.features) and np.array_equal(one.weight, other.weight)
+    assert (one.default, one.lam, one.log_k, one.coef) == (other.default, other.lam, other.log_k, other.coef)
+
+
 def test_words_of_clean_texts_count(spark):
     """A word that marks clean texts keeps insults on its two sides from being one passage."""
     rng, rows = random.Random(5), []

@@ -62,14 +62,15 @@ def _features(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """About MAX_TOXIC + MAX_CLEAN labelled rows that are not held out: (text, toxic, tune)."""
+    """About MAX_TOXIC + MAX_CLEAN labelled rows that are not held out, of equal ones one: (text,
+    toxic, tune). Equal texts are on one side of `tune`, and on the same one in every run."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("toxic") == 1, min(1.0, MAX_TOXIC / max(1, n.get(1, 0)))).otherwise(min(1.0, MAX_CLEAN / max(1, n.get(0, 0))))
     few = known.filter(draw < share)  # 16 bytes a row
-    tune = F.pmod(F.xxhash64("doc_id", F.lit("tune")), F.lit(4)) == 0
-    return docs.join(F.broadcast(few), "doc_id").select("text", "toxic", tune.alias("tune"))
+    tune = F.pmod(F.xxhash64("text", F.lit("tune")), F.lit(4)) == 0
+    return docs.join(F.broadcast(few), "doc_id").select("text", "toxic").distinct().select("text", "toxic", tune.alias("tune"))
 
 
 def _document_counts(sample: DataFrame) -> DataFrame:
@@ -235,7 +236,7 @@ def _score_counts(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
                 keys, n = np.unique(np.column_stack([y, known, step]), axis=0, return_counts=True)
                 yield pa.record_batch([*(pa.array(c.astype(np.int64)) for c in keys.reshape(-1, 3).T), pa.array(n.astype(np.int64))], ["toxic", "known", "step", "n"])
 
-    rows = sample.mapInArrow(count, "toxic long, known long, step long, n long").groupBy("toxic", "known", "step").agg(F.sum("n").alias("n")).collect()  # a row a step
+    rows = sample.mapInArrow(count, "toxic long, known long, step long, n long").groupBy("toxic", "known", "step").agg(F.sum("n").alias("n")).orderBy("toxic", "known", "step").collect()  # a row a step
     clean = [(r.step / STEPS, r.n) for r in rows if r.known and not r.toxic]
     totals = {k: sum(r.n for r in rows if 2 * r.known + r.toxic == k) for k in range(4)}
     return np.array([x for x, _ in clean]), np.array([n for _, n in clean], float), totals
@@ -256,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Three quarters give the log-odds, the rest the scores of clean words, the extreme-value law
     and the logistic curve. Without any labels of one class every score is that class's share."""
-    sample = table(_sample(docs, labels).dropDuplicates(["text", "toxic"]), "toxicity-sample")
+    sample = table(_sample(docs, labels), "toxicity-sample")
     learn, tune = sample.filter("not tune"), sample.filter("tune")
     n = {r.toxic: r["count"] for r in learn.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
@@ -285,22 +286,39 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     clean = [(r.n_words, r.top) for r in _score(tune.filter("toxic = 0"), model, ["toxic"]).select("n_words", "top").collect() if r.n_words]
     if clean:
         # Gumbel: the mean of lambda * top - ln n over clean documents is ln K + Euler's constant.
-        model.log_k = min(2.0, sum(model.lam * t - math.log(w) for w, t in clean) / len(clean) - 0.5772)
-    again = _score(tune, model, ["toxic"]).select("toxic", "surprise").collect()
-    x = np.array([min(60.0, r.surprise) for r in again])
-    model.coef = _logistic(x, np.array([r.toxic for r in again], float))
+        model.log_k = min(2.0, math.fsum(model.lam * t - math.log(w) for w, t in clean) / len(clean) - 0.5772)
+    again = sorted((min(60.0, r.surprise), r.toxic) for r in _score(tune, model, ["toxic"]).select("toxic", "surprise").collect())
+    model.coef = _logistic(np.array([x for x, _ in again]), np.array([y for _, y in again], float))
     return model
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of y on x with a weak pull to 0, by Newton steps."""
-    w, X = np.zeros(2), np.column_stack([np.ones(len(x)), x])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
-        H = X.T @ (X * (p * (1 - p))[:, None]) + np.diag([1e-3, 1e-2])
-        step = np.linalg.solve(H, X.T @ (y - p) - np.array([1e-3, 1e-2]) * w)
-        w = w + np.clip(step, -2, 2)
-    return float(w[0]), float(max(0.0, w[1]))
+    """Intercept and slope (at least 0) of a logistic regression of y on x with a weak pull to 0."""
+    X, pull = np.column_stack([np.ones(len(x)), x]), np.array([1e-3, 1e-2])
+    w = _least(X, y, pull)
+    return (float(w[0]), float(w[1])) if w[1] >= 0 else (float(_least(X[:, :1], y, pull[:1])[0]), 0.0)
+
+
+def _least(X: np.ndarray, y: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Where the logistic loss is least. Where classes lie apart, full Newton steps go round in
+    circles; each is halved until the loss falls, which ends there from any start, as it is convex."""
+
+    def loss(w: np.ndarray) -> float:
+        return np.logaddexp(0, (1 - 2 * y) * (X @ w)).sum() + pull @ (w * w) / 2
+
+    w = np.zeros(X.shape[1])
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(X @ w, -500, 500)))
+        slope = X.T @ (p - y) + pull * w
+        step = np.linalg.solve(X.T @ (X * (p * (1 - p))[:, None]) + np.diag(pull), slope)
+        falls, t = slope @ step, 1.0
+        while (new := loss(w - t * step)) > now - 1e-4 * t * falls and t > 1e-9:
+            t /= 2
+        if falls < 1e-9 or new >= now:
+            break
+        w, now = w - t * step, new
+    return w
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
