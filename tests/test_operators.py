@@ -273,6 +273,40 @@ def test_search_draws_distinct_points(spark, series):
     assert min(r.mse for r in got) == next(r.mse for r in got if r.chosen)
 
 
+def test_search_is_over_all_rows_and_points(spark, series):
+    """Every training row counts, not the last of each well, and every point; shorter boosters that
+    are scored within the longest equal those fitted alone. A window of zeros has no label."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+    from pyspark.ml.tuning import CrossValidator
+
+    zeros = series.withColumn("oil", F.when((F.col("well") == "b") & F.col("t").between(50, 70), 0.0).otherwise(F.col("oil")))
+    w = features.chrono_split(features.ratio_normalize(features.window_rows(zeros, "oil", [], 3, 5)), 0.2).localCheckpoint()
+    assert w.filter("label is null").count() > 0
+    grid = {"maxIter": [1, 3], "maxDepth": [2], "subsamplingRate": [0.6, 1.0]}
+    rows = w.filter("side = 'train' and label is not null").withColumns({"fold": F.pmod(F.xxhash64("well", "t"), F.lit(2)).cast("int"), "features": array_to_vector("lags")})
+    assert rows.count() > 900
+    gbt = GBTRegressor(seed=7, maxBins=64)
+
+    def alone(rows):
+        maps = [{gbt.maxIter: n, gbt.maxDepth: 2, gbt.subsamplingRate: s} for n in (1, 3) for s in (0.6, 1.0)]
+        cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="mse"), numFolds=2, foldCol="fold")
+        return {(m[gbt.maxIter], m[gbt.subsamplingRate]): e for m, e in zip(maps, cv.fit(models.in_partitions(rows, 1, ["well", "t"])).avgMetrics)}
+
+    scored = lambda **kw: {(r.params["maxIter"], r.params["subsamplingRate"]): r.mse for r in models.gbt_search(w, grid, folds=2, **kw).collect()}
+    same = lambda got, want: got.keys() == want.keys() and all(np.isclose(got[k], want[k], rtol=1e-9) for k in want)
+    assert same(scored(n_iter=4), alone(rows))
+    latest = rows.join(rows.groupBy("well").agg(F.max("t").alias("_to")), "well").filter("t > _to - 60")
+    assert same(scored(last=60), alone(latest))
+
+
+def test_search_names_empty_folds(spark, series):
+    w = features.chrono_split(features.ratio_normalize(features.window_rows(series, "oil", [], 3, 5)), 0.2)
+    with pytest.raises(ValueError, match="empty"):
+        models.gbt_search(w.filter("t > 1e6"), {"maxIter": [1]}, 1, folds=2)
+
+
 def test_search_is_the_same_from_any_partitions(spark, series):
     """Subsampling draws by partition: a fit's rows come in the same ones, no more than they fill."""
     w = features.chrono_split(features.ratio_normalize(features.window_rows(series, "oil", [], 3, 5)), 0.2).localCheckpoint()

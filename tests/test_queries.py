@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tsengine.functions.units import decline
-from tsengine.operators import clean, features, metrics
+from tsengine.operators import clean, features, metrics, models
 from tsengine.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +89,15 @@ def test_published_means(spark):
     assert round(got.mae, 6) == 17271.761071 and round(got.smape, 6) == 0.717576
 
 
+def test_search_query_leaves_nothing_out(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(models, "gbt_search", lambda windows, grid, **limits: calls.append((windows, limits)))
+    QUERIES["gbt_search"](spark, SF)
+    [(windows, limits)] = calls
+    want = features.chrono_split(QUERIES["window_dataset"](spark, SF), 0.2)
+    assert not limits and windows.filter("side = 'train'").count() == want.filter("side = 'train'").count() > 0
+
+
 def test_unknown_names_are_errors():
     with pytest.raises(ValueError):
         decline("nothing", None, None, None, None)

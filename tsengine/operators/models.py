@@ -133,37 +133,54 @@ def in_partitions(df: DataFrame, n: int, order: list[str], size: int | None = No
     return df.repartitionByRange(max(1, -(-n // (size or FIT_ROWS))), *order).sortWithinPartitions(*order)
 
 
-def gbt_search(windows: DataFrame, grid: dict[str, list], n_iter: int, folds: int = 3, last: int = 50, seed: int = 7) -> DataFrame:
-    """Boosted trees whose parameters are drawn at random: n_iter points of the grid, each scored
-    by the mean squared error of `folds` cross-validation folds over the last `last` training
-    rows of each well. Returns a row for each point: params, mse, chosen."""
+def gbt_search(windows: DataFrame, grid: dict[str, list], n_iter: int | None = None, folds: int = 3, last: int | None = None, seed: int = 7) -> DataFrame:
+    """Boosted trees of each point of the grid, scored by the mean squared error of `folds`
+    cross-validation folds over all training rows of all wells that have a label. n_iter: only so
+    many points, drawn at random; last: only so many rows of each well, the latest. Returns a row
+    for each point: params, mse, chosen.
+
+    A booster's first trees are the shorter booster, so points that differ only in maxIter share
+    their fits, and the longest is scored after each of its trees."""
     import random
+    from itertools import product
+    from multiprocessing.pool import ThreadPool
 
-    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark import inheritable_thread_target
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor
-    from pyspark.ml.tuning import CrossValidator
 
-    place = F.row_number().over(Window.partitionBy("well").orderBy(F.desc("t")))
-    rows = windows.filter("side = 'train'").withColumn("_k", place).filter(F.col("_k") <= last)
+    rows = windows.filter("side = 'train' and label is not null")
+    if last is not None:
+        place = F.row_number().over(Window.partitionBy("well").orderBy(F.desc("t")))
+        rows = rows.withColumn("_k", place).filter(F.col("_k") <= last)
     rows = rows.withColumns({"fold": F.pmod(F.xxhash64("well", "t"), F.lit(folds)).cast("int"), "features": array_to_vector("lags")}).select("well", "t", "features", "label", "fold")
-    recent = rows.persist()
-    rows = in_partitions(recent, recent.count(), ["well", "t"]).drop("well", "t").persist()
-    gbt, rng = GBTRegressor(seed=seed, maxBins=64), random.Random(seed)
-    points, tried = [], set()
-    size = 1
-    for values in grid.values():
-        size *= len(values)
-    while len(points) < min(n_iter, size):
-        point = tuple(rng.choice(values) for values in grid.values())
-        if point not in tried:
-            tried.add(point)
-            points.append(dict(zip(grid, point)))
-    maps = [{gbt.getParam(k): v for k, v in p.items()} for p in points]
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=RegressionEvaluator(metricName="mse"), numFolds=folds, foldCol="fold", parallelism=8, seed=seed)
-    mse = cv.fit(rows).avgMetrics
+    labelled = rows.persist()
+    sizes = [r["count"] for r in labelled.groupBy("fold").count().collect()]
+    if len(sizes) < max(folds, 2):
+        raise ValueError(f"{sum(sizes)} rows leave a fold of {folds} empty")
+    rows = in_partitions(labelled, sum(sizes), ["well", "t"]).drop("well", "t").persist()
+
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    if n_iter is not None and n_iter < len(points):
+        points = random.Random(seed).sample(points, n_iter)
+    gbt = GBTRegressor(seed=seed, maxBins=64)
+    trees = lambda p: p.get("maxIter", gbt.getMaxIter())
+    others = lambda p: tuple((k, v) for k, v in p.items() if k != "maxIter")
+    longest: dict[tuple, int] = {}
+    for p in points:
+        longest[others(p)] = max(trees(p), longest.get(others(p), 0))
+
+    def errors(fit: tuple) -> list[float]:
+        fold, point, n = fit
+        model = gbt.fit(rows.filter(F.col("fold") != fold), {gbt.getParam(k): v for k, v in (*point, ("maxIter", n))})
+        return model.evaluateEachIteration(rows.filter(F.col("fold") == fold), "squared")
+
+    fits = [(fold, point, n) for point, n in longest.items() for fold in range(folds)]
+    with ThreadPool(8) as pool:
+        scored = dict(zip(fits, pool.map(inheritable_thread_target(windows.sparkSession)(errors), fits, chunksize=1)))
     rows.unpersist()
-    recent.unpersist()
+    labelled.unpersist()
+    mse = [sum(scored[fold, others(p), longest[others(p)]][trees(p) - 1] for fold in range(folds)) / folds for p in points]
     best = min(range(len(points)), key=lambda i: mse[i])
     return windows.sparkSession.createDataFrame([({k: float(v) for k, v in p.items()}, float(m), i == best) for i, (p, m) in enumerate(zip(points, mse))], "params map<string,double>, mse double, chosen boolean")
 
