@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 from .blocks import in_blocks
 from .clean import along
 
@@ -153,12 +154,13 @@ def gbt_search(windows: DataFrame, grid: dict[str, list], n_iter: int | None = N
     if last is not None:
         place = F.row_number().over(Window.partitionBy("well").orderBy(F.desc("t")))
         rows = rows.withColumn("_k", place).filter(F.col("_k") <= last)
-    rows = rows.withColumns({"fold": F.pmod(F.xxhash64("well", "t"), F.lit(folds)).cast("int"), "features": array_to_vector("lags")}).select("well", "t", "features", "label", "fold")
-    labelled = rows.persist()
+    labelled = written(rows.select("well", "t", "lags", "label", F.pmod(F.xxhash64("well", "t"), F.lit(folds)).cast("int").alias("fold")))
     sizes = [r["count"] for r in labelled.groupBy("fold").count().collect()]
     if len(sizes) < max(folds, 2):
         raise ValueError(f"{sum(sizes)} rows leave a fold of {folds} empty")
-    rows = in_partitions(labelled, sum(sizes), ["well", "t"]).drop("well", "t").persist()
+    # Files, not a cached table: a fit's plan is then one scan, for which the driver keeps no thread and no stages.
+    rows = written(in_partitions(labelled, sum(sizes), ["well", "t"]).select("lags", "label", "fold"))
+    rows = rows.select(array_to_vector("lags").alias("features"), "label", "fold")
 
     points = [dict(zip(grid, values)) for values in product(*grid.values())]
     if n_iter is not None and n_iter < len(points):
@@ -178,8 +180,6 @@ def gbt_search(windows: DataFrame, grid: dict[str, list], n_iter: int | None = N
     fits = [(fold, point, n) for point, n in longest.items() for fold in range(folds)]
     with ThreadPool(8) as pool:
         scored = dict(zip(fits, pool.map(inheritable_thread_target(windows.sparkSession)(errors), fits, chunksize=1)))
-    rows.unpersist()
-    labelled.unpersist()
     mse = [sum(scored[fold, others(p), longest[others(p)]][trees(p) - 1] for fold in range(folds)) / folds for p in points]
     best = min(range(len(points)), key=lambda i: mse[i])
     return windows.sparkSession.createDataFrame([({k: float(v) for k, v in p.items()}, float(m), i == best) for i, (p, m) in enumerate(zip(points, mse))], "params map<string,double>, mse double, chosen boolean")
